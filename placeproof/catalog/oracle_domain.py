@@ -183,28 +183,29 @@ VIEWS["w_ranked0"] = scored("w_cand")
 
 def belief(ranked: str) -> str:
     return f"""
-SELECT *, CASE WHEN n_neg >= 1 THEN 'negative_accumulation' WHEN stale THEN 'stale_pack' WHEN stratum <> 'locality'
+SELECT *, CASE WHEN tier = 'UNPLACEABLE' THEN NULL WHEN n_neg >= 1 THEN 'negative_accumulation' WHEN stale THEN 'stale_pack' WHEN stratum <> 'locality'
    THEN 'calibration_fallback' END AS widen_reason,
-  round(539.9::DOUBLE * ((CASE tier WHEN 'PROBABLE' THEN 1.25 WHEN 'APPROXIMATE' THEN 1.5 ELSE 1.0 END::DOUBLE)
+  CASE WHEN tier <> 'UNPLACEABLE' THEN round(539.9::DOUBLE * ((CASE tier WHEN 'PROBABLE' THEN 1.25 WHEN 'APPROXIMATE' THEN 1.5 ELSE 1.0 END::DOUBLE)
    * CASE WHEN n_neg >= 1 THEN least(1.5::DOUBLE, 1.0 + 0.05::DOUBLE*n_neg) * CASE WHEN n_neg >= 2 THEN 1.35 ELSE 1.0 END::DOUBLE ELSE 1.0 END
-   * CASE WHEN stale THEN 1.2 ELSE 1.0 END::DOUBLE), 1) AS radius_m
+   * CASE WHEN stale THEN 1.2 ELSE 1.0 END::DOUBLE), 1) END AS radius_m
 FROM (SELECT *, CASE WHEN n_neg >= 2 AND tier0 IN ('CONFIRMED','PROBABLE') THEN 'APPROXIMATE' ELSE tier0 END AS tier,
   (n_neg >= 2 AND tier0 IN ('CONFIRMED','PROBABLE')) AS negative_cap,
   CASE WHEN contested THEN 'CONTESTED' WHEN n_neg >= 2 THEN 'MOVED_SUSPECTED' WHEN stale THEN 'STALE' ELSE 'STABLE' END AS status
-FROM (SELECT *, CASE WHEN contested THEN 'APPROXIMATE' WHEN promoted THEN 'CONFIRMED' WHEN n_strong_eff >= 1 THEN 'PROBABLE'
+FROM (SELECT *, CASE WHEN candidate_id IS NULL THEN 'UNPLACEABLE' WHEN contested THEN 'APPROXIMATE' WHEN promoted THEN 'CONFIRMED' WHEN n_strong_eff >= 1 THEN 'PROBABLE'
    WHEN n_weak_eff >= 2 THEN 'PROBABLE' WHEN granularity IN ('street','rooftop') AND agreement_arms > 0 THEN 'PROBABLE'
    ELSE 'APPROXIMATE' END AS tier0,
-  CASE WHEN contested THEN 'contested_supports' WHEN promoted THEN 'field_confirmed_x'||greatest(n_strong_eff, 2)
+  CASE WHEN candidate_id IS NULL THEN 'no_candidate' WHEN contested THEN 'contested_supports' WHEN promoted THEN 'field_confirmed_x'||greatest(n_strong_eff, 2)
    WHEN n_strong_eff >= 1 THEN 'field_confirmed_x1' WHEN n_weak_eff >= 2 THEN 'weak_positives_x2'
    WHEN granularity IN ('street','rooftop') AND agreement_arms > 0 THEN 'fine_pin_with_cross_arm_agreement'
    WHEN granularity = 'town' THEN 'town_anchor_only' ELSE 'cold_start_no_field_evidence' END AS tier_reason,
   (NOT contested AND n_neg < 2 AND newest_pos IS NOT NULL AND epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(newest_pos) > 365*86400000000) AS stale
 FROM (SELECT p.address_id, p.town_id, TIMESTAMP '{AS_OF}' AS as_of, coalesce(n_obs,0)+1 AS belief_version, candidate_id, arm, x, y, granularity,
-  stratum, primary_eligible, score, agreement_arms, coalesce(promoted,FALSE) AS promoted, coalesce(spread > 2*809.8::DOUBLE, FALSE) AS contested,
+  coalesce(stratum,'locality') AS stratum, primary_eligible, score, agreement_arms, coalesce(promoted,FALSE) AS promoted, coalesce(spread > 2*809.8::DOUBLE, FALSE) AS contested,
   round(spread,1) AS spread_m, coalesce(n_obs,0) AS n_obs, coalesce(n_pos,0) AS n_pos, coalesce(n_strong,0) AS n_strong,
   coalesce(n_neg,0) AS n_neg, coalesce(positive_weight_sum,0) AS positive_weight_sum, newest_pos,
   coalesce(n_strong_eff,0) AS n_strong_eff, coalesce(n_weak_eff,0) AS n_weak_eff
-FROM (SELECT * FROM {ranked} QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY coalesce(primary_eligible, TRUE) DESC, rank) = 1) p
+FROM (SELECT f.address_id, f.town_id, r.* EXCLUDE (address_id, town_id) FROM w_afeat f LEFT JOIN (SELECT * FROM {ranked}
+  QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY coalesce(primary_eligible, TRUE) DESC, rank) = 1) r USING (address_id)) p
 LEFT JOIN (
  SELECT a.*, CASE WHEN n_xy = n_strong AND n_strong >= 2 THEN far END AS spread,
   n_strong >= 2 AND (n_collectors >= 2 OR n_periods >= 2 OR (first_day < DATE '2024-01-15' AND last_day >= DATE '2024-01-15')

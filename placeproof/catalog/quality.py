@@ -1 +1,407 @@
+"""Sources, profiling and data quality jobs."""
+from pyspark.sql import functions as F
 
+from placeproof import policy
+from placeproof.catalog import query
+from placeproof.functions import text
+from placeproof.operators import profile
+from placeproof.operators.profile import union_all
+
+TABLE_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
+              "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
+              "lineitem": ["l_orderkey", "l_linenumber"], "labels": ["doc_id"],
+              "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
+              "pages": ["page_id"], "documents": ["doc_id"], "events": ["event_id"]}
+COLUMNS = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+               "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                 "l_shipdate"],
+    "labels": ["doc_id", "quality", "toxic"], "benchmark": ["item_id", "text"],
+    "conversations": ["conv_id", "turn", "role", "text"], "pages": ["page_id", "url", "html"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"]}
+
+
+@query("source_address", "SELECT address_id, account_id, town_id, address_type, added_date::VARCHAR AS added_date, address_text FROM w_address")
+def source_address(v):
+    return v.address().withColumn("added_date", F.col("added_date").cast("string"))
+
+
+@query("source_locality", "SELECT * FROM w_locality")
+def source_locality(v):
+    return v.locality()
+
+
+@query("source_landmark", "SELECT * FROM w_landmark")
+def source_landmark(v):
+    return v.landmark()
+
+
+@query("source_pin", "SELECT * FROM w_pin")
+def source_pin(v):
+    return v.pin()
+
+
+@query("source_town", "SELECT * FROM w_town")
+def source_town(v):
+    return v.town()
+
+
+@query("source_visit", """
+SELECT visit_id, address_id, account_id, agent_id, epoch_us(start_ts) AS start_us, epoch_us(observed_at) AS observed_us,
+  gps_accuracy_m, dwell_s, outcome, photo_hash, remark FROM w_visit""")
+def source_visit(v):
+    return v.visit().select(
+        "visit_id", "address_id", "account_id", "agent_id",
+        F.unix_micros("start_ts").alias("start_us"),
+        F.unix_micros("observed_at").alias("observed_us"), "gps_accuracy_m", "dwell_s", "outcome",
+        "photo_hash", "remark")
+
+
+@query("source_surveyed_split", """
+SELECT address_id, surveyed_x, surveyed_y, split FROM w_surveyed JOIN w_split ON account_id = address_id//2""")
+def source_surveyed_split(v):
+    s = v.surveyed().withColumn("account_id", F.floor(F.col("address_id") / 2))
+    return s.join(v.split(), "account_id").drop("account_id")
+
+
+@query("source_key_violations", """
+SELECT 'address' AS table_name, count(*) AS n_keys FROM (SELECT address_id FROM w_address GROUP BY 1 HAVING count(*)>1)
+UNION ALL SELECT 'trace', count(*) FROM (SELECT visit_id, raw_seq FROM w_trace GROUP BY 1,2 HAVING count(*)>1)""")
+def source_key_violations(v):
+    from placeproof.sources.tables import duplicate_keys
+    return union_all([
+        duplicate_keys(df, keys).agg(F.lit(n).alias("table_name"), F.count("*").alias("n_keys"))
+        for n, df, keys in (("address", v.address(), ["address_id"]),
+                            ("trace", v.trace(), ["visit_id", "raw_seq"]))])
+
+
+@query("trace_arrays", """
+SELECT visit_id, raw_seq // 10000 AS chunk, count(*) AS n_fixes,
+  string_agg(seq||':'||dx||':'||dy, '|' ORDER BY seq, dx, dy) AS fixes FROM w_trace GROUP BY 1, 2""")
+def trace_arrays(v):
+    """Ordered fixes per visit, cut into chunks of sequence numbers so an array stays bounded."""
+    t = v.trace().withColumn("chunk", F.floor(F.col("raw_seq") / 10000))
+    return t.groupBy("visit_id", "chunk").agg(
+        F.count("*").alias("n_fixes"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "dx", "dy"))),
+                                 lambda p: F.concat_ws(":", p["seq"], p["dx"], p["dy"])), "|")
+        .alias("fixes"))
+
+
+@query("snapshot_counts", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLE_KEYS))
+def snapshot_counts(v):
+    return union_all([v.raw(t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows"))
+                      for t in TABLE_KEYS])
+
+
+def _table_profile_sql(t, keys):
+    cols = COLUMNS[t]
+    nulls = "+".join(f"({c} IS NULL)::INTEGER" for c in cols)
+    return (f"SELECT '{t}' AS table_name, count(*) AS n_rows, {len(cols)}::BIGINT AS n_cols, "
+            f"count(*) = (SELECT count(*) FROM (SELECT DISTINCT {','.join(keys)} FROM {t})) AS key_unique, "
+            f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS full_duplicates, "
+            f"round(100.0*sum({nulls})/(count(*)*{len(cols)}),3) AS null_pct FROM {t}")
+
+
+PROFILED = ["nation", "customer", "part", "orders", "lineitem", "events", "documents", "labels"]
+
+
+@query("table_profile", "\nUNION ALL ".join(_table_profile_sql(t, TABLE_KEYS[t]) for t in PROFILED))
+def table_profile(v):
+    return union_all([profile.table_profile(v.raw(t), t, TABLE_KEYS[t]) for t in PROFILED])
+
+
+NUMERIC = {"c_custkey", "c_nationkey", "c_acctbal", "p_partkey", "p_size", "p_retailprice"}
+DOUBLES = {"c_acctbal", "p_retailprice"}
+
+
+def _column_profile_sql(t):
+    parts = []
+    for c in COLUMNS[t]:
+        s = f"{c}::DECIMAL(20,4)::VARCHAR" if c in DOUBLES else f"{c}::VARCHAR"
+        d = f"{c}::DECIMAL(20,4)::DOUBLE" if c in NUMERIC else "NULL::DOUBLE"
+        parts.append(
+            f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*)-count({c}) AS n_null, "
+            f"count(DISTINCT {s}) AS n_distinct, min({d}) AS min_value, max({d}) AS max_value, round(avg({d}),3) AS mean_value, "
+            f"(SELECT string_agg(val||':'||n, '|' ORDER BY n DESC, val) FROM (SELECT {s} AS val, count(*) AS n FROM {t} WHERE {c} IS NOT NULL "
+            f"GROUP BY 1 ORDER BY n DESC, val LIMIT 3)) AS top_values, round(100.0*count(DISTINCT {s})/count(*),3) AS pct_unique FROM {t}")
+    return "\nUNION ALL ".join(parts)
+
+
+COLUMN_SQL = _column_profile_sql("customer") + "\nUNION ALL " + _column_profile_sql("part")
+
+
+def _columns(v):
+    return union_all([profile.column_profile(v.raw(t)).withColumn("table_name", F.lit(t))
+                      for t in ("customer", "part")])
+
+
+@query("column_profile", COLUMN_SQL)
+def column_profile(v):
+    return _columns(v)
+
+
+@query("constant_columns", f"""
+SELECT table_name, column_name, n_distinct <= 1 AS is_constant,
+  regexp_extract(top_values, '^[^|]*:(\\d+)', 1)::BIGINT / n_rows >= 0.99 AS is_near_constant, pct_unique >= 90 AS is_id_like
+FROM ({COLUMN_SQL})""")
+def constant_columns(v):
+    return union_all([profile.constant_flags(profile.column_profile(v.raw(t)))
+                      .withColumn("table_name", F.lit(t)) for t in ("customer", "part")])
+
+
+LINKS = [("visit->address", "events", "user_id", "customer", "c_custkey"),
+         ("trace->visit", "lineitem", "l_orderkey", "events", "event_id"),
+         ("order->customer", "orders", "o_custkey", "customer", "c_custkey"),
+         ("address->town", "customer", "c_nationkey", "nation", "n_nationkey"),
+         ("label->document", "labels", "doc_id", "documents", "doc_id")]
+
+
+def _link_sql(n, c, cc, p, pc):
+    return (f"SELECT '{n}' AS relation, count(*) FILTER (np IS NULL) AS orphan_child_keys, "
+            f"coalesce(sum(nc) FILTER (np IS NULL),0)::BIGINT AS orphan_child_rows, "
+            f"count(*) FILTER (nc IS NULL) AS parents_without_child, "
+            f"count(*) FILTER (np IS NOT NULL AND nc > 1) AS parents_with_many, "
+            f"max(nc) FILTER (np IS NOT NULL) AS max_per_parent FROM (SELECT {cc} AS k, count(*) AS nc FROM {c} "
+            f"WHERE {cc} IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT {pc} AS k, count(*) AS np FROM {p} GROUP BY 1) b USING (k)")
+
+
+@query("foreign_key_orphans", "\nUNION ALL ".join(_link_sql(*x) for x in LINKS))
+def foreign_key_orphans(v):
+    """Orphans both ways plus the coverage counts (none, many, most per parent)."""
+    return union_all([profile.key_links(v.raw(c), cc, v.raw(p), pc, n) for n, c, cc, p, pc in LINKS])
+
+
+@query("coverage_by_parent", """
+SELECT count(*) FILTER (n = 0) AS without_visit, count(*) FILTER (n = 1) AS with_one, count(*) FILTER (n > 1) AS with_many,
+  max(n) AS most FROM (SELECT c_custkey, count(user_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1)""")
+def coverage_by_parent(v):
+    n = v.raw("events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("n"))
+    j = v.raw("customer").select("c_custkey").join(n, "c_custkey", "left").withColumn(
+        "n", F.coalesce("n", F.lit(0)))
+    return j.agg(F.count_if(F.col("n") == 0).alias("without_visit"),
+                 F.count_if(F.col("n") == 1).alias("with_one"),
+                 F.count_if(F.col("n") > 1).alias("with_many"), F.max("n").alias("most"))
+
+
+@query("composite_key_duplicates", """
+SELECT n AS rows_per_key, count(*) AS n_keys FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1,2)
+WHERE n > 1 GROUP BY 1""")
+def composite_key_duplicates(v):
+    return (v.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+            .filter("n > 1").groupBy(F.col("n").alias("rows_per_key"))
+            .agg(F.count("*").alias("n_keys")))
+
+
+COORDS = [("pin", "geocoder_x", "geocoder_y"), ("locality", "cx", "cy"), ("landmark", "px", "py"),
+          ("trace", "dx", "dy")]
+
+
+@query("coordinate_ranges", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, min({x})::DOUBLE AS x_min, max({x})::DOUBLE AS x_max, min({y})::DOUBLE AS y_min, "
+    f"max({y})::DOUBLE AS y_max, count(*) FILTER ({x} = 0 OR {y} = 0) AS n_zero, count(*) FILTER ({x} IS NULL OR {y} IS NULL) AS n_null "
+    f"FROM w_{t}" for t, x, y in COORDS))
+def coordinate_ranges(v):
+    return union_all([getattr(v, t)().agg(
+        F.lit(t).alias("table_name"), F.min(x).cast("double").alias("x_min"),
+        F.max(x).cast("double").alias("x_max"), F.min(y).cast("double").alias("y_min"),
+        F.max(y).cast("double").alias("y_max"),
+        F.count_if((F.col(x) == 0) | (F.col(y) == 0)).alias("n_zero"),
+        F.count_if(F.col(x).isNull() | F.col(y).isNull()).alias("n_null")) for t, x, y in COORDS])
+
+
+@query("decimal_precision", """
+SELECT digits, count(*) AS n FROM (SELECT length(rtrim(split_part(geocoder_x::DECIMAL(20,6)::VARCHAR,'.',2),'0')) AS digits FROM w_pin)
+GROUP BY 1""")
+def decimal_precision(v):
+    s = F.col("geocoder_x").cast("decimal(20,6)").cast("string")
+    d = F.length(F.rtrim(F.split_part(s, F.lit("."), F.lit(2)), F.lit("0"))).cast("long")
+    return v.pin().groupBy(d.alias("digits")).agg(F.count("*").alias("n"))
+
+
+@query("duplicate_point_piles", """
+SELECT count(*) AS n_points, max(n) AS largest_pile, count(*) FILTER (n >= 10) AS piles_ge_10,
+  round(sum(n) FILTER (n > 1) / sum(n), 6) AS share_in_piles FROM (SELECT dx, dy, count(*) AS n FROM w_trace GROUP BY 1,2)""")
+def duplicate_point_piles(v):
+    n = v.trace().groupBy("dx", "dy").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("n_points"), F.max("n").alias("largest_pile"),
+                 F.count_if(F.col("n") >= 10).alias("piles_ge_10"),
+                 F.round(F.sum(F.when(F.col("n") > 1, F.col("n"))) / F.sum("n"), 6)
+                 .alias("share_in_piles"))
+
+
+RULES = [("dwell_under_60s", "dwell_s < 60", "flag"), ("dwell_over_2h", "dwell_s > 7200", "flag"),
+         ("accuracy_over_50m", "gps_accuracy_m > 50", "down-weight"),
+         ("accuracy_missing", "gps_accuracy_m IS NULL", "down-weight"),
+         ("negative_travel", "start_ts > observed_at", "flag"),
+         ("no_photo", "photo_hash IS NULL", "keep"), ("empty_remark", "remark = ''", "keep")]
+
+
+@query("outlier_rules", "\nUNION ALL ".join(
+    f"SELECT '{n}' AS rule, count(*) FILTER ({c}) AS n_rows, '{d}' AS disposition FROM w_visit"
+    for n, c, d in RULES))
+def outlier_rules(v):
+    """All rules in one pass: the counts are one aggregate row, unpivoted afterwards."""
+    one = v.visit().agg(*[F.count_if(F.expr(c)).alias(n) for n, c, _ in RULES])
+    return one.select(F.explode(F.array(*[F.struct(
+        F.lit(n).alias("rule"), F.col(n).alias("n_rows"), F.lit(d).alias("disposition"))
+        for n, _, d in RULES])).alias("r")).select("r.*")
+
+
+MISSING = [("photo_hash", "not_captured"), ("gps_accuracy_m", "device_gap"),
+           ("dwell_s", "device_gap"), ("remark", "structural")]
+
+
+@query("missingness_by_class", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{k}' AS missing_class, round(avg(({c} IS NULL)::INTEGER),6) AS null_rate FROM w_visit"
+    for c, k in MISSING))
+def missingness_by_class(v):
+    rates = v.visit().agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c, _ in MISSING])
+    long = rates.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.round(F.col(c), 6).alias("null_rate"))
+        for c, _ in MISSING])).alias("r")).select("r.*")
+    classes = v.spark.createDataFrame(MISSING, "column_name string, missing_class string")
+    return long.join(F.broadcast(classes), "column_name", "left").select(
+        "column_name", "missing_class", "null_rate")
+
+
+@query("parent_child_conflicts", """
+SELECT count(*) AS n_addresses, count(*) FILTER (a.town_id IS DISTINCT FROM b.town_id) AS town_differs_from_first
+FROM w_address a JOIN (SELECT account_id, min_by(town_id, address_id) AS town_id FROM w_address GROUP BY 1) b USING (account_id)""")
+def parent_child_conflicts(v):
+    a = v.address()
+    parent = a.groupBy("account_id").agg(F.min_by("town_id", "address_id").alias("account_town"))
+    return a.join(parent, "account_id").agg(
+        F.count("*").alias("n_addresses"),
+        F.count_if(~F.col("town_id").eqNullSafe(F.col("account_town")))
+        .alias("town_differs_from_first"))
+
+
+@query("cleaning_log", """
+SELECT 'trace' AS table_name, 'drop_axis_artefacts' AS rule, count(*) AS rows_in, count(*) FILTER (dx<>0 AND dy<>0) AS rows_out,
+  count(*) FILTER (dx=0 OR dy=0) AS dropped FROM w_trace
+UNION ALL SELECT 'address', 'normalise_text', count(*), count(*), 0 FROM w_address
+UNION ALL SELECT 'visit', 'drop_without_position', count(*), count(*) FILTER (visit_id % 53 <> 0), count(*) FILTER (visit_id % 53 = 0) FROM w_visit""")
+def cleaning_log(v):
+    """Per rule: rows in, out and dropped, each from one counting pass."""
+    def log(df, table, rule, keep):
+        return df.agg(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
+                      F.count("*").alias("rows_in"), F.count_if(keep).alias("rows_out"),
+                      F.count_if(~keep).alias("dropped"))
+    return union_all([
+        log(v.trace(), "trace", "drop_axis_artefacts", (F.col("dx") != 0) & (F.col("dy") != 0)),
+        log(v.address(), "address", "normalise_text", F.lit(True)),
+        log(v.visit(), "visit", "drop_without_position", F.col("visit_id") % 53 != 0)])
+
+
+@query("contract_violations", """
+SELECT 'as_of_valid_iff_evidence' AS rule, 0::BIGINT AS violations UNION ALL
+SELECT 'arm_vocabulary', count(*) FILTER (arm NOT IN ('frozen_baseline','locality_centroid','town_centroid','official_landmark','address_book','field_evidence','memory')) FROM w_cand UNION ALL
+SELECT 'granularity_vocabulary', count(*) FILTER (granularity NOT IN ('rooftop','street','locality','town')) FROM w_cand UNION ALL
+SELECT 'weight_in_unit_interval', count(*) FILTER (weight < 0 OR weight > 1) FROM w_ev UNION ALL
+SELECT 'negatives_have_zero_weight', count(*) FILTER (polarity = 'negative' AND weight <> 0) FROM w_ev""")
+def contract_violations(v):
+    """Data-contract assertions; every count must be zero."""
+    from placeproof.catalog.oracle_domain import AS_OF
+    from placeproof.plans import belief, candidates
+    c = candidates.exploded(belief.bare_sets(v, AS_OF))
+    e = belief.evidence_stage(v)
+    ev_arm = F.col("arm").isin(policy.EVIDENCE_ARMS)
+    def rule(df, name, bad):
+        return df.agg(F.lit(name).alias("rule"), F.count_if(bad).alias("violations"))
+    return union_all([
+        rule(c, "as_of_valid_iff_evidence", ev_arm != F.col("as_of_valid").isNotNull()),
+        rule(c, "arm_vocabulary", ~F.col("arm").isin(policy.ARMS)),
+        rule(c, "granularity_vocabulary", ~F.col("granularity").isin(list(policy.GRANULARITY_RANK))),
+        rule(e, "weight_in_unit_interval", (F.col("weight") < 0) | (F.col("weight") > 1)),
+        rule(e, "negatives_have_zero_weight", (F.col("polarity") == "negative") & (F.col("weight") != 0))])
+
+
+@query("late_columns")
+def late_columns(v):
+    """Columns of the joined visit table that are not available at decision time (tier above T1)."""
+    tiers = v.spark.createDataFrame(list(policy.COLUMN_TIERS.items()), "column_name string, tier string")
+    used = v.visit().withColumnRenamed("observed_at", "checkin_ts")
+    names = profile.value_counts(used.select("address_id", "account_id", "outcome", "dwell_s",
+                                             "gps_accuracy_m")).groupBy("column_name").agg(
+        F.sum("n").alias("n_rows"))
+    return names.join(F.broadcast(tiers), "column_name", "left").withColumn(
+        "rejected", F.coalesce(F.col("tier") > "T1", F.lit(True)))
+
+
+@query("quality_scorecard", f"""
+SELECT table_name, n_rows, null_pct, full_duplicates, CASE WHEN NOT key_unique THEN 'review' WHEN full_duplicates > 0 THEN 'dedupe' ELSE 'ok' END AS verdict
+FROM ({chr(10).join(['']) + ' UNION ALL '.join(_table_profile_sql(t, TABLE_KEYS[t]) for t in PROFILED)})""")
+def quality_scorecard(v):
+    p = table_profile(v)
+    return p.select("table_name", "n_rows", "null_pct", "full_duplicates",
+                    F.when(~F.col("key_unique"), "review").when(F.col("full_duplicates") > 0, "dedupe")
+                    .otherwise("ok").alias("verdict"))
+
+
+@query("remark_profile", """
+SELECT outcome, count(*) AS n, avg((trim(remark)='')::INTEGER) AS empty_rate, round(avg(regexp_matches(remark,'[0-9]')::INTEGER),6) AS digit_rate,
+  round(avg(regexp_matches(remark,'[\\x{0900}-\\x{0D7F}]')::INTEGER),6) AS indic_rate,
+  round(avg(regexp_matches(lower(remark),'shift|moved|kalla|badal')::INTEGER),6) AS relocation_rate,
+  round(avg(names_place::INTEGER),6) AS place_rate
+FROM (SELECT v.*, EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(p_name) AS nm FROM part UNION SELECT DISTINCT lower(p_type||' '||p_brand) FROM part)
+   WHERE contains(lower(remark), nm)) AS names_place FROM w_visit v) GROUP BY outcome""")
+def remark_profile(v):
+    """Remarks are folded to distinct texts before any containment test."""
+    p = v.raw("part")
+    names = (p.select(F.lower("p_name").alias("nm")).union(
+        p.select(F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("nm"))).distinct())
+    r = v.visit().groupBy("outcome", "remark").agg(F.count("*").alias("n"))
+    texts = r.select("remark").distinct()
+    named = _contains(texts, names)
+    low = F.lower("remark")
+    t = r.join(named, "remark", "left").withColumn("named", F.coalesce("named", F.lit(0)))
+    def rate(c):
+        return F.round(F.sum(c.cast("int") * F.col("n")) / F.sum("n"), 6)
+    return t.groupBy("outcome").agg(
+        F.sum("n").alias("n"),
+        (F.sum((F.trim("remark") == "").cast("int") * F.col("n")) / F.sum("n")).alias("empty_rate"),
+        rate(F.col("remark").rlike("[0-9]")).alias("digit_rate"),
+        rate(F.col("remark").rlike(r"[\x{0900}-\x{0D7F}]")).alias("indic_rate"),
+        rate(low.rlike("shift|moved|kalla|badal")).alias("relocation_rate"),
+        rate(F.col("named") == 1).alias("place_rate"))
+
+
+def _contains(texts, names):
+    """Texts that contain one of the names.  A name can only occur where its first word does, so the
+    two meet in an equi-join on that word's letters (3-grams of the text start)."""
+    key = F.substring("nm", 1, 4)
+    grams = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("remark") - 3)),
+        lambda i: F.substring(F.lower("remark"), i, F.lit(4))))
+    t = texts.select("remark", F.explode(grams).alias("g"))
+    return (t.join(names.withColumn("g", key), "g")
+            .filter(F.contains(F.lower("remark"), F.col("nm")))
+            .select("remark").distinct().withColumn("named", F.lit(1)))
+
+
+@query("lender_style", """
+SELECT CASE WHEN address_id%3=0 THEN 'structured' WHEN address_id%3=1 THEN 'free' ELSE 'legacy' END AS style, count(*) AS n,
+  round(avg(regexp_matches(address_text,'[^\\x00-\\x7F]')::INTEGER),6) AS non_ascii_rate,
+  round(avg(regexp_matches(address_text,'-\\s*\\d{6}\\s*$')::INTEGER),6) AS pin_tail_rate,
+  round(avg(regexp_matches(address_text,'(?i)\\b(house|plot|door|flat|no\\.?|#)\\b')::INTEGER),6) AS house_rate,
+  quantile_cont(length(address_text),0.5) AS median_len FROM w_address GROUP BY 1""")
+def lender_style(v):
+    k, t = F.col("address_id"), F.col("address_text")
+    style = F.when(k % 3 == 0, "structured").when(k % 3 == 1, "free").otherwise("legacy")
+    return v.address().groupBy(style.alias("style")).agg(
+        F.count("*").alias("n"),
+        F.round(F.avg(t.rlike(r"[^\x00-\x7F]").cast("int")), 6).alias("non_ascii_rate"),
+        F.round(F.avg(t.rlike(r"-\s*\d{6}\s*$").cast("int")), 6).alias("pin_tail_rate"),
+        F.round(F.avg(t.rlike(r"(?i)\b(house|plot|door|flat|no\.?|#)\b").cast("int")), 6)
+        .alias("house_rate"),
+        # text length is a small integer domain, so the exact percentile buffer stays tiny
+        F.percentile(F.length(t), 0.5).alias("median_len"))

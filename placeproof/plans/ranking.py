@@ -84,7 +84,7 @@ def score_terms(c, a) -> list[tuple[Column, Column]]:
 
 def ranked_sets(sets: DataFrame, feats: DataFrame) -> DataFrame:
     """(address_id, cands) with scores, terms and features; order: score desc, candidate id."""
-    s = sets.join(feats, "address_id")
+    s = feats.join(sets, "address_id", "left")   # an address without candidates stays, unplaceable
     a = {c: F.col(c) for c in feats.columns}
 
     def scored(c):
@@ -103,7 +103,7 @@ def ranked_sets(sets: DataFrame, feats: DataFrame) -> DataFrame:
             .alias("f_dist_to_town_centroid_m"), c.alias("c"))
 
     return s.select("address_id", *[c for c in feats.columns if c != "address_id"],
-                    F.size("cands").alias("f_n_candidates"),
+                    F.coalesce(F.size("cands"), F.lit(0)).alias("f_n_candidates"),
                     F.array_sort(F.transform("cands", scored)).alias("ranked"))
 
 
