@@ -131,6 +131,17 @@ SELECT visit_id AS observation_id, address_id, account_id, agent_id, 'device-'||
   round({dist('checkin_x','checkin_y','(tx+med_dx)','(ty+med_dy)')},3) AS trail_agreement_m,
   gps_accuracy_m, dwell_s, observed_at, photo_hash AS media, remark, checkin_x, checkin_y
 FROM w_checkin LEFT JOIN w_tail USING (visit_id) LEFT JOIN w_tracemed USING (visit_id)""",
+    "w_xy": """
+SELECT vec_id AS id, 'G'||label AS zone, round(embedding[1]::DOUBLE*1000 + (vec_id//4096)*10000, 3) AS x,
+  round(embedding[2]::DOUBLE*1000 + (vec_id//4096)*10000, 3) AS y FROM embeddings""",
+    "w_link": f"""
+SELECT a.zone, a.id AS a, b.id AS b, {dist('a.x','a.y','b.x','b.y')} AS d FROM w_xy a JOIN w_xy b ON a.zone = b.zone AND a.id < b.id
+WHERE {dist('a.x','a.y','b.x','b.y')} <= 30 AND {dist('a.x','a.y','b.x','b.y')} > 0""",
+    "w_reach": """
+SELECT id AS node, id AS comp FROM w_xy UNION
+SELECT CASE WHEN a = node THEN b ELSE a END, comp FROM w_reach JOIN w_link ON a = node OR b = node""",
+    "w_block": """
+SELECT id, zone, x, y, block_id FROM w_xy JOIN (SELECT node AS id, min(comp) AS block_id FROM w_reach GROUP BY 1) USING (id)""",
 }
 
 
@@ -138,18 +149,19 @@ def expand(body: str) -> str:
     """WITH clause holding every view the body needs, in dependency order, then the body."""
     from placeproof.catalog import oracle_domain  # noqa: F401  (adds the domain views)
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str):
         for name in re.findall(r"\bw_\w+", text):
-            if name in VIEWS and name not in order:
+            if name in VIEWS and name not in seen:
+                seen.add(name)
                 visit(VIEWS[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(body)
     if not order:
         return body.strip()
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'' if n == 'w_reach' else 'MATERIALIZED '}({VIEWS[n].strip()})" for n in order)
     head = "WITH RECURSIVE " if "w_reach" in order else "WITH "
     body = body.strip()
     if re.match(r"(?i)with\s", body):

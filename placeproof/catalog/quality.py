@@ -5,6 +5,7 @@ from placeproof import policy
 from placeproof.catalog import query
 from placeproof.functions import text
 from placeproof.operators import profile
+from placeproof.operators.tokenjoin import contains_join
 from placeproof.operators.profile import union_all
 
 TABLE_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
@@ -361,7 +362,8 @@ def remark_profile(v):
         p.select(F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("nm"))).distinct())
     r = v.visit().groupBy("outcome", "remark").agg(F.count("*").alias("n"))
     texts = r.select("remark").distinct()
-    named = _contains(texts, names)
+    named = (contains_join(texts.withColumn("low", F.lower("remark")), names, "low", "nm")
+             .select("remark").distinct().withColumn("named", F.lit(1)))
     low = F.lower("remark")
     t = r.join(named, "remark", "left").withColumn("named", F.coalesce("named", F.lit(0)))
     def rate(c):
@@ -375,19 +377,6 @@ def remark_profile(v):
         rate(F.col("named") == 1).alias("place_rate"))
 
 
-def _contains(texts, names):
-    """Texts that contain one of the names.  A name can only occur where its first word does, so the
-    two meet in an equi-join on that word's letters (3-grams of the text start)."""
-    key = F.substring("nm", 1, 4)
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("remark") - 3)),
-        lambda i: F.substring(F.lower("remark"), i, F.lit(4))))
-    t = texts.select("remark", F.explode(grams).alias("g"))
-    return (t.join(names.withColumn("g", key), "g")
-            .filter(F.contains(F.lower("remark"), F.col("nm")))
-            .select("remark").distinct().withColumn("named", F.lit(1)))
-
-
 @query("lender_style", """
 SELECT CASE WHEN address_id%3=0 THEN 'structured' WHEN address_id%3=1 THEN 'free' ELSE 'legacy' END AS style, count(*) AS n,
   round(avg(regexp_matches(address_text,'[^\\x00-\\x7F]')::INTEGER),6) AS non_ascii_rate,

@@ -81,18 +81,14 @@ def relation_window(toks: Column) -> Column:
 def raw_relation_window(text: Column, width: int = 3) -> Column:
     """Ring B1: the first vocabulary entry occurring anywhere in the lower-cased text."""
     low = F.lower(text)
-    out = F.lit(None).cast("struct<rel:string,before:array<string>,after:array<string>>")
-    for phrase in reversed(policy.RELATION_WORDS):
-        pos = F.instr(low, F.lit(phrase))
-        before = F.regexp_extract_all(F.substring(low, F.lit(1), pos - 1), F.lit(TOKEN), F.lit(0))
-        after = F.regexp_extract_all(
-            F.substring(low, pos + len(phrase), F.length(low)), F.lit(TOKEN), F.lit(0))
-        out = F.when(pos > 0, F.struct(
-            F.lit(phrase).alias("rel"),
-            F.slice(before, F.greatest(F.lit(1), F.size(before) - (width - 1)), width)
-            .alias("before"),
-            F.slice(after, 1, width).alias("after"))).otherwise(out)
-    return out
+    rel = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in policy.RELATION_WORDS])
+    pos = F.instr(low, rel)
+    before = F.regexp_extract_all(F.substring(low, F.lit(1), pos - 1), F.lit(TOKEN), F.lit(0))
+    after = F.regexp_extract_all(F.substring(low, pos + F.length(rel), F.length(low)),
+                                 F.lit(TOKEN), F.lit(0))
+    return F.when(rel.isNotNull(), F.struct(
+        rel.alias("rel"), F.slice(F.reverse(F.slice(F.reverse(before), 1, width)), 1, width)
+        .alias("before"), F.slice(after, 1, width).alias("after")))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -61,3 +61,46 @@ def jaccard_pairs(docs: DataFrame, id_col: str, toks: str, threshold: float,
         F.col("_id").alias(id_col), F.col("_rep").alias("rep"))
     return scored, folded.select(*scope, F.col("_rep").alias("rep"), "copies",
                                  F.size("_s").alias("n_tokens")), members
+
+
+def contains_join(texts: DataFrame, names: DataFrame, text_col: str, name_col: str,
+                  scope: list[str] | None = None, n: int = 3) -> DataFrame:
+    """Rows of `texts` x `names` where the text contains the name, without a nested-loop join.
+
+    A name occurs in a text only if the name's first n characters do, so both sides meet in an
+    equi-join on distinct n-grams and the exact test filters.  Names shorter than n are rejected.
+    """
+    scope = scope or []
+    grams = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col) - (n - 1))),
+        lambda i: F.substring(text_col, i, F.lit(n))))
+    t = texts.withColumn("_g", F.explode(grams))
+    m = names.filter(F.length(name_col) >= n).withColumn("_g", F.substring(name_col, 1, n))
+    return t.join(m, [*scope, "_g"]).filter(F.contains(F.col(text_col), F.col(name_col))).drop("_g")
+
+
+def jaccard_lookup(queries: DataFrame, records: DataFrame, threshold: float, scope: list[str],
+                   qid: str = "qid", rid: str = "rid") -> DataFrame:
+    """Pairs (query, record) in one scope with token-set Jaccard >= threshold.
+
+    Both sides carry `toks` (distinct, sorted).  Record texts are folded before the join, so copies
+    of one record cost one row; the smallest id stands for them.
+    """
+    r = records.groupBy(*scope, "toks").agg(F.min(rid).alias(rid), F.count("*").alias("copies"))
+    freq = (r.select(*scope, F.explode("toks").alias("token")).groupBy(*scope, "token")
+            .agg(F.count("*").alias("_df")))
+
+    def prefix(df, key):
+        long = df.select(*scope, key, F.size("toks").alias("_n"), F.explode("toks").alias("token"))
+        ranked = long.join(freq, [*scope, "token"], "left").groupBy(*scope, key, "_n").agg(
+            F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "token"))).alias("_o"))
+        keep = (F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).cast("int")
+        return ranked.select(*scope, key, F.explode(F.slice("_o", 1, keep)).alias("_p")).select(
+            *scope, key, F.col("_p.token").alias("token"))
+
+    pairs = prefix(queries, qid).join(prefix(r, rid), [*scope, "token"]).select(qid, rid).distinct()
+    j = (pairs.join(queries.select(qid, F.col("toks").alias("_q")), qid)
+         .join(r.select(rid, "copies", F.col("toks").alias("_r")), rid))
+    inter = F.size(F.array_intersect("_q", "_r"))
+    return (j.withColumn("jaccard", inter / (F.size("_q") + F.size("_r") - inter))
+            .filter(F.col("jaccard") >= threshold))

@@ -199,6 +199,14 @@ class Views:
                             .when(F.col("account_id") * 7 % 20 < 17, "validation")
                             .otherwise("test")))
 
+    def point(self) -> DataFrame:
+        """Zoned points; the plane grows with the ids, so density does not."""
+        tile = F.floor(F.col("vec_id") / 4096) * 10000
+        return self.raw("embeddings").select(
+            F.col("vec_id").alias("id"), F.concat(F.lit("G"), "label").alias("zone"),
+            F.round(F.get("embedding", F.lit(0)).cast("double") * 1000 + tile, 3).alias("x"),
+            F.round(F.get("embedding", F.lit(1)).cast("double") * 1000 + tile, 3).alias("y"))
+
     # ---- event tables ------------------------------------------------------------------------
     def visit(self) -> DataFrame:
         """Field visits without coordinates (one row per event)."""
