@@ -1,9 +1,13 @@
 """Candidates, ranking, evidence, belief and decision jobs over the whole book."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from placeproof import policy
 from placeproof.catalog import query
 from placeproof.catalog.oracle_domain import AS_OF
-from placeproof.plans import belief, candidates as cand, evidence, ranking
+from placeproof.catalog.oracle_views import dist
+from placeproof.operators.asof import known_before
+from placeproof.plans import belief, candidates as cand, decision, evidence, ranking
 
 
 @query("evidence_weight", """
@@ -30,3 +34,291 @@ SELECT address_id, town_id, belief_version, candidate_id, arm, x, y, granularity
 FROM w_belief""")
 def belief_table(v):
     return belief.belief_at(v, AS_OF).select(*[c for c in belief.FLAT if c != "as_of"])
+
+
+# ---- candidate arms --------------------------------------------------------------------------------
+ARM_COLS = ["address_id", "source_ref", "x", "y", "granularity", "arm_rank", "stratum", "primary_eligible", "ambiguous"]
+
+
+def _arm_query(arm):
+    @query(f"arm_{arm}", f"""
+SELECT address_id, source_ref, x, y, granularity, arm_rank::INTEGER AS arm_rank, stratum, primary_eligible, ambiguous FROM {'w_cand1' if arm == 'memory' else 'w_union'} WHERE arm='{arm}'""")
+    def run(v):
+        if arm == "field_evidence":
+            df = cand.field_evidence(known_before(belief.evidence_stage(v), AS_OF))
+        elif arm == "memory":
+            df = belief.memory_arm(belief.prior_at(v, AS_OF), AS_OF)
+        else:
+            addr = cand.prepared_addresses(v.address())
+            df = {
+                "frozen_baseline": lambda: cand.frozen_baseline(v.pin()),
+                "locality_centroid": lambda: cand.locality_centroid(
+                    cand.locality_matches(addr, v.locality(), "2024-02-01"), v.locality()),
+                "town_centroid": lambda: cand.town_centroid(addr, v.locality()),
+                "official_landmark": lambda: cand.official_landmark(
+                    cand.landmark_hits(addr, v.landmark()), v.landmark()),
+                "address_book": lambda: cand.address_book(addr, v.pin()),
+            }[arm]()
+        return df.select(*ARM_COLS)
+
+
+for _name in policy.ARMS:
+    _arm_query(_name)
+
+
+@query("locality_match_v1", """
+SELECT address_id, locality_id, score FROM (SELECT address_id, locality_id, sum(s)::BIGINT AS score, row_number() OVER (PARTITION BY address_id ORDER BY sum(s) DESC, locality_id) AS rn FROM (
+ SELECT DISTINCT address_id, locality_id, 2 AS s FROM (SELECT address_id, town_id, unnest(toks) AS token FROM w_addr) JOIN (SELECT town_id, locality_id, unnest(ltoks) AS token FROM w_loc) USING (town_id, token)
+ UNION ALL SELECT address_id, locality_id, 1 FROM w_addr a JOIN w_loc l ON a.town_id=l.town_id AND pin_text=pincode) GROUP BY 1,2) WHERE rn = 1""")
+def locality_match_v1(v):
+    return cand.locality_v1(cand.prepared_addresses(v.address()), v.locality())
+
+
+@query("landmark_plausibility", "SELECT address_id, source_ref FROM w_union WHERE arm='official_landmark' AND (address_id, source_ref) NOT IN (SELECT (address_id, source_ref) FROM w_cand0)")
+def landmark_plausibility(v):
+    """Landmarks dropped as implausible: in the union, not in the finished sets."""
+    ev = known_before(belief.evidence_stage(v), AS_OF)
+    union = belief.static_stage(v).unionByName(cand.field_evidence(ev)).filter("arm = 'official_landmark'")
+    kept = cand.exploded(belief.bare_sets(v, AS_OF)).filter("arm = 'official_landmark'")
+    return union.select("address_id", "source_ref").join(kept.select("address_id", "source_ref"), ["address_id", "source_ref"], "left_anti")
+
+
+@query("cross_arm_agreement", "SELECT candidate_id, agreement_arms::INTEGER AS agreement_arms, f_agreement_count::INTEGER AS f_agreement_count FROM w_candm")
+def cross_arm_agreement(v):
+    return cand.exploded(belief.full_sets(v, AS_OF)).select("candidate_id", "agreement_arms", "f_agreement_count")
+
+
+FEATURE_COLS = [c for c in ranking.FEATURES if c != "f_sim_ratio"]
+
+
+@query("candidate_features", f"SELECT candidate_id, {', '.join(c if c not in ('f_agreement_count', 'f_n_candidates', 'f_baseline_stratum') else (c + '::INTEGER AS ' + c if c != 'f_baseline_stratum' else 'stratum AS f_baseline_stratum') for c in FEATURE_COLS)} FROM w_ranked")
+def candidate_features(v):
+    return ranking.exploded(belief.ranked_at(v, AS_OF)).select("candidate_id", *FEATURE_COLS)
+
+
+@query("edit_similarity_feature", """
+SELECT address_id, f_sim_ratio FROM w_afeat JOIN w_addr USING (address_id) WHERE NOT regexp_matches(address_text,'[^\\x00-\\x7F]')""")
+def edit_similarity_feature(v):
+    """Best edit similarity to a locality name (the SQL side measures bytes, so Latin texts only)."""
+    latin = v.address().filter(~F.col("address_text").rlike(r"[^\x00-\x7F]")).select("address_id")
+    return belief.features_stage(v).join(latin, "address_id", "left_semi").select("address_id", "f_sim_ratio")
+
+
+@query("rule_scores", "SELECT candidate_id, score, rank FROM w_ranked")
+def rule_scores(v):
+    return ranking.exploded(belief.ranked_at(v, AS_OF)).select("candidate_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("score_explanations")
+def score_explanations(v):
+    """Named score terms of every ranked candidate, one row each."""
+    return ranking.exploded(belief.ranked_at(v, AS_OF)).select("candidate_id", F.explode("terms").alias("t")).select(
+        "candidate_id", "t.name", F.round("t.value", 6).alias("value"))
+
+
+@query("score_term_totals", """
+SELECT 'locality_match' AS term, count(*) AS n FROM w_ranked WHERE f_locality_name_matched=1 UNION ALL SELECT 'pin_unknown_penalty', count(*) FROM w_ranked WHERE f_pin_unknown=1
+UNION ALL SELECT 'landmark_ambiguous_penalty', count(*) FROM w_ranked WHERE ambiguous UNION ALL SELECT 'outside_town_penalty', count(*) FROM w_ranked WHERE f_outside_town=1
+UNION ALL SELECT 'evidence_promotion_eligible', count(*) FROM w_ranked WHERE primary_eligible""")
+def score_term_totals(v):
+    names = ["locality_match", "pin_unknown_penalty", "landmark_ambiguous_penalty", "outside_town_penalty", "evidence_promotion_eligible"]
+    t = ranking.exploded(belief.ranked_at(v, AS_OF)).select(F.explode("terms").alias("t")).select("t.name")
+    one = t.agg(*[F.count_if(F.col("name") == n).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col(n).alias("n")) for n in names])).alias("r")).select("r.*")
+
+
+@query("promotion_detail", "SELECT address_id, n_strong, n_collectors, n_periods, n_media, period_ok, media_ok, promoted FROM w_promo")
+def promotion_detail(v):
+    return evidence.promotion(belief.evidence_stage(v), ["address_id"]).select(
+        "address_id", "n_strong", "n_collectors", "n_periods", "n_media", "period_ok", "media_ok", "promoted")
+
+
+@query("belief_instants", """
+SELECT address_id, max(epoch_us(observed_at)) + 1000000 AS instant_us, count(*) + 1 AS belief_version FROM w_evcut GROUP BY 1""")
+def belief_instants(v):
+    return known_before(belief.evidence_stage(v), AS_OF).groupBy("address_id").agg(
+        (F.max(F.unix_micros("observed_at")) + 1000000).alias("instant_us"), (F.count("*") + 1).alias("belief_version"))
+
+
+@query("radius_by_rule", "SELECT tier, status, least(n_neg,10) AS n_neg, stratum, radius_m, widen_reason, count(*) AS n FROM w_belief GROUP BY ALL")
+def radius_by_rule(v):
+    b = belief.belief_at(v, AS_OF).withColumn("n_neg", F.least("n_neg", F.lit(10)))
+    return b.groupBy("tier", "status", "n_neg", "stratum", "radius_m", "widen_reason").agg(F.count("*").alias("n"))
+
+
+@query("purpose_classes", "SELECT address_id, purpose, n_met FROM w_purpose")
+def purpose_classes(v):
+    return _purposes(v)
+
+
+def _purposes(v):
+    return decision.purpose(v.address(), known_before(belief.evidence_stage(v), AS_OF))
+
+
+def decided(v, request="FIELD_NAVIGATION"):
+    return decision.decisions(belief.belief_at(v, AS_OF), _purposes(v), request)
+
+
+@query("eligibility_navigation", "SELECT address_id, action, reason FROM w_decision")
+def eligibility_navigation(v):
+    return decided(v).select("address_id", "action", "reason")
+
+
+@query("eligibility_notice", "SELECT address_id, action, reason FROM w_decision_strict")
+def eligibility_notice(v):
+    return decided(v, "NOTICE_SERVICE").select("address_id", "action", "reason")
+
+
+@query("direction_cues", f"""
+SELECT address_id, poi_id, (round_even(d/10.0,0)*10)::BIGINT AS distance_m, round(b,1) AS bearing_deg, ambiguous,
+ poi_name||' ~'||(round_even(d/10.0,0)*10)::BIGINT||' m, bearing '||(['N','NE','E','SE','S','SW','W','NW'])[((floor((b+22.5)/45))::INTEGER % 8)+1]||', '||rel||' it' AS cue_text
+FROM (SELECT h.address_id, poi_id, poi_name, rel, n_hits > 1 AS ambiguous, {dist('x','y','px','py')} AS d,
+  CASE WHEN px=x AND py=y THEN 0 ELSE (degrees(atan2(px-x, py-y)) + 360.0) % 360.0 END AS b FROM w_lmhit h JOIN w_belief USING (address_id) JOIN w_landmark USING (poi_id)) WHERE d <= 1500""")
+def direction_cues(v):
+    hits = cand.landmark_hits(cand.prepared_addresses(v.address()), v.landmark())
+    return decision.directions(belief.belief_at(v, AS_OF), hits, v.landmark())
+
+
+@query("batch_resolve")
+def batch_resolve(v):
+    """Typed texts to decisions; texts that name no record keep their own status."""
+    k, t = F.col("address_id"), F.col("address_text")
+    q = v.address().select(F.col("address_id").alias("qid"), "town_id", F.when(k % 5 == 0, "").when(
+        k % 5 == 1, F.concat(F.lit("unknown lane "), k.cast("string"))).otherwise(t).alias("qtext"))
+    found = decision.find_records(q, cand.prepared_addresses(v.address()), v.locality())
+    d = decided(v).select("address_id", "action", "reason", "tier", "radius_m", "x", "y")
+    j = found.join(d, "address_id", "left")
+    refused = F.coalesce("action", F.lit("x")) == "REFUSE"
+    return j.select("qid", "how", F.coalesce("action", F.when(F.col("how") == "empty_text", "BAD_INPUT").otherwise("VERIFY_FIRST")).alias("status"),
+                    F.coalesce("reason", F.lit("unplaceable")).alias("reason"), "tier", F.when(~refused, F.col("radius_m")).alias("radius_m"),
+                    F.when(~refused, F.col("x")).alias("x"), F.when(~refused, F.col("y")).alias("y"))
+
+
+@query("batch_summary", """
+SELECT count(*) AS decided, count(*) FILTER (action='SERVE') AS served, round(1 - count(*) FILTER (action='SERVE')/count(*),4) AS refusal_rate, count(*) FILTER (tier='CONFIRMED') AS confirmed,
+ count(*) FILTER (tier='PROBABLE') AS probable, count(*) FILTER (radius_m < 700) AS radius_under_700, count(*) FILTER (radius_m >= 700 AND radius_m < 1000) AS radius_under_1000,
+ (list_sort(list(radius_m) FILTER (radius_m IS NOT NULL)))[count(radius_m)//2+1] AS upper_median FROM w_decision""")
+def batch_summary(v):
+    """Counts per action, tier mix, radius histogram and upper median from radius value counts."""
+    d = decided(v)
+    a = d.agg(F.count("*").alias("decided"), F.count_if(F.col("action") == "SERVE").alias("served"),
+              F.round(1 - F.count_if(F.col("action") == "SERVE") / F.count("*"), 4).alias("refusal_rate"),
+              F.count_if(F.col("tier") == "CONFIRMED").alias("confirmed"), F.count_if(F.col("tier") == "PROBABLE").alias("probable"),
+              F.count_if(F.col("radius_m") < 700).alias("radius_under_700"),
+              F.count_if((F.col("radius_m") >= 700) & (F.col("radius_m") < 1000)).alias("radius_under_1000"),
+              F.count("radius_m").alias("nr"))
+    # a radius takes few values (tier x negatives x stale), so the ordered pass is over those
+    vc = d.filter("radius_m is not null").groupBy("radius_m").agg(F.count("*").alias("c"))
+    cum = vc.withColumn("cum", F.sum("c").over(Window.orderBy("radius_m")))
+    med = cum.crossJoin(F.broadcast(a.select("nr"))).filter(F.col("cum") > F.floor(F.col("nr") / 2)).agg(F.min("radius_m").alias("upper_median"))
+    return a.drop("nr").crossJoin(F.broadcast(med))
+
+
+def members(v):
+    from placeproof.catalog.joins import blocks_stage
+    return v.address().select("address_id").join(blocks_stage(v).withColumnRenamed("id", "address_id"), "address_id", "left").select(
+        "address_id", F.concat(F.lit("PL-"), F.coalesce("block_id", "address_id")).alias("place_id"))
+
+
+MEMBER = "(SELECT address_id, 'PL-'||coalesce(block_id, address_id) AS place_id FROM w_address LEFT JOIN w_block ON id=address_id)"
+
+
+@query("place_states", f"""
+SELECT place_id, count(*) AS n_members, CASE WHEN bool_or(status='CONTESTED') THEN 'CONTESTED' WHEN bool_or(status='MOVED_SUSPECTED') THEN 'MOVED_SUSPECTED'
+ WHEN bool_or(tier='CONFIRMED') THEN 'CONFIRMED' WHEN bool_or(tier='PROBABLE') THEN 'WARM' ELSE 'COLD' END AS state,
+ coalesce(min(address_id) FILTER (tier='CONFIRMED'), min(address_id) FILTER (candidate_id IS NOT NULL)) AS anchor_id,
+ count(*) FILTER (status IN ('CONTESTED','MOVED_SUSPECTED')) AS n_contradictions FROM w_belief JOIN {MEMBER} USING (address_id) GROUP BY 1""")
+def place_states(v):
+    return decision.place_state(belief.belief_at(v, AS_OF), members(v))
+
+
+@query("place_membership", """
+SELECT user_id AS address_id, arg_max(event_type, (ts, event_id)) = 'signup' AS is_member, max(event_id) FILTER (event_type='signup') AS last_link FROM events WHERE event_type IN ('signup','error') GROUP BY 1""")
+def place_membership(v):
+    """Membership after link (signup) and split (error) events: the latest event decides."""
+    e = v.raw("events").filter(F.col("event_type").isin("signup", "error"))
+    return e.groupBy(F.col("user_id").alias("address_id")).agg(
+        (F.max_by("event_type", F.struct("ts", "event_id")) == "signup").alias("is_member"),
+        F.max(F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("last_link"))
+
+
+@query("verify_first_tasks", "SELECT task_id, address_id, town_id, cause, priority, tier, radius_m, n_neg FROM w_task")
+def verify_first_tasks(v):
+    return decision.tasks(belief.belief_at(v, AS_OF)).drop("raised_at")
+
+
+@query("task_queue_by_town", """
+SELECT town_id, task_id, priority, rk FROM (SELECT *, row_number() OVER (PARTITION BY town_id ORDER BY priority DESC, address_id, task_id) AS rk FROM w_task) WHERE rk <= 5""")
+def task_queue_by_town(v):
+    from placeproof.operators.windows import top_per_key
+    t = decision.tasks(belief.belief_at(v, AS_OF))
+    return top_per_key(t, ["town_id"], [F.col("priority").desc(), F.col("address_id"), F.col("task_id")], 5, "rk").select(
+        "town_id", "task_id", "priority", F.col("rk").cast("long").alias("rk"))
+
+
+KIND = "CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN 'resolved' ELSE 'reopened' END"
+
+
+@query("task_transition_violations", f"""
+SELECT event_id, kind, prev FROM (SELECT event_id, {KIND} AS kind, lag({KIND}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+WHERE NOT (prev IS NULL AND kind='open') AND NOT coalesce((prev='open' AND kind IN ('in_progress','resolved','reopened')) OR (prev='in_progress' AND kind IN ('resolved','reopened'))
+ OR (prev='reopened' AND kind IN ('in_progress','resolved')) OR (prev='resolved' AND kind='reopened'), FALSE)""")
+def task_transition_violations(v):
+    et = F.col("event_type")
+    e = v.raw("events").select("event_id", F.col("user_id").alias("task_id"), F.struct("ts", "event_id").alias("seq"),
+                               F.when(et == "signup", "open").when(et == "view", "in_progress").when(et == "purchase", "resolved").otherwise("reopened").alias("kind"))
+    return decision.bad_transitions(e).select("event_id", "kind", "prev")
+
+
+@query("adjudications_to_log", """
+SELECT conv_id AS address_id, CASE WHEN role='user' THEN 'confirm' WHEN length(text)%2=0 THEN 'deny' ELSE 'inconclusive' END AS decision,
+ CASE WHEN role='user' THEN 'met_family' WHEN length(text)%2=0 THEN 'no_such_person' ELSE 'locked_premises' END AS outcome,
+ CASE WHEN role='user' THEN 'positive' WHEN length(text)%2=0 THEN 'negative' ELSE 'ambiguous' END AS polarity, count(*) AS n FROM conversations GROUP BY ALL""")
+def adjudications_to_log(v):
+    """Reviewer decisions mapped onto the outcome table, as observations of kind `adjudication`."""
+    d = F.when(F.col("role") == "user", "confirm").when(F.length("text") % 2 == 0, "deny").otherwise("inconclusive")
+    mapping = v.spark.createDataFrame(list(policy.DECISION_OUTCOME.items()), "decision string, outcome string")
+    o = (v.raw("conversations").select(F.col("conv_id").alias("address_id"), d.alias("decision"))
+         .join(F.broadcast(mapping), "decision"))
+    pol = (F.when(F.col("outcome").isin(policy.NEGATIVE_OUTCOMES), "negative").when(
+        F.col("outcome").isin(policy.AMBIGUOUS_OUTCOMES), "ambiguous").otherwise("positive"))
+    return o.groupBy("address_id", "decision", "outcome", pol.alias("polarity")).agg(F.count("*").alias("n"))
+
+
+@query("overview", """
+SELECT count(*) AS indexed, count(*) FILTER (tier='CONFIRMED') AS confirmed, count(*) FILTER (tier IN ('CONFIRMED','PROBABLE')) AS with_location, count(*) FILTER (tier='UNPLACEABLE') AS unplaceable,
+ count(*) FILTER (status IN ('MOVED_SUSPECTED','CONTESTED')) AS conflicting, count(*) FILTER (n_obs > 0) AS warm, count(*) FILTER (n_obs = 0) AS cold, sum(n_obs)::BIGINT AS visits_known,
+ (SELECT count(*) FROM w_evcut WHERE observed_at >= TIMESTAMP '2024-01-08' - INTERVAL 30 DAY) AS visits_30d FROM w_belief""")
+def overview(v):
+    b = belief.belief_at(v, AS_OF)
+    ev = known_before(belief.evidence_stage(v), AS_OF)
+    at = F.lit(AS_OF).cast("timestamp")
+    recent = ev.agg(F.count_if(F.col("observed_at") >= at - F.expr("interval 30 days")).alias("visits_30d"))
+    return b.agg(F.count("*").alias("indexed"), F.count_if(F.col("tier") == "CONFIRMED").alias("confirmed"),
+                 F.count_if(F.col("tier").isin("CONFIRMED", "PROBABLE")).alias("with_location"),
+                 F.count_if(F.col("tier") == "UNPLACEABLE").alias("unplaceable"),
+                 F.count_if(F.col("status").isin("MOVED_SUSPECTED", "CONTESTED")).alias("conflicting"),
+                 F.count_if(F.col("n_obs") > 0).alias("warm"), F.count_if(F.col("n_obs") == 0).alias("cold"),
+                 F.sum("n_obs").alias("visits_known")).crossJoin(F.broadcast(recent))
+
+
+@query("workload_by_cause_town", "SELECT coalesce(cause,'*') AS cause, coalesce(town_id,'*') AS town_id, count(*) AS n FROM w_task GROUP BY GROUPING SETS ((cause),(town_id))")
+def workload_by_cause_town(v):
+    t = decision.tasks(belief.belief_at(v, AS_OF))
+    return (t.groupingSets([[F.col("cause")], [F.col("town_id")]], F.col("cause"), F.col("town_id")).agg(F.count("*").alias("n"))
+            .select(F.coalesce("cause", F.lit("*")).alias("cause"), F.coalesce("town_id", F.lit("*")).alias("town_id"), "n"))
+
+
+@query("place_list", """
+SELECT b.address_id, b.town_id, tier, status, radius_m, coalesce(visits,0) AS visits, last_us, task_id IS NOT NULL AS has_task FROM w_belief b
+LEFT JOIN (SELECT address_id, count(*) AS visits, max(epoch_us(observed_at)) AS last_us FROM w_evcut GROUP BY 1) USING (address_id) LEFT JOIN (SELECT address_id, task_id FROM w_task) USING (address_id)
+WHERE tier <> 'UNPLACEABLE' ORDER BY has_task DESC, last_us DESC NULLS LAST, b.address_id LIMIT 200""")
+def place_list(v):
+    """First page of the place list: latest belief, activity and open task, newest first."""
+    act = known_before(belief.evidence_stage(v), AS_OF).groupBy("address_id").agg(
+        F.count("*").alias("visits"), F.max(F.unix_micros("observed_at")).alias("last_us"))
+    b = belief.belief_at(v, AS_OF)
+    t = decision.tasks(b).select("address_id", F.lit(True).alias("t"))
+    j = b.filter("tier <> 'UNPLACEABLE'").join(act, "address_id", "left").join(t, "address_id", "left")
+    return j.select("address_id", "town_id", "tier", "status", "radius_m", F.coalesce("visits", F.lit(0)).alias("visits"), "last_us",
+                    F.col("t").isNotNull().alias("has_task")).orderBy(F.col("has_task").desc(), F.col("last_us").desc_nulls_last(), "address_id").limit(200)

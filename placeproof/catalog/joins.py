@@ -66,13 +66,13 @@ def known_before_cuts(v):
 def _asof_sql(op):
     return f"""
 SELECT v.visit_id, p.visit_id AS prev_visit, p.outcome AS prev_outcome FROM w_visit v LEFT JOIN w_visit p ON p.address_id = v.address_id
- AND p.observed_at {op} v.observed_at AND p.visit_id % 2 = 0
+ AND p.observed_at {op} v.observed_at AND p.outcome IN ('met_borrower','met_family','cash_collected')
 QUALIFY row_number() OVER (PARTITION BY v.visit_id ORDER BY p.observed_at DESC NULLS LAST, p.visit_id DESC) = 1"""
 
 
 def _asof(v, inclusive):
-    log = v.visit().select("address_id", "observed_at", F.col("visit_id").alias("prev_visit"),
-                           F.col("outcome").alias("prev_outcome")).filter("prev_visit % 2 = 0")
+    log = v.visit().filter(F.col("outcome").isin(policy.POSITIVE_OUTCOMES)).select("address_id", "observed_at", F.col("visit_id").alias("prev_visit"),
+                           F.col("outcome").alias("prev_outcome"))
     pts = v.visit().select("address_id", F.col("observed_at").alias("at"), "visit_id")
     return asof.latest_before(pts, log, ["address_id"], "at", "observed_at",
                               ["prev_visit", "prev_outcome"], ["prev_visit"], inclusive).select(

@@ -1,4 +1,6 @@
 """Oracle views for the evidence, candidate, ranking and belief chain."""
+import re
+
 from placeproof.catalog.oracle_views import VIEWS, dist, norm, toks
 
 AS_OF = "2024-01-08 00:00:00"
@@ -237,3 +239,59 @@ FROM w_prior WHERE arm = 'field_evidence'"""
 VIEWS["w_candm"] = agreement("w_cand1")
 VIEWS["w_ranked"] = scored("w_candm")
 VIEWS["w_belief"] = belief("w_ranked")
+
+VIEWS["w_promo"] = """
+SELECT *, n_strong >= 2 AND (n_collectors >= 2 OR period_ok) AND media_ok AS promoted FROM (SELECT *,
+  n_periods >= 2 OR (first_day < DATE '2024-01-15' AND last_day >= DATE '2024-01-15') OR last_day - first_day >= 7 AS period_ok,
+  n_strong >= 2 AND n_with_media = n_strong AND n_media = n_strong AS media_ok
+FROM (SELECT address_id, count(*) AS n_strong, count(DISTINCT agent_id) AS n_collectors, count(DISTINCT period) AS n_periods, count(DISTINCT media) AS n_media,
+ count(media) AS n_with_media, min(day) AS first_day, max(day) AS last_day FROM w_ev WHERE polarity='positive' AND weight >= 0.5 GROUP BY 1))"""
+VIEWS["w_label"] = """
+SELECT address_id, quantile_cont(x,0.5) AS lx, quantile_cont(y,0.5) AS ly, count(*) AS n_label FROM w_ev WHERE polarity='positive' AND weight>=0.5 AND x IS NOT NULL
+GROUP BY 1 HAVING count(*) >= 2"""
+
+EARLY = "2024-01-03 00:00:00"
+CUT_VIEWS = ["w_evcut", "w_pos", "w_cons", "w_union", "w_cand0", "w_cand", "w_ranked0", "w_prior", "w_cand1", "w_candm",
+             "w_ranked", "w_belief"]
+
+
+def at_cut(suffix: str, as_of: str) -> None:
+    """The same chain of views at another cut, under suffixed names."""
+    for name in CUT_VIEWS:
+        text = VIEWS[name].replace(AS_OF, as_of)
+        for other in CUT_VIEWS:
+            text = re.sub(rf"\b{other}\b", other + suffix, text)
+        VIEWS[name + suffix] = text
+
+
+at_cut("_early", EARLY)
+VIEWS["w_hist"] = "SELECT 1 AS v, * FROM w_belief_early UNION ALL BY NAME SELECT 2 AS v, * FROM w_belief"
+VIEWS["w_purpose"] = """
+SELECT address_id, coalesce(n_met,0) AS n_met, CASE WHEN address_type='office' THEN 'WORK_LIKE' WHEN n_met >= 2 THEN CASE WHEN coalesce(promoted,FALSE) AND dwell_ok
+  AND n_weekday >= greatest(1, n_met//2) AND n_daytime >= n_met-1 THEN 'HOME_LIKE' ELSE 'UNKNOWN' END WHEN address_type='permanent_native' THEN 'OTHER' ELSE 'UNKNOWN' END AS purpose
+FROM w_address LEFT JOIN (SELECT address_id, count(*) AS n_met, bool_and(coalesce(dwell_s,0) >= 180) AS dwell_ok,
+  count(*) FILTER (isodow(observed_at + INTERVAL 330 MINUTE) <= 5) AS n_weekday, count(*) FILTER (hour(observed_at + INTERVAL 330 MINUTE) BETWEEN 8 AND 18) AS n_daytime
+  FROM w_evcut WHERE polarity='positive' AND weight >= 0.5 GROUP BY 1) USING (address_id) LEFT JOIN (SELECT address_id,
+   count(*) >= 2 AND (count(DISTINCT agent_id) >= 2 OR count(DISTINCT period) >= 2 OR (min(day) < DATE '2024-01-15' AND max(day) >= DATE '2024-01-15') OR max(day)-min(day) >= 7)
+   AND count(media)=count(*) AND count(DISTINCT media)=count(*) AS promoted FROM w_evcut WHERE polarity='positive' AND weight>=0.5 GROUP BY 1) USING (address_id)"""
+
+
+def decision_view(request: str) -> str:
+    strict = "TRUE" if request in ("NOTICE_SERVICE", "VISIT_PLANNING") else "FALSE"
+    rules = [("purpose='OTHER'", "REFUSE", "'purpose_other'"), ("purpose='WORK_LIKE'", "REFUSE", "'purpose_work_like'"),
+             ("purpose='UNKNOWN' AND tier IN ('CONFIRMED','PROBABLE') AND status='STABLE' AND n_neg=0", "VERIFY_FIRST", "'purpose_unknown'"),
+             (f"purpose='UNKNOWN' AND {strict}", "REFUSE", "'purpose_unknown_low_confidence'"),
+             ("purpose='UNKNOWN'", "VERIFY_FIRST", "CASE WHEN tier='APPROXIMATE' THEN 'tier_approximate' ELSE 'unplaceable' END"),
+             ("status IN ('CONTESTED','MOVED_SUSPECTED')", "VERIFY_FIRST", "CASE WHEN n_neg>0 THEN 'negatives_accumulated' ELSE 'status_contested' END"),
+             ("tier='UNPLACEABLE'", "VERIFY_FIRST", "'unplaceable'"), ("n_neg>=2", "VERIFY_FIRST", "'negatives_accumulated'"),
+             ("tier IN ('CONFIRMED','PROBABLE')", "SERVE", "CASE WHEN tier='CONFIRMED' THEN 'purpose_home_like' ELSE 'tier_probable' END")]
+    act = " ".join(f"WHEN {c} THEN '{a}'" for c, a, _ in rules)
+    why = " ".join(f"WHEN {c} THEN {r}" for c, _, r in rules)
+    return f"SELECT *, CASE {act} ELSE 'VERIFY_FIRST' END AS action, CASE {why} ELSE 'tier_approximate' END AS reason FROM w_belief JOIN w_purpose USING (address_id)"
+
+
+VIEWS["w_decision"] = decision_view("FIELD_NAVIGATION")
+VIEWS["w_decision_strict"] = decision_view("NOTICE_SERVICE")
+VIEWS["w_task"] = """
+SELECT 'VF-'||address_id||'-'||status AS task_id, address_id, town_id, status AS cause, CASE status WHEN 'CONTESTED' THEN 0.9 ELSE 0.8 END::DOUBLE AS priority, as_of AS raised_at,
+  tier, radius_m, n_neg FROM w_belief WHERE status IN ('MOVED_SUSPECTED','CONTESTED')"""

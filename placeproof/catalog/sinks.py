@@ -1 +1,63 @@
+"""Digest, attestation and bundle jobs."""
+from pyspark.sql import functions as F
 
+from placeproof.catalog import query
+from placeproof.functions import digest
+from placeproof.operators.windows import latest_per_key
+from placeproof.sources import sinks
+
+JSON_ROW = """'{"n_name":"'||n_name||'","n_nationkey":'||n_nationkey||',"n_regionkey":'||n_regionkey||'}'"""
+ORDER_JSON = """'{"o_custkey":'||o_custkey||',"o_orderkey":'||o_orderkey||',"o_orderpriority":"'||o_orderpriority||'","o_orderstatus":"'||o_orderstatus||'"}'"""
+WORDS = ",'-',".join(f"((sum(('0x'||substr(h,{1 + 15 * i},15))::UBIGINT::HUGEINT)) % 1152921504606846976)::VARCHAR" for i in range(4))
+
+
+@query("row_digests", f"SELECT o_orderkey, sha256({ORDER_JSON}) AS h FROM orders")
+def row_digests(v):
+    cols = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"]
+    return v.raw("orders").select("o_orderkey", digest.row_digest(cols).alias("h"))
+
+
+@query("table_attestation", f"SELECT count(*) AS n_rows, sha256(concat({WORDS})) AS table_digest FROM (SELECT sha256({ORDER_JSON}) AS h FROM orders)")
+def table_attestation(v):
+    cols = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"]
+    return digest.attestation(v.raw("orders").select(digest.row_digest(cols).alias("h")), "h")
+
+
+@query("candidate_fingerprint", f"""
+SELECT count(*) AS n_rows, sha256(concat({WORDS})) AS table_digest FROM (SELECT sha256(candidate_id||'|'||arm||'|'||source_ref||'|'||granularity) AS h FROM w_cand)""")
+def candidate_fingerprint(v):
+    from placeproof.catalog.oracle_domain import AS_OF
+    from placeproof.plans import belief, candidates
+    c = candidates.exploded(belief.bare_sets(v, AS_OF))
+    return digest.attestation(c.select(F.sha2(F.concat_ws("|", "candidate_id", "arm", "source_ref", "granularity"), 256).alias("h")), "h")
+
+
+@query("rebuild_check", f"""
+SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000""")
+def rebuild_check(v):
+    """Two manifests of one table, the second after a change of status: the changed keys are listed."""
+    o = v.raw("orders")
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    changed = o.withColumn("o_orderstatus", F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000), "X")
+                           .otherwise(F.col("o_orderstatus")))
+    a, b = (d.select("o_orderkey", digest.row_digest(cols).alias("digest")) for d in (o, changed))
+    return sinks.rebuild_mismatches(a, b, "o_orderkey").select("o_orderkey")
+
+
+@query("town_bundles", """
+SELECT a.town_id, a.address_id, count(arm) AS n_candidates, DATE '2024-01-15' AS valid_until FROM w_address a LEFT JOIN (SELECT * FROM w_union WHERE arm_index <= 5) USING (address_id) GROUP BY 1,2""")
+def town_bundles(v):
+    from placeproof.plans import belief
+    b = sinks.town_bundles(v.address(), belief.static_stage(v), "2024-01-08", 7)
+    # a left row without candidates holds one all-null entry
+    n = F.size(F.filter("candidates", lambda c: c["arm"].isNotNull())).cast("long")
+    return b.select("town_id", "address_id", n.alias("n_candidates"), "valid_until")
+
+
+@query("bundle_staleness", """
+SELECT user_id % 25 AS town, max(ts)::DATE AS built, DATE '2024-02-10' - max(ts)::DATE AS age_days, max(ts)::DATE + 7 < DATE '2024-02-10' AS expired FROM events WHERE event_type='view' GROUP BY 1""")
+def bundle_staleness(v):
+    e = v.raw("events").filter("event_type = 'view'").select((F.col("user_id") % 25).alias("town"), F.to_date("ts").alias("built"), "event_id")
+    n = latest_per_key(e, ["town"], ["built", "event_id"])
+    at = F.lit("2024-02-10").cast("date")
+    return n.select("town", "built", F.datediff(at, "built").cast("long").alias("age_days"), (F.date_add("built", 7) < at).alias("expired"))
