@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from placeproof import policy
 from placeproof.catalog import query
 from placeproof.catalog.oracle_domain import AS_OF
-from placeproof.catalog.oracle_views import dist
+from placeproof.catalog.oracle_views import VIEWS, dist, toks
+from placeproof.functions import text
 from placeproof.operators.asof import known_before
-from placeproof.plans import belief, candidates as cand, decision, evidence, ranking
+from placeproof.plans import belief, candidates as cand, decision, evidence, ranking, residue
+from placeproof.sources.stages import stage
 
 
 @query("evidence_weight", """
@@ -322,3 +324,66 @@ def place_list(v):
     j = b.filter("tier <> 'UNPLACEABLE'").join(act, "address_id", "left").join(t, "address_id", "left")
     return j.select("address_id", "town_id", "tier", "status", "radius_m", F.coalesce("visits", F.lit(0)).alias("visits"), "last_us",
                     F.col("t").isNotNull().alias("has_task")).orderBy(F.col("has_task").desc(), F.col("last_us").desc_nulls_last(), "address_id").limit(200)
+
+
+# ---- residue matchers ------------------------------------------------------------------------------
+GRAMS = "list_transform(range(1, length('^'||replace({0},' ','_')||'$')-2), lambda i: substr('^'||replace({0},' ','_')||'$', i, 4))"
+GENERIC_SQL = "(" + ",".join(f"'{w}'" for w in policy.RESIDUE_GENERIC_WORDS) + ")"
+VIEWS["w_gidf"] = f"""
+SELECT gram, df, n_docs, ln((n_docs+1)/(df+1))+1.0 AS idf FROM (SELECT gram, count(*) AS df FROM (SELECT unnest(list_distinct({GRAMS.format('norm')})) AS gram FROM (
+  SELECT norm FROM w_addr UNION ALL SELECT lname FROM w_loc UNION ALL SELECT pname FROM w_lm)) GROUP BY 1),
+ (SELECT (SELECT count(*) FROM w_addr) + (SELECT count(*) FROM w_loc) + (SELECT count(*) FROM w_lm) AS n_docs)"""
+VIEWS["w_rtok"] = """
+SELECT address_id, town_id, unnest(list_distinct(toks)) AS q FROM w_addr WHERE address_id NOT IN (SELECT address_id FROM w_locmatch)"""
+VIEWS["w_ntok"] = f"""
+SELECT town_id, locality_id, t, count(*) OVER (PARTITION BY locality_id) AS n_tok FROM (SELECT town_id, locality_id, unnest({toks('lname')}) AS t FROM w_loc) WHERE t NOT IN {GENERIC_SQL}"""
+VIEWS["w_tvec"] = f"""
+SELECT token, gram, w, sqrt(sum(w*w) OVER (PARTITION BY token)) AS nrm FROM (SELECT token, g.gram, (1.0+ln(c))*coalesce(idf, ln((SELECT max(n_docs) FROM w_gidf)+1.0)+1.0) AS w FROM (
+  SELECT token, gram, count(*) AS c FROM (SELECT token, unnest({GRAMS.format('token')}) AS gram FROM (SELECT DISTINCT q AS token FROM w_rtok UNION SELECT t FROM w_ntok)) GROUP BY 1,2) g LEFT JOIN w_gidf i ON i.gram=g.gram)"""
+VIEWS["w_tsim"] = """
+SELECT a.token AS t, b.token AS q, round(sum(a.w*b.w)/(max(a.nrm)*max(b.nrm)),4) AS cos FROM w_tvec a JOIN w_tvec b USING (gram)
+WHERE a.token IN (SELECT t FROM w_ntok) AND b.token IN (SELECT q FROM w_rtok) GROUP BY 1,2"""
+VIEWS["w_rscore"] = """
+SELECT address_id, locality_id, round(sum(best)/max(n_tok),4) AS score FROM (SELECT address_id, town_id, t, max(cos) AS best FROM w_rtok JOIN w_tsim USING (q) GROUP BY 1,2,3) JOIN w_ntok USING (town_id, t)
+GROUP BY 1,2 HAVING round(sum(best)/max(n_tok),4) > 0"""
+
+
+def _residue(v):
+    addr = cand.prepared_addresses(v.address())
+    loc, lm = v.locality(), v.landmark()
+    res = stage(v, "residue", lambda: residue.residue_addresses(addr, cand.locality_matches(addr, loc, "2024-02-01")))
+    idf = stage(v, "gram_idf", lambda: residue.gram_idf(addr, loc, lm))
+    names = residue.name_tokens(loc)
+    queries = res.select(F.explode("toks").alias("token"))
+    sims = stage(v, "token_cosine", lambda: residue.token_cosine(names, queries, idf))
+    return addr, loc, lm, res, idf, names, queries, sims
+
+
+@query("residue_tfidf", """
+SELECT address_id, locality_id, score, second FROM (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM w_rscore WINDOW w AS (PARTITION BY address_id ORDER BY score DESC, locality_id))
+WHERE rn=1 AND score >= 0.35 AND (second IS NULL OR score >= 1.25*second)""")
+def residue_tfidf(v):
+    _, _, _, res, _, names, _, sims = _residue(v)
+    return residue.accept(residue.score_names(res, names, sims), 0.35, 1.25)
+
+
+@query("residue_tfidf_svd")
+def residue_tfidf_svd(v):
+    """Both channels: half tf-idf cosine, half cosine in the truncated SVD space."""
+    addr, loc, lm, res, idf, names, queries, sims = _residue(v)
+    docs = (addr.select(F.concat(F.lit("a"), "address_id").alias("doc"), "norm")
+            .union(loc.select("locality_id", text.norm_text(F.col("locality_name"))))
+            .union(lm.select("poi_id", text.norm_text(F.col("poi_name")))))
+    load = residue.svd_loadings(docs, idf)
+    both = (sims.join(residue.svd_similarity(names, queries, idf, load), ["t", "q"], "left")
+            .withColumn("mix", F.round(0.5 * F.col("cos") + 0.5 * F.coalesce("svd", F.lit(0.0)), 4)))
+    return residue.accept(residue.score_names(res, names, both, "mix"), 0.35, 1.25)
+
+
+@query("residue_parser")
+def residue_parser(v):
+    """Edit-tolerant tokens plus slot consistency; a lone slotless proposal stays silent."""
+    addr, loc, _, res, idf, names, _, sims = _residue(v)
+    s = residue.parser_scores(res, addr, loc, idf, residue.score_names(res, names, sims))
+    best = residue.accept(s, 0.30, 1.15)
+    return best.filter("not (has_slots and slot_hit = 0 and second is null)")

@@ -295,3 +295,8 @@ VIEWS["w_decision_strict"] = decision_view("NOTICE_SERVICE")
 VIEWS["w_task"] = """
 SELECT 'VF-'||address_id||'-'||status AS task_id, address_id, town_id, status AS cause, CASE status WHEN 'CONTESTED' THEN 0.9 ELSE 0.8 END::DOUBLE AS priority, as_of AS raised_at,
   tier, radius_m, n_neg FROM w_belief WHERE status IN ('MOVED_SUSPECTED','CONTESTED')"""
+
+at_cut("_whatif", AS_OF)
+VIEWS["w_evcut_whatif"] = """
+SELECT * FROM w_evcut UNION ALL BY NAME SELECT -(address_id*2+n) AS observation_id, address_id, 'R'||n AS agent_id, 'no_such_person' AS outcome, 'negative' AS polarity, 0.0::DOUBLE AS weight,
+ '2024-01' AS period, DATE '2024-01-07' AS day, TIMESTAMP '2024-01-07 12:00:00' AS observed_at FROM (SELECT DISTINCT address_id FROM w_evcut), (SELECT unnest([1,2]) AS n)"""

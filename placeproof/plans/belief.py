@@ -201,6 +201,18 @@ def belief_at(v, as_of: str, p: Policy = BASE) -> DataFrame:
         ranked_at(v, as_of, p), known_before(evidence_stage(v), as_of), as_of, p))
 
 
+def belief_from_log(v, ev: DataFrame, as_of: str, name: str, p: Policy = BASE) -> DataFrame:
+    """The same two passes over any evidence log (what-if rows included), as named stages."""
+    known = known_before(ev, as_of)
+    sets = stage(v, f"{name}|sets0", lambda: cand.with_agreement(cand.candidate_sets(
+        static_stage(v).unionByName(cand.field_evidence(known, p)), p), p))
+    r0 = stage(v, f"{name}|ranked0", lambda: ranking.ranked_sets(sets, features_stage(v)))
+    prior = stage(v, f"{name}|prior", lambda: decide(r0, known, as_of, p))
+    full = add_arm(sets, memory_arm(prior, as_of), p)
+    r1 = stage(v, f"{name}|ranked", lambda: ranking.ranked_sets(full, features_stage(v)))
+    return stage(v, f"{name}|belief", lambda: decide(r1, known, as_of, p))
+
+
 FLAT = ["address_id", "town_id", "as_of", "belief_version", "candidate_id", "arm", "x", "y",
         "granularity", "stratum", "score", "tier", "status", "radius_m", "widen_reason",
         "tier_reason", "negative_cap", "promoted", "contested", "spread_m", "n_obs", "n_pos",
