@@ -386,7 +386,7 @@ def grade_pairs(v):
 
 
 @query("empirical_centres", f"""
-SELECT locality_id, count(*) AS n, round(quantile_cont(geocoder_x,0.5),3) AS mx, round(quantile_cont(geocoder_y,0.5),3) AS my, round({dist('quantile_cont(geocoder_x,0.5)','quantile_cont(geocoder_y,0.5)','any_value(cx)','any_value(cy)')},3) AS shift
+SELECT locality_id, count(*) AS n, round(quantile_cont(geocoder_x,0.5),6) AS mx, round(quantile_cont(geocoder_y,0.5),6) AS my, round({dist('quantile_cont(geocoder_x,0.5)','quantile_cont(geocoder_y,0.5)','any_value(cx)','any_value(cy)')},3) AS shift
 FROM w_locbest JOIN w_pin USING (address_id) JOIN w_locality USING (locality_id) WHERE precision IN ('rooftop','street') GROUP BY 1""")
 def empirical_centres(v):
     addr = cand.prepared_addresses(v.address())
@@ -395,7 +395,7 @@ def empirical_centres(v):
     m = (best.join(v.pin().filter(F.col("precision").isin("rooftop", "street")), "address_id").groupBy("locality_id")
          .agg(F.count("*").alias("n"), F.percentile("geocoder_x", 0.5).alias("mx"), F.percentile("geocoder_y", 0.5).alias("my")))
     return m.join(loc.select("locality_id", "cx", "cy"), "locality_id").select(
-        "locality_id", "n", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), F.round(distance(F.col("mx"), F.col("my"), F.col("cx"), F.col("cy")), 3).alias("shift"))
+        "locality_id", "n", F.round("mx", 6).alias("mx"), F.round("my", 6).alias("my"), F.round(distance(F.col("mx"), F.col("my"), F.col("cx"), F.col("cy")), 3).alias("shift"))
 
 
 @query("label_permutation")

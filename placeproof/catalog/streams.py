@@ -1 +1,85 @@
+"""Streaming jobs, drained over all input and compared with their batch equals."""
+from pyspark.sql import functions as F
 
+from placeproof import policy
+from placeproof.catalog import query
+from placeproof.catalog.oracle_domain import AS_OF
+from placeproof.operators.asof import known_before
+from placeproof.plans import belief
+from placeproof.session import work_path
+from placeproof.streaming import pipeline
+
+
+@query("stream_idempotent_ingest", "SELECT visit_id, address_id, outcome FROM w_visit")
+def stream_idempotent_ingest(v):
+    """The log written twice through the keyed sink: the second run adds nothing."""
+    path = work_path(v.spark, "log")
+    rows = pipeline.idempotent(pipeline.visit_stream(v)).select("visit_id", "address_id", "outcome", "observed_at")
+    for run in ("first", "replay"):
+        pipeline.drain(rows, f"ingest-{run}", each_batch=pipeline.keyed_append(path, "visit_id", ["observed_at"]))
+    return v.spark.read.parquet(path).select("visit_id", "address_id", "outcome")
+
+
+@query("stream_duplicate_claims", """
+SELECT visit_id, address_id, photo_hash, CASE WHEN visit_id <> first_id THEN first_id END AS duplicate_claim_of FROM (SELECT visit_id, address_id, photo_hash,
+ first_value(visit_id) OVER (PARTITION BY address_id, photo_hash ORDER BY observed_at, visit_id) AS first_id FROM w_visit WHERE photo_hash IS NOT NULL)""")
+def stream_duplicate_claims(v):
+    return v.spark.read.parquet(pipeline.drain(pipeline.link_claims(pipeline.visit_stream(v)), "claims"))
+
+
+@query("stream_scores", """
+SELECT visit_id, CASE WHEN base = 0 THEN 0.0 ELSE round(base * CASE WHEN dwell_s<60 THEN 0.5 WHEN dwell_s<180 THEN 0.8 ELSE 1.0 END::DOUBLE * CASE WHEN dwell_s>7200 THEN 0.7 ELSE 1.0 END::DOUBLE
+ * CASE WHEN gps_accuracy_m IS NULL THEN 0.9 WHEN gps_accuracy_m<=15 THEN 1.0 WHEN gps_accuracy_m<=30 THEN 0.9 WHEN gps_accuracy_m<=50 THEN 0.75 ELSE 0.5 END::DOUBLE
+ * CASE WHEN photo_hash IS NULL THEN 0.85 WHEN photo_hash LIKE 'dup%' THEN 0.4 ELSE 1.0 END::DOUBLE * CASE WHEN hour(observed_at + INTERVAL 330 MINUTE) BETWEEN 8 AND 18 THEN 1.0 ELSE 0.7 END::DOUBLE
+ * CASE WHEN rate > 0.4 THEN 0.9 ELSE 1.0 END::DOUBLE, 6) END AS weight FROM (SELECT v.*, rate, CASE outcome WHEN 'met_borrower' THEN 0.95 WHEN 'met_family' THEN 0.80 WHEN 'cash_collected' THEN 1.0 WHEN 'neighbour_says_shifted' THEN 0.35
+ WHEN 'locked_premises' THEN 0.45 ELSE 0.0 END::DOUBLE AS base FROM w_visit v JOIN (SELECT agent_id, avg((outcome IN ('no_such_person','address_not_traceable'))::INTEGER) AS rate FROM w_visit GROUP BY 1) USING (agent_id))""")
+def stream_scores(v):
+    vis = v.visit()
+    dup = vis.filter("photo_hash is not null").groupBy(F.col("photo_hash").alias("media")).agg(F.count("*").alias("c")).filter("c > 1").select("media")
+    rate = vis.groupBy("agent_id").agg(F.avg(F.col("outcome").isin(policy.NEGATIVE_OUTCOMES).cast("int")).alias("rate"))
+    s = pipeline.score_on_arrival(pipeline.visit_stream(v), dup, rate).select("visit_id", "weight")
+    return v.spark.read.parquet(pipeline.drain(s, "scores"))
+
+
+def _updates(v):
+    """Scored observations streamed through the belief updater."""
+    root, src = work_path(v.spark, "updates"), work_path(v.spark, "scored")
+    known_before(belief.evidence_stage(v), AS_OF).write.parquet(src)
+    stream = v.spark.readStream.schema(v.spark.read.parquet(src).schema).parquet(src)
+    up = pipeline.BeliefUpdater(v, AS_OF, root)
+    pipeline.drain(stream, "beliefs", each_batch=up)
+    return up
+
+
+@query("stream_belief_updates", "SELECT address_id, tier, status, candidate_id, radius_m FROM w_prior WHERE n_obs > 0")
+def stream_belief_updates(v):
+    up = _updates(v)
+    return v.spark.read.parquet(up.beliefs).select("address_id", "tier", "status", "candidate_id", "radius_m")
+
+
+@query("stream_tasks", "SELECT 'VF-'||address_id||'-'||status AS task_id FROM w_prior WHERE status IN ('MOVED_SUSPECTED','CONTESTED')")
+def stream_tasks(v):
+    return v.spark.read.parquet(_updates(v).tasks).select("task_id")
+
+
+@query("stream_held_rows")
+def stream_held_rows(v):
+    """Device backlog released once, in order: rows arrive by file, sequence gaps are waited for."""
+    s = pipeline.visit_stream(v).select(F.concat_ws("-", "agent_id", (F.col("address_id") % 64).cast("string")).alias("device"),
+                                        F.col("visit_id").alias("seq"), "observed_at")
+    return v.spark.read.parquet(pipeline.drain(pipeline.hold_out_of_order(s), "held")).select("device", "seq", "release")
+
+
+@query("stream_backfill_counts", "SELECT outcome, count(*) AS n FROM w_visit GROUP BY 1")
+def stream_backfill_counts(v):
+    """Whole history through the live mapping, then counted."""
+    path = pipeline.drain(pipeline.visit_stream(v).select("visit_id", "outcome"), "backfill")
+    return v.spark.read.parquet(path).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("stream_activity_windows", """
+SELECT epoch_us(ws) AS start_us, outcome, count(*) AS n FROM (SELECT outcome, unnest(generate_series(date_trunc('day',observed_at) - INTERVAL 29 DAY, date_trunc('day',observed_at), INTERVAL 1 DAY)) AS ws FROM w_visit)
+WHERE ws + INTERVAL 30 DAY <= (SELECT max(observed_at) FROM w_visit) - INTERVAL 7 DAY GROUP BY 1,2""")
+def stream_activity_windows(v):
+    path = pipeline.drain(pipeline.activity(pipeline.visit_stream(v)), "activity")
+    return v.spark.read.parquet(path).select(F.unix_micros("window_start").alias("start_us"), "outcome", "n")

@@ -2,6 +2,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placeproof.session import checkpoint
+
 
 def token_index(df: DataFrame, id_col: str, toks: str, keep: list[str]) -> DataFrame:
     """One row per (id, distinct token)."""
@@ -30,8 +32,8 @@ def jaccard_pairs(docs: DataFrame, id_col: str, toks: str, threshold: float,
     scope = scope or []
     base = docs.select(*scope, F.col(id_col).alias("_id"), F.array_sort(
         F.array_distinct(F.col(toks))).alias("_s")).filter(F.size("_s") > 0)
-    folded = base.groupBy(*scope, "_s").agg(F.min("_id").alias("_rep"),
-                                             F.count("*").alias("copies"))
+    folded = checkpoint(base.groupBy(*scope, "_s").agg(F.min("_id").alias("_rep"),
+                                                       F.count("*").alias("copies")))
     long = folded.select(*scope, "_rep", F.explode("_s").alias("token"))
     df_tok = long.groupBy(*scope, "token").agg(F.count("*").alias("_df"))
     ordered = (long.join(df_tok, [*scope, "token"])

@@ -1,6 +1,7 @@
 """Residue matchers: name a locality from text in which no whole name token was found."""
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +88,10 @@ def svd_loadings(docs: DataFrame, idf: DataFrame, top_terms: int = 1200, k: int
         s = math.sqrt(sum(x["w"] ** 2 for x in r["e"])) or 1.0
         return OldVectors.sparse(n, [(x["idx"], x["w"] / s) for x in r["e"]])
 
-    V = RowMatrix(rows.rdd.map(vec), numCols=n).computeSVD(k, computeU=False).V.toArray().copy()
+    # one pass over the documents gives the top_terms x top_terms Gram matrix; its eigenvectors are V
+    gram = RowMatrix(rows.rdd.map(vec), numCols=n).computeGramianMatrix().toArray()
+    vals, vecs = np.linalg.eigh(gram)
+    V = vecs[:, np.argsort(-vals)[:k]].copy()
     for j in range(V.shape[1]):              # sign rule: the largest loading of a component is positive
         if V[abs(V[:, j]).argmax(), j] < 0:
             V[:, j] = -V[:, j]

@@ -1,18 +1,26 @@
-"""Session helpers: shared checkpoint folder."""
+"""Session helpers: shared checkpoint folder and work paths in it."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
-
-    The folder comes from `spark.checkpoint.dir`; only where neither it nor a context folder is set
-    (tests on one machine) a temporary one is used.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (`spark.checkpoint.dir`); a temporary one only where none is set
+    (tests on one machine)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
                             or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for one run below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager)

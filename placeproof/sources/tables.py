@@ -208,9 +208,10 @@ class Views:
             F.round(F.get("embedding", F.lit(1)).cast("double") * 1000 + tile, 3).alias("y"))
 
     # ---- event tables ------------------------------------------------------------------------
-    def visit(self) -> DataFrame:
-        """Field visits without coordinates (one row per event)."""
-        e = self.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    def visit(self, events: DataFrame | None = None) -> DataFrame:
+        """Field visits without coordinates (one row per event, batch or stream)."""
+        e = self.raw("events") if events is None else events
+        e = e.withColumn("ts", F.col("ts").cast("timestamp"))
         k = F.get_json_object("props", "$.k").cast("int")
         et, v = F.col("event_type"), F.col("value")
         e = e.withColumn("k", k)
