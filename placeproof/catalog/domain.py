@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from placeproof import policy
 from placeproof.catalog import query
-from placeproof.catalog.oracle_domain import AS_OF
+from placeproof.catalog.oracle_domain import AS_OF, found_records
 from placeproof.catalog.oracle_views import VIEWS, dist, toks
 from placeproof.functions import text
 from placeproof.operators.asof import known_before
@@ -111,7 +111,17 @@ def rule_scores(v):
     return ranking.exploded(belief.ranked_at(v, AS_OF)).select("candidate_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("score_explanations")
+@query("score_explanations", """
+SELECT candidate_id, t.name AS name, round(t.value,6) AS value FROM (SELECT candidate_id, unnest([
+ {'name': 'arm_prior:'||arm, 'value': f_arm_prior}, {'name': 'granularity:'||granularity, 'value': 0.12::DOUBLE*f_granularity_rank},
+ {'name': 'coarse_precision_penalty', 'value': CASE WHEN arm='frozen_baseline' AND baseline_precision IN ('locality','pincode') THEN -0.06::DOUBLE END},
+ {'name': 'fine_precision_bonus', 'value': CASE WHEN arm='frozen_baseline' AND baseline_precision='rooftop' THEN 0.04::DOUBLE END},
+ {'name': 'evidence_promotion_eligible', 'value': CASE WHEN primary_eligible THEN 0.08::DOUBLE END}, {'name': 'landmark_ambiguous_penalty', 'value': CASE WHEN ambiguous THEN -0.08::DOUBLE END},
+ {'name': 'locality_match', 'value': CASE WHEN f_locality_name_matched=1 THEN 0.05::DOUBLE END}, {'name': 'pin_in_text_known', 'value': CASE WHEN f_pin_in_text=1 AND f_pin_unknown=0 THEN 0.04::DOUBLE END},
+ {'name': 'pin_unknown_penalty', 'value': CASE WHEN f_pin_unknown=1 THEN -0.05::DOUBLE END}, {'name': 'no_house_number', 'value': CASE WHEN f_no_digit=1 THEN -0.03::DOUBLE END},
+ {'name': 'outside_town_penalty', 'value': CASE WHEN f_outside_town=1 THEN -0.20::DOUBLE END}, {'name': 'text_locality_similarity', 'value': round(0.05::DOUBLE*f_sim_jaccard,6)},
+ {'name': 'text_char_similarity', 'value': round(0.03::DOUBLE*f_sim_char3,6)},
+ {'name': 'arm_agreement_x'||f_agreement_count, 'value': CASE WHEN f_agreement_count>0 THEN round(0.04::DOUBLE*least(f_agreement_count,3),6) END}]) AS t FROM w_ranked) WHERE t.value IS NOT NULL AND abs(t.value) > 1e-9""")
 def score_explanations(v):
     """Named score terms of every ranked candidate, one row each."""
     return ranking.exploded(belief.ranked_at(v, AS_OF)).select("candidate_id", F.explode("terms").alias("t")).select(
@@ -181,7 +191,13 @@ def direction_cues(v):
     return decision.directions(belief.belief_at(v, AS_OF), hits, v.landmark())
 
 
-@query("batch_resolve")
+BATCH_SQL = "(SELECT address_id AS qid, town_id, CASE address_id%5 WHEN 0 THEN '' WHEN 1 THEN 'unknown lane '||address_id ELSE address_text END AS qtext FROM w_address)"
+
+
+@query("batch_resolve", f"""
+SELECT qid, how, coalesce(action, CASE WHEN how='empty_text' THEN 'BAD_INPUT' ELSE 'VERIFY_FIRST' END) AS status, coalesce(reason,'unplaceable') AS reason, tier,
+ CASE WHEN coalesce(action,'x') <> 'REFUSE' THEN radius_m END AS radius_m, CASE WHEN coalesce(action,'x') <> 'REFUSE' THEN x END AS x, CASE WHEN coalesce(action,'x') <> 'REFUSE' THEN y END AS y
+FROM {found_records(BATCH_SQL)} f LEFT JOIN w_decision d ON d.address_id=f.address_id""")
 def batch_resolve(v):
     """Typed texts to decisions; texts that name no record keep their own status."""
     k, t = F.col("address_id"), F.col("address_text")

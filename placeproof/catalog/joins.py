@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from placeproof import policy
 from placeproof.catalog import query
-from placeproof.catalog.oracle_domain import AS_OF
+from placeproof.catalog.oracle_domain import found_records
 from placeproof.catalog.oracle_views import dist
 from placeproof.functions import text
 from placeproof.functions.geo import distance
@@ -266,7 +266,7 @@ QUERY_SQL = """(SELECT address_id AS qid, town_id, CASE address_id%4 WHEN 0 THEN
   WHEN 2 THEN address_text||' extra' ELSE 'somewhere in '||regexp_extract(address_text,'[a-z]+ [a-z]+') END AS qtext FROM w_address)"""
 
 
-@query("record_lookup")
+@query("record_lookup", f"SELECT * FROM {found_records(QUERY_SQL)}")
 def record_lookup(v):
     """Typed text to record: exact form, else strong unambiguous token match, else area context."""
     from placeproof.plans.decision import find_records

@@ -300,3 +300,20 @@ at_cut("_whatif", AS_OF)
 VIEWS["w_evcut_whatif"] = """
 SELECT * FROM w_evcut UNION ALL BY NAME SELECT -(address_id*2+n) AS observation_id, address_id, 'R'||n AS agent_id, 'no_such_person' AS outcome, 'negative' AS polarity, 0.0::DOUBLE AS weight,
  '2024-01' AS period, DATE '2024-01-07' AS day, TIMESTAMP '2024-01-07 12:00:00' AS observed_at FROM (SELECT DISTINCT address_id FROM w_evcut), (SELECT unnest([1,2]) AS n)"""
+
+
+def found_records(queries: str) -> str:
+    """Record lookup over a relation (qid, town_id, qtext)."""
+    from placeproof.policy import GENERIC_WORDS
+    generic = "(" + ",".join(f"'{w}'" for w in GENERIC_WORDS) + ")"
+    return f"""(WITH q AS (SELECT *, list_sort(list_distinct({toks('norm')})) AS qt, nullif(regexp_extract(qtext,'\\b(\\d{{6}})\\b',1),'') AS qpin FROM (SELECT *, {norm('qtext')} AS norm FROM {queries})),
+ ex AS (SELECT qid, min(a.address_id) AS hit FROM q JOIN w_addr a ON a.town_id=q.town_id AND a.norm=q.norm WHERE q.norm <> '' GROUP BY 1),
+ sc AS (SELECT qid, a.address_id, len(list_intersect(qt, list_distinct(a.toks))) / len(list_distinct(list_concat(qt, a.toks))) AS j FROM q JOIN w_addr a ON a.town_id=q.town_id AND len(a.toks) > 0
+   WHERE qid NOT IN (SELECT qid FROM ex) AND len(list_filter(qt, lambda t: regexp_full_match(t,'[0-9]+') AND NOT list_contains(a.toks, t))) = 0),
+ fz AS (SELECT qid, address_id AS fuzzy FROM (SELECT *, row_number() OVER w AS rn, lead(j) OVER w AS j2 FROM sc WHERE j >= 0.85 WINDOW w AS (PARTITION BY qid ORDER BY j DESC, address_id)) WHERE rn=1 AND (j2 IS NULL OR j2 + 0.10::DOUBLE <= j)),
+ pn AS (SELECT town_id, pincode AS qpin, min(locality_id) AS pin_loc FROM w_locality GROUP BY 1,2 HAVING count(*)=1),
+ nm AS (SELECT qid, locality_id AS name_loc FROM (SELECT qid, locality_id, count(*) AS n, row_number() OVER w AS rn, lead(count(*)) OVER w AS nx FROM (SELECT qid, town_id, unnest(qt) AS token FROM q)
+   JOIN (SELECT town_id, locality_id, unnest(ltoks) AS token FROM w_loc) USING (town_id, token) WHERE token NOT IN {generic} GROUP BY 1,2 WINDOW w AS (PARTITION BY qid ORDER BY count(*) DESC, locality_id)) WHERE rn=1 AND (nx IS NULL OR nx < n))
+SELECT q.qid, coalesce(hit, fuzzy) AS address_id, CASE WHEN q.norm='' THEN 'empty_text' WHEN hit IS NOT NULL THEN 'exact_text_match' WHEN fuzzy IS NOT NULL THEN 'fuzzy_text_match'
+ WHEN coalesce(pin_loc, name_loc) IS NOT NULL THEN 'area_context:'||coalesce(pin_loc, name_loc) ELSE 'no_match' END AS how
+FROM q LEFT JOIN ex USING (qid) LEFT JOIN fz USING (qid) LEFT JOIN pn ON pn.town_id=q.town_id AND pn.qpin=q.qpin LEFT JOIN nm USING (qid))"""

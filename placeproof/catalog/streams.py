@@ -1,4 +1,5 @@
 """Streaming jobs, drained over all input and compared with their batch equals."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placeproof import policy
@@ -6,7 +7,7 @@ from placeproof.catalog import query
 from placeproof.catalog.oracle_domain import AS_OF
 from placeproof.operators.asof import known_before
 from placeproof.plans import belief
-from placeproof.session import work_path
+from placeproof.session import checkpoint, work_path
 from placeproof.streaming import pipeline
 
 
@@ -62,11 +63,26 @@ def stream_tasks(v):
     return v.spark.read.parquet(_updates(v).tasks).select("task_id")
 
 
-@query("stream_held_rows")
+DEVICE = "agent_id||'-'||(address_id % 64)"
+
+
+@query("stream_held_rows", f"""
+SELECT device, seq, 'in_order' AS release FROM (SELECT {DEVICE} AS device, row_number() OVER (PARTITION BY {DEVICE} ORDER BY observed_at, visit_id)-1 AS seq FROM w_visit)""")
 def stream_held_rows(v):
-    """Device backlog released once, in order: rows arrive by file, sequence gaps are waited for."""
-    s = pipeline.visit_stream(v).select(F.concat_ws("-", "agent_id", (F.col("address_id") % 64).cast("string")).alias("device"),
-                                        F.col("visit_id").alias("seq"), "observed_at")
+    """Device backlogs that reach the server days late: every row is released once, in sequence.
+
+    The backlog is written as four arrivals (up to four days of delay per row), then drained.
+    """
+    dev = F.concat_ws("-", "agent_id", (F.col("address_id") % 64).cast("string"))
+    w = Window.partitionBy("device").orderBy("observed_at", "visit_id")
+    late = F.floor((F.dayofmonth("observed_at") + (F.col("visit_id") % 3) * 2) / 9).cast("int")
+    rows = checkpoint(v.visit().withColumn("device", dev).select(
+        "device", (F.row_number().over(w) - 1).cast("long").alias("seq"), "observed_at", late.alias("arrival")))
+    src = work_path(v.spark, "backlog")
+    for i in range(4):
+        rows.filter(F.col("arrival") == i).drop("arrival").coalesce(4).write.mode("append").parquet(src)
+    s = (v.spark.readStream.schema(rows.drop("arrival").schema).option("maxFilesPerTrigger", 4).parquet(src)
+         .withWatermark("observed_at", pipeline.WATERMARK))
     return v.spark.read.parquet(pipeline.drain(pipeline.hold_out_of_order(s), "held")).select("device", "seq", "release")
 
 

@@ -169,10 +169,13 @@ def typed_reason_codes(v):
             .groupBy("kind", "code").agg(F.count("*").alias("n")))
 
 
-@query("ranked_losers_page")
+@query("ranked_losers_page", """
+SELECT r.address_id, r.candidate_id, r.arm, rank, r.score FROM w_ranked r JOIN w_belief b ON b.address_id=r.address_id AND b.candidate_id<>r.candidate_id
+QUALIFY row_number() OVER (PARTITION BY r.address_id ORDER BY rank) <= 6""")
 def ranked_losers_page(v):
     """Up to six alternatives per address with rank and score, straight from the ranked set."""
     b = belief.belief_at(v, AS_OF).select("address_id", F.col("candidate_id").alias("wid"))
     r = ranking.exploded(belief.ranked_at(v, AS_OF)).join(b, "address_id").filter("candidate_id <> wid")
     w = Window.partitionBy("address_id").orderBy("rank")
-    return r.withColumn("k", F.row_number().over(w)).filter("k <= 6").select("address_id", "candidate_id", "arm", "rank", "score")
+    return r.withColumn("k", F.row_number().over(w)).filter("k <= 6").select(
+        "address_id", "candidate_id", "arm", F.col("rank").cast("long").alias("rank"), "score")
