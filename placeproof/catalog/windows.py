@@ -124,14 +124,19 @@ def spatial_folds(v):
 
 
 @query("device_day_traces", """
-SELECT device_id, strftime(observed_at,'%Y-%m-%d') AS day, address_id % 16 AS part, count(*) AS n, string_agg(observation_id::VARCHAR,'|' ORDER BY observed_at, observation_id) AS path
-FROM w_obs WHERE x IS NOT NULL GROUP BY 1,2,3 HAVING count(*) >= 2""")
+SELECT device_id, day, hour, n, path FROM (SELECT device_id, strftime(observed_at,'%Y-%m-%d') AS day, hour(observed_at) AS hour, count(*) AS n, sum(count(*)) OVER (PARTITION BY device_id, strftime(observed_at,'%Y-%m-%d')) AS day_n,
+ string_agg(observation_id::VARCHAR,'|' ORDER BY observed_at, observation_id) AS path FROM w_obs WHERE x IS NOT NULL GROUP BY 1,2,3) WHERE day_n >= 2""")
 def device_day_traces(v):
-    """Ordered positions per device and day, in 16 parts so that one device-day is never one value."""
-    o = v.observation().filter("x is not null")
-    return o.groupBy("device_id", F.date_format("observed_at", "yyyy-MM-dd").alias("day"), (F.col("address_id") % 16).alias("part")).agg(
+    """Ordered positions per device and day (days with at least two points), in hourly pieces so that
+    a busy device-day is never one value or one task."""
+    o = v.observation().filter("x is not null").select(
+        "device_id", "observed_at", "observation_id", F.date_format("observed_at", "yyyy-MM-dd").alias("day"),
+        F.hour("observed_at").cast("long").alias("hour"))
+    g = o.groupBy("device_id", "day", "hour").agg(
         F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("observed_at", "observation_id"))),
-                                                          lambda s: s["observation_id"].cast("string")), "|").alias("path")).filter("n >= 2")
+                                                          lambda s: s["observation_id"].cast("string")), "|").alias("path"))
+    w = Window.partitionBy("device_id", "day")          # at most 24 pieces
+    return g.withColumn("day_n", F.sum("n").over(w)).filter("day_n >= 2").drop("day_n")
 
 
 @query("independent_negatives", """

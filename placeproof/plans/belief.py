@@ -156,13 +156,17 @@ def evidence_stage(v) -> DataFrame:
     return stage(v, "evidence", lambda: evidence.scored_view(v))
 
 
+def prepared_stage(v) -> DataFrame:
+    """Addresses with normal form, tokens and pin: the text work of every arm, done once."""
+    return stage(v, "prepared_addresses", lambda: cand.prepared_addresses(v.address()))
+
+
 def features_stage(v) -> DataFrame:
-    return stage(v, "address_features", lambda: ranking.address_features(
-        cand.prepared_addresses(v.address()), v.locality()))
+    return stage(v, "address_features", lambda: ranking.address_features(prepared_stage(v), v.locality()))
 
 
 def static_stage(v) -> DataFrame:
-    return stage(v, "static_arms", lambda: cand.static_union(v))
+    return stage(v, "static_arms", lambda: cand.static_union(v, addr=prepared_stage(v)))
 
 
 def bare_sets(v, as_of: str, p: Policy = BASE) -> DataFrame:

@@ -230,8 +230,9 @@ def field_evidence(ev: DataFrame, p: Policy = BASE) -> DataFrame:
         F.col("my"), gran, gran, eligible=F.lit(True), valid=F.col("last_at")))
 
 
-def static_union(v, added_before: str | None = "2024-02-01") -> DataFrame:
-    addr, loc, lm, pin = prepared_addresses(v.address()), v.locality(), v.landmark(), v.pin()
+def static_union(v, added_before: str | None = "2024-02-01", addr: DataFrame | None = None) -> DataFrame:
+    addr = prepared_addresses(v.address()) if addr is None else addr
+    loc, lm, pin = v.locality(), v.landmark(), v.pin()
     return (frozen_baseline(pin)
             .unionByName(locality_centroid(locality_matches(addr, loc, added_before), loc))
             .unionByName(town_centroid(addr, loc))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placeproof.functions import geo
 
+FACTS = {"customer", "events", "lineitem", "documents"}
 KAN_NEAR = "ಹತ್ತಿರ"   # "near", written after the noun
 
 # Explicit CSV schemas of the reference tables (header row, all typed at the scan).
@@ -88,7 +89,18 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        """Scan of one table.
+
+        A fact table that arrives as fewer splits than there are cores (one small file, say) is spread
+        once, so the text and scoring work above it is not tied to one core.  With as many splits as
+        cores, the normal case on a cluster, nothing is added to the plan.
+        """
+        df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        if table in FACTS:
+            cores = self.spark.sparkContext.defaultParallelism
+            if df._jdf.rdd().getNumPartitions() < cores:
+                df = df.repartition(cores)
+        return df
 
     # ---- reference tables --------------------------------------------------------------------
     def town(self) -> DataFrame:

@@ -85,6 +85,9 @@ def main():
             df = fn(spark, sf_dir)
             got = rows_of(df.columns, [tuple(r) for r in df.collect()])
             t1 = time.time() - t0
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+                print(f"      nested loop in {name}: {plan.count('CartesianProduct')} {plan.count('BroadcastNestedLoopJoin')}")
             if name not in sqls:
                 print(f"rows  {name}: {len(got[1])} rows {t1:.1f}s")
                 good += 1
