@@ -60,8 +60,7 @@ def token_idf(addr: DataFrame, added_before: str | None) -> DataFrame:
     n = docs.agg(F.count("*").alias("n_docs"))
     df = (docs.select(F.explode(F.array_distinct("toks")).alias("token"))
           .groupBy("token").agg(F.count("*").alias("df")))
-    # n_docs is a one-row aggregate
-    return df.crossJoin(F.broadcast(n)).select(
+    return df.withColumn("n_docs", n.scalar()).select(
         "token", "df", "n_docs", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1.0)
         .alias("idf"))
 
@@ -75,12 +74,12 @@ def locality_tokens(loc: DataFrame, addr: DataFrame, added_before: str | None) -
                   F.explode("ntoks").alias("token")))
     idf = token_idf(addr, added_before)
     n = idf.agg(F.max("n_docs").alias("nd"))
-    unseen = F.log(F.coalesce("nd", F.lit(0)) + 1.0) + 1.0
+    unseen = F.log(F.coalesce(n.scalar(), F.lit(0)) + 1.0) + 1.0
     w = Window.partitionBy("locality_id")
-    return (lt.join(idf.select("token", "df", "idf"), "token", "left").crossJoin(F.broadcast(n))
+    return (lt.join(idf.select("token", "df", "idf"), "token", "left")
             .withColumn("df", F.coalesce("df", F.lit(0)))
             .withColumn("idf", F.coalesce("idf", unseen))
-            .withColumn("rare", F.min(F.struct("df", "token")).over(w)["token"]).drop("nd"))
+            .withColumn("rare", F.min(F.struct("df", "token")).over(w)["token"]))
 
 
 def locality_hits(addr: DataFrame, loc: DataFrame, added_before: str | None,

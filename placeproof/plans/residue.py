@@ -22,7 +22,7 @@ def gram_idf(addr: DataFrame, loc: DataFrame, lm: DataFrame) -> DataFrame:
     n = docs.agg(F.count("*").alias("n_docs"))
     df = (docs.select(F.explode(F.array_distinct(text.padded_ngrams(F.col("norm"), NGRAM))).alias("gram"))
           .groupBy("gram").agg(F.count("*").alias("df")))
-    return df.crossJoin(F.broadcast(n)).select(       # n is one row
+    return df.withColumn("n_docs", n.scalar()).select(
         "gram", "df", "n_docs", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
 
 
@@ -31,8 +31,8 @@ def token_vectors(tokens: DataFrame, idf: DataFrame) -> DataFrame:
     tf = (tokens.select("token").distinct().select("token", F.explode(text.padded_ngrams(F.col("token"), NGRAM)).alias("gram"))
           .groupBy("token", "gram").agg(F.count("*").alias("c")))
     nd = idf.agg(F.max("n_docs").alias("nd"))
-    v = (tf.join(idf.select("gram", "idf"), "gram", "left").crossJoin(F.broadcast(nd))
-         .withColumn("w", (1.0 + F.log("c")) * F.coalesce("idf", F.log(F.col("nd") + 1.0) + 1.0)))
+    v = (tf.join(idf.select("gram", "idf"), "gram", "left")
+         .withColumn("w", (1.0 + F.log("c")) * F.coalesce("idf", F.log(nd.scalar() + 1.0) + 1.0)))
     return v.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("token")))).select("token", "gram", "w", "norm")
 
 
