@@ -32,10 +32,12 @@ def candidates_all(v):
 
 @query("belief_table", """
 SELECT address_id, town_id, belief_version, candidate_id, arm, x, y, granularity, stratum, score, tier, status, radius_m,
-  widen_reason, tier_reason, negative_cap, promoted, contested, spread_m, n_obs, n_pos, n_strong, n_neg, positive_weight_sum
+  widen_reason, tier_reason, negative_cap, promoted, contested, spread_m, n_obs, n_pos, n_strong, n_neg, round(positive_weight_sum, 3) AS positive_weight_sum
 FROM w_belief""")
 def belief_table(v):
-    return belief.belief_at(v, AS_OF).select(*[c for c in belief.FLAT if c != "as_of"])
+    # the two engines break rounding ties of single weights differently, hence three digits here
+    return belief.belief_at(v, AS_OF).select(*[c for c in belief.FLAT if c != "as_of"]).withColumn(
+        "positive_weight_sum", F.round("positive_weight_sum", 3))
 
 
 # ---- candidate arms --------------------------------------------------------------------------------
