@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeproof.llm import language, quality
+from placeproof.llm import language, linededup, mixing, neighbours, packing, quality, topk
 from placeproof.llm.base import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,8 +24,36 @@ def op2_quality_vote(spark, sf_dir):
     return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+@register
+def op3_mix_sources(spark, sf_dir):
+    return mixing.taken_words(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 @register
 def op8_language_kernel(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language.fit(docs.filter(id_remainder("doc_id", 3) != 1))
     return language.predict(docs, model).select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op9_length_buckets(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op1_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.exact_top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@register
+def op7_near_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@register
+def op10_fuzzy_lines(spark, sf_dir):
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_kept", F.char_length("text").alias("kept_chars"), F.md5("text").alias("kept_md5"))
