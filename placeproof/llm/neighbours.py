@@ -3,7 +3,7 @@
 Each of `projections` random directions orders the vectors of a block.  A query opens a window of half the bucket width around its own
 projection in every order; virtual rehashing widens all windows by the ratio and only the newly covered stretches are counted.  A
 vector covered by enough windows (the collision threshold) is verified with its exact distance.  A block is done when k verified
-vectors lie within the ratio times the radius, or when it has verified its share of false positives, or when all windows cover it.
+vectors lie within a `margin` of the half window, or when half of it is verified, or when all windows cover it.
 All vectors are indexed, and each block answers for its own rows, so the merged answer is at least as good as the worst block.
 """
 from collections.abc import Iterator
@@ -15,39 +15,41 @@ from pyspark.sql import functions as F
 from placeproof.llm.vectors import search, usable
 
 
-def in_block(k: int, projections: int, width: float, ratio: float, threshold: float, extra: int, seed: int):
-    """Search of one pair of blocks; width is relative to the typical nearest distance, which each block estimates for itself."""
+def in_block(k: int, projections: int, start: float, ratio: float, margin: float, threshold: float, extra: int, seed: int):
+    """Search of one pair of blocks; start: the first half window, in median deviations of the block's projections."""
     def local(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        a = np.random.default_rng(seed).standard_normal((v.shape[1], projections))
+        n, a = len(v), np.random.default_rng(seed).standard_normal((v.shape[1], projections))
         key = (v @ a).T
-        order = np.argsort(key, axis=1, kind="stable")
-        sort = np.take_along_axis(key, order, axis=1)
+        order = np.argsort(key, axis=1, kind="stable").ravel()
         spread = float(np.median(np.abs(key - np.median(key, axis=1, keepdims=True)))) or 1.0
+        # One ascending array for all projections: each is shifted to its own stretch.
+        reach = float(np.abs(key).max()) + float(np.abs(q @ a).max(initial=0)) + 1.0
+        shift = np.arange(projections) * 8 * reach
+        sort = (np.sort(key, axis=1) + shift[:, None]).ravel()
+        floor, top = np.arange(projections) * n, (np.arange(projections) + 1) * n
         need = max(1, int(np.ceil(threshold * projections)))
         for own, x in zip(q_ids, q):
-            at = x @ a
-            start = np.array([np.searchsorted(sort[j], at[j]) for j in range(projections)])
-            lo, hi = start.copy(), start.copy()
-            hits = np.zeros(len(v), np.int16)
-            done = np.zeros(len(v), bool)
+            at = x @ a + shift
+            lo = np.searchsorted(sort, at)
+            hi = lo.copy()
+            hits = np.zeros(n, np.int64)
+            done = np.zeros(n, bool)
             near_d, near_i = np.zeros(0), np.zeros(0, np.int64)
-            radius = width * spread / 16
+            radius = start * spread
             while True:
-                new_lo = np.array([np.searchsorted(sort[j], at[j] - radius, "left") for j in range(projections)])
-                new_hi = np.array([np.searchsorted(sort[j], at[j] + radius, "right") for j in range(projections)])
-                new_lo, new_hi = np.minimum(new_lo, lo), np.maximum(new_hi, hi)
-                fresh = [order[j, b:e] for j in range(projections) for b, e in ((new_lo[j], lo[j]), (hi[j], new_hi[j])) if e > b]
+                wide = min(radius, 3 * reach)
+                new_lo = np.maximum(np.searchsorted(sort, at - wide, "left"), floor)
+                new_hi = np.minimum(np.searchsorted(sort, at + wide, "right"), top)
+                fresh = np.concatenate([order[b:e] for b, e in zip(np.concatenate([new_lo, hi]), np.concatenate([lo, new_hi]))])
                 lo, hi = new_lo, new_hi
-                if fresh:
-                    hits += np.bincount(np.concatenate(fresh), minlength=len(v)).astype(np.int16)
+                hits += np.bincount(fresh, minlength=n)
                 some = np.flatnonzero((hits >= need) & ~done)
                 done[some] = True
                 some = some[ids[some] != own]
                 if len(some):
                     near_d = np.concatenate([near_d, np.sqrt(((v[some] - x) ** 2).sum(axis=1))])
                     near_i = np.concatenate([near_i, ids[some]])
-                all_in = bool((lo == 0).all() and (hi == len(v)).all())
-                if all_in or len(near_d) >= k + extra and (len(near_d) >= k + 8 * extra or np.partition(near_d, k - 1)[k - 1] <= ratio * radius):
+                if wide < radius or len(near_d) >= k + extra and (2 * len(near_d) >= n or np.partition(near_d, k - 1)[k - 1] <= margin * radius):
                     break
                 radius *= ratio
             first = np.lexsort((near_i, near_d))[:k]
@@ -55,8 +57,8 @@ def in_block(k: int, projections: int, width: float, ratio: float, threshold: fl
     return local
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", projections: int = 60, width: float = 1.0,
-            ratio: float = 1.3, threshold: float = 0.6, extra: int = 60, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", projections: int = 64, start: float = 0.8,
+            ratio: float = 1.25, margin: float = 1.0, threshold: float = 0.6, extra: int = 100, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, score the exact Euclidean distance of the originals.
 
     Ties go to the smaller id; with fewer than k candidates all are returned; rows with null ids, null, empty, zero or non-finite
@@ -65,4 +67,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     def clean(df: DataFrame) -> DataFrame:
         return (df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & usable("v") & F.exists("v", lambda x: x != 0))
                 .select("id", F.transform("v", lambda x: x.cast("double")).alias("v")))
-    return search(clean(queries), clean(vectors), k, in_block(k, projections, width, ratio, threshold, extra, seed), False, "double")
+    return search(clean(queries), clean(vectors), k, in_block(k, projections, start, ratio, margin, threshold, extra, seed), False, "double")
