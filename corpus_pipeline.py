@@ -1,8 +1,12 @@
-"""Corpus pipeline: the stages applied to the documents, each written and read again by the next."""
+"""Corpus pipeline: the stages applied to the documents, each written and read again by the next.
+
+Every stage but the last returns the columns of `documents`; null and empty texts, repeated rows and extra columns are handled as the
+operators' docstrings say.  Extra columns are not carried on.
+"""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeproof.llm import quality
+from placeproof.llm import linededup, mixing, packing, quality, setjoin
 from placeproof.llm.base import stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -14,7 +18,36 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs.select(*COLUMNS), model, out="_quality").filter(F.col("_quality") >= 0.3).select(*COLUMNS)
 
 
-STAGES = [("quality classifier", keep_quality)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the lines of which an earlier similar line stays; a document may end up with an empty text."""
+    out = linededup.dedup_lines(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.when(F.col("n_kept") < F.col("n_lines"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (five words, 0.8); texts without words all stay.
+
+    Of rows that repeat an id with words one stays; rows without an id stay.
+    """
+    groups = stage(setjoin.near_duplicates(docs, k=5, num=80, den=100), "groups").filter("n_shingles > 0 and doc_id is not null")
+    marked = groups.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).select(
+        "doc_id", F.when(F.col("c") < F.col("doc_id"), "gone").when(F.col("n") > 1, "repeated").alias("mark")).filter("mark is not null")
+    joined = docs.select(*COLUMNS).join(marked, "doc_id", "left").filter("mark is null or mark = 'repeated'")
+    return joined.filter("mark is null").select(*COLUMNS).union(joined.filter("mark is not null").dropDuplicates(["doc_id"]).select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in its shards: a row for each pass that takes a document, one cut document per source; texts without words give nothing."""
+    out = mixing.mix_rows(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and padding of every row of the mix."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", keep_quality), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", keep_one_of_each_group), ("mixing sources", mix_sources), ("packing", pack_batches)]
 ORACLE_SQL = None
 
 
