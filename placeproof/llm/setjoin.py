@@ -1,15 +1,17 @@
 """N-gram Jaccard join over parity sketches.
 
 A set of shingle hashes is drawn as bits: each hash flips one bit, so two sketches differ in at most as many bits as the sets differ
-in elements.  Sets that reach the similarity differ in at most d elements, and d follows from the sizes; with d + 1 words of 64 bits
-at least one word is equal (pigeonhole).  Sizes form levels whose ratio is the threshold; partners are in the same or the next level,
-so each set is drawn in the layouts of two neighbouring level pairs and (layout, word number, word) is an equi-join key.
+in elements.  Sets that reach the similarity differ in at most d elements, and d follows from the sizes; of d + 1 + e words of 64 bits
+at least e + 1 are equal (pigeonhole).  Sizes form levels whose ratio is the threshold; partners are in the same or the next level,
+so each set is drawn in the layouts of two neighbouring level pairs and (layout, word number, word) is an equi-join key.  Words with
+at most one bit are equal in many unrelated sets: a set with no more than e of them leaves them out, for among e + 1 equal words there
+is then one with more bits; a set with more of them keeps all its words.
 
 Equal sets are folded first.  Buckets of a key are streamed in key order and only those with different sets remain.  Round one
 compares each member with the member of most buckets (the likely original of a group of copies); round two compares members that are
 still in different components.  So a group of n near copies costs about n comparisons, while any pair whose link could join two
 components is compared: the components are exact.  Verification first bounds the difference by the Hamming distance of a sketch that
-both sets can be folded to, then counts the intersection.
+both sets can be folded to, then counts the intersection; whole sets are only made for the pairs that pass the sketches.
 
 Sets are identified by a 64-bit hash, shingles too: a false equality has a chance near 1e-9 for 100,000 documents.
 """
@@ -33,20 +35,23 @@ def level_floors(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(floors, np.int64)
 
 
-def layout_words(floors: np.ndarray, layout: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Words of a layout: one more than the largest difference of two linked sets of its two levels."""
-    return 2 * (floors[layout + 2] - 1) * (den - num) // (den + num) + 1
+def layout_words(floors: np.ndarray, layout: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, e) of a layout: words are one and e more than the largest difference of two linked sets of its two levels."""
+    most = 2 * (floors[layout + 2] - 1) * (den - num) // (den + num)
+    spare = 2 + most // 12
+    return most + 1 + spare, spare
 
 
 def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, floors: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) of all words of both layouts of each set."""
+    """(key, node) of the words of both layouts of each set."""
     size = np.array([len(s) for s in sets])
     level = np.searchsorted(floors, size, "right") - 1
     h = np.concatenate(sets)
     keys, owners = [], []
     for back in (0, 1):
         layout = np.maximum(level - back, 0)
-        words = np.where((level >= back) & (size > 0), layout_words(floors, layout, num, den), 0)
+        words, spare = layout_words(floors, layout, num, den)
+        words = np.where((level >= back) & (size > 0), words, 0)
         base = np.concatenate([[0], np.cumsum(words)[:-1]])
         of = np.repeat(np.arange(len(sets)), np.where(words > 0, size, 0))
         used = h[np.repeat(words > 0, size)]
@@ -54,9 +59,12 @@ def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, floors: np.ndarray, n
         bits = np.bincount(word * 64 + (used & np.uint64(63)).astype(np.int64), minlength=int(words.sum()) * 64) & 1
         value = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
         owner = np.repeat(np.arange(len(sets)), words)
+        weak = np.bitwise_count(value) <= 1
+        n_weak = np.bincount(owner[weak], minlength=len(sets))
+        keep = ~weak | (n_weak > spare)[owner]
         where = mix((layout[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(value)) - base[owner]).astype(np.uint64) + np.uint64(1))
-        keys.append(mix(value ^ where))
-        owners.append(nodes[owner])
+        keys.append(mix(value ^ where)[keep])
+        owners.append(nodes[owner[keep]])
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
@@ -103,19 +111,29 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1])], ["key", "node"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that reach the similarity: sketches first, sets for what is left."""
-    def most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a + b) * (den - num) // (den + num)
+def _sides(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    for x in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns]), x)
+    return pairs
 
+
+def _nodes_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of each node that is in a pair."""
+    wanted = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "set-wanted")
+    return may_match(rows, "node", key_filter(wanted, "node")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verify(pairs: DataFrame, every: DataFrame, whole, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that reach the similarity: sketches first, sets for what is left.  whole: rows with t -> (node, h)."""
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a_n, b_n = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
             ok = np.minimum(a_n, b_n) * den >= np.maximum(a_n, b_n) * num
+            most = (a_n + b_n) * (den - num) // (den + num)
             for i in np.flatnonzero(ok):
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("a_s", "b_s"))
                 words = min(len(x), len(y))
-                ok[i] = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= most(a_n[i], b_n[i])
+                ok[i] = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= most[i]
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +144,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = den * both >= num * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    def sides(p: DataFrame, *columns: str) -> DataFrame:
-        for x in ("a", "b"):
-            p = p.join(sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns]), x)
-        return p
-    few = sides(pairs, "n", "s").select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(near, "a long, b long")
-    return stage(sides(few, "h").select("a", "b", "a_h", "b_h").mapInArrow(linked, "a long, b long"), "set-links")
+    pairs = stage(pairs, "set-pairs")
+    sketches = stage(_nodes_of(pairs, every.select("node", "n", "s")), "set-sketches")
+    few = stage(_sides(pairs, sketches, "n", "s").select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(near, "a long, b long"), "set-near")
+    sets = stage(whole(_nodes_of(few, every.select("node", "t")).select("t")), "set-members")
+    return stage(_sides(few, sets, "h").select("a", "b", "a_h", "b_h").mapInArrow(linked, "a long, b long"), "set-links")
 
 
 def _pair(a: str, b: str) -> list:
@@ -154,7 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in pieces(batch, "body"):
                 sets = shingle_sets(part["body"].to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([part["id"], part["t"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], ["id", "t", "n", "node"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["t"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()),
+                                                  pa.array([parity_sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], ["id", "t", "n", "node", "s"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()                          # sets of this task: copies are drawn once
@@ -174,28 +191,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in pieces(batch, "body"):
                 sets = [s for s in shingle_sets(part["body"].to_pylist(), k) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_sketch(s).tobytes() for s in sets], pa.binary()),
-                                                  pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "s", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "h"])
+
+    def whole(wanted: DataFrame) -> DataFrame:
+        wanted = stage(wanted.distinct(), "set-texts")
+        texts = may_match(body, "t", key_filter(wanted, "t")).join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("body")
+        return texts.mapInArrow(full, "node long, h binary").dropDuplicates(["node"])
 
-    every = stage(body.mapInArrow(nodes, f"id {kind}, t long, n long, node long"), "sets")
+    every = stage(body.mapInArrow(nodes, f"id {kind}, t long, n long, node long, s binary"), "sets")
     spread = body.select("body").mapInArrow(keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     met = stage(spread.mapInArrow(_buckets, "key long, node long"), "set-buckets")
     weight = met.groupBy("node").agg(F.count("*").alias("w"))
-    wanted = every.join(weight.select("node"), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")).select("t").distinct()
-    texts = may_match(body, "t", key_filter(wanted, "t")).join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("body")
-    sets = stage(texts.mapInArrow(full, "node long, n long, s binary, h binary").dropDuplicates(["node"]), "set-members")
-
     centre = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", F.col("node").alias("c"))).alias("m")).select("key", F.col("m.c").alias("centre"))
     placed = stage(met.join(centre, "key"), "set-stars")
-    links = _verify(placed.filter("node != centre").select(*_pair("node", "centre")).distinct(), sets, num, den)
+    links = _verify(placed.filter("node != centre").select(*_pair("node", "centre")).distinct(), every, whole, num, den)
     known = components(links)
-    classes = placed.join(known, "node", "left").select("key", "node", "centre", F.coalesce("component", "node").alias("c"))
+    size = every.groupBy("node").agg(F.max("n").alias("n"))
+    classes = placed.filter("node != centre").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = classes.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    open_ = stage(classes.join(mixed, "key", "left_semi"), "set-open")
-    x = open_.select("key", F.col("node").alias("x"), F.col("c").alias("cx"), "centre")
-    y = open_.select("key", F.col("node").alias("y"), F.col("c").alias("cy"))
-    across = x.join(y, "key").filter("cx < cy and x != centre and y != centre").select(*_pair("x", "y")).distinct()
-    final = components(links.union(_verify(across, sets, num, den)))
+    open_ = stage(classes.join(mixed, "key", "left_semi").join(size, "node"), "set-open")
+    x, y = (open_.select("key", F.col("node").alias(v), F.col("c").alias(f"c{v}"), F.col("n").alias(f"n{v}")) for v in ("x", "y"))
+    fits = (F.col("cx") < F.col("cy")) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    across = x.join(y, "key").filter(fits).select(*_pair("x", "y")).distinct()
+    final = components(links.union(_verify(across, every, whole, num, den)))
 
     folded_ = every.groupBy("node").agg(F.min("id").alias("id"))
     member = folded_.join(final, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
