@@ -64,8 +64,9 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 
 def _shingle_hashes(line: Column) -> Column:
-    units = F.encode(line, "UTF-16BE")
-    return F.transform(F.sequence(F.lit(0), _last(units)), lambda i: F.xxhash64(_shingle(units, i)))
+    """64-bit hashes of all shingles; the outer array of one binds the encoded line, so it is encoded once."""
+    bound = F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.transform(F.sequence(F.lit(0), _last(u)), lambda i: F.xxhash64(_shingle(u, i))))
+    return F.element_at(bound, 1)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
