@@ -1,11 +1,11 @@
 """N-gram Jaccard join over parity sketches.
 
 A set of shingle hashes is drawn as bits: each hash flips one bit, so two sketches differ in at most as many bits as the sets differ
-in elements.  Sets that reach the similarity differ in at most d elements, and d follows from the sizes; of d + 1 + e words of 64 bits
-at least e + 1 are equal (pigeonhole).  Sizes form levels whose ratio is the threshold; partners are in the same or the next level,
+in elements.  Sets that reach the similarity differ in at most d elements, and d follows from the sizes; of w words of 64 bits at least
+w - d are equal (pigeonhole).  Sizes form levels whose ratio is the threshold; partners are in the same or the next level,
 so each set is drawn in the layouts of two neighbouring level pairs and (layout, word number, word) is an equi-join key.  Words with
-at most one bit are equal in many unrelated sets: a set with no more than e of them leaves them out, for among e + 1 equal words there
-is then one with more bits; a set with more of them keeps all its words.
+few bits are equal in many unrelated sets.  A set leaves out its words of up to j bits for the largest j at which these are fewer than
+w - d: then one of the equal words has more bits, also more than the partner's j, and both sets keep it.
 
 Equal sets are folded first.  Buckets of a key are streamed in key order and only those with different sets remain.  Round one
 compares each member with the member of most buckets (the likely original of a group of copies); round two compares members that are
@@ -35,11 +35,19 @@ def level_floors(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(floors, np.int64)
 
 
-def layout_words(floors: np.ndarray, layout: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, e) of a layout: words are one and e more than the largest difference of two linked sets of its two levels."""
+MOST_LEFT_OUT = 6                                       # bits of the words that may be left out
+
+
+def layout_words(floors: np.ndarray, layout: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Words of a layout: somewhat more than the largest difference of two linked sets of its two levels."""
     most = 2 * (floors[layout + 2] - 1) * (den - num) // (den + num)
-    spare = 2 + most // 12
-    return most + 1 + spare, spare
+    return most + 3 + most * 3 // 20
+
+
+def sure_equal(size: np.ndarray, words: np.ndarray, top: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Words that a set surely has in common with any linked set of the layout, whose sets have up to `top` elements."""
+    partner = np.minimum(top, size * den // num)
+    return words - (size + partner) * (den - num) // (den + num)
 
 
 def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, floors: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +58,7 @@ def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, floors: np.ndarray, n
     keys, owners = [], []
     for back in (0, 1):
         layout = np.maximum(level - back, 0)
-        words, spare = layout_words(floors, layout, num, den)
-        words = np.where((level >= back) & (size > 0), words, 0)
+        words = np.where((level >= back) & (size > 0), layout_words(floors, layout, num, den), 0)
         base = np.concatenate([[0], np.cumsum(words)[:-1]])
         of = np.repeat(np.arange(len(sets)), np.where(words > 0, size, 0))
         used = h[np.repeat(words > 0, size)]
@@ -59,9 +66,12 @@ def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, floors: np.ndarray, n
         bits = np.bincount(word * 64 + (used & np.uint64(63)).astype(np.int64), minlength=int(words.sum()) * 64) & 1
         value = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
         owner = np.repeat(np.arange(len(sets)), words)
-        weak = np.bitwise_count(value) <= 1
-        n_weak = np.bincount(owner[weak], minlength=len(sets))
-        keep = ~weak | (n_weak > spare)[owner]
+        equal = sure_equal(size, words, floors[layout + 2] - 1, num, den)
+        filled, drop = np.bitwise_count(value), np.full(len(sets), -1)
+        for j in range(MOST_LEFT_OUT):
+            fewer = np.bincount(owner[filled <= j], minlength=len(sets)) < equal
+            drop[fewer & (drop == j - 1)] = j
+        keep = filled.astype(np.int64) > drop[owner]
         where = mix((layout[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(value)) - base[owner]).astype(np.uint64) + np.uint64(1))
         keys.append(mix(value ^ where)[keep])
         owners.append(nodes[owner[keep]])
@@ -120,7 +130,7 @@ def _sides(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
 def _nodes_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of each node that is in a pair."""
     wanted = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "set-wanted")
-    return may_match(rows, "node", key_filter(wanted, "node")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return may_match(rows, "node", key_filter(wanted, "node")).join(wanted, "node").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, every: DataFrame, whole, num: int, den: int) -> DataFrame:
@@ -195,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def whole(wanted: DataFrame) -> DataFrame:
         wanted = stage(wanted.distinct(), "set-texts")
-        texts = may_match(body, "t", key_filter(wanted, "t")).join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("body")
+        texts = may_match(body, "t", key_filter(wanted, "t")).join(wanted, "t").dropDuplicates(["t"]).select("body")
         return texts.mapInArrow(full, "node long, h binary").dropDuplicates(["node"])
 
     every = stage(body.mapInArrow(nodes, f"id {kind}, t long, n long, node long, s binary"), "sets")
