@@ -45,10 +45,18 @@ def key_filter(keys: DataFrame, column: str) -> DataFrame:
             .agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits")))
 
 
-def may_match(rows: DataFrame, column: str, filter_: DataFrame) -> DataFrame:
-    """Rows whose hash may be among the keys: never too few; the exact join follows."""
+def mark_match(rows: DataFrame, column: str, filter_: DataFrame, name: str) -> DataFrame:
+    """Adds whether the row's hash may be among the keys: never false for one of them."""
     at = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
-    kept = rows.withColumn("slot", F.shiftright(at, 15).cast("int")).join(F.broadcast(filter_), "slot")
+    kept = rows.withColumn("slot", F.shiftright(at, 15).cast("int")).join(F.broadcast(filter_), "slot", "left")
     bit = at.bitwiseAND(32767)
     byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return kept.filter(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1).drop("slot", "bits")
+    return kept.withColumn(name, F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False))).drop("slot", "bits")
+
+
+def may_match(rows: DataFrame, column: str, filter_: DataFrame) -> DataFrame:
+    """Rows whose hash may be among the keys: never too few; the exact join follows.
+
+    Let that be an inner join with distinct keys: the optimizer moves a semi-join below this filter, and then shuffles all rows.
+    """
+    return mark_match(rows, column, filter_, "hit").filter("hit").drop("hit")

@@ -9,9 +9,12 @@ hash, then position) of each component stays.  At similarity 0.8 the bands miss
 Long lines need no more values than short ones, so their signature is made of every fourth or sixteenth shingle by hash.  The size
 ranges of these tiers overlap by half, and a line in two ranges has two signatures, so similar lines share a tier.
 
-In a band's bucket every line is first compared with the bucket's first line only.  Lines still in different components after that
-are compared across the components, so a bucket of n near copies costs n comparisons, and no pair that could join two components is
-left out.  Equal lines are folded before all of this, by a 128-bit hash; candidates are named by its first half.
+A bucket is not compared pairwise.  Its leader is the line with the most occurrences, and every line is compared with the leader.  Then
+buckets are split further by the remaining values of the signature, one by one; at each of these depths lines are compared with the
+leader there, unless both are in one component by then.  So a line meets up to 48 leaders, ever closer ones, a bucket of n near copies
+costs a multiple of n comparisons, and no bucket is left out or cut.  Two lines whose only links are to each other, that never share
+a bucket of which one is the leader, stay apart; that, and the bands, are what the method may miss.  Equal lines are folded before all
+of this, by a 128-bit hash; candidates are named by its first half.
 """
 from itertools import combinations
 
@@ -20,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeproof.llm.base import WORD, stage
-from placeproof.llm.components import components, key_filter, may_match
+from placeproof.llm.components import components, key_filter, mark_match, may_match
 
 SHINGLE, GROUPS, EACH, AGREE = 9, 2, 4, 3
 #: (least, most) shingles of tier i, which takes one in 4^i.
@@ -49,8 +52,8 @@ def _shingle(units: Column, at: Column) -> Column:
     return F.substring(units, at * 2 + 1, F.lit(2 * SHINGLE))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """(band, k): the buckets of each distinct line; long lines are walked in stretches."""
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(k, tier, m0 ... m7) of each distinct line; long lines are walked in stretches."""
     units = lines.select(F.col("k1").alias("k"), F.encode("line", "UTF-16BE").alias("u")).withColumn("last", _last(F.col("u")))
     n = F.col("last") + 1
     tiers = F.array_compact(F.array(*[F.when((n >= lo) & (F.lit(True) if hi is None else n <= hi), F.lit(i)) for i, (lo, hi) in enumerate(TIERS)]))
@@ -58,9 +61,22 @@ def _bands(lines: DataFrame) -> DataFrame:
         "k", "u", "last", "tier", (F.pow(F.lit(4), F.col("tier")).cast("int") - 1).alias("skip"), F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STRETCH))).alias("from"))
     at = walked.select("k", "u", "tier", "skip", F.explode(F.sequence("from", F.least(F.col("from") + (STRETCH - 1), F.col("last")))).alias("at"))
     hashed = at.select("k", "tier", "skip", F.hash(_shingle(F.col("u"), F.col("at"))).alias("h")).filter(F.col("h").bitwiseAND(F.col("skip")) == 0)
-    least = hashed.groupBy("k", "tier").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(GROUPS * EACH)])
-    picks = [c for g in range(GROUPS) for c in combinations(range(g * EACH, (g + 1) * EACH), AGREE)]
-    return least.select("k", F.explode(F.array(*[F.xxhash64(F.lit(b), "tier", *[f"m{i}" for i in c]) for b, c in enumerate(picks)])).alias("band"))
+    return hashed.groupBy("k", "tier").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(VALUES)])
+
+
+VALUES = GROUPS * EACH
+#: The bands, as places of the signature.
+PICKS = [c for g in range(GROUPS) for c in combinations(range(g * EACH, (g + 1) * EACH), AGREE)]
+
+
+def _band(b: int) -> Column:
+    return F.xxhash64(F.lit(b), "tier", *[f"m{i}" for i in PICKS[b]])
+
+
+def _paths(b: int) -> Column:
+    """Keys of a band's bucket at every depth: the band, then one value more at each step."""
+    rest = [i for i in range(VALUES) if i not in PICKS[b]]
+    return F.array(*[F.xxhash64(F.lit(d), _band(b), *[f"m{i}" for i in rest[:d]]) for d in range(1, len(rest) + 1)])
 
 
 def _shingle_hashes(line: Column) -> Column:
@@ -73,7 +89,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     """Pairs (a, b) of line keys whose shingle sets are similar enough; sets are counted once per line, intersections once per pair."""
     pairs = stage(pairs, "line-pairs")
     keys = stage(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "line-keys")
-    few = may_match(lines.select("k1", "line"), "k1", key_filter(keys, "k1")).join(keys, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
+    few = may_match(lines.select("k1", "line"), "k1", key_filter(keys, "k1")).join(keys, "k1").groupBy("k1").agg(F.min("line").alias("line"))
     texts = stage(few.select("k1", "line", F.size(F.array_distinct(_shingle_hashes(F.col("line")))).alias("n")), "line-texts")
     side = lambda x: texts.select(F.col("k1").alias(x), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"))
     sized = pairs.join(texts.select(F.col("k1").alias("a"), F.col("n").alias("p")), "a").join(texts.select(F.col("k1").alias("b"), F.col("n").alias("q")), "b")
@@ -82,19 +98,35 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     return near.filter(both * (1 + threshold) >= threshold * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
-def line_components(lines: DataFrame, threshold: float) -> DataFrame:
+def _leaders(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with the leader of their bucket, those that are not it."""
+    order = W.partitionBy(key).orderBy(F.desc("n"), "k")
+    return rows.withColumn("leader", F.first("k").over(order)).filter("k != leader")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("k", "leader").alias("a"), F.greatest("k", "leader").alias("b")).distinct()
+
+
+def line_components(lines: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the line keys that have a similar line."""
+    signed = stage(_signatures(lines), "line-signatures")
+    bands = F.array(*[_band(b) for b in range(len(PICKS))])
+    banded = signed.select("k", F.explode(bands).alias("band"))
     order = W.partitionBy("band").orderBy("k")
-    met = stage(_bands(lines).select("band", "k", F.first("k").over(order).alias("first"), F.lead("k").over(order).alias("next"))
-                .filter((F.col("k") != F.col("first")) | F.col("next").isNotNull()).drop("next"), "line-buckets")
-    links = stage(_verified(met.filter("k != first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), lines, threshold), "line-links")
+    shared = stage(banded.withColumn("prior", F.lag("k").over(order)).withColumn("next", F.lead("k").over(order))
+                   .filter("prior is not null or next is not null").select("k", "band"), "line-buckets")
+    counts = seen.groupBy(F.col("k1").alias("k")).agg(F.count("*").alias("n"))
+    met = stage(shared.join(counts, "k"), "line-met")
+    links = stage(_verified(_pairs(_leaders(met, "band")), lines, threshold), "line-links")
     known = components(links)
-    placed = met.join(known, met.k == known.node, "left").select("band", "k", "first", F.coalesce("component", "k").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("band")
-    open_ = stage(placed.filter("k != first").join(mixed, "band", "left_semi").select("band", "k", "c"), "line-open")
-    x, y = open_.select("band", F.col("k").alias("a"), F.col("c").alias("ca")), open_.select("band", F.col("k").alias("b"), F.col("c").alias("cb"))
-    across = x.join(y, "band").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return components(links.union(_verified(across, lines, threshold)))
+    deeper = F.array(*[_paths(b) for b in range(len(PICKS))])
+    deep = (met.join(signed, "k").withColumn("b", F.array_position(bands, F.col("band")).cast("int")).filter("b > 0")
+            .select("k", "n", F.explode(F.element_at(deeper, F.col("b"))).alias("path")))
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    apart = (_pairs(_leaders(deep, "path")).join(of("a"), "a", "left").join(of("b"), "b", "left")
+             .filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b").join(links, ["a", "b"], "left_anti"))
+    return components(links.union(_verified(apart, lines, threshold)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -106,7 +138,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thr
     """
     lines = _lines(docs, id_col, text)
     seen = stage(lines.select("id", "t", "pos", "k1", "k2"), "lines")
-    component = line_components(lines, threshold)
+    component = line_components(lines, seen, threshold)
     folded = seen.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "t", "pos")).alias("first"), F.count("*").alias("n"))
     # A line without a similar one is its own class, told apart by the whole hash.
     joined = folded.join(component, F.col("k1") == F.col("node"), "left").select(
@@ -115,10 +147,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thr
     repeated = joined.join(keeper, ["c", "d"]).select("k1", "k2", "keep")
     gone = (seen.join(repeated, ["k1", "k2"]).filter(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("t") == F.col("keep.t")) & (F.col("pos") == F.col("keep.pos"))))
             .groupBy("id", "t").agg(F.collect_set("pos").alias("gone")))
+    # Only documents that lose lines go through the join; the filter is of fixed size.
+    gone = stage(gone, "lines-gone")
     names = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    whole = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("rid"), F.xxhash64(text).alias("rt"))
-    parts = F.split(F.col(f"row.`{text}`"), "\n")
-    out = (whole.join(gone, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rt") == F.col("t")), "left").withColumn("parts", parts)
+    whole = mark_match(docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("rid"), F.xxhash64(text).alias("rt")), "rt", key_filter(gone, "t"), "hit")
+    touched = whole.filter("hit").join(gone, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rt") == F.col("t")), "left").select("row", "gone")
+    out = touched.union(whole.filter("not hit").select("row", F.lit(None).cast("array<int>")))
+    out = (out.withColumn("parts", F.split(F.col(f"row.`{text}`"), "\n"))
            .withColumn("stay", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"))))
     short = F.array_join(F.transform("stay", lambda i: F.col("parts")[i]), "\n")
     count = F.coalesce(F.size("parts"), F.lit(0))
