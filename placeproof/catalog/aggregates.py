@@ -11,6 +11,7 @@ from placeproof.functions.geo import distance
 from placeproof.operators.hull import group_diameter
 from placeproof.operators.profile import union_all
 from placeproof.operators.quantiles import group_quantiles
+from placeproof.operators.tokenjoin import contains_join
 from placeproof.plans import candidates as cand
 
 MET = "outcome IN ('met_borrower','met_family','cash_collected')"
@@ -88,23 +89,33 @@ def trace_steps(v):
 @query("trail_features", f"""
 SELECT visit_id, count(*) AS n_points, quantile_cont(accuracy_m,0.5) AS acc_med, round(quantile_cont(accuracy_m,0.9),4) AS acc_p90, round(sum(dt),3) AS span_s, round(sum(step),3) AS path_m,
   max(speed) AS speed_max, round(quantile_cont(speed,0.9),4) AS speed_p90, quantile_cont(dx,0.5) AS x_med, quantile_cont(dy,0.5) AS y_med,
-  arg_min(dx,(seq,dx,dy)) AS x_first, arg_max(dx,(seq,dx,dy)) AS x_last FROM {STEPS_SQL} GROUP BY 1""")
+  arg_min(dx,(seq,dx,dy)) AS x_first, arg_max(dx,(seq,dx,dy)) AS x_last, arg_min(dy,(seq,dx,dy)) AS y_first, arg_max(dy,(seq,dx,dy)) AS y_last,
+  round(any_value({dist('cx','cy','mx','my')}),3) AS dist_checkin_to_median_m, round(any_value({dist('cx','cy','fx','fy')}),3) AS dist_start_to_checkin_m
+FROM {STEPS_SQL} LEFT JOIN (SELECT c.visit_id, checkin_x - tx AS cx, checkin_y - ty AS cy FROM w_checkin c) USING (visit_id) LEFT JOIN (
+ SELECT visit_id, quantile_cont(dx,0.5) AS mx, quantile_cont(dy,0.5) AS my, arg_min(dx,(seq,dx,dy)) AS fx, arg_min(dy,(seq,dx,dy)) AS fy FROM w_trace WHERE dx<>0 AND dy<>0 GROUP BY 1) USING (visit_id) GROUP BY visit_id""")
 def trail_features(v):
     # accuracies, offsets and rounded speeds are small domains: the exact percentile buffers merge
     # map-side and stay small even for a visit with most of the fixes
     o = F.struct("seq", "dx", "dy")
-    return trace_steps(v).groupBy("visit_id").agg(
+    t = trace_steps(v).groupBy("visit_id").agg(
         F.count("*").alias("n_points"), F.percentile("accuracy_m", 0.5).alias("acc_med"),
         F.round(F.percentile("accuracy_m", 0.9), 4).alias("acc_p90"), F.round(F.sum("dt"), 3).alias("span_s"),
         F.round(F.sum("step"), 3).alias("path_m"), F.max("speed").alias("speed_max"),
         F.round(F.percentile("speed", 0.9), 4).alias("speed_p90"), F.percentile("dx", 0.5).alias("x_med"),
-        F.percentile("dy", 0.5).alias("y_med"), F.min_by("dx", o).alias("x_first"), F.max_by("dx", o).alias("x_last"))
+        F.percentile("dy", 0.5).alias("y_med"), F.min_by("dx", o).alias("x_first"), F.max_by("dx", o).alias("x_last"),
+        F.min_by("dy", o).alias("y_first"), F.max_by("dy", o).alias("y_last"))
+    # traces are relative to the visited place, so the check-in is brought to the same origin
+    at = v.checkin().select("visit_id", (F.col("checkin_x") - F.col("tx")).alias("cx"), (F.col("checkin_y") - F.col("ty")).alias("cy"))
+    return t.join(at, "visit_id", "left").withColumn(
+        "dist_checkin_to_median_m", F.round(distance(F.col("cx"), F.col("cy"), F.col("x_med"), F.col("y_med")), 3)).withColumn(
+        "dist_start_to_checkin_m", F.round(distance(F.col("cx"), F.col("cy"), F.col("x_first"), F.col("y_first")), 3)).drop("cx", "cy")
 
 
 @query("agent_behaviour", f"""
 SELECT agent_id, count(*) AS visits, count(DISTINCT address_id) AS addresses, round(avg(({MET})::INTEGER),6) AS met_rate,
   round(avg((outcome='address_not_traceable')::INTEGER),6) AS not_traceable_rate, quantile_cont(dwell_s,0.5) AS median_dwell,
-  round(1 - count(DISTINCT photo_hash)/count(photo_hash),6) AS dup_photo_share FROM w_visit GROUP BY 1""")
+  round(1 - count(DISTINCT photo_hash)/count(photo_hash),6) AS dup_photo_share, any_value(coalesce(n,0)) AS distinct_checkins FROM w_visit
+ LEFT JOIN (SELECT agent_id, count(*) AS n FROM (SELECT DISTINCT agent_id, checkin_x, checkin_y FROM w_checkin WHERE checkin_x IS NOT NULL) GROUP BY 1) USING (agent_id) GROUP BY agent_id""")
 def agent_behaviour(v):
     vis = v.visit()
     q = group_quantiles(vis, ["agent_id"], "dwell_s", {"median_dwell": 0.5}).drop("n")
@@ -112,24 +123,32 @@ def agent_behaviour(v):
         F.count("*").alias("visits"), F.count_distinct("address_id").alias("addresses"), rate(met(), "met_rate"),
         rate(F.col("outcome") == "address_not_traceable", "not_traceable_rate"),
         F.round(1 - F.count_distinct("photo_hash") / F.count("photo_hash"), 6).alias("dup_photo_share"))
-    return a.join(q, "agent_id")
+    spots = v.checkin().filter("checkin_x is not null").select("agent_id", "checkin_x", "checkin_y").distinct().groupBy("agent_id").agg(F.count("*").alias("c"))
+    return a.join(q, "agent_id").join(spots, "agent_id", "left").withColumn("distinct_checkins", F.coalesce("c", F.lit(0))).drop("c")
 
 
 BAND = "CASE WHEN gps_accuracy_m IS NULL THEN 'unknown' WHEN gps_accuracy_m<=15 THEN 'fine' WHEN gps_accuracy_m<=30 THEN 'ok' ELSE 'coarse' END"
-DIMS = [("agent", "agent_id"), ("accuracy", BAND), ("outcome_day", "dayname(observed_at)")]
+DIMS = [("agent", "agent_id"), ("accuracy", BAND), ("outcome_day", "dayname(observed_at)"), ("town", "coalesce(town_id,'unknown')"), ("type", "coalesce(address_type,'unknown')"),
+        ("stratum", "coalesce(precision,'none')")]
+DIM_ROWS = "(SELECT v.*, town_id, address_type, precision FROM w_visit v LEFT JOIN w_address a ON a.address_id = v.address_id LEFT JOIN w_pin p ON p.address_id = v.address_id)"
 
 
 @query("outcome_rates_by_dimension", "\nUNION ALL ".join(
     f"SELECT '{n}' AS dimension, {e} AS level, count(*) AS n, round(avg(({MET})::INTEGER),6) AS met_rate, "
-    f"round(avg((outcome='address_not_traceable')::INTEGER),6) AS not_traceable_rate FROM w_visit GROUP BY 1,2" for n, e in DIMS))
+    f"round(avg((outcome='address_not_traceable')::INTEGER),6) AS not_traceable_rate FROM {DIM_ROWS} GROUP BY 1,2" for n, e in DIMS))
 def outcome_rates_by_dimension(v):
     """All dimensions in one pass: each row is spread to its (dimension, level) cells, then combined."""
     acc = F.col("gps_accuracy_m")
     band = F.when(acc.isNull(), "unknown").when(acc <= 15, "fine").when(acc <= 30, "ok").otherwise("coarse")
     cells = F.array(F.struct(F.lit("agent").alias("dimension"), F.col("agent_id").alias("level")),
                     F.struct(F.lit("accuracy").alias("dimension"), band.alias("level")),
-                    F.struct(F.lit("outcome_day").alias("dimension"), F.date_format("observed_at", "EEEE").alias("level")))
-    return (v.visit().select("outcome", F.explode(cells).alias("c")).groupBy("c.dimension", "c.level").agg(
+                    F.struct(F.lit("outcome_day").alias("dimension"), F.date_format("observed_at", "EEEE").alias("level")),
+                    F.struct(F.lit("town").alias("dimension"), F.coalesce("town_id", F.lit("unknown")).alias("level")),
+                    F.struct(F.lit("type").alias("dimension"), F.coalesce("address_type", F.lit("unknown")).alias("level")),
+                    F.struct(F.lit("stratum").alias("dimension"), F.coalesce("precision", F.lit("none")).alias("level")))
+    rows = (v.visit().join(v.address().select("address_id", "town_id", "address_type"), "address_id", "left")
+            .join(v.pin().select("address_id", "precision"), "address_id", "left"))
+    return (rows.select("outcome", F.explode(cells).alias("c")).groupBy("c.dimension", "c.level").agg(
         F.count("*").alias("n"), rate(met(), "met_rate"), rate(F.col("outcome") == "address_not_traceable", "not_traceable_rate")))
 
 
@@ -150,9 +169,18 @@ def binned_rates(v):
             .agg(F.count("*").alias("n"), rate(met(), "met_rate")))
 
 
-@query("length_histogram", "SELECT least(length(text)//500, 20) AS bin, count(*) AS n FROM documents GROUP BY 1")
+@query("length_histogram", """
+SELECT 'length' AS measure, least(length(text)//500, 20) AS bin, count(*) AS n FROM documents GROUP BY 1,2
+UNION ALL SELECT 'accuracy', least(floor(gps_accuracy_m/10)::BIGINT, 10), count(*) FROM w_visit WHERE gps_accuracy_m IS NOT NULL GROUP BY 1,2
+UNION ALL SELECT 'radius', least(floor(radius_m/250)::BIGINT, 20), count(*) FROM w_belief WHERE radius_m IS NOT NULL GROUP BY 1,2""")
 def length_histogram(v):
-    return v.raw("documents").groupBy(F.least(F.floor(F.length("text") / 500), F.lit(20)).alias("bin")).agg(F.count("*").alias("n"))
+    """Fixed-edge histograms: text length, GPS accuracy and believed radius, the last bin open."""
+    from placeproof.catalog.oracle_domain import AS_OF
+    from placeproof.plans import belief
+    def hist(df, name, c, width, last):
+        return df.filter(c.isNotNull()).groupBy(F.least(F.floor(c / width), F.lit(last)).alias("bin")).agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "bin", "n")
+    return (hist(v.raw("documents"), "length", F.length("text"), 500, 20).unionByName(hist(v.visit(), "accuracy", F.col("gps_accuracy_m"), 10, 10))
+            .unionByName(hist(belief.belief_at(v, AS_OF), "radius", F.col("radius_m"), 250, 20)))
 
 
 @query("split_by_type", """
@@ -174,16 +202,17 @@ def duplicate_text_groups(v):
 
 
 W = "list_filter(regexp_extract_all(lower(text),'[a-z]+'), lambda w: length(w) > 2)"
+ALL_W = "regexp_extract_all(lower(text),'[a-z]+')"
 
 
 @query("top_terms_and_bigrams", f"""
 (SELECT 'term' AS kind, t AS term, count(*) AS n FROM (SELECT unnest({W}) AS t FROM documents) GROUP BY 2 ORDER BY n DESC, term LIMIT 50)
-UNION ALL (SELECT 'bigram', w[i]||' '||w[i+1], count(*) FROM (SELECT w, unnest(range(1,len(w))) AS i FROM (SELECT {W} AS w FROM documents)) GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 50)
+UNION ALL (SELECT 'bigram', w[i]||' '||w[i+1], count(*) FROM (SELECT w, unnest(range(1,len(w))) AS i FROM (SELECT {ALL_W} AS w FROM documents)) GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 50)
 UNION ALL SELECT 'rare', 'seen once', count(*) FROM (SELECT t FROM (SELECT unnest({W}) AS t FROM documents) GROUP BY 1 HAVING count(*)=1)""")
 def top_terms_and_bigrams(v):
-    w = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda t: F.length(t) > 2)
-    d = v.raw("documents").select(w.alias("w"))
-    terms = d.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """Terms of three letters or more; bigrams are true neighbours, short words included."""
+    d = v.raw("documents").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    terms = d.select(F.explode("w").alias("term")).filter(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("n"))
     pairs = F.when(F.size("w") >= 2, F.transform(F.slice("w", 1, F.size("w") - 1), lambda t, i: F.concat_ws(" ", t, F.get("w", i + 1))))
     bigrams = d.select(F.explode(pairs).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     def top(df, kind):
@@ -198,18 +227,25 @@ def token_idf(v):
 
 
 @query("mention_coverage", """
-SELECT count(*) AS n, count(*) FILTER (loc) AS names_locality, count(*) FILTER (pin) AS names_pin, count(*) FILTER (rel) AS names_relation,
-  count(*) FILTER (loc OR pin OR rel) AS any_mention, count(*) FILTER (NOT (loc OR pin OR rel)) AS no_mention
-FROM (SELECT address_id IN (SELECT address_id FROM w_locbest) AS loc, pin_text IS NOT NULL AS pin, address_id IN (SELECT address_id FROM w_relwin) AS rel FROM w_addr)""")
+SELECT count(*) AS n, count(*) FILTER (loc) AS names_locality, count(*) FILTER (pin) AS names_pin, count(*) FILTER (rel) AS names_relation, count(*) FILTER (lm) AS names_landmark, count(*) FILTER (town) AS names_town,
+  count(*) FILTER (loc OR pin OR rel OR lm OR town) AS any_mention, count(*) FILTER (NOT (loc OR pin OR rel OR lm OR town)) AS no_mention
+FROM (SELECT address_id IN (SELECT address_id FROM w_locbest) AS loc, pin_text IS NOT NULL AS pin, address_id IN (SELECT address_id FROM w_relwin) AS rel,
+ EXISTS (SELECT 1 FROM (SELECT DISTINCT town_id, lower(poi_name) AS nm FROM w_landmark) l WHERE l.town_id = w_addr.town_id AND contains(lower(address_text), nm)) AS lm,
+ EXISTS (SELECT 1 FROM w_town t WHERE t.town_id = w_addr.town_id AND contains(lower(address_text), lower(town_name))) AS town FROM w_addr)""")
 def mention_coverage(v):
     a = cand.prepared_addresses(v.address())
     named = cand.locality_hits(a, v.locality(), "2024-02-01").select("address_id").distinct().withColumn("hit", F.lit(True))
-    j = a.join(named, "address_id", "left")
+    low = a.select("address_id", "town_id", F.lower("address_text").alias("low"))
+    marks = v.landmark().select("town_id", F.lower("poi_name").alias("nm")).distinct()
+    lm = contains_join(low, marks, "low", "nm", ["town_id"]).select("address_id").distinct().withColumn("at_lm", F.lit(True))
+    j = a.join(named, "address_id", "left").join(lm, "address_id", "left").join(v.town().select("town_id", F.lower("town_name").alias("tn")), "town_id", "left")
     loc, pin, rel = F.col("hit").isNotNull(), F.col("pin_text").isNotNull(), text.relation_window(F.col("toks")).isNotNull()
-    return j.select(loc.alias("loc"), pin.alias("pin"), rel.alias("rel")).agg(
+    town = F.coalesce(F.contains(F.lower("address_text"), F.col("tn")), F.lit(False))
+    return j.select(loc.alias("loc"), pin.alias("pin"), rel.alias("rel"), F.col("at_lm").isNotNull().alias("lm"), town.alias("town")).agg(
         F.count("*").alias("n"), F.count_if("loc").alias("names_locality"), F.count_if("pin").alias("names_pin"),
-        F.count_if("rel").alias("names_relation"), F.count_if(F.expr("loc or pin or rel")).alias("any_mention"),
-        F.count_if(F.expr("not (loc or pin or rel)")).alias("no_mention"))
+        F.count_if("rel").alias("names_relation"), F.count_if("lm").alias("names_landmark"), F.count_if("town").alias("names_town"),
+        F.count_if(F.expr("loc or pin or rel or lm or town")).alias("any_mention"),
+        F.count_if(F.expr("not (loc or pin or rel or lm or town)")).alias("no_mention"))
 
 
 @query("radius_calibration", f"""
@@ -247,12 +283,15 @@ def closer_to_pin(v):
 
 
 @query("facet_counts", """
-SELECT coalesce(outcome,'*') AS outcome, coalesce(agent_id,'*') AS agent_id, count(*) AS n FROM w_visit GROUP BY GROUPING SETS ((outcome),(agent_id),())""")
+SELECT coalesce(outcome,'*') AS outcome, coalesce(agent_id,'*') AS agent_id, coalesce(polarity,'*') AS polarity, coalesce(evidence_class,'*') AS evidence_class, coalesce(town,'*') AS town, count(*) AS n
+FROM (SELECT o.*, coalesce(town_id,'unknown') AS town FROM w_obs o LEFT JOIN (SELECT address_id, town_id FROM w_address) a ON a.address_id = o.address_id)
+GROUP BY GROUPING SETS ((outcome),(agent_id),(polarity),(evidence_class),(town),())""")
 def facet_counts(v):
-    """One pass for all facets."""
-    return (v.visit().groupingSets([[F.col("outcome")], [F.col("agent_id")], []], F.col("outcome"), F.col("agent_id"))
-            .agg(F.count("*").alias("n")).select(F.coalesce("outcome", F.lit("*")).alias("outcome"),
-                                                 F.coalesce("agent_id", F.lit("*")).alias("agent_id"), "n"))
+    """One pass for all facets of the observations."""
+    facets = ["outcome", "agent_id", "polarity", "evidence_class", "town"]
+    o = v.observation().join(v.address().select("address_id", "town_id"), "address_id", "left").withColumn("town", F.coalesce("town_id", F.lit("unknown")))
+    return (o.groupingSets([*[[F.col(f)] for f in facets], []], *[F.col(f) for f in facets])
+            .agg(F.count("*").alias("n")).select(*[F.coalesce(f, F.lit("*")).alias(f) for f in facets], "n"))
 
 
 @query("address_activity", f"""
@@ -299,6 +338,15 @@ def selection_exposure(v):
     return group_quantiles(j, ["visited"], "proxy", {"median_proxy": 0.5}).withColumn("median_proxy", F.round("median_proxy", 3))
 
 
+@query("dwell_by_outcome", """
+SELECT outcome, count(dwell_s) AS n, round(sum(dwell_s)/3600.0,4) AS hours, round(quantile_cont(dwell_s,0.5),4) AS median_dwell, round(quantile_cont(dwell_s,0.9),4) AS p90_dwell FROM w_visit WHERE dwell_s IS NOT NULL GROUP BY 1""")
+def dwell_by_outcome(v):
+    d = v.visit().filter("dwell_s is not null")
+    q = group_quantiles(d, ["outcome"], "dwell_s", {"m": 0.5, "p": 0.9})
+    return d.groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.sum("dwell_s") / 3600.0, 4).alias("hours")).join(q.drop("n"), "outcome").select(
+        "outcome", "n", "hours", F.round("m", 4).alias("median_dwell"), F.round("p", 4).alias("p90_dwell"))
+
+
 @query("field_effort", f"""
 SELECT round(sum(dwell_s)/3600.0,4) AS hours, round(sum(dwell_s) FILTER (NOT {MET})/sum(dwell_s),6) AS wasted_share, round(avg(({MET})::INTEGER),6) AS productive_share,
   quantile_cont(dwell_s,0.5) FILTER ({MET}) AS median_productive, quantile_cont(dwell_s,0.5) FILTER (NOT {MET}) AS median_wasted FROM w_visit""")
@@ -401,7 +449,10 @@ def block_summary(v):
 
 
 @query("repeated_checkins", """
-SELECT agent_id, count(*) AS n_coords, sum(n)::BIGINT AS n_visits FROM (SELECT agent_id, address_id, visit_id%41 AS sx, count(*) AS n FROM w_visit GROUP BY 1,2,3 HAVING count(*)>=3) GROUP BY 1""")
+SELECT agent_id, count(*) AS n_coords, sum(n)::BIGINT AS n_visits FROM (SELECT agent_id, floor(checkin_x/25) AS gx, floor(checkin_y/25) AS gy, count(*) AS n FROM w_checkin
+ WHERE checkin_x IS NOT NULL GROUP BY 1,2,3 HAVING count(*)>=3) GROUP BY 1""")
 def repeated_checkins(v):
-    c = v.visit().groupBy("agent_id", "address_id", (F.col("visit_id") % 41).alias("sx")).agg(F.count("*").alias("n")).filter("n >= 3")
+    """Check-in positions (to 25 m) that one agent reports three times or more."""
+    spot = [F.floor(F.col(c) / 25).alias(g) for c, g in (("checkin_x", "gx"), ("checkin_y", "gy"))]
+    c = v.checkin().filter("checkin_x is not null").groupBy("agent_id", *spot).agg(F.count("*").alias("n")).filter("n >= 3")
     return c.groupBy("agent_id").agg(F.count("*").alias("n_coords"), F.sum("n").alias("n_visits"))

@@ -154,10 +154,15 @@ def belief_instants(v):
         (F.max(F.unix_micros("observed_at")) + 1000000).alias("instant_us"), (F.count("*") + 1).alias("belief_version"))
 
 
-@query("radius_by_rule", "SELECT tier, status, least(n_neg,10) AS n_neg, stratum, radius_m, widen_reason, count(*) AS n FROM w_belief GROUP BY ALL")
+@query("radius_by_rule", """
+SELECT tier, status, n_neg, stratum, radius_m, widen_reason, CASE WHEN tier <> 'UNPLACEABLE' THEN 'locality' END AS source_stratum, CASE WHEN tier <> 'UNPLACEABLE' THEN 24 END AS n_calibration,
+ CASE WHEN tier <> 'UNPLACEABLE' THEN 0.792::DOUBLE END AS measured_coverage, count(*) AS n FROM w_belief GROUP BY ALL""")
 def radius_by_rule(v):
-    b = belief.belief_at(v, AS_OF).withColumn("n_neg", F.least("n_neg", F.lit(10)))
-    return b.groupBy("tier", "status", "n_neg", "stratum", "radius_m", "widen_reason").agg(F.count("*").alias("n"))
+    """Published radii: rule, stratum asked for and stratum used, with that one's calibration size and coverage."""
+    shown = F.col("tier") != "UNPLACEABLE"
+    b = belief.belief_at(v, AS_OF).withColumn("source_stratum", F.when(shown, belief.published(F.col("stratum")))).withColumn(
+        "n_calibration", F.when(shown, belief.radius_entry(F.col("stratum"), 2))).withColumn("measured_coverage", F.when(shown, belief.radius_entry(F.col("stratum"), 3)))
+    return b.groupBy("tier", "status", "n_neg", "stratum", "radius_m", "widen_reason", "source_stratum", "n_calibration", "measured_coverage").agg(F.count("*").alias("n"))
 
 
 @query("purpose_classes", "SELECT address_id, purpose, n_met FROM w_purpose")
@@ -267,16 +272,27 @@ def verify_first_tasks(v):
     return decision.tasks(belief.belief_at(v, AS_OF)).drop("raised_at")
 
 
-@query("task_queue_by_town", """
-SELECT town_id, task_id, priority, rk FROM (SELECT *, row_number() OVER (PARTITION BY town_id ORDER BY priority DESC, address_id, task_id) AS rk FROM w_task) WHERE rk <= 5""")
+KIND = "CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN 'resolved' ELSE 'reopened' END"
+OPEN_STATES = ["open", "in_progress", "reopened"]
+
+
+def task_events(v):
+    et = F.col("event_type")
+    return v.raw("events").select("event_id", F.col("user_id").alias("address_id"), F.col("ts").cast("timestamp").alias("at"),
+                                  F.when(et == "signup", "open").when(et == "view", "in_progress").when(et == "purchase", "resolved").otherwise("reopened").alias("kind"))
+
+
+@query("task_queue_by_town", f"""
+SELECT town_id, task_id, state, priority, rk FROM (SELECT *, row_number() OVER (PARTITION BY town_id ORDER BY priority DESC, address_id, task_id) AS rk FROM (
+ SELECT t.*, coalesce(k, 'open') AS state FROM w_task t LEFT JOIN (SELECT user_id AS address_id, arg_max({KIND}, (ts, event_id)) AS k FROM events WHERE ts < TIMESTAMP '{AS_OF}' GROUP BY 1) USING (address_id))
+ WHERE state IN ('open','in_progress','reopened') AND cause IN ('MOVED_SUSPECTED','CONTESTED')) WHERE rk <= 5""")
 def task_queue_by_town(v):
+    """Five most urgent unresolved tasks of each town, in the state of their latest event before the cut."""
     from placeproof.operators.windows import top_per_key
-    t = decision.tasks(belief.belief_at(v, AS_OF))
+    t = decision.with_state(decision.tasks(belief.belief_at(v, AS_OF)), task_events(v), AS_OF)
+    t = decision.matching(t, state=OPEN_STATES, cause=["MOVED_SUSPECTED", "CONTESTED"])
     return top_per_key(t, ["town_id"], [F.col("priority").desc(), F.col("address_id"), F.col("task_id")], 5, "rk").select(
-        "town_id", "task_id", "priority", F.col("rk").cast("long").alias("rk"))
-
-
-KIND = "CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN 'resolved' ELSE 'reopened' END"
+        "town_id", "task_id", "state", "priority", F.col("rk").cast("long").alias("rk"))
 
 
 @query("task_transition_violations", f"""
@@ -329,19 +345,33 @@ def workload_by_cause_town(v):
             .select(F.coalesce("cause", F.lit("*")).alias("cause"), F.coalesce("town_id", F.lit("*")).alias("town_id"), "n"))
 
 
-@query("place_list", """
-SELECT b.address_id, b.town_id, tier, status, radius_m, coalesce(visits,0) AS visits, last_us, task_id IS NOT NULL AS has_task FROM w_belief b
+PLACES = """(SELECT b.address_id, b.town_id, tier, status, radius_m, coalesce(visits,0) AS visits, last_us, task_id IS NOT NULL AS has_task FROM w_belief b
 LEFT JOIN (SELECT address_id, count(*) AS visits, max(epoch_us(observed_at)) AS last_us FROM w_evcut GROUP BY 1) USING (address_id) LEFT JOIN (SELECT address_id, task_id FROM w_task) USING (address_id)
-WHERE tier <> 'UNPLACEABLE' ORDER BY has_task DESC, last_us DESC NULLS LAST, b.address_id LIMIT 200""")
-def place_list(v):
-    """First page of the place list: latest belief, activity and open task, newest first."""
+JOIN (SELECT address_id, address_text FROM w_address) USING (address_id) WHERE tier IN ('CONFIRMED','PROBABLE','APPROXIMATE') AND contains(lower(address_text), 'cross'))"""
+
+
+def places(v):
+    """The place list: latest belief, activity and open task, placeable addresses whose text has a word searched for."""
     act = known_before(belief.evidence_stage(v), AS_OF).groupBy("address_id").agg(
         F.count("*").alias("visits"), F.max(F.unix_micros("observed_at")).alias("last_us"))
     b = belief.belief_at(v, AS_OF)
     t = decision.tasks(b).select("address_id", F.lit(True).alias("t"))
-    j = b.filter("tier <> 'UNPLACEABLE'").join(act, "address_id", "left").join(t, "address_id", "left")
-    return j.select("address_id", "town_id", "tier", "status", "radius_m", F.coalesce("visits", F.lit(0)).alias("visits"), "last_us",
-                    F.col("t").isNotNull().alias("has_task")).orderBy(F.col("has_task").desc(), F.col("last_us").desc_nulls_last(), "address_id").limit(200)
+    j = b.join(v.address().select("address_id", "address_text"), "address_id").join(act, "address_id", "left").join(t, "address_id", "left")
+    return decision.matching(j, ("address_text", "Cross"), tier=["CONFIRMED", "PROBABLE", "APPROXIMATE"]).select(
+        "address_id", "town_id", "tier", "status", "radius_m", F.coalesce("visits", F.lit(0)).alias("visits"), "last_us", F.col("t").isNotNull().alias("has_task"))
+
+
+@query("place_list", f"SELECT * FROM {PLACES} ORDER BY has_task DESC, last_us DESC NULLS LAST, address_id LIMIT 100 OFFSET 100")
+def place_list(v):
+    """Second page of the list, open tasks and newest activity first."""
+    return decision.page(places(v), [F.col("has_task").desc(), F.col("last_us").desc_nulls_last(), F.col("address_id")], 2, 100)
+
+
+@query("place_facets", f"""
+SELECT 'tier' AS facet, tier AS value, count(*) AS n FROM {PLACES} GROUP BY ALL UNION ALL SELECT 'status', status, count(*) FROM {PLACES} GROUP BY ALL
+UNION ALL SELECT 'town_id', town_id, count(*) FROM {PLACES} GROUP BY ALL UNION ALL SELECT 'has_task', has_task::VARCHAR, count(*) FROM {PLACES} GROUP BY ALL""")
+def place_facets(v):
+    return decision.facets(places(v), ["tier", "status", "town_id", "has_task"])
 
 
 # ---- residue matchers ------------------------------------------------------------------------------

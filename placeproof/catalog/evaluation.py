@@ -23,7 +23,8 @@ GRADE = "CASE WHEN err<=100 THEN 3 WHEN err<=250 THEN 2 WHEN err<=500 THEN 1 ELS
 
 
 def labels(v):
-    return evidence.proxy_label(belief.evidence_stage(v))
+    """Proxy labels from what the log held before the candidates' cut."""
+    return evidence.proxy_label(known_before(belief.evidence_stage(v), AS_OF))
 
 
 def scored(v):
@@ -154,25 +155,32 @@ def selection_variants(v):
     return union_all([ev.top1(j, o).agg(F.lit(n).alias("variant"), F.count("*").alias("n"), *ev.hits()) for n, o in picks.items()])
 
 
-T0 = "2024-01-15 00:00:00"
+CUT_POINTS = ["2024-01-10 00:00:00", "2024-01-15 00:00:00"]
 
 
-@query("temporal_holdout", f"""
-WITH fut AS (SELECT address_id, quantile_cont(x,0.5) AS lx, quantile_cont(y,0.5) AS ly FROM w_ev WHERE observed_at >= TIMESTAMP '{T0}' AND polarity='positive' AND weight>=0.5 AND x IS NOT NULL GROUP BY 1),
- past AS (SELECT * FROM w_ev WHERE observed_at < TIMESTAMP '{T0}' AND polarity='positive' AND weight>=0.35 AND x IS NOT NULL),
+def _holdout_sql(t0):
+    return f"""SELECT '{t0[:10]}' AS cut, * FROM (WITH fut AS (SELECT address_id, quantile_cont(x,0.5) AS lx, quantile_cont(y,0.5) AS ly FROM w_ev WHERE observed_at >= TIMESTAMP '{t0}' AND polarity='positive' AND weight>=0.5 AND x IS NOT NULL GROUP BY 1),
+ past AS (SELECT * FROM w_ev WHERE observed_at < TIMESTAMP '{t0}' AND polarity='positive' AND weight>=0.35 AND x IS NOT NULL),
  md AS (SELECT m.address_id, mx, my FROM (SELECT address_id, count(*) AS n, quantile_cont(x,0.5) AS mx, quantile_cont(y,0.5) AS my FROM past WHERE weight>=0.5 GROUP BY 1 HAVING count(*)>=2) m JOIN past p ON p.address_id=m.address_id AND p.weight>=0.5
   GROUP BY ALL HAVING max({dist('p.x','p.y','mx','my')}) <= 30),
  sg AS (SELECT address_id, x, y FROM past QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY weight DESC, observation_id) = 1),
  pk AS (SELECT f.address_id, lx, ly, CASE WHEN md.mx IS NOT NULL THEN 'field_median' WHEN sg.x IS NOT NULL THEN 'field_single' WHEN geocoder_x IS NOT NULL THEN 'cold_pin' ELSE 'none' END AS source,
   coalesce(round(mx,3), sg.x, geocoder_x) AS px, coalesce(round(my,3), sg.y, geocoder_y) AS py FROM fut f LEFT JOIN md USING (address_id) LEFT JOIN sg USING (address_id) LEFT JOIN w_pin USING (address_id))
-SELECT source, count(*) AS n, round(quantile_cont(err,0.5),3) AS median, {HITS} FROM (SELECT *, {dist('px','py','lx','ly')} AS err FROM pk) GROUP BY 1""")
+SELECT source, count(*) AS n, round(quantile_cont(err,0.5),3) AS median, {HITS} FROM (SELECT *, {dist('px','py','lx','ly')} AS err FROM pk) GROUP BY 1)"""
+
+
+@query("temporal_holdout", " UNION ALL ".join(_holdout_sql(t) for t in CUT_POINTS))
 def temporal_holdout(v):
-    """Candidates from the log before T0, labels from it after T0; warm first, cold pin as fallback."""
+    """Candidates from the log before a cut, labels from it after the cut; warm first, cold pin as fallback; two cuts."""
+    return union_all([_holdout(v, t).withColumn("cut", F.lit(t[:10])) for t in CUT_POINTS])
+
+
+def _holdout(v, at):
     e = belief.evidence_stage(v)
-    t0 = F.lit(T0).cast("timestamp")
+    t0 = F.lit(at).cast("timestamp")
     fut = (e.filter((F.col("observed_at") >= t0) & (F.col("polarity") == "positive") & (F.col("weight") >= 0.5) & F.col("x").isNotNull())
            .groupBy("address_id").agg(F.percentile("x", 0.5).alias("lx"), F.percentile("y", 0.5).alias("ly")))
-    fe = cand.field_evidence(known_before(e, T0))
+    fe = cand.field_evidence(known_before(e, at))
     med = fe.filter("primary_eligible").select("address_id", F.col("x").alias("mx"), F.col("y").alias("my"))
     one = fe.filter("not primary_eligible and arm_rank = 1").select("address_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
     j = fut.join(med, "address_id", "left").join(one, "address_id", "left").join(v.pin(), "address_id", "left")
@@ -196,28 +204,38 @@ def prequential_replay(v):
     return h.groupBy(F.col("v").alias("step"), "tier", "status").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"))
 
 
+def in_blocks(v, df):
+    """Rows with the group that is redrawn as a whole: the place block, else the address itself."""
+    from placeproof.catalog.joins import blocks_stage
+    b = blocks_stage(v).select(F.col("id").alias("address_id"), "block_id")
+    return df.join(b, "address_id", "left").withColumn("group", F.coalesce(F.concat(F.lit("b"), "block_id"), F.concat(F.lit("a"), "address_id")))
+
+
 @query("bootstrap_mean")
 def bootstrap_mean(v):
     t = top(v).withColumn("hit", (F.col("err") <= 100).cast("double"))
-    return bootstrap.grouped_mean_ci(t, "hit", "address_id")
+    return bootstrap.grouped_mean_ci(in_blocks(v, t), "hit", "group")
 
 
-@query("bootstrap_point", "SELECT round(avg((err<=100)::INTEGER),4) AS point, count(*) AS n, count(DISTINCT address_id) AS n_groups FROM w_err WHERE rank=1")
+@query("bootstrap_point", """
+SELECT round(avg((err<=100)::INTEGER),4) AS point, count(*) AS n, count(DISTINCT coalesce('b'||block_id, 'a'||address_id)) AS n_groups, 10000 AS resamples
+FROM w_err LEFT JOIN w_block ON id = address_id WHERE rank=1""")
 def bootstrap_point(v):
-    return bootstrap_mean(v).select("point", "n", "n_groups")
+    return bootstrap_mean(v).select("point", "n", "n_groups", F.col("resamples").cast("int").alias("resamples"))
 
 
 @query("bootstrap_median")
 def bootstrap_median(v):
-    return bootstrap.grouped_median_ci(top(v), "err", "address_id")
+    return bootstrap.grouped_median_ci(in_blocks(v, top(v)), "err", "group")
 
 
 @query("bootstrap_paired_difference")
 def bootstrap_paired_difference(v):
-    """Rule pick minus oracle pick, resampled together; resolved when the interval excludes zero."""
-    j = ev.oracle_pick(scored(v)).join(top(v).select("address_id", "err"), "address_id").withColumn("d", F.col("err") - F.col("oracle_err"))
-    ci = bootstrap.grouped_mean_ci(j, "d", "address_id")
-    return ci.withColumn("resolved", (F.col("lo") > 0) | (F.col("hi") < 0))
+    """Rule pick minus oracle pick, mean and median, resampled together; resolved when the interval excludes zero."""
+    j = in_blocks(v, ev.oracle_pick(scored(v)).join(top(v).select("address_id", "err"), "address_id").withColumn("d", F.col("err") - F.col("oracle_err")))
+    ci = union_all([f(j, "d", "group").withColumn("statistic", F.lit(n)) for n, f in (("mean", bootstrap.grouped_mean_ci), ("median", bootstrap.grouped_median_ci))])
+    return ci.withColumn("resolved", (F.col("lo") > 0) | (F.col("hi") < 0)).withColumn(
+        "direction", F.when(F.col("point") > 0, "worse").when(F.col("point") < 0, "better").otherwise("equal"))
 
 
 @query("placebo_points")
@@ -429,8 +447,10 @@ def _challenger(train, test):
 
 
 def _design(v):
-    d = surveyed_scored(v).withColumn("label", (F.col("err") <= 250).cast("double")).fillna(0.0, NUM)
-    return d.withColumn("fold", F.pmod(F.xxhash64("address_id"), F.lit(5)))
+    """Folds are those of the place blocks; an address without a block has a fold of its own id."""
+    from placeproof.catalog.sets import folds
+    d = in_blocks(v, surveyed_scored(v).withColumn("label", (F.col("err") <= 250).cast("double")).fillna(0.0, NUM)).join(folds(v), "block_id", "left")
+    return d.withColumn("fold", F.coalesce("fold", F.pmod("address_id", F.lit(5))))
 
 
 @query("logistic_challenger")

@@ -247,7 +247,7 @@ SELECT *, n_strong >= 2 AND (n_collectors >= 2 OR period_ok) AND media_ok AS pro
 FROM (SELECT address_id, count(*) AS n_strong, count(DISTINCT agent_id) AS n_collectors, count(DISTINCT period) AS n_periods, count(DISTINCT media) AS n_media,
  count(media) AS n_with_media, min(day) AS first_day, max(day) AS last_day FROM w_ev WHERE polarity='positive' AND weight >= 0.5 GROUP BY 1))"""
 VIEWS["w_label"] = """
-SELECT address_id, quantile_cont(x,0.5) AS lx, quantile_cont(y,0.5) AS ly, count(*) AS n_label FROM w_ev WHERE polarity='positive' AND weight>=0.5 AND x IS NOT NULL
+SELECT address_id, quantile_cont(x,0.5) AS lx, quantile_cont(y,0.5) AS ly, count(*) AS n_label FROM w_evcut WHERE polarity='positive' AND weight>=0.5 AND x IS NOT NULL
 GROUP BY 1 HAVING count(*) >= 2"""
 
 EARLY = "2024-01-03 00:00:00"

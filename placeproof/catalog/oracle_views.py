@@ -142,6 +142,9 @@ SELECT id AS node, id AS comp FROM w_xy UNION
 SELECT CASE WHEN a = node THEN b ELSE a END, comp FROM w_reach JOIN w_link ON a = node OR b = node""",
     "w_block": """
 SELECT id, zone, x, y, block_id FROM w_xy JOIN (SELECT node AS id, min(comp) AS block_id FROM w_reach GROUP BY 1) USING (id)""",
+    "w_fold": """
+SELECT block_id, (row_number() OVER (ORDER BY zone, cx, cy, block_id)-1) % 5 AS fold FROM (
+ SELECT block_id, zone, round(avg(x),2) AS cx, round(avg(y),2) AS cy FROM w_block GROUP BY 1,2)""",
 }
 
 

@@ -12,7 +12,7 @@ TABLE_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer":
               "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
               "lineitem": ["l_orderkey", "l_linenumber"], "labels": ["doc_id"],
               "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
-              "pages": ["page_id"], "documents": ["doc_id"], "events": ["event_id"]}
+              "pages": ["page_id"], "documents": ["doc_id"], "events": ["event_id"], "embeddings": ["vec_id"]}
 COLUMNS = {
     "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
@@ -26,7 +26,8 @@ COLUMNS = {
     "labels": ["doc_id", "quality", "toxic"], "benchmark": ["item_id", "text"],
     "conversations": ["conv_id", "turn", "role", "text"], "pages": ["page_id", "url", "html"],
     "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"]}
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "embeddings": ["vec_id", "embedding", "label"]}
 
 
 @query("source_address", "SELECT address_id, account_id, town_id, address_type, added_date::VARCHAR AS added_date, address_text FROM w_address")
@@ -112,7 +113,7 @@ def _table_profile_sql(t, keys):
             f"round(100.0*sum({nulls})/(count(*)*{len(cols)}),3) AS null_pct FROM {t}")
 
 
-PROFILED = ["nation", "customer", "part", "orders", "lineitem", "events", "documents", "labels"]
+PROFILED = list(TABLE_KEYS)
 
 
 @query("table_profile", "\nUNION ALL ".join(_table_profile_sql(t, TABLE_KEYS[t]) for t in PROFILED))
@@ -120,29 +121,31 @@ def table_profile(v):
     return union_all([profile.table_profile(v.raw(t), t, TABLE_KEYS[t]) for t in PROFILED])
 
 
-NUMERIC = {"c_custkey", "c_nationkey", "c_acctbal", "p_partkey", "p_size", "p_retailprice"}
-DOUBLES = {"c_acctbal", "p_retailprice"}
+TEXTS = {"r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus",
+         "text", "role", "url", "html", "lang", "source", "event_type", "props"}
+DOUBLES = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
+TIMES = {"o_orderdate", "l_shipdate", "ts"}
 
 
 def _column_profile_sql(t):
     parts = []
     for c in COLUMNS[t]:
-        s = f"{c}::DECIMAL(20,4)::VARCHAR" if c in DOUBLES else f"{c}::VARCHAR"
-        d = f"{c}::DECIMAL(20,4)::DOUBLE" if c in NUMERIC else "NULL::DOUBLE"
+        s = (f"{c}::DECIMAL(20,4)::VARCHAR" if c in DOUBLES else f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c in TIMES
+             else f"len({c})||' values'" if c == "embedding" else f"left({c}::VARCHAR, 40)")
+        d = "NULL::DOUBLE" if c in TEXTS | TIMES | {"embedding"} else f"{c}::DOUBLE"
         parts.append(
             f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*)-count({c}) AS n_null, "
-            f"count(DISTINCT {s}) AS n_distinct, min({d}) AS min_value, max({d}) AS max_value, round(avg({d}),3) AS mean_value, "
-            f"(SELECT string_agg(val||':'||n, '|' ORDER BY n DESC, val) FROM (SELECT {s} AS val, count(*) AS n FROM {t} WHERE {c} IS NOT NULL "
-            f"GROUP BY 1 ORDER BY n DESC, val LIMIT 3)) AS top_values, round(100.0*count(DISTINCT {s})/count(*),3) AS pct_unique FROM {t}")
+            f"count(DISTINCT {c}) AS n_distinct, min({d}) AS min_value, max({d}) AS max_value, round(avg({d}),3) AS mean_value, "
+            f"(SELECT string_agg(val||':'||n, '|' ORDER BY n DESC, val) FROM (SELECT {s} AS val, n FROM (SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL "
+            f"GROUP BY 1) ORDER BY n DESC, val LIMIT 3)) AS top_values, round(100.0*count(DISTINCT {c})/count(*),3) AS pct_unique FROM {t}")
     return "\nUNION ALL ".join(parts)
 
 
-COLUMN_SQL = _column_profile_sql("customer") + "\nUNION ALL " + _column_profile_sql("part")
+COLUMN_SQL = "\nUNION ALL ".join(_column_profile_sql(t) for t in PROFILED)
 
 
 def _columns(v):
-    return union_all([profile.column_profile(v.raw(t)).withColumn("table_name", F.lit(t))
-                      for t in ("customer", "part")])
+    return union_all([profile.column_profile(v.raw(t)).withColumn("table_name", F.lit(t)) for t in PROFILED])
 
 
 @query("column_profile", COLUMN_SQL)
@@ -152,11 +155,11 @@ def column_profile(v):
 
 @query("constant_columns", f"""
 SELECT table_name, column_name, n_distinct <= 1 AS is_constant,
-  regexp_extract(top_values, '^[^|]*:(\\d+)', 1)::BIGINT / n_rows >= 0.99 AS is_near_constant, pct_unique >= 90 AS is_id_like
+  try_cast(regexp_extract(top_values, '(?s)^.{{0,60}}?:(\\d+)(\\||$)', 1) AS BIGINT) / n_rows >= 0.99 AS is_near_constant, pct_unique >= 90 AS is_id_like
 FROM ({COLUMN_SQL})""")
 def constant_columns(v):
     return union_all([profile.constant_flags(profile.column_profile(v.raw(t)))
-                      .withColumn("table_name", F.lit(t)) for t in ("customer", "part")])
+                      .withColumn("table_name", F.lit(t)) for t in PROFILED])
 
 
 LINKS = [("visit->address", "events", "user_id", "customer", "c_custkey"),
@@ -219,13 +222,23 @@ def coordinate_ranges(v):
         F.count_if(F.col(x).isNull() | F.col(y).isNull()).alias("n_null")) for t, x, y in COORDS])
 
 
-@query("decimal_precision", """
-SELECT digits, count(*) AS n FROM (SELECT length(rtrim(split_part(geocoder_x::DECIMAL(20,6)::VARCHAR,'.',2),'0')) AS digits FROM w_pin)
-GROUP BY 1""")
+DIGITS = [(t, c) for t, x, y in COORDS if t != "trace" for c in (x, y)]
+
+
+@query("decimal_precision", f"""
+WITH d AS ({' UNION ALL '.join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, length(rtrim(split_part({c}::DECIMAL(20,6)::VARCHAR,'.',2),'0')) AS digits FROM w_{t} WHERE {c} IS NOT NULL" for t, c in DIGITS)})
+SELECT table_name, column_name, digits, count(*) AS n, any_value(m) AS median_digits FROM d JOIN (SELECT table_name, column_name, quantile_cont(digits, 0.5)::DOUBLE AS m FROM d GROUP BY ALL) USING (table_name, column_name) GROUP BY 1,2,3""")
 def decimal_precision(v):
-    s = F.col("geocoder_x").cast("decimal(20,6)").cast("string")
-    d = F.length(F.rtrim(F.split_part(s, F.lit("."), F.lit(2)), F.lit("0"))).cast("long")
-    return v.pin().groupBy(d.alias("digits")).agg(F.count("*").alias("n"))
+    """Decimal digits of each coordinate column: counts per number of digits, and their median."""
+    def one(t, c):
+        s = F.col(c).cast("decimal(20,6)").cast("string")
+        d = F.length(F.rtrim(F.split_part(s, F.lit("."), F.lit(2)), F.lit("0"))).cast("long")
+        return getattr(v, t)().filter(F.col(c).isNotNull()).groupBy(d.alias("digits")).agg(F.count("*").alias("n")).select(
+            F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "digits", "n")
+    counts = union_all([one(t, c) for t, c in DIGITS])
+    # at most seven rows per column from here
+    m = counts.groupBy("table_name", "column_name").agg(F.percentile("digits", 0.5, F.col("n")).alias("median_digits"))
+    return counts.join(m, ["table_name", "column_name"])
 
 
 @query("duplicate_point_piles", """
@@ -258,7 +271,8 @@ def outlier_rules(v):
 
 
 MISSING = [("photo_hash", "not_captured"), ("gps_accuracy_m", "device_gap"),
-           ("dwell_s", "device_gap"), ("remark", "structural")]
+           ("dwell_s", "device_gap"), ("remark", "structural"), ("start_ts", "device_gap"), ("outcome", "required"),
+           ("agent_id", "required"), ("address_id", "required"), ("observed_at", "required")]
 
 
 @query("missingness_by_class", "\nUNION ALL ".join(
@@ -289,18 +303,21 @@ def parent_child_conflicts(v):
 @query("cleaning_log", """
 SELECT 'trace' AS table_name, 'drop_axis_artefacts' AS rule, count(*) AS rows_in, count(*) FILTER (dx<>0 AND dy<>0) AS rows_out,
   count(*) FILTER (dx=0 OR dy=0) AS dropped FROM w_trace
-UNION ALL SELECT 'address', 'normalise_text', count(*), count(*), 0 FROM w_address
-UNION ALL SELECT 'visit', 'drop_without_position', count(*), count(*) FILTER (visit_id % 53 <> 0), count(*) FILTER (visit_id % 53 = 0) FROM w_visit""")
+UNION ALL SELECT 'address', 'drop_empty_text', count(*), count(*) FILTER (norm <> ''), count(*) FILTER (norm = '') FROM w_addr
+UNION ALL SELECT 'address', 'normalise_text', count(*), count(*) FILTER (norm = address_text), count(*) FILTER (norm <> address_text) FROM w_addr
+UNION ALL SELECT 'visit', 'drop_without_position', count(*), count(*) FILTER (checkin_x IS NOT NULL AND checkin_y IS NOT NULL), count(*) FILTER (checkin_x IS NULL OR checkin_y IS NULL) FROM w_checkin""")
 def cleaning_log(v):
-    """Per rule: rows in, out and dropped, each from one counting pass."""
+    """Per rule: rows in, out (unchanged) and dropped (or changed), each from one counting pass."""
     def log(df, table, rule, keep):
         return df.agg(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
                       F.count("*").alias("rows_in"), F.count_if(keep).alias("rows_out"),
                       F.count_if(~keep).alias("dropped"))
+    addr = v.address().withColumn("norm", text.norm_text(F.col("address_text")))
     return union_all([
         log(v.trace(), "trace", "drop_axis_artefacts", (F.col("dx") != 0) & (F.col("dy") != 0)),
-        log(v.address(), "address", "normalise_text", F.lit(True)),
-        log(v.visit(), "visit", "drop_without_position", F.col("visit_id") % 53 != 0)])
+        log(addr, "address", "drop_empty_text", F.col("norm") != ""),
+        log(addr, "address", "normalise_text", F.col("norm") == F.col("address_text")),
+        log(v.checkin(), "visit", "drop_without_position", F.col("checkin_x").isNotNull() & F.col("checkin_y").isNotNull())])
 
 
 @query("contract_violations", """
@@ -326,16 +343,22 @@ def contract_violations(v):
         rule(e, "negatives_have_zero_weight", (F.col("polarity") == "negative") & (F.col("weight") != 0))])
 
 
-@query("late_columns")
+LATE = ["outcome", "dwell_s", "gps_accuracy_m", "photo_hash", "remark", "address_text", "address_type", "town_id", "precision", "geocoder_x"]
+LATE_TIERS = "('outcome','T3'),('dwell_s','T2'),('gps_accuracy_m','T2'),('photo_hash','T2'),('remark','T3'),('address_text','T0'),('address_type','T0'),('town_id','T0'),('precision','T0'),('geocoder_x','T0')"
+
+
+@query("late_columns", f"""
+SELECT column_name, n_rows, tier, tier NOT IN ('T0','T1') AS rejected FROM (VALUES {LATE_TIERS}) t(column_name, tier) JOIN (
+ {' UNION ALL '.join(f"SELECT '{c}' AS column_name, count({c}) AS n_rows FROM w_visit JOIN (SELECT address_id, address_text, address_type, town_id FROM w_address) USING (address_id) LEFT JOIN (SELECT address_id, precision, geocoder_x FROM w_pin) USING (address_id)" for c in LATE)}) USING (column_name)""")
 def late_columns(v):
-    """Columns of the joined visit table that are not available at decision time (tier above T1)."""
-    tiers = v.spark.createDataFrame(list(policy.COLUMN_TIERS.items()), "column_name string, tier string")
-    used = v.visit().withColumnRenamed("observed_at", "checkin_ts")
-    names = profile.value_counts(used.select("address_id", "account_id", "outcome", "dwell_s",
-                                             "gps_accuracy_m")).groupBy("column_name").agg(
-        F.sum("n").alias("n_rows"))
-    return names.join(F.broadcast(tiers), "column_name", "left").withColumn(
-        "rejected", F.coalesce(F.col("tier") > "T1", F.lit(True)))
+    """Columns of the joined visit table, filled rows, and whether they come too late for a decision
+    (tier above T1 or unknown).  Names are the schema's; the rows are read once, for the counts."""
+    used = (v.visit().join(v.address().select("address_id", "address_text", "address_type", "town_id"), "address_id")
+            .join(v.pin().select("address_id", "precision", "geocoder_x"), "address_id", "left").select(*LATE))
+    counts = used.agg(*[F.count(c).alias(c) for c in used.columns])
+    tier = F.create_map(*[F.lit(x) for pair in policy.COLUMN_TIERS.items() for x in pair])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_rows")) for c in used.columns])).alias("r")).select("r.*")
+    return rows.withColumn("tier", tier[F.col("column_name")]).withColumn("rejected", ~F.coalesce(F.col("tier").isin("T0", "T1"), F.lit(False)))
 
 
 @query("quality_scorecard", f"""

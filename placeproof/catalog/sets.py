@@ -37,16 +37,22 @@ def supervision_firewall(v):
     return firewall(v).filter("exclusion_reason <> ''").select("address_id", "exclusion_reason")
 
 
+def folds(v):
+    from placeproof.catalog.windows import spatial_folds
+    return spatial_folds(v).select("block_id", "fold")
+
+
 SPLITS = f"""(SELECT address_id, account_id, CASE WHEN s THEN 'S-EVAL' WHEN s OR a OR k THEN 'EXCLUDED' WHEN address_id NOT IN (SELECT address_id FROM w_promo WHERE promoted) THEN 'POOL_UNSUPERVISED'
- WHEN inner_fold = outer_fold THEN 'S-VAL' ELSE 'S-TRAIN' END AS split, outer_fold, inner_fold FROM (SELECT *, address_id % 5 AS outer_fold,
-  list_sum(list_transform(string_split(sha1(account_id::VARCHAR),''), lambda c: instr('0123456789abcdef', c)-1))::BIGINT % 5 AS inner_fold FROM {FIREWALL}))"""
+ WHEN inner_fold = outer_fold THEN 'S-VAL' ELSE 'S-TRAIN' END AS split, outer_fold, inner_fold FROM (SELECT f.*, coalesce(fold, address_id % 5) AS outer_fold,
+  list_sum(list_transform(string_split(sha1(account_id::VARCHAR),''), lambda c: instr('0123456789abcdef', c)-1))::BIGINT % 5 AS inner_fold FROM {FIREWALL} f LEFT JOIN w_block ON id = address_id LEFT JOIN w_fold USING (block_id)))"""
 
 
 @query("split_manifest", f"SELECT address_id, split, outer_fold, inner_fold FROM {SPLITS}")
 def split_manifest(v):
     """S-EVAL / EXCLUDED / POOL / S-VAL / S-TRAIN in rule order."""
     promo = evidence.promotion(belief.evidence_stage(v), ["address_id"]).filter("promoted").select("address_id").withColumn("eligible", F.lit(True))
-    f = firewall(v).join(promo, "address_id", "left").withColumn("outer_fold", F.col("address_id") % 5).withColumn(
+    # The outer fold is the block's, so neighbours never sit on both sides; addresses without a point are in no block.
+    f = firewall(v).join(promo, "address_id", "left").join(folds(v), "block_id", "left").withColumn("outer_fold", F.coalesce("fold", F.col("address_id") % 5)).withColumn(
         "inner_fold", digest.sha1_mod5(F.col("account_id")).cast("long"))
     split = (F.when(F.col("s").isNotNull(), "S-EVAL").when(F.col("exclusion_reason") != "", "EXCLUDED")
              .when(F.col("eligible").isNull(), "POOL_UNSUPERVISED").when(F.col("inner_fold") == F.col("outer_fold"), "S-VAL")

@@ -7,40 +7,46 @@ from placeproof.operators.windows import latest_per_key
 from placeproof.sources import sinks
 
 JSON_ROW = """'{"n_name":"'||n_name||'","n_nationkey":'||n_nationkey||',"n_regionkey":'||n_regionkey||'}'"""
-ORDER_JSON = """'{"o_custkey":'||o_custkey||',"o_orderkey":'||o_orderkey||',"o_orderpriority":"'||o_orderpriority||'","o_orderstatus":"'||o_orderstatus||'"}'"""
+ORDER_JSON = """'{"o_custkey":'||o_custkey||',"o_orderdate":"'||strftime(o_orderdate,'%Y-%m-%d %H:%M:%S')||'","o_orderkey":'||o_orderkey||',"o_orderpriority":"'||o_orderpriority||'","o_orderstatus":"'||o_orderstatus||'","o_totalprice":"'||o_totalprice::DECIMAL(20,4)::VARCHAR||'"}'"""
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def _orders(v):
+    """All columns, prices and dates as fixed text so that a digest does not depend on an engine's number format."""
+    return v.raw("orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(20,4)").cast("string")).withColumn(
+        "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).select(*ORDER_COLUMNS)
+
+
 WORDS = ",'-',".join(f"((sum(('0x'||substr(h,{1 + 15 * i},15))::UBIGINT::HUGEINT)) % 1152921504606846976)::VARCHAR" for i in range(4))
 
 
 @query("row_digests", f"SELECT o_orderkey, sha256({ORDER_JSON}) AS h FROM orders")
 def row_digests(v):
-    cols = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"]
-    return v.raw("orders").select("o_orderkey", digest.row_digest(cols).alias("h"))
+    return _orders(v).select("o_orderkey", digest.row_digest(ORDER_COLUMNS).alias("h"))
 
 
 @query("table_attestation", f"SELECT count(*) AS n_rows, sha256(concat({WORDS})) AS table_digest FROM (SELECT sha256({ORDER_JSON}) AS h FROM orders)")
 def table_attestation(v):
-    cols = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"]
-    return digest.attestation(v.raw("orders").select(digest.row_digest(cols).alias("h")), "h")
+    return digest.attestation(_orders(v).select(digest.row_digest(ORDER_COLUMNS).alias("h")), "h")
 
 
 @query("candidate_fingerprint", f"""
-SELECT count(*) AS n_rows, sha256(concat({WORDS})) AS table_digest FROM (SELECT sha256(candidate_id||'|'||arm||'|'||source_ref||'|'||granularity) AS h FROM w_cand)""")
+SELECT count(*) AS n_rows, sha256(concat({WORDS})) AS table_digest FROM (SELECT sha256(candidate_id||'|'||arm||'|'||source_ref||'|'||granularity||'|'||floor(x*1000)::BIGINT||'|'||floor(y*1000)::BIGINT) AS h FROM w_cand)""")
 def candidate_fingerprint(v):
     from placeproof.catalog.oracle_domain import AS_OF
     from placeproof.plans import belief, candidates
     c = candidates.exploded(belief.bare_sets(v, AS_OF))
-    return digest.attestation(c.select(F.sha2(F.concat_ws("|", "candidate_id", "arm", "source_ref", "granularity"), 256).alias("h")), "h")
+    return digest.attestation(c.select(F.sha2(F.concat_ws("|", "candidate_id", "arm", "source_ref", "granularity", F.floor(F.col("x") * 1000), F.floor(F.col("y") * 1000)), 256).alias("h")), "h")
 
 
 @query("rebuild_check", f"""
 SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000""")
 def rebuild_check(v):
     """Two manifests of one table, the second after a change of status: the changed keys are listed."""
-    o = v.raw("orders")
-    cols = ["o_orderkey", "o_custkey", "o_orderstatus"]
-    changed = o.withColumn("o_orderstatus", F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000), "X")
+    o = _orders(v)
+    changed = o.withColumn("o_orderstatus", F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice").cast("double") > 400000), "X")
                            .otherwise(F.col("o_orderstatus")))
-    a, b = (d.select("o_orderkey", digest.row_digest(cols).alias("digest")) for d in (o, changed))
+    a, b = (d.select("o_orderkey", digest.row_digest(ORDER_COLUMNS).alias("digest")) for d in (o, changed))
     return sinks.rebuild_mismatches(a, b, "o_orderkey").select("o_orderkey")
 
 

@@ -81,15 +81,20 @@ def provenance_chain(v):
     return union_all(parts).withColumn("previous_radius", F.lag("radius_m").over(w)).drop("radius_m")
 
 
-LOST = """CASE WHEN l.f_arm_prior < w.f_arm_prior THEN 'lower_arm_prior' END, CASE WHEN l.f_granularity_rank < w.f_granularity_rank THEN 'coarser_granularity' END,
- CASE WHEN coalesce(w.primary_eligible,FALSE) AND NOT coalesce(l.primary_eligible,FALSE) THEN 'no_promotion_credit' END, CASE WHEN NOT coalesce(l.primary_eligible,TRUE) THEN 'single_observation_not_primary_eligible' END,
- CASE WHEN l.f_pin_unknown=1 THEN 'pin_unknown_penalty' END, CASE WHEN l.f_outside_town=1 THEN 'outside_town_penalty' END, CASE WHEN l.ambiguous THEN 'landmark_ambiguous' END,
- CASE WHEN l.arm='frozen_baseline' AND l.baseline_precision IN ('locality','pincode') THEN 'coarse_precision_penalty' END"""
+LOST = """CASE WHEN f_arm_prior < w_prior THEN 'lower_arm_prior' END, CASE WHEN f_granularity_rank < w_gran THEN 'coarser_granularity' END,
+ CASE WHEN w_elig=1 AND NOT coalesce(primary_eligible,FALSE) THEN 'no_promotion_credit' END, CASE WHEN NOT coalesce(primary_eligible,TRUE) THEN 'single_observation_not_primary_eligible' END,
+ CASE WHEN w_named=1 AND f_locality_name_matched=0 THEN 'locality_name_mismatch' END,
+ CASE WHEN f_pin_unknown=1 THEN 'pin_unknown_penalty' END, CASE WHEN f_outside_town=1 THEN 'outside_town_penalty' END, CASE WHEN ambiguous THEN 'landmark_ambiguous' END,
+ CASE WHEN arm='frozen_baseline' AND baseline_precision IN ('locality','pincode') THEN 'coarse_precision_penalty' END"""
 
 
 @query("lost_reasons", f"""
-SELECT l.address_id, l.candidate_id, round(w.score-l.score,6) AS margin, concat_ws('+', {LOST}) AS lost_reasons
-FROM w_belief b JOIN w_ranked w ON w.address_id=b.address_id AND w.candidate_id=b.candidate_id JOIN w_ranked l ON l.address_id=b.address_id AND l.candidate_id<>b.candidate_id""")
+SELECT address_id, candidate_id, round(w_score-score,6) AS margin, concat_ws('+', {LOST}) AS lost_reasons FROM (
+ SELECT r.*, win, max(score) FILTER (candidate_id=win) OVER a AS w_score, max(f_arm_prior) FILTER (candidate_id=win) OVER a AS w_prior,
+  max(f_granularity_rank) FILTER (candidate_id=win) OVER a AS w_gran, max(coalesce(primary_eligible,FALSE)::INTEGER) FILTER (candidate_id=win) OVER a AS w_elig,
+  max(f_locality_name_matched) FILTER (candidate_id=win) OVER a AS w_named
+ FROM w_ranked r JOIN (SELECT address_id, candidate_id AS win FROM w_belief WHERE candidate_id IS NOT NULL) USING (address_id) WINDOW a AS (PARTITION BY address_id))
+WHERE candidate_id <> win""")
 def lost_reasons(v):
     return history.lost_reasons(belief.ranked_at(v, AS_OF), belief.belief_at(v, AS_OF))
 

@@ -185,6 +185,12 @@ def duplicate_claims(v):
     return evidence.duplicate_claims(v.observation())
 
 
+@query("media_seen_before", """
+SELECT observation_id, observed_at > min(observed_at) OVER (PARTITION BY media) AS seen_before FROM w_obs WHERE media IS NOT NULL""")
+def media_seen_before(v):
+    return evidence.media_seen_before(v.observation())
+
+
 @query("duplicate_media_clusters", "SELECT media, count(*) AS n_rows FROM w_obs WHERE media IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def duplicate_media_clusters(v):
     return evidence.duplicate_media(v.observation())

@@ -9,14 +9,25 @@ def known_before(log: DataFrame, cut, ts: str = "observed_at") -> DataFrame:
 
 
 def known_before_each(log: DataFrame, cuts: DataFrame, ts: str = "observed_at") -> DataFrame:
-    """Rows strictly before each instant of a small cut table (column `cut`).
+    """Rows strictly before each instant of a cut table (column `cut`), one row per log row and cut.
 
-    The cuts are a handful of report dates: they ride along as one array column built from the
-    plan, so the log is scanned once and no nested-loop join is planned.
+    Cuts are numbered in order.  Each log row finds the first cut after it: the next one of the same
+    day, else the first one of a later day; it then belongs to that cut and all later ones, which is an
+    equi-join on the number.  Any number of cuts; rows without an instant are before none.
     """
-    instants = [r["cut"] for r in cuts.limit(1000).collect()]
-    arr = F.array(*[F.lit(c).cast("timestamp") for c in sorted(instants)])
-    return log.withColumn("cut", F.explode(F.filter(arr, lambda c: F.col(ts) < c)))
+    order = Window.orderBy("cut")
+    c = cuts.select(F.col("cut").cast("timestamp").alias("cut")).filter("cut is not null").distinct().withColumn("_i", F.row_number().over(order))
+    rows = log.select(*log.columns, F.col(ts).cast("timestamp").alias("_t"), F.lit(0).alias("_o"), F.lit(None).cast("int").alias("_i"))
+    marks = c.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema], F.col("cut").alias("_t"), F.lit(1).alias("_o"), "_i")
+    line = rows.filter("_t is not null").unionByName(marks).withColumn("_day", F.date_trunc("day", "_t"))
+    # Backwards in time; a log row at the instant of a cut comes first, so it does not see that cut.
+    inside = F.min("_i").over(Window.partitionBy("_day").orderBy(F.desc("_t"), "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    days = line.groupBy("_day").agg(F.min("_i").alias("_d")).withColumn("_later", F.min("_d").over(
+        Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)))
+    last = c.agg(F.max("_i").alias("_n"))
+    known = (line.withColumn("_in", inside).filter("_o = 0").join(days.select("_day", "_later"), "_day").crossJoin(F.broadcast(last))  # one row
+             .select(*log.columns, F.explode(F.sequence(F.coalesce("_in", "_later"), "_n")).alias("_i")))
+    return known.join(c, "_i").select(*log.columns, "cut")
 
 
 def latest_before(points: DataFrame, log: DataFrame, keys: list[str], at: str, ts: str,

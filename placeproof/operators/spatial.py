@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeproof.functions.geo import distance
+from placeproof.session import checkpoint
 
 
 def _cells(x: Column, y: Column, r: float):
@@ -49,27 +50,30 @@ def close_pairs(points: DataFrame, id_col: str, r: float, scope: list[str] | Non
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start_r: float,
-            scope: list[str] | None = None, growth: float = 4.0, rounds: int = 12) -> DataFrame:
+            scope: list[str] | None = None, growth: float = 4.0) -> DataFrame:
     """Nearest right row per left row (ties by id), by expanding grid rings.
 
     Each round joins at radius r only the rows still unmatched; a row is settled when a match at most
-    r away exists, which no farther row can beat.  Rows in a scope without right rows stay out.
+    r away exists, which no farther row can beat.  Rounds go on until every row is settled.  Rows
+    without a position and rows in a scope without right rows stay out.
     """
     scope = scope or []
-    out, rest, r = None, left, start_r
+    right = right.filter("x2 is not null and y2 is not null")
+    out, rest, r = None, left.filter("x is not null and y is not null"), start_r
     if scope:
         rest = rest.join(right.select(*scope).distinct(), scope, "left_semi")
-    for i in range(rounds):
+    elif right.isEmpty():
+        rest = rest.limit(0)
+    while True:
         hit = within(rest, right, r, scope)
         got = (hit.groupBy(left_id).agg(
             F.min(F.struct(F.col("d"), F.col(right_id))).alias("m"))
             .select(left_id, F.col(f"m.{right_id}").alias(right_id), F.col("m.d").alias("d")))
-        if i + 1 < rounds:
-            from placeproof.session import checkpoint
-            got = checkpoint(got)
-            out = got if out is None else out.unionByName(got)
-            rest = checkpoint(rest.join(got.select(left_id), left_id, "left_anti"))
-            if rest.isEmpty():
-                return out
+        got = checkpoint(got)
+        out = got if out is None else out.unionByName(got)
+        rest = checkpoint(rest.join(got.select(left_id), left_id, "left_anti"))
+        if rest.isEmpty():
+            return out
         r *= growth
-    return out
+        if r > 1e12:                        # wider than any plane in use: not a position (infinite or NaN)
+            raise ValueError("a position is not finite")

@@ -70,15 +70,22 @@ def contains_join(texts: DataFrame, names: DataFrame, text_col: str, name_col: s
     """Rows of `texts` x `names` where the text contains the name, without a nested-loop join.
 
     A name occurs in a text only if the name's first n characters do, so both sides meet in an
-    equi-join on distinct n-grams and the exact test filters.  Names shorter than n are rejected.
+    equi-join on distinct n-grams and the exact test filters.  A name shorter than n is itself a gram
+    of its length, so it meets the texts' grams of that length.  Empty names match nothing.
     """
     scope = scope or []
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col) - (n - 1))),
-        lambda i: F.substring(text_col, i, F.lit(n))))
-    t = texts.withColumn("_g", F.explode(grams))
-    m = names.filter(F.length(name_col) >= n).withColumn("_g", F.substring(name_col, 1, n))
-    return t.join(m, [*scope, "_g"]).filter(F.contains(F.col(text_col), F.col(name_col))).drop("_g")
+
+    def meet(size: int, own: DataFrame) -> DataFrame:
+        grams = F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col) - (size - 1))),
+            lambda i: F.substring(text_col, i, F.lit(size))))
+        t = texts.withColumn("_g", F.explode(grams))
+        m = own.withColumn("_g", F.substring(name_col, 1, size))
+        return t.join(m, [*scope, "_g"]).filter(F.contains(F.col(text_col), F.col(name_col))).drop("_g")
+    out = meet(n, names.filter(F.length(name_col) >= n))
+    for size in range(1, n):
+        out = out.unionByName(meet(size, names.filter(F.length(name_col) == size)))
+    return out
 
 
 def jaccard_lookup(queries: DataFrame, records: DataFrame, threshold: float, scope: list[str],

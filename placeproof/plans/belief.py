@@ -12,13 +12,27 @@ from placeproof.policy import BASE, Policy
 from placeproof.sources.stages import stage
 
 
-def radius(tier: Column, n_neg: Column, stale: Column) -> Column:
-    """Fallback radius (only `locality` is publishable) times the widening factors."""
+def published(stratum: Column) -> Column:
+    """The stratum whose radius is shown: its own where publishable with enough calibration rows, else the fallback."""
+    own = [s for s, r, n, _, ok in policy.RADIUS_TABLE if ok and r is not None and n >= policy.RADIUS_MIN_N]
+    return F.when(stratum.isin(own), stratum).otherwise(F.lit(policy.FALLBACK_STRATUM))
+
+
+def radius_entry(stratum: Column, field: int) -> Column:
+    """A column of the radius table for the published stratum (1 radius, 2 calibration rows, 3 measured coverage)."""
+    out = F.lit(None)
+    for row in policy.RADIUS_TABLE:
+        out = F.when(published(stratum) == row[0], F.lit(row[field])).otherwise(out)
+    return out
+
+
+def radius(tier: Column, n_neg: Column, stale: Column, stratum: Column) -> Column:
+    """Radius of the published stratum times the widening factors."""
     factor = F.when(tier == "PROBABLE", 1.25).when(tier == "APPROXIMATE", 1.5).otherwise(1.0)
     neg = F.least(F.lit(1.5), 1.0 + 0.05 * n_neg) * F.when(n_neg >= 2, 1.35).otherwise(1.0)
     factor = F.when(n_neg >= 1, factor * neg).otherwise(factor)
     factor = F.when(stale, factor * 1.2).otherwise(factor)
-    return F.when(tier != "UNPLACEABLE", F.round(policy.FALLBACK_RADIUS_M * factor, 1))
+    return F.when(tier != "UNPLACEABLE", F.round(radius_entry(stratum, 1) * factor, 1))
 
 
 def widen_reason(stratum: Column, tier: Column, n_neg: Column, stale: Column) -> Column:
@@ -84,7 +98,8 @@ def decide(ranked: DataFrame, ev: DataFrame, as_of: str, p: Policy = BASE) -> Da
         d = d.withColumn(c, F.coalesce(c, F.lit(0)).cast("long"))
     d = (d.withColumn("promoted", F.coalesce("promoted", F.lit(False)))
          .withColumn("positive_weight_sum", F.coalesce("positive_weight_sum", F.lit(0.0))))
-    base_r = F.round(F.lit(policy.FALLBACK_RADIUS_M) * 1.5, 1)
+    stratum = F.coalesce("p.c.stratum", "p.c.granularity", F.lit("locality"))
+    base_r = F.round(radius_entry(stratum, 1) * 1.5, 1)
     contested = F.coalesce(F.col("spread") > p.contest_multiple * base_r, F.lit(False))
     fine = F.col("p.c.granularity").isin("street", "rooftop")
     tier = (F.when(F.col("p").isNull(), "UNPLACEABLE").when(F.col("contested"), "APPROXIMATE")
@@ -109,7 +124,6 @@ def decide(ranked: DataFrame, ev: DataFrame, as_of: str, p: Policy = BASE) -> Da
          .withColumn("status", F.when(F.col("contested"), "CONTESTED")
                      .when(F.col("n_neg") >= p.negatives_min, "MOVED_SUSPECTED")
                      .when(F.col("stale"), "STALE").otherwise("STABLE")))
-    stratum = F.coalesce("p.c.stratum", "p.c.granularity", F.lit("locality"))
     return d.select(
         "address_id", "town_id", at.alias("as_of"),
         (F.col("n_obs") + 1).alias("belief_version"),
@@ -118,7 +132,7 @@ def decide(ranked: DataFrame, ev: DataFrame, as_of: str, p: Policy = BASE) -> Da
         F.col("p.c.granularity").alias("granularity"), stratum.alias("stratum"),
         F.col("p.c.primary_eligible").alias("primary_eligible"),
         F.col("p.score").alias("score"), "tier", "status",
-        radius(F.col("tier"), F.col("n_neg"), F.col("stale")).alias("radius_m"),
+        radius(F.col("tier"), F.col("n_neg"), F.col("stale"), stratum).alias("radius_m"),
         widen_reason(stratum, F.col("tier"), F.col("n_neg"), F.col("stale"))
         .alias("widen_reason"),
         tier_reason.alias("tier_reason"), capped.alias("negative_cap"), "promoted", "contested",
@@ -206,7 +220,8 @@ def belief_at(v, as_of: str, p: Policy = BASE) -> DataFrame:
 
 
 def belief_from_log(v, ev: DataFrame, as_of: str, name: str, p: Policy = BASE) -> DataFrame:
-    """The same two passes over any evidence log (what-if rows included), as named stages."""
+    """The same two passes over any evidence log (what-if rows included), as stages named by log, cut and policy."""
+    name = f"{name}|{as_of}|{p}"
     known = known_before(ev, as_of)
     sets = stage(v, f"{name}|sets0", lambda: cand.with_agreement(cand.candidate_sets(
         static_stage(v).unionByName(cand.field_evidence(known, p)), p), p))

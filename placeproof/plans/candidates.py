@@ -84,15 +84,21 @@ def locality_tokens(loc: DataFrame, addr: DataFrame, added_before: str | None) -
 
 def locality_hits(addr: DataFrame, loc: DataFrame, added_before: str | None,
                   coverage: float = 0.5) -> DataFrame:
-    """All (address, locality) name matches that pass coverage and hold the rarest token."""
-    lt = locality_tokens(loc, addr, added_before)
-    at = token_index(addr, "address_id", "toks", ["town_id"])
-    return (at.join(lt, ["town_id", "token"])
-            .groupBy("address_id", "locality_id", "n_name")
-            .agg(F.count("*").alias("shared"), F.round(F.sum("idf"), 6).alias("idf_sum"),
-                 F.bool_or(F.col("token") == F.col("rare")).alias("has_rare"))
-            .withColumn("coverage", F.round(F.col("shared") / F.col("n_name"), 6))
-            .filter((F.col("shared") / F.col("n_name") >= coverage) & F.col("has_rare")))
+    """All (address, locality) name matches that pass coverage and hold the rarest token.
+
+    A match holds the name's rarest token, so only that one is joined; coverage is then counted on the
+    few tokens of the name, without a second shuffle.
+    """
+    names = (locality_tokens(loc, addr, added_before).groupBy("town_id", "locality_id", "n_name", "rare")
+             .agg(F.sort_array(F.collect_list(F.struct("token", "idf"))).alias("name")))
+    at = token_index(addr, "address_id", "toks", ["town_id", "toks"])
+    met = at.join(names.withColumnRenamed("rare", "token"), ["town_id", "token"])
+    held = F.filter("name", lambda t: F.array_contains("toks", t["token"]))
+    return (met.withColumn("held", held).select(
+        "address_id", "locality_id", "n_name", F.size("held").cast("long").alias("shared"),
+        F.round(F.aggregate("held", F.lit(0.0), lambda a, t: a + t["idf"]), 6).alias("idf_sum"))
+        .withColumn("coverage", F.round(F.col("shared") / F.col("n_name"), 6))
+        .filter(F.col("shared") / F.col("n_name") >= coverage))
 
 
 def best_locality(hits: DataFrame) -> DataFrame:

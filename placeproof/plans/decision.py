@@ -128,6 +128,32 @@ def tasks(belief: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return t if existing is None else t.join(existing.select("task_id"), "task_id", "left_anti")
 
 
+def with_state(tasks_: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
+    """Tasks with the state their latest event before the cut left them in (`open` without any)."""
+    last = (events.filter(F.col("at") < F.lit(as_of).cast("timestamp")).groupBy("address_id")
+            .agg(F.max_by("kind", F.struct("at", "event_id")).alias("state")))
+    return tasks_.join(last, "address_id", "left").withColumn("state", F.coalesce("state", F.lit("open")))
+
+
+def matching(rows: DataFrame, search: tuple[str, str] | None = None, **accepted) -> DataFrame:
+    """List filter: each keyword names a column and its accepted values (None: any); search is (column, text)."""
+    for column, values in accepted.items():
+        if values is not None:
+            rows = rows.filter(F.col(column).isin(list(values)))
+    return rows if search is None else rows.filter(F.contains(F.lower(search[0]), F.lit(search[1].lower())))
+
+
+def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:
+    """One page of a list in a total order."""
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(facet, value, n) of a filtered list, all facets in one pass."""
+    cells = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
+    return rows.select(F.explode(cells).alias("c")).groupBy("c.facet", "c.value").agg(F.count("*").alias("n"))
+
+
 def bad_transitions(events: DataFrame) -> DataFrame:
     """Task events whose move is not in the state table (the first event must be `open`)."""
     spark = events.sparkSession

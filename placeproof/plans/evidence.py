@@ -42,6 +42,16 @@ def duplicate_media(obs: DataFrame) -> DataFrame:
             .filter("n_rows > 1"))
 
 
+def media_seen_before(obs: DataFrame) -> DataFrame:
+    """(observation_id, seen_before): whether an earlier observation carried the same hash.
+
+    The as-of-safe form of `duplicate_media`: it looks at nothing later than the observation itself.
+    """
+    first = obs.filter("media is not null").groupBy("media").agg(F.min("observed_at").alias("first_at"))
+    return (obs.filter("media is not null").join(first, "media")
+            .select("observation_id", (F.col("observed_at") > F.col("first_at")).alias("seen_before")))
+
+
 def duplicate_claims(obs: DataFrame) -> DataFrame:
     """Each observation whose hash another observation at the same address already carries.
 

@@ -34,9 +34,8 @@ PRECISION_TO_GRANULARITY = {"rooftop": "rooftop", "street": "street", "locality"
 # Radius table (metres), its calibration size and measured coverage.
 # Only a stratum with n >= 15 is published under its own name; the rest fall back to `locality`.
 FALLBACK_STRATUM = "locality"
-FALLBACK_RADIUS_M = 539.9
-FALLBACK_N = 24
-FALLBACK_COVERAGE = 0.792
+FALLBACK_STRATUM = "locality"
+RADIUS_MIN_N = 15
 RADIUS_TABLE = [
     ("locality", 539.9, 24, 0.792, True),
     ("street", 162.1, 5, 1.000, False),
@@ -80,11 +79,13 @@ DECISION_OUTCOME = {"confirm": "met_family", "deny": "no_such_person",
 
 # Column availability tiers for the late-column check.
 COLUMN_TIERS = {
-    "address_id": "T0", "account_id": "T0", "town_id": "T0", "address_type": "T0",
-    "added_date": "T0", "address_text": "T0", "precision": "T1", "geocoder_x": "T1",
-    "geocoder_y": "T1", "start_ts": "T2", "checkin_ts": "T3", "checkin_x": "T3",
-    "checkin_y": "T3", "gps_accuracy_m": "T3", "dwell_s": "T4", "outcome": "T4", "remark": "T4",
-    "photo_hash": "T4",
+    "address_text": "T0", "town_id": "T0", "address_type": "T0", "source": "T0", "added_date": "T0",
+    "geocoder_x": "T0", "geocoder_y": "T0", "precision": "T0", "centroid_x": "T0", "centroid_y": "T0",
+    "pincode": "T0", "approx_radius_m": "T0", "address_style": "T0", "outstanding": "T0",
+    "dpd_start": "T0", "channel": "T2", "tenure_months": "T2", "shift": "T2", "checkin_x": "T2",
+    "checkin_y": "T2", "gps_accuracy_m": "T2", "dwell_s": "T2", "outcome": "T3", "remark": "T3",
+    "photo_hash": "T2", "point_ts": "T2", "surveyed_x": "T4", "surveyed_y": "T4", "split": "meta",
+    "ptp_id": "T3",
 }
 
 

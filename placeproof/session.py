@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a temporary one only where none is set
-    (tests on one machine)."""
+    """The cluster's shared folder (`spark.checkpoint.dir`).
+
+    Where none is set, a session on one machine gets a temporary folder; on a cluster that is an error,
+    because executors could not read what others wrote.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -20,6 +25,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether something was written at a path (any store the session can reach)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage through the shared checkpoint folder."""
     shared_dir(df.sparkSession)

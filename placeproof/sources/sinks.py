@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeproof.functions.digest import row_digest
+from placeproof.session import stored
 
 
 def write_fixed(df: DataFrame, columns: list[str], path: str, fmt: str = "parquet") -> None:
@@ -23,10 +24,7 @@ def new_rows(rows: DataFrame, existing: DataFrame, key: str, order: list[str]) -
 def append_keyed(rows: DataFrame, path: str, key: str, order: list[str]) -> None:
     """Append-only keyed insert: keys already stored are ignored, so a replay changes nothing."""
     spark = rows.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:                       # first write: nothing stored yet
-        existing = rows.limit(0)
+    existing = spark.read.parquet(path) if stored(spark, path) else rows.limit(0)
     new_rows(rows, existing, key, order).write.mode("append").parquet(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from placeproof.operators.asof import known_before
 from placeproof.plans import belief, decision, evidence, history
 from placeproof.policy import BASE
-from placeproof.session import work_path
+from placeproof.session import stored, work_path
 from placeproof.sources import sinks
 
 WATERMARK = "7 days"      # devices may come back late by days; event time is kept
@@ -26,17 +26,19 @@ def visit_stream(v) -> DataFrame:
 
 
 def drain(df: DataFrame, name: str, sink: str | None = None, each_batch=None, mode: str = "append",
-          timeout: int = 600) -> str:
-    """Run a stream over everything there is (backfill) and stop; returns the sink path."""
+          state: str | None = None) -> str:
+    """Run a stream over everything there is (backfill) and stop; returns the sink path.
+
+    With the `state` folder of an earlier run the stream goes on where that run stopped.
+    """
     spark = df.sparkSession
     path = sink or work_path(spark, name)
     w = (df.writeStream.outputMode(mode).trigger(availableNow=True)
-         .option("checkpointLocation", work_path(spark, f"{name}-state")))
+         .option("checkpointLocation", state or work_path(spark, f"{name}-state")))
     w = w.foreachBatch(each_batch) if each_batch else w.format("parquet").option("path", path)
     q = w.start()
     try:
-        if not q.awaitTermination(timeout):
-            raise TimeoutError(f"stream {name} did not finish in {timeout} s")
+        q.awaitTermination()
     finally:
         if q.isActive:
             q.stop()
@@ -92,12 +94,17 @@ def score_on_arrival(visits: DataFrame, dup_media: DataFrame, agent_rate: DataFr
 
 def hold_out_of_order(visits: DataFrame, days: int = 7) -> DataFrame:
     """Per device: hold a row until every smaller sequence number has come or `days` have passed in
-    event time; each row is released exactly once, in (observed_at, seq) order."""
+    event time; each sequence number is released exactly once, in (observed_at, seq) order.
+
+    Numbers that were passed over when a later row expired are remembered as gaps: such a row is still
+    released when it comes, any other number that was released before is a repeat and is dropped.
+    """
     out = "device string, seq long, observed_at timestamp, release string"
     horizon = days * 86_400_000
 
     def run(key, frames, state: GroupState):
-        nxt, held = (state.get[0], list(zip(state.get[1], state.get[2]))) if state.exists else (0, [])
+        nxt, seqs, us, low, high = state.get if state.exists else (0, [], [], [], [])
+        held, gaps = list(zip(seqs, us)), list(zip(low, high))
         if not state.hasTimedOut:
             for pdf in frames:
                 held += [(int(s), int(t.value // 1000)) for s, t in zip(pdf["seq"], pdf["observed_at"])]
@@ -105,19 +112,23 @@ def hold_out_of_order(visits: DataFrame, days: int = 7) -> DataFrame:
         held.sort()
         done, keep = [], []
         for s, us in held:
-            if s <= nxt:
+            if s < nxt:
+                gap = next(((a, b) for a, b in gaps if a <= s < b), None)
+                if gap:
+                    done.append((s, us, "in_order"))
+                    gaps = [g for g in gaps if g != gap] + [(a, b) for a, b in ((gap[0], s), (s + 1, gap[1])) if a < b]
+            elif s == nxt:
                 done.append((s, us, "in_order"))
-                nxt = max(nxt, s + 1)
+                nxt = s + 1
             elif us // 1000 + horizon <= mark:
                 done.append((s, us, "expired"))
+                gaps.append((nxt, s))
                 nxt = s + 1
             else:
                 keep.append((s, us))
+        state.update((nxt, [s for s, _ in keep], [u for _, u in keep], [a for a, _ in gaps], [b for _, b in gaps]))
         if keep:
-            state.update((nxt, [s for s, _ in keep], [u for _, u in keep]))
             state.setTimeoutTimestamp(max(mark + 1, min(u for _, u in keep) // 1000 + horizon))
-        else:
-            state.update((nxt, [], []))
         if done:
             done.sort(key=lambda r: (r[1], r[0]))
             yield pd.DataFrame({"device": key[0], "seq": [d[0] for d in done],
@@ -125,7 +136,7 @@ def hold_out_of_order(visits: DataFrame, days: int = 7) -> DataFrame:
                                 "release": [d[2] for d in done]})
 
     return visits.groupBy("device").applyInPandasWithState(
-        run, out, "nxt long, seqs array<long>, us array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+        run, out, "nxt long, seqs array<long>, us array<long>, low array<long>, high array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activity(visits: DataFrame) -> DataFrame:
@@ -146,10 +157,7 @@ class BeliefUpdater:
         self.log, self.beliefs, self.tasks, self.diffs = (f"{root}/{n}" for n in ("log", "beliefs", "tasks", "diffs"))
 
     def _read(self, path: str, like: DataFrame) -> DataFrame:
-        try:
-            return self.v.spark.read.parquet(path)
-        except Exception:                    # nothing stored yet
-            return like.limit(0)
+        return self.v.spark.read.parquet(path) if stored(self.v.spark, path) else like.limit(0)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         from placeproof.plans import candidates as cand, ranking

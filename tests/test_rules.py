@@ -294,3 +294,47 @@ def test_ambiguous_pin_emits_every_locality(spark):
     loc = spark.createDataFrame([("L1", "T1", "red nagar", "560001"), ("L2", "T1", "blue nagar", "560001"), ("L3", "T1", "old nagar", "560009")],
                                 "locality_id string, town_id string, locality_name string, pincode string")
     assert sorted(r.locality_id for r in cand.locality_matches(addr, loc, None).collect()) == ["L1", "L2"]
+
+
+def test_known_before_each_takes_any_number_of_cuts(spark):
+    import datetime as dt
+    start = dt.datetime(2024, 1, 1)
+    cuts = asof.cut_table(spark, [str(start + dt.timedelta(minutes=37 * i)) for i in range(1200)])
+    log = spark.createDataFrame([(i, start + dt.timedelta(minutes=37 * 40 * i)) for i in range(-1, 31)] + [(99, None)], "k int, observed_at timestamp")
+    got = {(r.k, r.cut) for r in asof.known_before_each(log, cuts).collect()}
+    want = {(k.k, c.cut) for k in log.collect() if k.observed_at for c in cuts.collect() if k.observed_at < c.cut}
+    assert got == want and len({c for _, c in got}) == 1200
+
+
+def test_nearest_settles_every_row(spark):
+    a = spark.createDataFrame([(1, "z", 0.0, 0.0), (2, "z", 5.0, 0.0), (3, "none", 0.0, 0.0), (4, "z", None, 1.0)], "id long, zone string, x double, y double")
+    b = spark.createDataFrame([("far", "z", 3e8, 4e8), ("gone", "z", None, None)], "rid string, zone string, x2 double, y2 double")
+    got = {r.id: (r.rid, r.d) for r in spatial.nearest(a, b, "id", "rid", 1.0, ["zone"]).collect()}
+    assert set(got) == {1, 2} and got[1] == ("far", 5e8)
+
+
+def test_containment_finds_short_names(spark):
+    t = spark.createDataFrame([(1, "ab cd"), (2, "x"), (3, "zabz"), (4, "")], "id long, t string")
+    n = spark.createDataFrame([("a",), ("ab",), ("abz",), ("x",), ("",), ("zab",)], "nm string")
+    got = {(r.id, r.nm) for r in tokenjoin.contains_join(t, n, "t", "nm").collect()}
+    assert got == {(i, m) for i, x in ((1, "ab cd"), (2, "x"), (3, "zabz")) for m in ("a", "ab", "abz", "x", "zab") if m in x}
+
+
+def test_bootstrap_draws_are_poisson_and_bounds_hold(spark):
+    import numpy as np
+    from placeproof.operators import bootstrap
+    w = bootstrap.draws(np.arange(300), np.arange(2000), 7)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.1
+    rows = [(g, float(v)) for g in range(60) for v in np.random.default_rng(g).normal(10 + g % 3, 1, 5)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    mean, med = bootstrap.grouped_mean_ci(df, "v", "g", reps=2000).first(), bootstrap.grouped_median_ci(df, "v", "g", reps=2000).first()
+    x = np.array([v for _, v in rows])
+    assert (mean.n, mean.n_groups, mean.resamples) == (300, 60, 2000) and mean.lo < x.mean() < mean.hi and mean.hi - mean.lo < 1
+    assert abs(med.point - np.median(x)) < 1e-3 and med.lo <= np.median(x) <= med.hi and med.resamples == 2000
+    assert df.repartition(3).count() == 300 and bootstrap.grouped_mean_ci(df.repartition(3), "v", "g", reps=2000).first().lo == mean.lo
+
+
+def test_stage_names_tell_cut_and_policy_apart():
+    import inspect
+    from placeproof.plans import belief
+    assert 'name = f"{name}|{as_of}|{p}"' in inspect.getsource(belief.belief_from_log)
