@@ -27,7 +27,7 @@ from placeproof.llm.components import components, key_filter, mark_match, may_ma
 
 SHINGLE, GROUPS, EACH, AGREE = 9, 2, 4, 3
 #: (least, most) shingles of tier i, which takes one in 4^i.
-TIERS = ((1, 360), (240, 1440), (960, None))
+TIERS = ((1, 240), (160, 960), (640, None))
 STRETCH = 4096
 
 
@@ -85,12 +85,16 @@ def _shingle_hashes(line: Column) -> Column:
     return F.element_at(bound, 1)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of line keys whose shingle sets are similar enough; sets are counted once per line, intersections once per pair."""
-    pairs = stage(pairs, "line-pairs")
-    keys = stage(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "line-keys")
+def _texts(lines: DataFrame, met: DataFrame) -> DataFrame:
+    """(k1, line, n) of the lines that share a bucket; n: size of the shingle set."""
+    keys = stage(met.select(F.col("k").alias("k1")).distinct(), "line-keys")
     few = may_match(lines.select("k1", "line"), "k1", key_filter(keys, "k1")).join(keys, "k1").groupBy("k1").agg(F.min("line").alias("line"))
-    texts = stage(few.select("k1", "line", F.size(F.array_distinct(_shingle_hashes(F.col("line")))).alias("n")), "line-texts")
+    return stage(few.select("k1", "line", F.size(F.array_distinct(_shingle_hashes(F.col("line")))).alias("n")), "line-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of line keys whose shingle sets are similar enough; intersections are counted once per pair."""
+    pairs = stage(pairs, "line-pairs")
     side = lambda x: texts.select(F.col("k1").alias(x), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"))
     sized = pairs.join(texts.select(F.col("k1").alias("a"), F.col("n").alias("p")), "a").join(texts.select(F.col("k1").alias("b"), F.col("n").alias("q")), "b")
     near = sized.filter(F.least("p", "q") >= threshold * F.greatest("p", "q")).select("a", "b").join(side("a"), "a").join(side("b"), "b")
@@ -118,7 +122,8 @@ def line_components(lines: DataFrame, seen: DataFrame, threshold: float) -> Data
                    .filter("prior is not null or next is not null").select("k", "band"), "line-buckets")
     counts = seen.groupBy(F.col("k1").alias("k")).agg(F.count("*").alias("n"))
     met = stage(shared.join(counts, "k"), "line-met")
-    links = stage(_verified(_pairs(_leaders(met, "band")), lines, threshold), "line-links")
+    texts = _texts(lines, met)
+    links = stage(_verified(_pairs(_leaders(met, "band")), texts, threshold), "line-links")
     known = components(links)
     deeper = F.array(*[_paths(b) for b in range(len(PICKS))])
     deep = (met.join(signed, "k").withColumn("b", F.array_position(bands, F.col("band")).cast("int")).filter("b > 0")
@@ -126,7 +131,7 @@ def line_components(lines: DataFrame, seen: DataFrame, threshold: float) -> Data
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
     apart = (_pairs(_leaders(deep, "path")).join(of("a"), "a", "left").join(of("b"), "b", "left")
              .filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b").join(links, ["a", "b"], "left_anti"))
-    return components(links.union(_verified(apart, lines, threshold)))
+    return components(links.union(_verified(apart, texts, threshold)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
