@@ -9,7 +9,7 @@ w - d: then one of the equal words has more bits, also more than the partner's j
 
 Equal sets are folded first.  Buckets of a key are streamed in key order and only those with different sets remain.  Round one
 compares each member with the member of most buckets (the likely original of a group of copies); round two compares members that are
-still in different components.  So a group of n near copies costs about n comparisons, while any pair whose link could join two
+still in different components, unless the Hamming distance of a 512-bit sketch already rules the link out in the join condition.  So a group of n near copies costs about n comparisons, while any pair whose link could join two
 components is compared: the components are exact.  Verification first bounds the difference by the Hamming distance of a sketch that
 both sets can be folded to, then counts the intersection; whole sets are only made for the pairs that pass the sketches.
 
@@ -84,6 +84,12 @@ def parity_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def digest(h: np.ndarray) -> list[int]:
+    """The 512-bit sketch of a set, as eight signed integers."""
+    bits = (np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
 def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     """The sketch of the same set with fewer words: its halves xored."""
     while len(sketch) > words:
@@ -181,7 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             for part in pieces(batch, "body"):
                 sets = shingle_sets(part["body"].to_pylist(), k)
                 yield pa.RecordBatch.from_arrays([part["id"], part["t"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()),
-                                                  pa.array([parity_sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], ["id", "t", "n", "node", "s"])
+                                                  pa.array([parity_sketch(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                                                  pa.array([digest(s) for s in sets], pa.list_(pa.int64()))], ["id", "t", "n", "node", "s", "g"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()                          # sets of this task: copies are drawn once
@@ -208,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         texts = may_match(body, "t", key_filter(wanted, "t")).join(wanted, "t").dropDuplicates(["t"]).select("body")
         return texts.mapInArrow(full, "node long, h binary").dropDuplicates(["node"])
 
-    every = stage(body.mapInArrow(nodes, f"id {kind}, t long, n long, node long, s binary"), "sets")
+    every = stage(body.mapInArrow(nodes, f"id {kind}, t long, n long, node long, s binary, g array<long>"), "sets")
     spread = body.select("body").mapInArrow(keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     met = stage(spread.mapInArrow(_buckets, "key long, node long"), "set-buckets")
     weight = met.groupBy("node").agg(F.count("*").alias("w"))
@@ -216,12 +223,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     placed = stage(met.join(centre, "key"), "set-stars")
     links = _verify(placed.filter("node != centre").select(*_pair("node", "centre")).distinct(), every, whole, num, den)
     known = components(links)
-    size = every.groupBy("node").agg(F.max("n").alias("n"))
+    size = every.groupBy("node").agg(F.max("n").alias("n"), F.first("g").alias("g")).select("node", "n", *[F.col("g")[i].alias(f"g{i}") for i in range(8)])
     classes = placed.filter("node != centre").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = classes.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
     open_ = stage(classes.join(mixed, "key", "left_semi").join(size, "node"), "set-open")
-    x, y = (open_.select("key", F.col("node").alias(v), F.col("c").alias(f"c{v}"), F.col("n").alias(f"n{v}")) for v in ("x", "y"))
-    fits = (F.col("cx") < F.col("cy")) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    x, y = (open_.select("key", F.col("node").alias(v), F.col("c").alias(f"c{v}"), F.col("n").alias(f"n{v}"), *[F.col(f"g{i}").alias(f"{v}{i}") for i in range(8)]) for v in ("x", "y"))
+    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, 8)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    fits = ((F.col("cx") < F.col("cy")) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+            & (apart * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)))
     across = x.join(y, "key").filter(fits).select(*_pair("x", "y")).distinct()
     final = components(links.union(_verify(across, every, whole, num, den)))
 
