@@ -86,20 +86,18 @@ def _shingle_hashes(line: Column) -> Column:
 
 
 def _texts(lines: DataFrame, met: DataFrame) -> DataFrame:
-    """(k1, line, n) of the lines that share a bucket; n: size of the shingle set."""
+    """(k1, line) of the lines that share a bucket."""
     keys = stage(met.select(F.col("k").alias("k1")).distinct(), "line-keys")
     few = may_match(lines.select("k1", "line"), "k1", key_filter(keys, "k1")).join(keys, "k1").groupBy("k1").agg(F.min("line").alias("line"))
-    return stage(few.select("k1", "line", F.size(F.array_distinct(_shingle_hashes(F.col("line")))).alias("n")), "line-texts")
+    return stage(few, "line-texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of line keys whose shingle sets are similar enough; intersections are counted once per pair."""
-    pairs = stage(pairs, "line-pairs")
-    side = lambda x: texts.select(F.col("k1").alias(x), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"))
-    sized = pairs.join(texts.select(F.col("k1").alias("a"), F.col("n").alias("p")), "a").join(texts.select(F.col("k1").alias("b"), F.col("n").alias("q")), "b")
-    near = sized.filter(F.least("p", "q") >= threshold * F.greatest("p", "q")).select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    both = F.size(F.array_intersect(_shingle_hashes(F.col("a_line")), _shingle_hashes(F.col("b_line"))))
-    return near.filter(both * (1 + threshold) >= threshold * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    """Pairs (a, b) of line keys whose shingle sets are similar enough; the sets are made once per pair."""
+    side = lambda x: texts.select(F.col("k1").alias(x), F.col("line").alias(f"{x}_line"))
+    near = stage(pairs, "line-pairs").join(side("a"), "a").join(side("b"), "b")
+    sets = F.array(F.struct(_shingle_hashes(F.col("a_line")).alias("x"), _shingle_hashes(F.col("b_line")).alias("y")))
+    return near.filter(F.exists(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) >= threshold * F.size(F.array_union(s["x"], s["y"])))).select("a", "b")
 
 
 def _leaders(rows: DataFrame, key: str) -> DataFrame:
