@@ -6,15 +6,15 @@ be decoded alone, and a segment can be decoded from its checkpoint alone.  The c
 counts of all ids; the counts are one number per vocabulary entry.
 
 Tokenising works on white-space words, each distinct word of a batch once; the vocabulary's patterns never span white space, so the ids
-are those of the whole text.
+are those of the whole text (a class for vocabularies whose patterns do is not given).
 """
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,51 +24,105 @@ from placeproof.llm.files import put
 from placeproof.session import work_path
 
 MAGIC, BLOCK, STOP = b"HUFIDS1\n", b"BLCK", b"DONE"
-CACHE_WORDS = 400_000
-_TOKENIZERS: dict[str, tuple] = {}                      # per worker process: the tokenizer and words seen
+CACHE_WORDS = 300_000                                   # of each of two generations
+CLOSING = frozenset((b",", b".", b";", b":", b"!", b"?"))
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _TOKENIZERS:
+class Words:
+    """Ids of white-space words, as bytes of 32-bit numbers, with a cache of two generations that bounds memory only.
+
+    A word of letters is one unit of the vocabulary's patterns, and so is a closing mark; many words of letters are encoded in one
+    call and told apart by the units' last pieces.  All other words are encoded with a special token between them.
+    """
+    def __init__(self, path: str, mark: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
-    return _TOKENIZERS[path]
+        self.tok = Tokenizer.from_file(path)
+        self.mark, self.sep = mark, self.tok.token_to_id(mark)
+        names = self.tok.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for n, i in names.items() if n.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-def tokenise(texts: pa.Array, path: str, end_id: int, mark: str = "<|startoftext|>") -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, number of ids of each), every text closed by end_id; null is an empty text.
+    def _learn(self, letters: list[bytes], other: list[bytes]) -> None:
+        """Encode words of letters by the thousand, and all others with the special token between them."""
+        for at in range(0, len(letters), 1000):
+            some = letters[at:at + 1000]
+            ids = self._encode(b" ".join(some).decode("utf-8"))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                self._cut(some, ids, [0, *ends[:-1].tolist()], ends.tolist())
+            else:                                       # lower-casing made a mark of a letter somewhere
+                other = other + some
+        mark = self.mark.encode()
+        plain = [w for w in other if mark not in w]
+        for at in range(0, len(plain), 1000):
+            some = plain[at:at + 1000]
+            ids = self._encode(mark.join(some).decode("utf-8"))
+            cut = np.flatnonzero(ids == self.sep).tolist()
+            self._cut(some, ids, [0, *[c + 1 for c in cut]], [*cut, len(ids)])
+        for w in other:
+            if mark in w:
+                self.young[w] = self._encode(w.decode("utf-8")).tobytes()
 
-    mark: a special token put between words of one call to learn where each ends; words that hold it are encoded by themselves.
-    """
-    tok, cache = _tokenizer(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()                                   # bounds memory only: the words come back when seen
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    upto = split.offsets.to_numpy()
-    coded = split.flatten().dictionary_encode()
-    index, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    new = [w for w in words if w not in cache]
-    plain, odd = [w for w in new if w and mark not in w], [w for w in new if w and mark in w]
-    sep = tok.token_to_id(mark)
-    for at in range(0, len(plain), 1000):
-        some = plain[at:at + 1000]
-        ids = np.array(tok.encode(mark.join(some), add_special_tokens=False).ids, np.uint32)
-        for w, part in zip(some, np.split(ids, np.flatnonzero(ids == sep))):
-            cache[w] = part[part != sep].tobytes()
-    for w in odd:
-        cache[w] = np.array(tok.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-    cache[""] = b""
-    known = [cache[w] for w in words]
-    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    flat, first = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
-    n_word = size[index] if len(index) else np.zeros(0, np.int64)
-    done = np.concatenate([[0], np.cumsum(n_word)])
-    n_text = done[upto[1:] - upto[0]] - done[upto[:-1] - upto[0]]
-    if len(index):
-        body = flat[np.repeat(first[index] - done[:-1], n_word) + np.arange(int(done[-1]))]
-    else:
-        body = np.zeros(0, np.uint32)
-    return np.insert(body, np.cumsum(n_text), end_id).astype(np.uint32), n_text + 1
+    def _cut(self, words: list[bytes], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
+        raw, young = ids.tobytes(), self.young
+        for w, a, b in zip(words, begin, end):
+            young[w] = raw[4 * a:4 * b]
+
+    def _fill(self, words: set[bytes]) -> None:
+        """Put words that are not among the young ones there; a word of letters and a closing mark is put together of the two."""
+        young, old = self.young, self.old
+        letters, other, closed = set(), set(), []
+        for w in words:
+            known = old.get(w)
+            if known is not None:
+                young[w] = known
+            elif w.decode("utf-8").isalpha():
+                letters.add(w)
+            elif w[-1:] in CLOSING and w[:-1].decode("utf-8").isalpha():
+                closed.append(w)
+            else:
+                other.add(w)
+        for w in closed:
+            for x, to in ((w[:-1], letters), (w[-1:], other)):
+                if x not in young and x not in to:
+                    known = old.get(x)
+                    if known is None:
+                        to.add(x)
+                    else:
+                        young[x] = known
+        self._learn(list(letters), list(other))
+        for w in closed:
+            young[w] = young[w[:-1]] + young[w[-1:]]
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word."""
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, words))
+        missing = [i for i, f in enumerate(found) if f is None]
+        self._fill({words[i] for i in missing})
+        for i in missing:
+            found[i] = self.young[words[i]]
+        return found
+
+
+_WORDS: dict[str, Words] = {}                           # per worker process
+
+
+def tokenise(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each), every text closed by end_id; null is an empty text."""
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    split = [(t or b"").split() for t in texts.cast(pa.binary()).to_pylist()]
+    known = _WORDS[path].ids(list(chain.from_iterable(split)))
+    done = np.concatenate([[0], np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)])
+    n_text = np.diff(done[np.concatenate([[0], np.cumsum([len(x) for x in split])])])
+    return np.insert(np.frombuffer(b"".join(known), np.uint32), np.cumsum(n_text), end_id), n_text + 1
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1, ids_per_file: int = 8_000_000) -> str:
@@ -82,7 +136,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "body", 1 << 23, 4096):
+            for part in pieces(batch, "body", 1 << 22, 4096):
                 ids, n = tokenise(part["body"], tokenizer, end_id)
                 small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(n)]) * small.itemsize
