@@ -86,17 +86,17 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s FROM p),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS origin FROM d)
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(0, 8), i -> array_to_string(list_transform([15, 10, 5, 0], k ->
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (5 * i + 1)::INT, 5))::INT >> k) & 31) + 1, 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = origin THEN NULL ELSE origin END AS refers_to
 FROM g"""
 
 SQL["op1_exact_top_k"] = """
-WITH ok AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2]))::BIGINT AS score
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
       FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
@@ -104,7 +104,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 SQL["op6_sketch_join"] = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
 s AS (SELECT doc_id, CASE WHEN a IS NULL OR len(a) = 0 THEN [] WHEN len(a) < 4 THEN [array_to_string(a, ' ')]
-             ELSE list_distinct(list_transform(range(1, (len(a) - 2)::BIGINT), i -> array_to_string(list_slice(a, i, i + 3), ' '))) END AS g FROM w),
+             ELSE list_distinct(list_transform(range(1, (len(a) - 2)::BIGINT), lambda i: array_to_string(list_slice(a, i, i + 3), ' '))) END AS g FROM w),
 e AS (SELECT doc_id, unnest(g) AS x FROM s), n AS (SELECT doc_id, len(g) AS n FROM s),
 i AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM e p JOIN e q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),

@@ -16,10 +16,12 @@ both sets can be folded to, then counts the intersection; whole sets are only ma
 Sets are identified by a 64-bit hash, shingles too: a false equality has a chance near 1e-9 for 100,000 documents.
 """
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeproof.llm.base import pieces, stage
@@ -139,8 +141,23 @@ def _nodes_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return may_match(rows, "node", key_filter(wanted, "node")).join(wanted, "node").dropDuplicates(["node"])
 
 
+DIGEST = [f"g{i}" for i in range(8)]
+
+
+def _digests(every: DataFrame) -> DataFrame:
+    """(node, n, g0 ... g7): size and 512-bit sketch of each set."""
+    return every.groupBy("node").agg(F.max("n").alias("n"), F.first("g").alias("g")).select("node", "n", *[F.col("g")[i].alias(g) for i, g in enumerate(DIGEST)])
+
+
+def _possible(x: str, y: str, num: int, den: int) -> Column:
+    """Whether two sets, by their prefixed digest columns, may reach the similarity."""
+    apart = reduce(add, [F.bit_count(F.col(f"{x}{g}").bitwiseXOR(F.col(f"{y}{g}"))) for g in DIGEST])
+    small, large = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
+    return (small * den >= large * num) & (apart * (den + num) <= (small + large) * (den - num))
+
+
 def _verify(pairs: DataFrame, every: DataFrame, whole, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that reach the similarity: sketches first, sets for what is left.  whole: rows with t -> (node, h)."""
+    """Pairs (a, b) that reach the similarity: small sketches first, then large ones, then the sets.  whole: rows with t -> (node, h)."""
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a_n, b_n = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
@@ -160,7 +177,7 @@ def _verify(pairs: DataFrame, every: DataFrame, whole, num: int, den: int) -> Da
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = den * both >= num * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
-    pairs = stage(pairs, "set-pairs")
+    pairs = stage(_sides(pairs, _digests(every), "n", *DIGEST).filter(_possible("a_", "b_", num, den)).select("a", "b"), "set-pairs")
     sketches = stage(_nodes_of(pairs, every.select("node", "n", "s")), "set-sketches")
     few = stage(_sides(pairs, sketches, "n", "s").select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(near, "a long, b long"), "set-near")
     sets = stage(whole(_nodes_of(few, every.select("node", "t")).select("t")), "set-members")
@@ -223,14 +240,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     placed = stage(met.join(centre, "key"), "set-stars")
     links = _verify(placed.filter("node != centre").select(*_pair("node", "centre")).distinct(), every, whole, num, den)
     known = components(links)
-    size = every.groupBy("node").agg(F.max("n").alias("n"), F.first("g").alias("g")).select("node", "n", *[F.col("g")[i].alias(f"g{i}") for i in range(8)])
     classes = placed.filter("node != centre").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = classes.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    open_ = stage(classes.join(mixed, "key", "left_semi").join(size, "node"), "set-open")
-    x, y = (open_.select("key", F.col("node").alias(v), F.col("c").alias(f"c{v}"), F.col("n").alias(f"n{v}"), *[F.col(f"g{i}").alias(f"{v}{i}") for i in range(8)]) for v in ("x", "y"))
-    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, 8)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-    fits = ((F.col("cx") < F.col("cy")) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-            & (apart * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)))
+    open_ = stage(classes.join(mixed, "key", "left_semi").join(_digests(every), "node"), "set-open")
+    x, y = (open_.select("key", F.col("node").alias(v), F.col("c").alias(f"{v}_c"), *[F.col(c).alias(f"{v}_{c}") for c in ("n", *DIGEST)]) for v in ("x", "y"))
+    fits = (F.col("x_c") < F.col("y_c")) & _possible("x_", "y_", num, den)
     across = x.join(y, "key").filter(fits).select(*_pair("x", "y")).distinct()
     final = components(links.union(_verify(across, every, whole, num, den)))
 

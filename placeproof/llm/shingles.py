@@ -21,7 +21,9 @@ def _word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not len(start):
         return start, np.zeros(0, np.uint64)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    power = np.multiply.accumulate(np.concatenate([[1], np.full(int(size.max()) - 1, _ODD[0])]).astype(np.uint64))
+    power = np.full(int(size.max()), _ODD[0])
+    power[0] = 1
+    power = np.multiply.accumulate(power)
     place = np.arange(int(size.sum())) - np.repeat(first, size)
     return start, mix(np.add.reduceat((a[inside].astype(np.uint64) + np.uint64(1)) * power[place], first) + size.astype(np.uint64) * _ODD[1])
 

@@ -54,6 +54,12 @@ def words(text, k):
     return {tuple(w)} if 0 < len(w) < k else {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
+def test_long_words_have_their_own_hashes():
+    words_ = ["".join(x) for x in itertools.product("abó", repeat=7)] + ["prefixprefix" + c * k for c in "abc" for k in range(1, 60)]
+    h, _ = shingles.word_hashes([" ".join(words_)])
+    assert len(set(h.tolist())) == len(set(words_))
+
+
 @pytest.mark.parametrize("stretch", [1 << 22, 40])
 def test_shingle_sets_match_plain_sets(stretch, monkeypatch):
     monkeypatch.setattr(shingles, "BYTES", stretch)
