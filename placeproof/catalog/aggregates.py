@@ -74,12 +74,12 @@ def town_centroids(v):
 
 
 STEPS_SQL = """(SELECT *, CASE WHEN dt > 0 THEN round(3.6*step/dt,1) END AS speed FROM (SELECT *, sqrt(((dx-lag(dx) OVER w)*(dx-lag(dx) OVER w)+(dy-lag(dy) OVER w)*(dy-lag(dy) OVER w))::DOUBLE) AS step,
-  (epoch_us(point_ts)-epoch_us(lag(point_ts) OVER w))/1e6 AS dt FROM w_trace WHERE dx<>0 AND dy<>0 WINDOW w AS (PARTITION BY visit_id ORDER BY seq, dx, dy)))"""
+  (epoch_us(point_ts)-epoch_us(lag(point_ts) OVER w))/1e6 AS dt FROM w_trace WHERE dx<>0 AND dy<>0 WINDOW w AS (PARTITION BY visit_id ORDER BY seq, dx, dy, point_ts)))"""
 
 
 def trace_steps(v):
     """Step length, time delta and speed between consecutive clean fixes of a visit."""
-    w = Window.partitionBy("visit_id").orderBy("seq", "dx", "dy")
+    w = Window.partitionBy("visit_id").orderBy("seq", "dx", "dy", "point_ts")
     t = v.trace().filter((F.col("dx") != 0) & (F.col("dy") != 0))
     t = (t.withColumn("step", distance(F.lag("dx").over(w), F.lag("dy").over(w), F.col("dx"), F.col("dy")))
          .withColumn("dt", (F.unix_micros("point_ts") - F.lag(F.unix_micros("point_ts")).over(w)) / 1e6))

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from placeproof.catalog import query
 from placeproof.functions import digest
-from placeproof.operators.windows import latest_per_key
 from placeproof.sources import sinks
 
 JSON_ROW = """'{"n_name":"'||n_name||'","n_nationkey":'||n_nationkey||',"n_regionkey":'||n_regionkey||'}'"""
@@ -60,10 +59,36 @@ def town_bundles(v):
     return b.select("town_id", "address_id", n.alias("n_candidates"), "valid_until")
 
 
+BUNDLE_DAYS = ["2024-01-08", "2024-02-05"]
+
+
+def bundles(v, built):
+    """The whole bundle of every town, as built on a day; the second build covers towns with an odd number only."""
+    from placeproof import policy
+    from placeproof.plans import belief
+    keep = F.lit(True) if built == BUNDLE_DAYS[0] else F.regexp_extract("town_id", r"(\d+)$", 1).try_cast("int") % 2 == 1
+    radius = [dict(zip(("stratum", "radius_m", "n_calibration", "measured_coverage", "publishable"), r)) for r in policy.RADIUS_TABLE]
+    a = sinks.town_bundles(v.address().filter(keep), belief.static_stage(v), built)
+    return sinks.bundle_parts(a, v.locality().filter(keep), v.landmark().filter(keep), radius, built)
+
+
+@query("bundle_contents", """
+SELECT town_id, 'address' AS part, count(*) AS n FROM w_address GROUP BY ALL UNION ALL SELECT town_id, 'locality', count(*) FROM w_locality GROUP BY ALL
+UNION ALL SELECT town_id, 'landmark', count(*) FROM w_landmark GROUP BY ALL UNION ALL SELECT DISTINCT town_id, 'radius', 4::BIGINT FROM w_address""")
+def bundle_contents(v):
+    return bundles(v, BUNDLE_DAYS[0]).groupBy("town_id", "part").agg(F.count("*").alias("n"))
+
+
 @query("bundle_staleness", """
-SELECT user_id % 25 AS town, max(ts)::DATE AS built, DATE '2024-02-10' - max(ts)::DATE AS age_days, max(ts)::DATE + 7 < DATE '2024-02-10' AS expired FROM events WHERE event_type='view' GROUP BY 1""")
+SELECT town_id AS town, built, DATE '2024-02-10' - built AS age_days, built + 7 < DATE '2024-02-10' AS expired FROM (
+ SELECT town_id, CASE WHEN try_cast(regexp_extract(town_id, '(\\d+)$', 1) AS INTEGER) % 2 = 1 THEN DATE '2024-02-05' ELSE DATE '2024-01-08' END AS built FROM (
+  SELECT town_id FROM w_address UNION SELECT town_id FROM w_locality UNION SELECT town_id FROM w_landmark))""")
 def bundle_staleness(v):
-    e = v.raw("events").filter("event_type = 'view'").select((F.col("user_id") % 25).alias("town"), F.to_date("ts").alias("built"), "event_id")
-    n = latest_per_key(e, ["town"], ["built", "event_id"])
+    """Bundles are written on two days and read back: age and expiry of each town's newest one."""
+    from placeproof.session import work_path
+    path = work_path(v.spark, "bundles")
+    for built in BUNDLE_DAYS:
+        sinks.write_bundles(bundles(v, built), path)
     at = F.lit("2024-02-10").cast("date")
-    return n.select("town", "built", F.datediff(at, "built").cast("long").alias("age_days"), (F.date_add("built", 7) < at).alias("expired"))
+    n = v.spark.read.parquet(path).groupBy("town_id").agg(F.max_by(F.struct("built", "valid_until"), "built").alias("b"))
+    return n.select(F.col("town_id").alias("town"), F.col("b.built").alias("built"), F.datediff(at, "b.built").cast("long").alias("age_days"), (F.col("b.valid_until") < at).alias("expired"))

@@ -28,7 +28,7 @@ m AS (SELECT a.visit_id, a.rn, a.dx, a.dy, sum(sqrt(((a.dx-b.dx)*(a.dx-b.dx)+(a.
 w AS (SELECT visit_id, sum(dx/greatest(1.0,accuracy_m))/sum(1.0/greatest(1.0,accuracy_m)) AS wx, sum(dy/greatest(1.0,accuracy_m))/sum(1.0/greatest(1.0,accuracy_m)) AS wy FROM l GROUP BY 1),
 k AS (SELECT visit_id, quantile_cont(dx,0.5) AS kx, quantile_cont(dy,0.5) AS ky FROM w_trace JOIN (SELECT visit_id, max(point_ts) AS last_ts FROM w_trace GROUP BY 1) USING (visit_id)
  WHERE epoch_us(last_ts)-epoch_us(point_ts) <= 120000000 GROUP BY 1)
-SELECT visit_id, round(wx,8) AS weighted_x, round(wy,8) AS weighted_y, kx AS window_x, ky AS window_y, round(min(total),4) AS medoid_cost FROM m JOIN w USING (visit_id) JOIN k USING (visit_id) GROUP BY ALL""")
+SELECT visit_id, round(wx,6) AS weighted_x, round(wy,6) AS weighted_y, kx AS window_x, ky AS window_y, round(min(total),4) AS medoid_cost FROM m JOIN w USING (visit_id) JOIN k USING (visit_id) GROUP BY ALL""")
 def trace_estimators(v):
     """Accuracy-weighted mean and medoid of the last ten fixes, and the last-two-minutes median."""
     t = v.trace()
@@ -41,8 +41,8 @@ def trace_estimators(v):
     cost = F.array_min(F.transform("p", lambda a: F.aggregate(F.transform("p", lambda b: F.sqrt(
         ((a["dx"] - b["dx"]) * (a["dx"] - b["dx"]) + (a["dy"] - b["dy"]) * (a["dy"] - b["dy"])).cast("double"))),
         F.lit(0.0), lambda x, y: x + y)))
-    est = last.select("visit_id", F.round(total(lambda q: q["dx"] * inv(q)) / total(inv), 8).alias("weighted_x"),
-                      F.round(total(lambda q: q["dy"] * inv(q)) / total(inv), 8).alias("weighted_y"),
+    est = last.select("visit_id", F.round(total(lambda q: q["dx"] * inv(q)) / total(inv), 6).alias("weighted_x"),
+                      F.round(total(lambda q: q["dy"] * inv(q)) / total(inv), 6).alias("weighted_y"),
                       F.round(cost, 4).alias("medoid_cost"))
     end = t.groupBy("visit_id").agg(F.max("point_ts").alias("last_ts"))
     near = (t.join(end, "visit_id").filter(F.unix_micros("last_ts") - F.unix_micros("point_ts") <= 120_000_000)

@@ -186,8 +186,3 @@ def proxy_label(ev: DataFrame, p: Policy = BASE) -> DataFrame:
             .groupBy("address_id")
             .agg(F.percentile("x", 0.5).alias("lx"), F.percentile("y", 0.5).alias("ly"),
                  F.count("*").alias("n_label")).filter("n_label >= 2"))
-
-
-def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
