@@ -11,10 +11,10 @@ are those of the whole text (a class for vocabularies whose patterns do is not g
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +24,17 @@ from placeproof.llm.files import put
 from placeproof.session import work_path
 
 MAGIC, BLOCK, STOP = b"HUFIDS1\n", b"BLCK", b"DONE"
-CACHE_WORDS = 300_000                                   # of each of two generations
-CLOSING = frozenset((b",", b".", b";", b":", b"!", b"?"))
+WORDS_PER_CALL = 1000
+CLOSING = ",.;:!?"
+IDS_AT_ONCE = 500_000
 
 
 class Words:
-    """Ids of white-space words, as bytes of 32-bit numbers, with a cache of two generations that bounds memory only.
+    """Encodes many distinct white-space words with few calls.
 
-    A word of letters is one unit of the vocabulary's patterns, and so is a closing mark; many words of letters are encoded in one
-    call and told apart by the units' last pieces.  All other words are encoded with a special token between them.
+    A word of letters is one unit of the vocabulary's patterns: such words are joined by spaces and told apart by the units' last
+    pieces.  A closing mark behind letters is a unit too, so such a word is put together of both.  All other words are joined by a
+    special token; those that hold it themselves are encoded alone.
     """
     def __init__(self, path: str, mark: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
@@ -41,88 +43,84 @@ class Words:
         names = self.tok.get_vocab()
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for n, i in names.items() if n.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.closing = {c: int(ids[0]) for c in CLOSING if len(ids := self._ids(c)) == 1}
 
-    def _encode(self, text: str) -> np.ndarray:
+    def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, letters: list[bytes], other: list[bytes]) -> None:
-        """Encode words of letters by the thousand, and all others with the special token between them."""
-        for at in range(0, len(letters), 1000):
-            some = letters[at:at + 1000]
-            ids = self._encode(b" ".join(some).decode("utf-8"))
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some):
-                self._cut(some, ids, [0, *ends[:-1].tolist()], ends.tolist())
-            else:                                       # lower-casing made a mark of a letter somewhere
-                other = other + some
-        mark = self.mark.encode()
-        plain = [w for w in other if mark not in w]
-        for at in range(0, len(plain), 1000):
-            some = plain[at:at + 1000]
-            ids = self._encode(mark.join(some).decode("utf-8"))
-            cut = np.flatnonzero(ids == self.sep).tolist()
-            self._cut(some, ids, [0, *[c + 1 for c in cut]], [*cut, len(ids)])
-        for w in other:
-            if mark in w:
-                self.young[w] = self._encode(w.decode("utf-8")).tobytes()
-
-    def _cut(self, words: list[bytes], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
-        raw, young = ids.tobytes(), self.young
-        for w, a, b in zip(words, begin, end):
-            young[w] = raw[4 * a:4 * b]
-
-    def _fill(self, words: set[bytes]) -> None:
-        """Put words that are not among the young ones there; a word of letters and a closing mark is put together of the two."""
-        young, old = self.young, self.old
-        letters, other, closed = set(), set(), []
-        for w in words:
-            known = old.get(w)
-            if known is not None:
-                young[w] = known
-            elif w.decode("utf-8").isalpha():
-                letters.add(w)
-            elif w[-1:] in CLOSING and w[:-1].decode("utf-8").isalpha():
-                closed.append(w)
-            else:
-                other.add(w)
-        for w in closed:
-            for x, to in ((w[:-1], letters), (w[-1:], other)):
-                if x not in young and x not in to:
-                    known = old.get(x)
-                    if known is None:
-                        to.add(x)
-                    else:
-                        young[x] = known
-        self._learn(list(letters), list(other))
-        for w in closed:
-            young[w] = young[w[:-1]] + young[w[-1:]]
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word."""
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        found = list(map(self.young.get, words))
-        missing = [i for i, f in enumerate(found) if f is None]
-        self._fill({words[i] for i in missing})
-        for i in missing:
-            found[i] = self.young[words[i]]
-        return found
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if any(self.mark in w for w in words):
+            each = [self._ids(w) for w in words]
+            return np.concatenate(each), np.array([len(x) for x in each])
+        ids = self._ids(self.mark.join(words))
+        cut = np.flatnonzero(ids == self.sep)
+        return ids[ids != self.sep], np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(" ".join(words))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):                     # lower-casing made a mark of a letter somewhere
+            return self._apart(words)
+        return ids, np.diff(np.concatenate([[0], ends]))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words in some order, where each word's ids begin, how many they are)."""
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        place = {words[i]: int(i) for i in np.flatnonzero(letters)}
+        every, other, closed, bases, marks = list(words), [], [], [], []
+        for i in np.flatnonzero(~letters).tolist():
+            w = words[i]
+            if w[-1:] in self.closing and w[:-1].isalpha():
+                base = place.get(w[:-1])
+                if base is None:
+                    base = place[w[:-1]] = len(every)
+                    every.append(w[:-1])
+                closed.append(i)
+                bases.append(base)
+                marks.append(self.closing[w[-1]])
+            elif w:
+                other.append(i)
+        flat, first, size, at = [np.zeros(0, np.uint32)], np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), 0
+        for places, how in ((np.array(list(place.values()), np.int64), self._letters), (np.array(other, np.int64), self._apart)):
+            for lo in range(0, len(places), WORDS_PER_CALL):
+                some = places[lo:lo + WORDS_PER_CALL]
+                ids, n = how([every[i] for i in some])
+                flat.append(ids)
+                first[some], size[some] = at + np.cumsum(n) - n, n
+                at += len(ids)
+        whole = np.concatenate(flat)
+        if closed:
+            b = np.array(bases)
+            n = size[b]
+            body = whole[np.repeat(first[b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            first[closed], size[closed] = at + np.cumsum(n + 1) - (n + 1), n + 1
+            whole = np.concatenate([whole, np.insert(body, np.cumsum(n), marks).astype(np.uint32)])
+        return whole, first[:len(words)], size[:len(words)]
 
 
 _WORDS: dict[str, Words] = {}                           # per worker process
 
 
-def tokenise(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, number of ids of each), every text closed by end_id; null is an empty text."""
+def tokenise(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, ids, number of ids of each text) of runs of texts, every text closed by end_id; null is an empty text."""
     if path not in _WORDS:
         _WORDS[path] = Words(path)
-    split = [(t or b"").split() for t in texts.cast(pa.binary()).to_pylist()]
-    known = _WORDS[path].ids(list(chain.from_iterable(split)))
-    done = np.concatenate([[0], np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)])
-    n_text = np.diff(done[np.concatenate([[0], np.cumsum([len(x) for x in split])])])
-    return np.insert(np.frombuffer(b"".join(known), np.uint32), np.cumsum(n_text), end_id), n_text + 1
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    upto = split.offsets.to_numpy().astype(np.int64)
+    upto -= upto[0]
+    coded = split.flatten().dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    flat, first, size = _WORDS[path].encode(coded.dictionary.to_pylist())
+    done = np.concatenate([[0], np.cumsum(size[index])]) if len(index) else np.zeros(1, np.int64)
+    n_text = np.diff(done[upto])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(done[upto], done[upto[at]] + IDS_AT_ONCE, "right")) - 1)
+        w = index[upto[at]:upto[end]]
+        here = done[upto[at]:upto[end]] - done[upto[at]]
+        body = flat[np.repeat(first[w] - here, size[w]) + np.arange(int(n_text[at:end].sum()))]
+        yield at, np.insert(body, np.cumsum(n_text[at:end]), end_id).astype(np.uint32), n_text[at:end] + 1
+        at = end
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1, ids_per_file: int = 8_000_000) -> str:
@@ -136,13 +134,12 @@ def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "body", 1 << 22, 4096):
-                ids, n = tokenise(part["body"], tokenizer, end_id)
-                small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
-                ends = np.concatenate([[0], np.cumsum(n)]) * small.itemsize
-                raw = pa.py_buffer(small.tobytes())
-                blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), raw]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(n), blobs], ["id", "n", "ids"])
+            for part in pieces(batch, "body", 1 << 24, 10_000):
+                for at, ids, n in tokenise(part["body"], tokenizer, end_id):
+                    small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
+                    ends = np.concatenate([[0], np.cumsum(n)]) * small.itemsize
+                    blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(small.tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([part["id"].slice(at, len(n)), pa.array(n), blobs], ["id", "n", "ids"])
     coded = stage(body.mapInArrow(tokens, "id long, n long, ids binary"), "token-ids", compression="zstd")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
