@@ -134,7 +134,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "body", 1 << 24, 10_000):
+            for part in pieces(batch, "body", 1 << 22, 10_000):
                 for at, ids, n in tokenise(part["body"], tokenizer, end_id):
                     small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
                     ends = np.concatenate([[0], np.cumsum(n)]) * small.itemsize
