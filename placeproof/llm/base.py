@@ -22,11 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def stage(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write once below the shared folder and read back: later jobs start there, also after a lost executor."""
-    path = work_path(df.sparkSession, name)
+def stage(df: DataFrame, name: str, release: bool = False, **options) -> DataFrame:
+    """Write once below the shared folder and read back: later jobs start there, also after a lost executor.
+
+    release: let the driver collect its garbage at once, whereupon Spark drops the shuffle files of the jobs that are over; worth it
+    behind a large shuffle, whose files would else stay beside those of the next.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_count(text) -> Column:

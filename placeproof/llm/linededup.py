@@ -112,12 +112,12 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the line keys that have a similar line."""
-    signed = stage(_signatures(lines), "line-signatures")
+    signed = stage(_signatures(lines), "line-signatures", release=True)
     bands = F.array(*[_band(b) for b in range(len(PICKS))])
     banded = signed.select("k", F.explode(bands).alias("band"))
     order = W.partitionBy("band").orderBy("k")
     shared = stage(banded.withColumn("prior", F.lag("k").over(order)).withColumn("next", F.lead("k").over(order))
-                   .filter("prior is not null or next is not null").select("k", "band"), "line-buckets")
+                   .filter("prior is not null or next is not null").select("k", "band"), "line-buckets", release=True)
     counts = seen.groupBy(F.col("k1").alias("k")).agg(F.count("*").alias("n"))
     met = stage(shared.join(counts, "k"), "line-met")
     texts = _texts(lines, met)

@@ -234,15 +234,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     every = stage(body.mapInArrow(nodes, f"id {kind}, t long, n long, node long, s binary, g array<long>"), "sets")
     spread = body.select("body").mapInArrow(keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    met = stage(spread.mapInArrow(_buckets, "key long, node long"), "set-buckets")
+    met = stage(spread.mapInArrow(_buckets, "key long, node long"), "set-buckets", release=True)
     weight = met.groupBy("node").agg(F.count("*").alias("w"))
     centre = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", F.col("node").alias("c"))).alias("m")).select("key", F.col("m.c").alias("centre"))
-    placed = stage(met.join(centre, "key"), "set-stars")
+    placed = stage(met.join(centre, "key"), "set-stars", release=True)
     links = _verify(placed.filter("node != centre").select(*_pair("node", "centre")).distinct(), every, whole, num, den)
     known = components(links)
     classes = placed.filter("node != centre").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = classes.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    open_ = stage(classes.join(mixed, "key", "left_semi").join(_digests(every), "node"), "set-open")
+    open_ = stage(classes.join(mixed, "key", "left_semi").join(_digests(every), "node"), "set-open", release=True)
     x, y = (open_.select("key", F.col("node").alias(v), F.col("c").alias(f"{v}_c"), *[F.col(c).alias(f"{v}_{c}") for c in ("n", *DIGEST)]) for v in ("x", "y"))
     fits = (F.col("x_c") < F.col("y_c")) & _possible("x_", "y_", num, den)
     across = x.join(y, "key").filter(fits).select(*_pair("x", "y")).distinct()
