@@ -134,7 +134,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "body", 1 << 22, 10_000):
+            for part in pieces(batch, "body", 1 << 24, 10_000):
                 for at, ids, n in tokenise(part["body"], tokenizer, end_id):
                     small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
                     ends = np.concatenate([[0], np.cumsum(n)]) * small.itemsize
@@ -144,8 +144,8 @@ def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            ids, _ = _ids_of(batch)
+        for part in _runs(batches):
+            ids, _ = _ids_of(part)
             c = np.bincount(ids)
             if len(c) > len(total):
                 c[:len(total)] += total
@@ -174,11 +174,11 @@ def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lens, codes = cast.value
-        for batch in batches:
-            ids, n = _ids_of(batch)
+        for part in _runs(batches):
+            ids, n = _ids_of(part)
             raw, size, bits = huffman.encode(ids, n, codes, lens)
             ends, seg = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(-(-n // huffman.SEGMENT))])
-            yield pa.RecordBatch.from_arrays([batch["part"], batch["id"], pa.array(n), pa.array([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
+            yield pa.RecordBatch.from_arrays([part["part"], part["id"], pa.array(n), pa.array([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
                                               pa.array([bits[a:b].tobytes() for a, b in zip(seg, seg[1:])], pa.binary())], ["part", "id", "n", "bits", "seg"])
     folder = work_path(spark, "huffman")
 
@@ -215,6 +215,17 @@ def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
     return folder
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with a bounded number of ids (a longer document is a slice of its own)."""
+    for batch in batches:
+        upto = np.concatenate([[0], np.cumsum(batch["n"].to_numpy())])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + IDS_AT_ONCE, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     n = batch["n"].to_numpy().astype(np.int64)
     raw = [x.as_buffer() for x in batch["ids"]]
