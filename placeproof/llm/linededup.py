@@ -9,14 +9,17 @@ hash, then position) of each component stays.  At similarity 0.8 the bands miss
 Long lines need no more values than short ones, so their signature is made of every fourth or sixteenth shingle by hash.  The size
 ranges of these tiers overlap by half, and a line in two ranges has two signatures, so similar lines share a tier.
 
-A bucket is not compared pairwise.  Its leader is the line with the most occurrences, and every line is compared with the leader.  Then
-buckets are split further by the remaining values of the signature, one by one; at each of these depths lines are compared with the
-leader there, unless both are in one component by then.  So a line meets up to 48 leaders, ever closer ones, a bucket of n near copies
-costs a multiple of n comparisons, and no bucket is left out or cut.  Two lines whose only links are to each other, that never share
-a bucket of which one is the leader, stay apart; that, and the bands, are what the method may miss.  Equal lines are folded before all
-of this, by a 128-bit hash; candidates are named by its first half.
+In a band's bucket every line is first compared with the leader only, the line with the most occurrences.  In buckets whose lines are in
+several components after that, all pairs across components are compared, except those that a bound in the join condition rules out: the
+sizes, and the Hamming distance of two 1,024-bit parity digests, which is at most the number of shingles that are in one set only.  The
+bound is never above the truth, so no pair that shares a band and could join two components is left out; the bands are all that the
+method may miss.  A bucket of n near copies of its leader costs n comparisons.  One of m lines in different components costs m * m / 2
+comparisons of digests, dealt out in lanes, and exact ones for the pairs that are left.  Equal lines are folded before all of this, by a
+128-bit hash; candidates are named by its first half.
 """
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,6 +32,8 @@ SHINGLE, GROUPS, EACH, AGREE = 9, 2, 4, 3
 #: (least, most) shingles of tier i, which takes one in 4^i.
 TIERS = ((1, 240), (160, 960), (640, None))
 STRETCH = 4096
+#: Longs of a digest, and lines of an open bucket in one lane.
+DIGEST, LANE = 16, 2000
 
 
 def _mask(i: int) -> int:
@@ -73,12 +78,6 @@ def _band(b: int) -> Column:
     return F.xxhash64(F.lit(b), "tier", *[f"m{i}" for i in PICKS[b]])
 
 
-def _paths(b: int) -> Column:
-    """Keys of a band's bucket at every depth: the band, then one value more at each step."""
-    rest = [i for i in range(VALUES) if i not in PICKS[b]]
-    return F.array(*[F.xxhash64(F.lit(d), _band(b), *[f"m{i}" for i in rest[:d]]) for d in range(1, len(rest) + 1)])
-
-
 def _shingle_hashes(line: Column) -> Column:
     """64-bit hashes of all shingles; the outer array of one binds the encoded line, so it is encoded once."""
     bound = F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.transform(F.sequence(F.lit(0), _last(u)), lambda i: F.xxhash64(_shingle(u, i))))
@@ -100,6 +99,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return near.filter(F.exists(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) >= threshold * F.size(F.array_union(s["x"], s["y"])))).select("a", "b")
 
 
+def _digests(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k, size, g0 ... g15): number of shingles and parity digest of the line keys of some rows; a shingle flips one bit."""
+    few = texts.join(rows.select(F.col("k").alias("k1")).distinct(), "k1").select(F.col("k1").alias("k"), F.explode(F.array_distinct(_shingle_hashes(F.col("line")))).alias("h"))
+    bit, at = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftright("h", 6).bitwiseAND(DIGEST - 1)
+    return few.groupBy("k").agg(F.count("*").alias("size"), *[F.coalesce(F.bit_xor(F.when(at == i, bit)), F.lit(0)).alias(f"g{i}") for i in range(DIGEST)])
+
+
+def _possible(x: str, y: str, threshold: float) -> Column:
+    """Whether two lines, by their prefixed digest columns, may be similar enough: never false for a pair that is (half a shingle for rounding)."""
+    apart = reduce(add, [F.bit_count(F.col(f"{x}g{i}").bitwiseXOR(F.col(f"{y}g{i}"))) for i in range(DIGEST)])
+    both, small, large = F.col(f"{x}size") + F.col(f"{y}size"), F.least(f"{x}size", f"{y}size"), F.greatest(f"{x}size", f"{y}size")
+    return (small + 0.5 >= large * threshold) & ((apart - 0.5) * (1 + threshold) <= both * (1 - threshold))
+
+
 def _leaders(rows: DataFrame, key: str) -> DataFrame:
     """Rows with the leader of their bucket, those that are not it."""
     order = W.partitionBy(key).orderBy(F.desc("n"), "k")
@@ -123,13 +136,16 @@ def line_components(lines: DataFrame, seen: DataFrame, threshold: float) -> Data
     texts = _texts(lines, met)
     links = stage(_verified(_pairs(_leaders(met, "band")), texts, threshold), "line-links")
     known = components(links)
-    deeper = F.array(*[_paths(b) for b in range(len(PICKS))])
-    deep = (met.join(signed, "k").withColumn("b", F.array_position(bands, F.col("band")).cast("int")).filter("b > 0")
-            .select("k", "n", F.explode(F.element_at(deeper, F.col("b"))).alias("path")))
-    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-    apart = (_pairs(_leaders(deep, "path")).join(of("a"), "a", "left").join(of("b"), "b", "left")
-             .filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b").join(links, ["a", "b"], "left_anti"))
-    return components(links.union(_verified(apart, texts, threshold)))
+    placed = met.join(known, met.k == known.node, "left").select("band", "k", F.coalesce("component", "k").alias("c"))
+    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
+    open_ = stage(placed.join(mixed.select("band", F.ceil(F.col("m") / LANE).cast("int").alias("lanes")), "band"), "line-open", release=True)
+    digests = stage(_digests(open_, texts), "line-digests", release=True)
+    every = open_.join(digests, "k")
+    side = lambda x, lane: every.select("band", lane.alias("lane"), *[F.col(n).alias(f"{x}_{n}") for n in ("k", "c", *digests.columns[1:])])
+    x, y = side("x", F.pmod("k", "lanes").cast("int")), side("y", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    across = x.join(y, ["band", "lane"]).filter((F.col("x_c") < F.col("y_c")) & _possible("x_", "y_", threshold))
+    pairs = across.select(F.least("x_k", "y_k").alias("a"), F.greatest("x_k", "y_k").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+    return components(links.union(_verified(pairs, texts, threshold)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
