@@ -9,6 +9,7 @@ Tokenising works on white-space words, each distinct word of a batch once; the v
 are those of the whole text (a class for vocabularies whose patterns do is not given).
 """
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ class Words:
     """Encodes many distinct white-space words with few calls.
 
     A word of letters is one unit of the vocabulary's patterns: such words are joined by spaces and told apart by the units' last
-    pieces.  A closing mark behind letters is a unit too, so such a word is put together of both.  All other words are joined by a
+    pieces.  A closing mark behind letters that stay letters when normalised is a unit too, so such a word is put together of both.  All other words are joined by a
     special token; those that hold it themselves are encoded alone.
     """
     def __init__(self, path: str, mark: str = "<|startoftext|>"):
@@ -70,7 +71,8 @@ class Words:
         every, other, closed, bases, marks = list(words), [], [], [], []
         for i in np.flatnonzero(~letters).tolist():
             w = words[i]
-            if w[-1:] in self.closing and w[:-1].isalpha():
+            # Where normalising ends the letters with a mark, that mark and the closing one are a unit together.
+            if w[-1:] in self.closing and w[:-1].isalpha() and (w.isascii() or unicodedata.normalize("NFC", w[:-1]).lower().isalpha()):
                 base = place.get(w[:-1])
                 if base is None:
                     base = place[w[:-1]] = len(every)

@@ -266,6 +266,14 @@ def test_token_files_round_trip(spark, corpus):
     assert tokenids.read_corpus(spark, empty).count() == 0
 
 
+def test_words_whose_letters_normalise_to_marks_are_encoded_whole():
+    import public_tokenizers
+    words = tokenids.Words(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["DE\u011e\u0130LD\u0130.", "B\u0130R\u0130NC\u0130,", "\u0915\u0958.", "\u05d0\ufb2a!", "\u0130", "\u0130,", "plain.", "plain", "\u00e9t\u00e9;", "e\u0301t\u0113:"]
+    ids, first, size = words.encode(odd)
+    assert [ids[a:a + n].tolist() for a, n in zip(first, size)] == [words._ids(w).tolist() for w in odd]
+
+
 def test_damaged_token_file_raises(spark, corpus):
     import public_tokenizers
     folder = tokenids.encode_corpus(corpus(edge_rows()), public_tokenizers.path("word_bpe_49k.json")).removeprefix("file:")
