@@ -4,8 +4,8 @@ Writer: of equal payloads the record with the largest page id is a response, the
 its own.  Repeated payloads are found by their SHA-1 and length; a payload that a third of all pages share is joined in lanes.
 
 Reader: a member is inflated and checked (gzip checksum), then the record is checked (version line, headers, length, end mark, block
-and payload digests).  After a failed check the reader searches for the next valid member, or in plain files for the next version
-line, goes on there, and logs the skipped bytes as a gap.
+and payload digests).  After a failed check the reader searches for the next valid member or version line, goes on at the nearer
+one, and logs the skipped bytes as a gap.
 """
 import base64
 import hashlib
@@ -157,28 +157,32 @@ def _digest_fits(value: str | None, content: bytes) -> bool:
 def salvage(data: memoryview) -> Iterator[tuple]:
     """("record", begin, end, headers, block head, payload) and ("gap", begin, end, reason), in file order, covering every byte.
 
-    Plain files: a failed record is skipped up to the next line that begins with a version mark.
+    A failed place is skipped up to the next gzip member or line with a version mark, whichever comes first and is valid: a damaged
+    beginning does not decide what the file is.
     """
-    at, bad, reason, size = 0, None, "", len(data)
-    packed = bytes(data[:3]) == MEMBER or bytes(data[:5]) != b"WARC/"
-    plain = None if packed else bytes(data)
-    raw = bytes(data) if packed else plain
+    at, bad, reason, size, raw = 0, None, "", len(data), bytes(data)
+    marks = {MEMBER: -1, b"WARC/": -1}                  # next place of each, found once
+    line = re.compile(rb"(?:\A|(?<=\n))WARC/")
+
+    def following(start: int) -> int:
+        if marks[MEMBER] < start:
+            n = raw.find(MEMBER, start)
+            marks[MEMBER] = n if n >= 0 else size
+        if marks[b"WARC/"] < start:
+            m = line.search(raw, start)
+            marks[b"WARC/"] = m.start() if m else size
+        return min(marks.values())
     while at < size:
         try:
-            if packed:
+            if raw.startswith(b"WARC/", at):
+                head, top, payload, end = _parse_at(raw, at)
+            else:
                 content, end = _inflate(data, at)
                 head, top, payload, _ = _parse(content, True)
-            else:
-                head, top, payload, end = _parse_at(plain, at)
         except (zlib.error, ValueError) as e:
             if bad is None:
                 bad, reason = at, str(e)
-            if packed:
-                at = raw.find(MEMBER, at + 1)
-            else:
-                m = raw.find(b"\nWARC/", at)
-                at = m + 1 if m >= 0 else -1
-            at = size if at < 0 else at
+            at = following(at + 1)
             continue
         if bad is not None:
             yield "gap", bad, at, reason
@@ -191,7 +195,7 @@ def salvage(data: memoryview) -> Iterator[tuple]:
 
 def _parse_at(raw: bytes, at: int) -> tuple[dict, bytes, bytes, int]:
     """One record of a plain file: its length is read first so that only its bytes are copied."""
-    split = raw.find(b"\r\n\r\n", at, at + (1 << 20))
+    split = raw.find(b"\r\n\r\n", at)
     m = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", raw[at:split] if split >= 0 else b"", re.I)
     if not m:
         raise ValueError("no version line or length")

@@ -161,6 +161,31 @@ def test_salvage_recovers_everything_outside_the_gap(compress, damage):
     assert edges[0][0] == 0 and edges[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(edges, edges[1:]))
 
 
+def check_whole(data, found):
+    seen = list(warc.salvage(memoryview(data)))
+    assert [warc.page_id(x[3]["warc-record-id"]) for x in seen if x[0] == "record"] == found
+    edges = [(x[1], x[2]) for x in seen]
+    assert edges[0][0] == 0 and edges[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(edges, edges[1:]))
+
+
+def test_salvage_of_a_plain_file_without_its_first_bytes():
+    for cut in (1, 7, 40, 300):
+        check_whole(b"".join(make_file(6, False))[cut:], [1, 2, 3, 4, 5])
+    check_whole(b"\0" * 9 + b"".join(make_file(6, False))[9:], [1, 2, 3, 4, 5])
+    check_whole(b"\x1f\x8b\x08" + b"".join(make_file(6, False))[3:], [1, 2, 3, 4, 5])
+
+
+def test_salvage_goes_on_at_the_nearer_of_member_and_version_line():
+    packed, plain = make_file(6, True), make_file(6, False)
+    check_whole(packed[0] + b"junk" + packed[1] + b"junk\n" + plain[2] + plain[3] + packed[4], [0, 1, 2, 3, 4])
+
+
+def test_plain_record_with_a_long_header():
+    plain = make_file(3, False)
+    plain[1] = plain[1].replace(b"WARC-Date", b"X-Long: " + b"x" * (3 << 20) + b"\r\nWARC-Date", 1)
+    check_whole(b"".join(plain), [0, 1, 2])
+
+
 def test_salvage_of_empty_and_alien_files():
     assert list(warc.salvage(memoryview(b""))) == []
     assert [x[:3] for x in warc.salvage(memoryview(b"hello"))] == [("gap", 0, 5)]
