@@ -103,9 +103,8 @@ def candidate_features(v):
 @query("edit_similarity_feature", """
 SELECT address_id, f_sim_ratio FROM w_afeat JOIN w_addr USING (address_id) WHERE NOT regexp_matches(address_text,'[^\\x00-\\x7F]')""")
 def edit_similarity_feature(v):
-    """Best edit similarity to a locality name (the SQL side measures bytes, so Latin texts only)."""
-    latin = v.address().filter(~F.col("address_text").rlike(r"[^\x00-\x7F]")).select("address_id")
-    return belief.features_stage(v).join(latin, "address_id", "left_semi").select("address_id", "f_sim_ratio")
+    """Best edit similarity to a locality name, per code point, of every address (the SQL side measures bytes and leaves out other than ASCII texts)."""
+    return belief.features_stage(v).select("address_id", "f_sim_ratio")
 
 
 @query("rule_scores", "SELECT candidate_id, score, rank FROM w_ranked")

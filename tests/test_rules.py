@@ -370,3 +370,26 @@ def test_lists_filter_page_and_count(spark):
     assert kept.count() == len([i for i in range(30) if i % 3 < 2 and f"name {i}".startswith("name 1")])
     assert [r.id for r in decision.page(rows, [F.col("id").desc()], 2, 10).collect()] == list(range(19, 9, -1))
     assert {(r.facet, r.value): r.n for r in decision.facets(rows, ["tier"]).collect()} == {("tier", t): 10 for t in "ABC"}
+
+
+def test_edit_similarity_of_every_script_matches_brute_force(spark):
+    from types import SimpleNamespace
+
+    from placeproof.catalog import domain
+    texts = ["12th cross jayanagar", "\u0c9c\u0caf\u0ca8\u0c97\u0cb0 \u0cb9\u0ca4\u0ccd\u0ca4\u0cbf\u0cb0", "jayanagar \u0cb9\u0ca4\u0ccd\u0ca4\u0cbf\u0cb0", "\u091c\u092f \u0928\u0917\u0930", "caf\u00e9 jayan\u00e1gar", ""]
+    names = ["jayanagar", "\u0c9c\u0caf\u0ca8\u0c97\u0cb0", "\u091c\u092f\u0928\u0917\u0930"]
+    address = spark.createDataFrame([(i, i, "T1", "current", dt.date(2023, 1, 1), t) for i, t in enumerate(texts)],
+                                    "address_id long, account_id long, town_id string, address_type string, added_date date, address_text string")
+    locality = spark.createDataFrame([(f"L{i}", "T1", n, "500001", 0.0, 0.0) for i, n in enumerate(names)],
+                                     "locality_id string, town_id string, locality_name string, pincode string, cx double, cy double")
+    got = dict(domain.edit_similarity_feature(SimpleNamespace(spark=spark, sf_dir="scripts", address=lambda: address, locality=lambda: locality)).collect())
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    norm = dict(cand.prepared_addresses(address).select("address_id", "norm").collect())
+    assert got == {i: round(max(1 - distance(t, n) / max(len(t), len(n)) if t else 0.0 for n in names), 4) for i, t in norm.items()}
