@@ -56,8 +56,6 @@ SELECT address_id, source_ref, x, y, granularity, arm_rank::INTEGER AS arm_rank,
             addr = cand.prepared_addresses(v.address())
             df = {
                 "frozen_baseline": lambda: cand.frozen_baseline(v.pin()),
-                "locality_centroid": lambda: cand.locality_centroid(
-                    cand.locality_matches(addr, v.locality(), "2024-02-01"), v.locality()),
                 "town_centroid": lambda: cand.town_centroid(addr, v.locality()),
                 "official_landmark": lambda: cand.official_landmark(
                     cand.landmark_hits(addr, v.landmark()), v.landmark()),
@@ -67,7 +65,21 @@ SELECT address_id, source_ref, x, y, granularity, arm_rank::INTEGER AS arm_rank,
 
 
 for _name in policy.ARMS:
-    _arm_query(_name)
+    if _name != "locality_centroid":
+        _arm_query(_name)
+
+
+@query("arm_locality_centroid", """
+SELECT address_id, 'locality:'||locality_id AS source_ref, cx AS x, cy AS y, 'locality' AS granularity, 1 AS arm_rank, 'locality' AS stratum, NULL::BOOLEAN AS primary_eligible, NULL::BOOLEAN AS ambiguous,
+ match, round(coverage, 4) AS coverage, idf_sum, CASE WHEN match = 'pincode_match' THEN TRUE END AS ambiguous_pin, residue_score, residue_margin
+FROM (SELECT *, NULL::DOUBLE AS residue_score, NULL::DOUBLE AS residue_margin FROM w_locmatch
+ UNION ALL SELECT address_id, locality_id, NULL, NULL, 'residue_tfidf', score, round(score/second, 3) FROM w_residue) JOIN w_loc USING (locality_id)""")
+def arm_locality_centroid(v):
+    """The arm with its provenance: names, else all localities of the pin, else the residue proposal."""
+    addr, loc = belief.prepared_stage(v), v.locality()
+    matches = stage(v, "locality_matches", lambda: cand.locality_matches(addr, loc, "2024-02-01"))
+    full = cand.with_residue(matches, residue_proposals(v))
+    return cand.locality_centroid(full, loc).select(*ARM_COLS).join(cand.locality_provenance(full), ["address_id", "source_ref"])
 
 
 @query("locality_match_v1", """
@@ -92,6 +104,17 @@ def cross_arm_agreement(v):
     return cand.exploded(belief.full_sets(v, AS_OF)).select("candidate_id", "agreement_arms", "f_agreement_count")
 
 
+def code_point_edits(a: str, b: str) -> str:
+    """DuckDB's levenshtein counts bytes.  Outside ASCII each distinct character of both texts becomes one ASCII character, which keeps the distance per code point."""
+    chars = "list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i, 1))"
+    every = f"list_distinct({chars.format(f'({a} || {b})')})"
+
+    def coded(x: str) -> str:
+        return f"array_to_string(list_transform({chars.format(x)}, lambda c: chr((33 + list_position({every}, c))::INT)), '')"
+    return (f"(CASE WHEN strlen({a} || {b}) = length({a} || {b}) THEN levenshtein({a}, {b}) WHEN len({every}) > 94 THEN error('more than 94 characters') "
+            f"ELSE levenshtein({coded(a)}, {coded(b)}) END)")
+
+
 FEATURE_COLS = [c for c in ranking.FEATURES if c != "f_sim_ratio"]
 
 
@@ -100,10 +123,11 @@ def candidate_features(v):
     return ranking.exploded(belief.ranked_at(v, AS_OF)).select("candidate_id", *FEATURE_COLS)
 
 
-@query("edit_similarity_feature", """
-SELECT address_id, f_sim_ratio FROM w_afeat JOIN w_addr USING (address_id) WHERE NOT regexp_matches(address_text,'[^\\x00-\\x7F]')""")
+@query("edit_similarity_feature", f"""
+WITH p AS (SELECT address_id, norm, lname FROM w_addr LEFT JOIN (SELECT DISTINCT town_id, lname FROM w_loc) USING (town_id))
+SELECT address_id, round(coalesce(max(CASE WHEN norm = '' OR lname IS NULL THEN 0.0 ELSE 1.0 - {code_point_edits('norm', 'lname')} / greatest(length(norm), length(lname)) END), 0), 4) AS f_sim_ratio FROM p GROUP BY address_id""")
 def edit_similarity_feature(v):
-    """Best edit similarity to a locality name, per code point, of every address (the SQL side measures bytes and leaves out other than ASCII texts)."""
+    """Best edit similarity to a locality name, per code point, of every address."""
     return belief.features_stage(v).select("address_id", "f_sim_ratio")
 
 
@@ -406,12 +430,22 @@ def _residue(v):
     return addr, loc, lm, res, idf, names, queries, sims
 
 
-@query("residue_tfidf", """
+VIEWS["w_residue"] = """
 SELECT address_id, locality_id, score, second FROM (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM w_rscore WINDOW w AS (PARTITION BY address_id ORDER BY score DESC, locality_id))
-WHERE rn=1 AND score >= 0.35 AND (second IS NULL OR score >= 1.25*second)""")
+WHERE rn=1 AND score >= 0.35 AND (second IS NULL OR score >= 1.25*second)"""
+
+
+def residue_proposals(v):
+    addr, loc, lm = belief.prepared_stage(v), v.locality(), v.landmark()
+    matches = stage(v, "locality_matches", lambda: cand.locality_matches(addr, loc, "2024-02-01"))
+    res = stage(v, "residue", lambda: residue.residue_addresses(addr, matches))
+    idf = stage(v, "gram_idf", lambda: residue.gram_idf(addr, loc, lm))
+    return stage(v, "residue_proposals", lambda: residue.propose(res, residue.name_tokens(loc), idf, 0.35, 1.25))
+
+
+@query("residue_tfidf", "SELECT * FROM w_residue")
 def residue_tfidf(v):
-    _, _, _, res, _, names, _, sims = _residue(v)
-    return residue.accept(residue.score_names(res, names, sims), 0.35, 1.25)
+    return residue_proposals(v)
 
 
 @query("residue_tfidf_svd")
@@ -427,7 +461,30 @@ def residue_tfidf_svd(v):
     return residue.accept(residue.score_names(res, names, both, "mix"), 0.35, 1.25)
 
 
-@query("residue_parser")
+VIEWS["w_lslot"] = f"""
+SELECT DISTINCT town_id, locality_id, slot FROM (SELECT address_id, min(locality_id) AS locality_id FROM (SELECT address_id, town_id, unnest(list_distinct(toks)) AS token FROM w_addr)
+  JOIN (SELECT town_id, locality_id, unnest(ltoks) AS token FROM w_loc) USING (town_id, token) GROUP BY 1) JOIN w_slot USING (address_id)"""
+VIEWS["w_slot"] = r"""
+SELECT DISTINCT address_id, town_id, slot FROM (
+ SELECT address_id, town_id, lower(regexp_extract(m, '([a-zA-Z]+)$', 1)) || regexp_extract(m, '^(\d{1,4})', 1) AS slot
+  FROM (SELECT address_id, town_id, unnest(regexp_extract_all(norm, '(?i)\b\d{1,4}\s*(?:st|nd|rd|th)?\s*(?:cross|main|block|gali|lane|ward|sector)\b')) AS m FROM w_addr)
+ UNION ALL SELECT address_id, town_id, 'house' || unnest(regexp_extract_all(norm, '(?i)\b(?:no\.?|number|h\.?\s?no\.?|house|plot|door|d\.?no|flat)\s*\.?\s*(\d{1,4})', 1)) FROM w_addr)"""
+VIEWS["w_edge"] = f"""
+SELECT t, q, greatest(CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN len(list_intersect(ga, gb)) / sqrt(len(ga) * len(gb)) ELSE 0 END, 1.0 - {code_point_edits('t', 'q')} / greatest(length(t), length(q))) AS s
+FROM (SELECT t, q, list_distinct({GRAMS.format('t')}) AS ga, list_distinct({GRAMS.format('q')}) AS gb FROM (SELECT DISTINCT t, q FROM w_rtok JOIN w_ntok USING (town_id)))"""
+VIEWS["w_parser"] = """
+SELECT address_id, locality_id, CASE WHEN has_slots AND slot_hit = 0 THEN round(c * 0.5 + 1e-9, 4) ELSE c END AS score, s_idf, slot_hit, has_slots FROM (
+ SELECT *, round(0.5*greatest(s_text, s_idf) + 0.5*(0.5*s_idf + 0.5*slot_hit) + 1e-9, 4) AS c FROM (
+  SELECT i.address_id, i.locality_id, s_idf, coalesce(r.score, 0) AS s_text, CASE WHEN h.address_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS slot_hit, i.address_id IN (SELECT address_id FROM w_slot) AS has_slots
+  FROM (SELECT address_id, locality_id, round(sum(w*best)/sum(w) + 1e-9, 4) AS s_idf FROM (SELECT address_id, locality_id, t, coalesce(max(idf), 1.0) AS w, max(s) AS best
+    FROM w_rtok JOIN (SELECT DISTINCT town_id, locality_id, t FROM w_ntok) USING (town_id) JOIN w_edge USING (t, q) LEFT JOIN w_gidf ON gram = t GROUP BY 1,2,3) GROUP BY 1,2) i
+  LEFT JOIN w_rscore r USING (address_id, locality_id)
+  LEFT JOIN (SELECT DISTINCT s.address_id, l.locality_id FROM w_slot s JOIN w_lslot l USING (town_id, slot)) h USING (address_id, locality_id)))"""
+
+
+@query("residue_parser", """
+SELECT address_id, locality_id, score, s_idf, slot_hit, has_slots, second FROM (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM w_parser WINDOW w AS (PARTITION BY address_id ORDER BY score DESC, locality_id))
+WHERE rn = 1 AND score >= 0.30 AND (second IS NULL OR score >= 1.15*second) AND NOT (has_slots AND slot_hit = 0 AND second IS NULL)""")
 def residue_parser(v):
     """Edit-tolerant tokens plus slot consistency; a lone slotless proposal stays silent."""
     addr, loc, _, res, idf, names, _, sims = _residue(v)

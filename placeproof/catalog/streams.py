@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from placeproof import policy
 from placeproof.catalog import query
-from placeproof.catalog.oracle_domain import AS_OF
-from placeproof.operators.asof import known_before
+from placeproof.catalog.oracle_domain import AS_OF, EARLY
 from placeproof.plans import belief
 from placeproof.session import checkpoint, work_path
 from placeproof.streaming import pipeline
@@ -17,7 +16,7 @@ def stream_idempotent_ingest(v):
     path = work_path(v.spark, "log")
     rows = pipeline.idempotent(pipeline.visit_stream(v)).select("visit_id", "address_id", "outcome", "observed_at")
     for run in ("first", "replay"):
-        pipeline.drain(rows, f"ingest-{run}", each_batch=pipeline.keyed_append(path, "visit_id", ["observed_at"]))
+        pipeline.drain(rows, f"ingest-{run}", each_batch=pipeline.keyed_append(path, "visit_id", ["observed_at"], time="observed_at"))
     return v.spark.read.parquet(path).select("visit_id", "address_id", "outcome")
 
 
@@ -29,38 +28,64 @@ def stream_duplicate_claims(v):
 
 
 @query("stream_scores", """
-SELECT visit_id, CASE WHEN base = 0 THEN 0.0 ELSE round(base * CASE WHEN dwell_s<60 THEN 0.5 WHEN dwell_s<180 THEN 0.8 ELSE 1.0 END::DOUBLE * CASE WHEN dwell_s>7200 THEN 0.7 ELSE 1.0 END::DOUBLE
- * CASE WHEN gps_accuracy_m IS NULL THEN 0.9 WHEN gps_accuracy_m<=15 THEN 1.0 WHEN gps_accuracy_m<=30 THEN 0.9 WHEN gps_accuracy_m<=50 THEN 0.75 ELSE 0.5 END::DOUBLE
- * CASE WHEN photo_hash IS NULL THEN 0.85 WHEN photo_hash LIKE 'dup%' THEN 0.4 ELSE 1.0 END::DOUBLE * CASE WHEN hour(observed_at + INTERVAL 330 MINUTE) BETWEEN 8 AND 18 THEN 1.0 ELSE 0.7 END::DOUBLE
- * CASE WHEN rate > 0.4 THEN 0.9 ELSE 1.0 END::DOUBLE, 6) END AS weight FROM (SELECT v.*, rate, CASE outcome WHEN 'met_borrower' THEN 0.95 WHEN 'met_family' THEN 0.80 WHEN 'cash_collected' THEN 1.0 WHEN 'neighbour_says_shifted' THEN 0.35
- WHEN 'locked_premises' THEN 0.45 ELSE 0.0 END::DOUBLE AS base FROM w_visit v JOIN (SELECT agent_id, avg((outcome IN ('no_such_person','address_not_traceable'))::INTEGER) AS rate FROM w_visit GROUP BY 1) USING (agent_id))""")
+SELECT observation_id AS visit_id, CASE WHEN base = 0 THEN 0.0::DOUBLE ELSE round(base * f_dwell * f_long * f_gps * f_trail * f_media * f_hour * CASE WHEN rate > 0.4 THEN 0.9 ELSE 1.0 END::DOUBLE, 6) END AS weight
+FROM w_ev JOIN (SELECT visit_id AS observation_id, CASE WHEN count(p) >= 10 THEN sum(neg)/count(p) END AS rate FROM w_visit a LEFT JOIN (
+  SELECT agent_id AS ag, epoch_us(observed_at) AS p, (outcome IN ('no_such_person','address_not_traceable'))::INTEGER AS neg FROM w_visit) b
+  ON ag = agent_id AND p < epoch_us(observed_at) AND p >= epoch_us(observed_at) - 60*86400000000 GROUP BY 1) USING (observation_id)""")
 def stream_scores(v):
+    """Scores on arrival, trail and trailing collector rate included."""
     vis = v.visit()
     dup = vis.filter("photo_hash is not null").groupBy(F.col("photo_hash").alias("media")).agg(F.count("*").alias("c")).filter("c > 1").select("media")
-    rate = vis.groupBy("agent_id").agg(F.avg(F.col("outcome").isin(policy.NEGATIVE_OUTCOMES).cast("int")).alias("rate"))
-    s = pipeline.score_on_arrival(pipeline.visit_stream(v), dup, rate).select("visit_id", "weight")
-    return v.spark.read.parquet(pipeline.drain(s, "scores"))
+    scorer = pipeline.ArrivalScorer(v, dup, work_path(v.spark, "scores"))
+    pipeline.drain(pipeline.visit_stream(v), "scores", each_batch=scorer)
+    return v.spark.read.parquet(scorer.scores.path).select("visit_id", "weight")
 
 
-def _updates(v):
-    """Scored observations streamed through the belief updater."""
-    root, src = work_path(v.spark, "updates"), work_path(v.spark, "scored")
-    known_before(belief.evidence_stage(v), AS_OF).write.parquet(src)
-    stream = v.spark.readStream.schema(v.spark.read.parquet(src).schema).parquet(src)
-    up = pipeline.BeliefUpdater(v, AS_OF, root)
-    pipeline.drain(stream, "beliefs", each_batch=up)
-    return up
+_RUNS: dict[tuple, pipeline.BeliefUpdater] = {}
 
 
-@query("stream_belief_updates", "SELECT address_id, tier, status, candidate_id, radius_m FROM w_prior WHERE n_obs > 0")
+def _updates(v):
+    """Scored observations in three arrivals, each drained by a stream that goes on where the last one stopped; once per session."""
+    at = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if at not in _RUNS:
+        root, src, state = work_path(v.spark, "updates"), work_path(v.spark, "scored"), work_path(v.spark, "updates-state")
+        rows = belief.evidence_stage(v).withColumn("_part", F.pmod(F.xxhash64("observation_id"), F.lit(3)))
+        up = pipeline.BeliefUpdater(v, AS_OF, root)
+        for i in range(3):
+            rows.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(src)
+            stream = v.spark.readStream.schema(belief.evidence_stage(v).schema).parquet(src)
+            pipeline.drain(stream, "beliefs", each_batch=up, state=state)
+        _RUNS[at] = up
+    return _RUNS[at]
+
+
+@query("stream_belief_updates", "SELECT address_id, tier, status, candidate_id, radius_m, arm FROM w_belief WHERE address_id IN (SELECT address_id FROM w_ev)")
 def stream_belief_updates(v):
-    up = _updates(v)
-    return v.spark.read.parquet(up.beliefs).select("address_id", "tier", "status", "candidate_id", "radius_m")
+    """Newest stored belief of every address with an observation: memory arm included, equal to the batch job's."""
+    return _updates(v).latest().select("address_id", "tier", "status", "candidate_id", "radius_m", "arm")
 
 
-@query("stream_tasks", "SELECT 'VF-'||address_id||'-'||status AS task_id FROM w_prior WHERE status IN ('MOVED_SUSPECTED','CONTESTED')")
+@query("stream_tasks", "SELECT 'VF-'||address_id||'-'||status AS task_id FROM w_belief WHERE status IN ('MOVED_SUSPECTED','CONTESTED')")
 def stream_tasks(v):
-    return v.spark.read.parquet(_updates(v).tasks).select("task_id")
+    """Tasks raised so far whose cause the newest belief of the address still has."""
+    up = _updates(v)
+    now = up.latest().select("address_id", F.col("status").alias("cause"))
+    return v.spark.read.parquet(up.tasks.path).join(now, ["address_id", "cause"], "left_semi").select("task_id")
+
+
+@query("stored_memory_arm", """
+WITH s AS (SELECT * FROM w_belief_early WHERE n_obs > 0),
+m AS (SELECT address_id, candidate_id, arm, x, y, granularity, stratum, tier, belief_version FROM s WHERE candidate_id IS NOT NULL
+ UNION ALL SELECT address_id, candidate_id, arm, x, y, granularity, stratum, tier, belief_version FROM w_prior WHERE address_id NOT IN (SELECT address_id FROM s WHERE candidate_id IS NOT NULL))
+SELECT address_id, 'memory:'||address_id||'@v'||belief_version AS source_ref, x, y, granularity, stratum, tier IN ('CONFIRMED','PROBABLE') AS primary_eligible FROM m WHERE arm = 'field_evidence'""")
+def stored_memory_arm(v):
+    """Memory from stored versions: beliefs of an early cut, versions of superseded rules (ignored), the prior pass where none is stored."""
+    early = belief.belief_at(v, EARLY).filter("n_obs > 0").drop("ranked")
+    old = early.withColumn("arm", F.lit("field_evidence")).withColumn("x", F.lit(0.0)).withColumn("as_of", F.expr("as_of + interval 1 day"))
+    versions = early.withColumn("rules_version", F.lit(policy.RULES_VERSION)).unionByName(old.withColumn("rules_version", F.lit("rules-0")))
+    prior = belief.prior_at(v, AS_OF)
+    points = prior.select("address_id", F.lit(AS_OF).cast("timestamp").alias("as_of"))
+    return belief.stored_memory(points, versions, prior).select("address_id", "source_ref", "x", "y", "granularity", "stratum", "primary_eligible")
 
 
 DEVICE = "agent_id||'-'||(address_id % 64)"
@@ -86,6 +111,23 @@ def stream_held_rows(v):
     return v.spark.read.parquet(pipeline.drain(pipeline.hold_out_of_order(s), "held")).select("device", "seq", "release")
 
 
+@query("stream_backlog_order", f"""
+SELECT device, row_number() OVER (PARTITION BY device ORDER BY observed_at, visit_id)-1 AS position, visit_id AS local_seq FROM (SELECT {DEVICE} AS device, observed_at, visit_id FROM w_visit)
+WHERE observed_at < (SELECT max(date_trunc('milliseconds', observed_at)) FROM w_visit) - INTERVAL 7 DAY""")
+def stream_backlog_order(v):
+    """Four arrivals of device backlogs, late by up to four days, put back in (time, local_seq) order as far as the watermark has come."""
+    dev = F.concat_ws("-", "agent_id", (F.col("address_id") % 64).cast("string"))
+    late = F.floor((F.datediff("observed_at", F.lit("2024-01-01")) + (F.col("visit_id") % 3) * 2) / 9)
+    rows = checkpoint(v.visit().select(dev.alias("device"), F.col("visit_id").alias("local_seq"), "observed_at", late.alias("arrival")))
+    ends = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    src, state, sink = work_path(v.spark, "late"), work_path(v.spark, "late-state"), work_path(v.spark, "late-out")
+    for i in range(ends[0], ends[1] + 1):
+        rows.filter(F.col("arrival") == i).drop("arrival").write.mode("append").parquet(src)
+        s = v.spark.readStream.schema(rows.drop("arrival").schema).parquet(src).withWatermark("observed_at", pipeline.WATERMARK)
+        pipeline.drain(pipeline.drain_backlog(s), "late", sink=sink, state=state)
+    return v.spark.read.parquet(sink).select("device", "position", "local_seq")
+
+
 @query("stream_backfill_counts", "SELECT outcome, count(*) AS n FROM w_visit GROUP BY 1")
 def stream_backfill_counts(v):
     """Whole history through the live mapping, then counted."""

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from placeproof import policy
 from placeproof.functions import geo, times
 from placeproof.functions.digest import candidate_id
-from placeproof.operators.asof import known_before
+from placeproof.operators.asof import known_before, latest_before
 from placeproof.plans import candidates as cand
 from placeproof.plans import evidence, ranking
 from placeproof.policy import BASE, Policy
-from placeproof.sources.stages import stage
+from placeproof.sources.stages import stage, together
 
 
 def published(stratum: Column) -> Column:
@@ -150,6 +150,25 @@ def memory_arm(prior: DataFrame, as_of: str) -> DataFrame:
                      valid=F.lit(as_of))
 
 
+REMEMBERED = ["candidate_id", "arm", "x", "y", "granularity", "stratum", "tier", "belief_version"]
+
+
+def stored_memory(points: DataFrame, versions: DataFrame, prior: DataFrame, rules: str = policy.RULES_VERSION) -> DataFrame:
+    """Memory arm at points (address_id, as_of) from stored belief versions (with rules_version), as an as-of join.
+
+    The newest version strictly before the instant counts, of the given rules only.  Where there is none, or it has no candidate, the
+    belief computed without memory (`prior`, one row per address) stands in; a version that rests on a static arm gives no memory.
+    """
+    own = versions.filter(F.col("rules_version") == rules).withColumnRenamed("as_of", "stored_at")
+    last = latest_before(points.select("address_id", "as_of"), own, ["address_id"], "as_of", "stored_at", [*REMEMBERED, "stored_at"], ["belief_version"], bucket="month")
+    now = prior.select("address_id", F.struct(*REMEMBERED).alias("now"))
+    used = F.when(F.col("candidate_id").isNotNull(), F.struct(*REMEMBERED)).otherwise(F.col("now"))
+    rows = last.join(now, "address_id", "left").select("address_id", "as_of", F.coalesce("stored_at", "as_of").alias("valid"), used.alias("m")).select("address_id", "as_of", "valid", "m.*")
+    kept = rows.filter(F.col("candidate_id").isNotNull() & (F.col("arm") == "field_evidence"))
+    return cand._arm(kept, "memory", F.concat(F.lit("memory:"), "address_id", F.lit("@v"), "belief_version"), F.col("x"), F.col("y"), F.col("granularity"), F.col("stratum"),
+                     eligible=F.col("tier").isin("CONFIRMED", "PROBABLE"), valid=F.col("valid"))
+
+
 def add_arm(sets: DataFrame, arm: DataFrame, p: Policy = BASE) -> DataFrame:
     """Adds one more single-candidate arm to finished sets and renews the agreement counts."""
     a = (arm.withColumn("candidate_id", candidate_id(F.col("arm"), F.col("address_id"),
@@ -183,9 +202,16 @@ def static_stage(v) -> DataFrame:
     return stage(v, "static_arms", lambda: cand.static_union(v, addr=prepared_stage(v)))
 
 
+def inputs(v) -> None:
+    """Everything a belief starts from; the three stages do not depend on each other."""
+    prepared_stage(v)
+    together(v.spark, [lambda: evidence_stage(v), lambda: static_stage(v), lambda: features_stage(v)])
+
+
 def bare_sets(v, as_of: str, p: Policy = BASE) -> DataFrame:
     """Candidate sets of the static and field-evidence arms at a cut."""
     def build():
+        inputs(v)
         ev = known_before(evidence_stage(v), as_of)
         return cand.with_agreement(cand.candidate_sets(
             static_stage(v).unionByName(cand.field_evidence(ev, p)), p), p)

@@ -124,12 +124,30 @@ def locality_matches(addr: DataFrame, loc: DataFrame, added_before: str | None)
     return named.unionByName(by_pin)
 
 
+def with_residue(matches: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Matches and the accepted residue proposals (of addresses in which no name and no pin could be read)."""
+    rows = proposals.join(matches.select("address_id").distinct(), "address_id", "left_anti").select(
+        "address_id", "locality_id", F.lit("residue_tfidf").alias("match"), F.col("score").alias("residue_score"),
+        F.round(F.col("score") / F.col("second"), 3).alias("residue_margin"))
+    return matches.unionByName(rows, allowMissingColumns=True)
+
+
 def locality_centroid(matches: DataFrame, loc: DataFrame) -> DataFrame:
     df = matches.join(loc.select("locality_id", "cx", "cy"), "locality_id")
     return _arm(df, "locality_centroid", F.concat(F.lit("locality:"), "locality_id"), F.col("cx"),
                 F.col("cy"), F.lit("locality"), F.lit("locality"))
 
 
+PROVENANCE = ["match", "coverage", "idf_sum", "ambiguous_pin", "residue_score", "residue_margin"]
+
+
+def locality_provenance(matches: DataFrame) -> DataFrame:
+    """(address_id, source_ref, ...) of each row of the arm: how the locality was read; all localities of a pin are marked ambiguous."""
+    own = [F.col(c) if c in matches.columns else F.lit(None).cast("double").alias(c) for c in ("residue_score", "residue_margin")]
+    return matches.select("address_id", F.concat(F.lit("locality:"), "locality_id").alias("source_ref"), "match", F.round("coverage", 4).alias("coverage"), "idf_sum",
+                          F.when(F.col("match") == "pincode_match", True).alias("ambiguous_pin"), *own)
+
+
 def locality_v1(addr: DataFrame, loc: DataFrame) -> DataFrame:
     """Comparator: any shared token counts 2, pin counts 1; best score, then id."""
     lt = token_index(loc.withColumn("nt", text.tokens(text.norm_text(F.col("locality_name")))),

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from placeproof import policy
 from placeproof.functions import geo, text
-from placeproof.plans import candidates as cand
+from placeproof.operators.nearest_name import best_by_edits, best_by_tokens
+from placeproof.session import checkpoint
 
 
 def _lookup(table: dict, key: Column, default: float) -> Column:
@@ -17,36 +18,31 @@ def _lookup(table: dict, key: Column, default: float) -> Column:
 def address_features(addr: DataFrame, loc: DataFrame) -> DataFrame:
     """Per address: best locality name by token Jaccard, its 3-gram Jaccard, best edit similarity.
 
-    The names of a town (its gazetteer list) ride along as one array, so an address stays one row:
-    no row explosion and no shuffle by address for the maxima.
+    Equal texts of a town are matched once; names are met through their tokens and lengths (see `operators.nearest_name`).
     """
-    names = (loc.withColumn("lname", text.norm_text(F.col("locality_name")))
-             .groupBy("town_id").agg(
-        F.collect_set(F.struct("lname", F.array_distinct(text.tokens(F.col("lname")))
-                               .alias("ltoks"))).alias("names"),
-        F.collect_set("pincode").alias("pins"),
-        F.avg("cx").alias("tcx"), F.avg("cy").alias("tcy")))
-    raw = F.col("address_text")
-    base = (addr.withColumn("utoks", F.array_distinct("toks")).join(names, "town_id", "left")
-            .withColumn("b", F.array_max(F.transform("names", lambda n: F.struct(
-                text.set_jaccard(F.col("utoks"), n["ltoks"]).alias("j"), n["lname"].alias("lname")))))
-            .withColumn("ratio", F.array_max(F.transform(
-                "names", lambda n: text.edit_similarity(F.col("norm"), n["lname"])))))
-    pin, known = F.col("pin_text"), F.coalesce(F.array_contains("pins", F.col("pin_text")),
-                                               F.lit(False))
-    j = F.coalesce(F.col("b.j"), F.lit(0.0))
+    names = loc.select("town_id", text.norm_text(F.col("locality_name")).alias("name")).distinct().withColumn(
+        "toks", F.array_distinct(text.tokens(F.col("name"))))
+    towns = loc.groupBy("town_id").agg(F.avg("cx").alias("tcx"), F.avg("cy").alias("tcy"))
+    pins = loc.select("town_id", F.col("pincode").alias("pin_text")).distinct().withColumn("known", F.lit(True))
+    texts = addr.select("town_id", F.col("norm").alias("text"), F.array_distinct("toks").alias("toks")).distinct()
+    # few bytes, much work per row: dealt out by number, as small shuffles would be merged into a few tasks
+    parts = int(addr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = checkpoint(best_by_tokens(texts, names).repartition(parts, "town_id", "text"))
+    edits = best_by_edits(best.select("town_id", "text", F.col("name").alias("guess")), names.select("town_id", "name"))
+    char3 = F.round(F.coalesce(text.set_jaccard(text.char_ngrams(F.col("text")), text.char_ngrams(F.col("name"))), F.lit(0.0)), 4)
+    matched = best.select("town_id", "text", "j", char3.alias("char3")).join(edits, ["town_id", "text"]).withColumnRenamed("text", "norm")
+    base = (addr.join(matched, ["town_id", "norm"], "left").join(towns, "town_id", "left").join(pins, ["town_id", "pin_text"], "left"))
+    raw, pin, j = F.col("address_text"), F.col("pin_text"), F.coalesce(F.col("j"), F.lit(0.0))
     return base.select(
         "address_id", "town_id", "tcx", "tcy",
         (j > 0).cast("int").alias("f_locality_name_matched"),
         pin.isNotNull().cast("int").alias("f_pin_in_text"),
-        (pin.isNotNull() & ~known).cast("int").alias("f_pin_unknown"),
+        (pin.isNotNull() & F.col("known").isNull()).cast("int").alias("f_pin_unknown"),
         (~raw.rlike(r"\d")).cast("int").alias("f_no_digit"),
         (~raw.contains(",")).cast("int").alias("f_no_separator"),
         (F.col("town_id") == "OUT").cast("int").alias("f_outside_town"),
         F.round(j, 4).alias("f_sim_jaccard"),
-        F.round(F.coalesce(text.set_jaccard(text.char_ngrams(F.col("norm")),
-                                            text.char_ngrams(F.col("b.lname"))), F.lit(0.0)), 4)
-        .alias("f_sim_char3"),
+        F.coalesce("char3", F.lit(0.0)).alias("f_sim_char3"),
         F.round(F.coalesce("ratio", F.lit(0.0)), 4).alias("f_sim_ratio"))
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from placeproof import policy
 from placeproof.functions import text
+from placeproof.operators.cosine import cosine_of, cosine_pairs
+from placeproof.session import checkpoint
 
 NGRAM = 4
+TIE = 1e-9                                              # sums that stand on a rounding tie go up, whatever the order of summation
 
 
 def residue_addresses(addr: DataFrame, matches: DataFrame) -> DataFrame:
@@ -69,6 +72,33 @@ def accept(scored: DataFrame, min_score: float, min_margin: float) -> DataFrame:
         F.col("score") >= min_margin * F.col("second")))).drop("rn")
 
 
+def propose(res: DataFrame, names: DataFrame, idf: DataFrame, min_score: float, min_margin: float) -> DataFrame:
+    """(address_id, locality_id, score, second) of the accepted proposals, as `accept` over all names would give them.
+
+    A runner-up under min_score / min_margin rejects nothing, and a name that scores as much has a token with at least that cosine.  So
+    only token pairs that reach it are looked for, names without such a pair are never scored, and the rest of a name's tokens is
+    scored for names that have one.  The runner-up of an accepted address is then looked up among all its names.
+    """
+    floor = min_score / min_margin
+    asked = res.select("address_id", "town_id", F.explode(F.array_distinct("toks")).alias("q"))
+    vt = checkpoint(token_vectors(names, idf).select(F.col("token").alias("key"), F.col("gram").alias("term"), "w", "norm"))
+    vq = checkpoint(token_vectors(asked.select(F.col("q").alias("token")), idf).select(F.col("token").alias("key"), F.col("gram").alias("term"), "w", "norm"))
+    near = cosine_pairs(vt, vq, round(floor, 4) - 1e-4).select(F.col("a").alias("t"), F.col("b").alias("q"))
+    own = names.withColumnRenamed("token", "t")
+    hit = checkpoint(asked.join(near, "q").select("address_id", "town_id", "t").distinct().join(own, ["town_id", "t"]).select("address_id", "locality_id").distinct())
+    wanted = hit.join(own, "locality_id").select("address_id", "t").distinct().join(asked, "address_id").select("address_id", "t", "q")
+    sims = cosine_of(wanted.select(F.col("t").alias("a"), F.col("q").alias("b")).distinct(), vt, vq).select(F.col("a").alias("t"), F.col("b").alias("q"), "cos")
+    best = wanted.join(sims, ["t", "q"]).groupBy("address_id", "t").agg(F.max("cos").alias("best"))
+    scored = (hit.join(own, "locality_id").join(best, ["address_id", "t"]).groupBy("address_id", "locality_id", "n_tok").agg(F.sum("best").alias("s"))
+              .select("address_id", "locality_id", F.round(F.col("s") / F.col("n_tok"), 4).alias("score")).filter(F.col("score") >= floor - 1e-9))
+    won = checkpoint(accept(scored, min_score, min_margin).select("address_id", "locality_id", "score"))
+    mine = res.join(won.select("address_id"), "address_id", "left_semi")
+    every = score_names(mine, names, token_cosine(names, mine.select(F.explode("toks").alias("token")), idf))
+    second = (every.join(won.withColumnsRenamed({"locality_id": "best_id", "score": "best"}), "address_id").filter("locality_id <> best_id")
+              .groupBy("address_id").agg(F.max("score").alias("second")))
+    return won.join(second, "address_id", "left")
+
+
 def svd_loadings(docs: DataFrame, idf: DataFrame, top_terms: int = 1200, k: int = 16) -> DataFrame:
     """(gram, loading array): truncated SVD of the row-normalised document matrix over the densest
     grams.  The documents stay distributed; only the top_terms x k loadings are local."""
@@ -127,20 +157,20 @@ def parser_scores(res: DataFrame, addr: DataFrame, loc: DataFrame, idf: DataFram
     best = qt.join(sims, "q").join(names.select("town_id", F.col("token").alias("t"), "locality_id").distinct(), ["town_id", "t"]) \
         .groupBy("address_id", "locality_id", "t").agg(F.max("s").alias("best"))
     w = best.join(idf.select(F.col("gram").alias("t"), "idf"), "t", "left").withColumn("w", F.coalesce("idf", F.lit(1.0)))
-    s_idf = w.groupBy("address_id", "locality_id").agg(F.round(F.sum(F.col("w") * F.col("best")) / F.sum("w"), 4).alias("s_idf"))
+    s_idf = w.groupBy("address_id", "locality_id").agg(F.round(F.sum(F.col("w") * F.col("best")) / F.sum("w") + TIE, 4).alias("s_idf"))
     # a locality's slots come from the addresses whose text shares a name token (first such locality)
     lt = loc.select("town_id", "locality_id", F.explode(F.array_distinct(text.tokens(text.norm_text(F.col("locality_name"))))).alias("token"))
     member = (addr.select("address_id", "town_id", F.explode(F.array_distinct("toks")).alias("token")).join(lt, ["town_id", "token"])
               .groupBy("address_id").agg(F.min("locality_id").alias("locality_id")))
-    slots = addr.select("address_id", F.explode(text.numeric_slots(F.col("norm"))).alias("slot")).distinct()
-    loc_slots = slots.join(member, "address_id").select("locality_id", "slot").distinct()
+    slots = addr.select("address_id", "town_id", F.explode(text.numeric_slots(F.col("norm"))).alias("slot")).distinct()
+    loc_slots = slots.join(member, "address_id").select("town_id", "locality_id", "slot").distinct()
     mine = slots.join(res.select("address_id"), "address_id", "left_semi")
-    hit = mine.join(loc_slots, "slot").select("address_id", "locality_id").distinct().withColumn("slot_hit", F.lit(1.0))
+    hit = mine.join(loc_slots, ["town_id", "slot"]).select("address_id", "locality_id").distinct().withColumn("slot_hit", F.lit(1.0))
     has = mine.select("address_id").distinct().withColumn("has_slots", F.lit(True))
     j = (s_idf.join(text_score.withColumnRenamed("score", "s_text"), ["address_id", "locality_id"], "left")
          .join(hit, ["address_id", "locality_id"], "left").join(has, "address_id", "left")
          .fillna({"s_text": 0.0, "slot_hit": 0.0}))
-    c = F.round(0.5 * F.greatest("s_text", "s_idf") + 0.5 * (0.5 * F.col("s_idf") + 0.5 * F.col("slot_hit")), 4)
+    c = F.round(0.5 * F.greatest("s_text", "s_idf") + 0.5 * (0.5 * F.col("s_idf") + 0.5 * F.col("slot_hit")) + TIE, 4)
     j = j.withColumn("c", c)
-    return j.select("address_id", "locality_id", F.when(F.col("has_slots") & (F.col("slot_hit") == 0), F.round(F.col("c") * 0.5, 4))
+    return j.select("address_id", "locality_id", F.when(F.col("has_slots") & (F.col("slot_hit") == 0), F.round(F.col("c") * 0.5 + TIE, 4))
                     .otherwise(F.col("c")).alias("score"), "s_idf", "slot_hit", F.coalesce("has_slots", F.lit(False)).alias("has_slots"))

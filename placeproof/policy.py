@@ -5,6 +5,9 @@ nowhere else.  `Policy` bundles the knobs a sweep may vary.
 """
 from dataclasses import dataclass
 
+# Stored beliefs carry it; the memory arm reads beliefs of the current rules only.
+RULES_VERSION = "rules-1"
+
 # Candidate arms in registry order, and which of them carry evidence.
 ARMS = ["frozen_baseline", "locality_centroid", "town_centroid", "official_landmark",
         "address_book", "field_evidence", "memory"]

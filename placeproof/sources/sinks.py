@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeproof.functions.digest import row_digest
-from placeproof.session import stored
+from placeproof.sources.keyed_log import KeyedLog
 
 
 def write_fixed(df: DataFrame, columns: list[str], path: str, fmt: str = "parquet") -> None:
@@ -13,19 +13,9 @@ def write_fixed(df: DataFrame, columns: list[str], path: str, fmt: str = "parque
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
-def new_rows(rows: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows whose key is new; the first of several rows with one key wins (a mergeable minimum)."""
-    rest = [c for c in rows.columns if c != key]
-    first = (rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
-             .select(key, "r.*"))
-    return first.join(existing.select(key), key, "left_anti").select(*rows.columns)
-
-
 def append_keyed(rows: DataFrame, path: str, key: str, order: list[str]) -> None:
-    """Append-only keyed insert: keys already stored are ignored, so a replay changes nothing."""
-    spark = rows.sparkSession
-    existing = spark.read.parquet(path) if stored(spark, path) else rows.limit(0)
-    new_rows(rows, existing, key, order).write.mode("append").parquet(path)
+    """Append-only keyed insert: keys already stored are ignored, so a replay changes nothing (see `KeyedLog`)."""
+    KeyedLog(rows.sparkSession, path, key, order).append(rows)
 
 
 def town_bundles(addr: DataFrame, cands: DataFrame, as_of: str, valid_days: int = 7) -> DataFrame:

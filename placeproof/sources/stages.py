@@ -5,6 +5,7 @@ recomputing the log, and later jobs of the same session start from it.
 """
 from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 
 from placeproof.session import checkpoint
@@ -19,6 +20,15 @@ def stage(v, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     return _STAGES[key]
 
 
+def together(spark, builds: list[Callable[[], object]]) -> None:
+    """Build independent stages at the same time: their jobs share the executors instead of leaving them idle between small jobs."""
+    threads = [InheritableThread(target=b, session=spark) for b in builds]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+
+
 def forget() -> None:
     """Drop all stage handles (the next job recomputes)."""
     _STAGES.clear()

@@ -263,18 +263,20 @@ class Views:
             (F.col("l_suppkey") * 7 % 31 - 15).cast("int").alias("dy"),
             F.col("l_quantity").cast("int").alias("accuracy_m"))
 
-    def trace_summary(self) -> DataFrame:
-        """Per visit: tail point (median of the last three fixes) and whole-trace median."""
+    def trace_summary(self, visits: DataFrame | None = None) -> DataFrame:
+        """Per visit (of the given ones): tail point (median of the last three fixes) and whole-trace median."""
         from placeproof.operators.windows import trace_tail
         t = self.trace()
+        if visits is not None:
+            t = t.join(visits.select("visit_id").distinct(), "visit_id", "left_semi")
         med = t.groupBy("visit_id").agg(
             F.percentile("dx", 0.5).alias("med_dx"), F.percentile("dy", 0.5).alias("med_dy"),
             F.count("*").alias("trail_points"))
         return trace_tail(t).join(med, "visit_id")
 
-    def checkin(self) -> DataFrame:
-        """Visits with their raw check-in sample."""
-        v, p = self.visit(), self.place_point()
+    def checkin(self, visits: DataFrame | None = None) -> DataFrame:
+        """Visits (all, or the given ones) with their raw check-in sample."""
+        v, p = self.visit() if visits is None else visits, self.place_point()
         k = F.col("visit_id")
         far = F.when(k % 29 == 0, 300.0).otherwise(0.0)
         known = k % 53 != 0
@@ -288,9 +290,9 @@ class Views:
                 .withColumn("checkin_y", F.when(known, F.round(
                     F.col("ty") + (k * 23 % 41 - 20) * 0.7, 3))))
 
-    def observation(self) -> DataFrame:
-        """Visits mapped to observations: tail coordinate where a trace exists, else check-in."""
-        c = self.checkin().join(self.trace_summary(), "visit_id", "left")
+    def observation(self, visits: DataFrame | None = None) -> DataFrame:
+        """Visits (all, or the given ones) mapped to observations: tail coordinate where a trace exists, else check-in."""
+        c = self.checkin(visits).join(self.trace_summary(visits), "visit_id", "left")
         neg = F.col("outcome").isin("no_such_person", "address_not_traceable")
         amb = F.col("outcome").isin("neighbour_says_shifted", "locked_premises")
         tail = F.col("tail_n").isNotNull() & F.col("checkin_x").isNotNull()

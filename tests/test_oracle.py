@@ -9,7 +9,8 @@ from compare import connect, oracle, rows_of
 SAMPLE = ["source_address", "table_profile", "foreign_key_orphans", "tokens_pin_relation", "asof_latest_strictly_before", "close_pairs_30m",
           "place_blocks", "near_duplicate_texts", "record_lookup", "pin_error_by_precision", "attempt_history", "agent_trailing_rate",
           "spatial_folds", "block_neighbours_median", "block_summary", "table_attestation", "evidence_weight", "belief_table",
-          "eligibility_navigation", "what_if_two_denials", "temporal_holdout", "stream_idempotent_ingest", "stream_duplicate_claims"]
+          "eligibility_navigation", "what_if_two_denials", "temporal_holdout", "stream_idempotent_ingest", "stream_duplicate_claims",
+          "edit_similarity_feature", "arm_locality_centroid", "residue_parser", "stream_scores", "stream_backlog_order", "stored_memory_arm"]
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
