@@ -1,17 +1,21 @@
 """N-gram Jaccard join over parity sketches.
 
-A set of shingle hashes is drawn as bits: each hash flips one bit, so two sketches differ in at most as many bits as the sets differ
-in elements.  Sets that reach the similarity differ in at most d elements, and d follows from the sizes; of w words of 64 bits at least
-w - d are equal (pigeonhole).  Sizes form levels whose ratio is the threshold; partners are in the same or the next level,
-so each set is drawn in the layouts of two neighbouring level pairs and (layout, word number, word) is an equi-join key.  Words with
-few bits are equal in many unrelated sets.  A set leaves out its words of up to j bits for the largest j at which these are fewer than
-w - d: then one of the equal words has more bits, also more than the partner's j, and both sets keep it.
-
-Equal sets are folded first.  Buckets of a key are streamed in key order and only those with different sets remain.  Round one
-compares each member with the member of most buckets (the likely original of a group of copies); round two compares members that are
-still in different components, unless the Hamming distance of a 512-bit sketch already rules the link out in the join condition.  So a group of n near copies costs about n comparisons, while any pair whose link could join two
-components is compared: the components are exact.  Verification first bounds the difference by the Hamming distance of a sketch that
-both sets can be folded to, then counts the intersection; whole sets are only made for the pairs that pass the sketches.
+A set of shingle hashes is drawn as a bit sketch of w words: each hash picks a word and xors a 64-bit pattern of its own into it, so two
+sketches differ in at most as many words as the sets differ in elements.  Sets that reach the similarity differ in at most d elements,
+and d follows from the sizes; of the w words at least w - d are equal (pigeonhole).  Sizes form levels whose ratio is the threshold;
+partners are in the same or the next level, so each set is drawn in the layouts of two neighbouring level pairs and (layout, word
+number, word) is an equi-join key.  Words that few elements fall into are equal in many unrelated sets.  A set leaves out its words of up to
+j elements for the largest j at which these are fewer than w - d: then one of the equal words has more, also more than the partner's j,
+and both sets keep it.
+
+Equal sets are folded first.  Buckets of a key are streamed in key order and only those with different sets remain.  Round one compares
+each member with the member of most buckets (the likely original of a group of copies).  Round two takes the sets of buckets whose members
+are still in different components.  They would be all pairs of a bucket where a passage is common to many documents, so they do not meet
+on the bucket again: their shingles are put in one order, rare ones first, and two sets that reach the similarity share one among the
+first n - ceil(t n) + 1 of each (prefix filter, with bounds by size and position in the join condition).  Frequent passages stand last.
+So a group of n near copies costs about n comparisons, while any pair whose link could join two components is compared: the components are
+exact.  Verification first bounds the difference by the Hamming distance of parity sketches (one bit an element) that both sets can be
+folded to, then counts the intersection; whole sets are only made for the pairs that pass the sketches and for round two.
 
 Sets are identified by a 64-bit hash, shingles too: a false equality has a chance near 1e-9 for 100,000 documents.
 """
@@ -37,7 +41,10 @@ def level_floors(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(floors, np.int64)
 
 
-MOST_LEFT_OUT = 6                                       # bits of the words that may be left out
+MOST_LEFT_OUT = 6                                       # elements of the words that may be left out
+PATTERN = np.uint64(0x9E6C63D0876A9A47)
+SLOTS = 1 << 18                                         # counters of shingles by hash, in parts: 2 MB whatever the corpus
+SLOT_PART = 1 << 12
 
 
 def layout_words(floors: np.ndarray, layout: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -65,15 +72,19 @@ def sketch_keys(sets: list[np.ndarray], nodes: np.ndarray, floors: np.ndarray, n
         of = np.repeat(np.arange(len(sets)), np.where(words > 0, size, 0))
         used = h[np.repeat(words > 0, size)]
         word = base[of] + ((used >> np.uint64(6)) % words[of].astype(np.uint64)).astype(np.int64)
-        bits = np.bincount(word * 64 + (used & np.uint64(63)).astype(np.int64), minlength=int(words.sum()) * 64) & 1
-        value = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+        filled = np.bincount(word, minlength=int(words.sum()))
+        some = filled > 0
+        value = np.zeros(len(filled), np.uint64)
+        if some.any():
+            ordered = mix(used ^ PATTERN)[np.argsort(word, kind="stable")]
+            value[some] = np.bitwise_xor.reduceat(ordered, (np.cumsum(filled) - filled)[some])
         owner = np.repeat(np.arange(len(sets)), words)
         equal = sure_equal(size, words, floors[layout + 2] - 1, num, den)
-        filled, drop = np.bitwise_count(value), np.full(len(sets), -1)
+        drop = np.full(len(sets), -1)
         for j in range(MOST_LEFT_OUT):
             fewer = np.bincount(owner[filled <= j], minlength=len(sets)) < equal
             drop[fewer & (drop == j - 1)] = j
-        keep = filled.astype(np.int64) > drop[owner]
+        keep = filled > drop[owner]
         where = mix((layout[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(value)) - base[owner]).astype(np.uint64) + np.uint64(1))
         keys.append(mix(value ^ where)[keep])
         owners.append(nodes[owner[keep]])
@@ -184,6 +195,51 @@ def _verify(pairs: DataFrame, every: DataFrame, whole, num: int, den: int) -> Da
     return stage(_sides(few, sets, "h").select("a", "b", "a_h", "b_h").mapInArrow(linked, "a long, b long"), "set-links")
 
 
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many elements of all sets (h) fall into each of SLOTS slots: tasks send their counters in parts, and parts are summed as they come."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("h")[at:at + 256]])
+                counts += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        parts = counts.reshape(-1, SLOT_PART)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch["part"].to_pylist(), batch["counts"]):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["part", "counts"])
+    got = sets.select("h").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(total, "part int, counts binary").collect()
+    out = np.zeros((SLOTS // SLOT_PART, SLOT_PART), np.int64)
+    for r in got:
+        out[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(-1)
+
+
+def _prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of sets (node, c, h) of different components c that may reach the similarity, by the prefix filter."""
+    counts = sets.sparkSession.sparkContext.broadcast(_slot_counts(sets))
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch.column("h")[i].as_buffer(), np.uint64)
+                n = len(h)
+                take = n - -(-num * n // den) + 1
+                order = np.lexsort((h, counts.value[(h % np.uint64(SLOTS)).astype(np.int64)]))[:take]
+                yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(np.full(take, batch.column("node")[i].as_py(), np.int64)), pa.array(np.full(take, batch.column("c")[i].as_py(), np.int64)),
+                                                  pa.array(np.full(take, n, np.int32)), pa.array(np.arange(take, dtype=np.int32))], ["s", "node", "c", "n", "pos"])
+    rows = stage(sets.mapInArrow(prefix, "s long, node long, c long, n int, pos int"), "set-prefixes")
+    x, y = (rows.select("s", *[F.col(f).alias(f"{v}_{f}") for f in ("node", "c", "n", "pos")]) for v in ("x", "y"))
+    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    fits = (F.col("x_c") < F.col("y_c")) & (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num) & (left * (den + num) >= (F.col("x_n") + F.col("y_n")) * num)
+    return x.join(y, "s").filter(fits).select(*_pair("x_node", "y_node")).distinct()
+
+
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -242,10 +298,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     known = components(links)
     classes = placed.filter("node != centre").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = classes.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    open_ = stage(classes.join(mixed, "key", "left_semi").join(_digests(every), "node"), "set-open", release=True)
-    x, y = (open_.select("key", F.col("node").alias(v), F.col("c").alias(f"{v}_c"), *[F.col(c).alias(f"{v}_{c}") for c in ("n", *DIGEST)]) for v in ("x", "y"))
-    fits = (F.col("x_c") < F.col("y_c")) & _possible("x_", "y_", num, den)
-    across = x.join(y, "key").filter(fits).select(*_pair("x", "y")).distinct()
+    open_ = stage(classes.join(mixed, "key", "left_semi").select("node", "c").distinct(), "set-open", release=True)
+    sets = stage(whole(_nodes_of(open_.select(F.col("node").alias("a"), F.col("node").alias("b")), every.select("node", "t")).select("t")).join(open_, "node"), "set-open-members", release=True)
+    across = stage(_prefix_pairs(sets, num, den), "set-across")
     final = components(links.union(_verify(across, every, whole, num, den)))
 
     folded_ = every.groupBy("node").agg(F.min("id").alias("id"))
