@@ -49,7 +49,8 @@ def term_counts(text: str | None, table: np.ndarray) -> np.ndarray:
     for at in range(0, len(text), CHUNK):
         s = table[np.frombuffer(text[max(0, at - 2):at + CHUNK].encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
         two = s[:-1] * CLASSES + s[1:]
-        grams += np.bincount(np.concatenate([s, two + CLASSES, two[:-1] * CLASSES + s[2:] + (CLASSES + CLASSES**2)]), minlength=GRAMS)
+        again = min(2, at)                              # characters of the chunk before: only grams that end behind them are new
+        grams += np.bincount(np.concatenate([s[again:], two[max(0, again - 1):] + CLASSES, two[:-1] * CLASSES + s[2:] + (CLASSES + CLASSES**2)]), minlength=GRAMS)
     words = text.split()
     n = len(words)
     letters = grams[0] + grams[1] + grams[2]
@@ -65,9 +66,10 @@ def term_counts(text: str | None, table: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 3000, rank: int = 64) -> dict:
-    """Model from at most about `sample` labelled rows, chosen by a hash of the id.
+    """Model from at most `sample` labelled documents, chosen by a hash of the id.
 
-    Rows without id or label are left out; several labels of one id are averaged.  Without labels the model scores 0.5 everywhere.
+    Rows without id or label are left out; several labels of one id are averaged; of several texts of one id the one with the smallest
+    hash is taken.  Without labels the model scores 0.5 everywhere.
     """
     spark = docs.sparkSession
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")).filter("id is not null and label is not null")
@@ -80,13 +82,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             for part in pieces(batch, "body"):
                 v = [term_counts(t, table.value).astype(np.float16).tobytes() for t in part["body"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["id"], part["label"], pa.array(v, pa.binary())], ["id", "label", "v"])
-    got = (docs.select(F.col(id_col).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
-           .select("id", F.col("label").cast("double").alias("label"), "body").mapInArrow(terms, "id string, label double, v binary")
-           if dict(docs.dtypes)[id_col] == "string" else
-           docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
-           .select("id", F.col("label").cast("double").alias("label"), "body").mapInArrow(terms, "id long, label double, v binary")).collect()
+    kind = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
+    labelled = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
+    one = labelled.groupBy("id").agg(F.first("label").cast("double").alias("label"), F.min_by("body", F.struct(F.xxhash64("body"), "body")).alias("body"))
+    got = one.mapInArrow(terms, f"id {kind}, label double, v binary").collect()      # `sample` rows at most
     got.sort(key=lambda r: (r["id"], r["v"]))
-    got = got[:4 * sample]
     if not got:
         return {"vectors": None}
     x = np.array([np.frombuffer(r["v"], np.float16) for r in got]).astype(np.float32)
