@@ -31,8 +31,9 @@ def symbol_table(counts: dict[str, int]) -> np.ndarray:
 
 def gram_flags(text: str, table: np.ndarray, flags: np.ndarray) -> None:
     """Set the flag of each n-gram of the text; grams of non-letters alone are no features.  Long texts go by overlapping chunks."""
+    text = text.lower()
     for at in range(0, max(1, len(text)), CHUNK):
-        points = np.frombuffer((" " * (at == 0) + text[max(0, at - 2):at + CHUNK].lower() + " ").encode("utf-32-le", "replace"), np.uint32)
+        points = np.frombuffer((" " * (at == 0) + text[max(0, at - 2):at + CHUNK] + " " * (at + CHUNK >= len(text))).encode("utf-32-le", "replace"), np.uint32)
         s = table[points].astype(np.uint32)
         two = s[:-1] * SYMBOLS + s[1:]
         flags[s] = 1
@@ -56,14 +57,14 @@ def kernel_rows(texts: list[str | None], table: np.ndarray, columns: np.ndarray,
 
 
 def _spread(docs: DataFrame, label: str, text: str, rows: int, salt: int) -> DataFrame:
-    """About `rows` labelled texts, evenly over the languages, by a hash of the text: no order and no shuffle of texts."""
+    """About `rows` distinct labelled texts, evenly over the languages, by a hash of the text: only chosen texts are shuffled, to fold copies."""
     counts = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}
     each = max(4, rows // max(1, len(counts)))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))]) if counts else None
     if share is None:
-        return docs
+        return docs.select(label, text)
     u = F.pmod(F.xxhash64(F.col(text), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.filter(u < share[F.col(label)])
+    return docs.filter(u < share[F.col(label)]).select(label, text).distinct()
 
 
 def fit(docs: DataFrame, label: str = "lang", text: str = "text", landmarks: int = 240, training: int = 3000, ridge: float = 1e-3) -> dict:
