@@ -4,6 +4,12 @@ import uuid
 import pyarrow.fs as pafs
 
 
+def make_folder(folder: str) -> None:
+    """An empty folder, so that a corpus without rows can be read back."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+
+
 def put(folder: str, name: str, chunks) -> int:
     """Write the chunks to folder/name and give the size.  The name appears only when the file is whole, so a retried or a second
     attempt of the same task replaces it by the same content."""

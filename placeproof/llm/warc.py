@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeproof.llm.base import pieces
-from placeproof.llm.files import put
+from placeproof.llm.files import make_folder, put
 from placeproof.session import work_path
 
 VERSION = b"WARC/1.1"
@@ -76,9 +76,10 @@ def write_archives(pages: DataFrame, least: int = 0, file_bytes: int = 32 << 20)
     """Write a record per row of (page_id, url, html) and give the folder.
 
     Payloads of fewer than `least` bytes are never revisited.  A null html is an empty payload, a null url a fixed address.  Rows that
-    repeat page and payload are responses each; a row without page id revisits like any other and never is the one referred to.
+    repeat page and payload are responses each; an empty table gives an empty folder; a row without page id revisits like any other and never is the one referred to.
     """
     folder = work_path(pages.sparkSession, "warc")
+    make_folder(folder)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).cast("long").alias("size"))
     repeated = rows.filter(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("origin"), F.count("*").alias("n")).filter("n > 1 and origin is not null")
