@@ -244,12 +244,15 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, detail: bool = False) -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents with Jaccard similarity of num / den or more of their k-word shingles
     are linked; component_id is the smallest id reachable.
 
     Null, empty and blank texts have an empty set and are linked with nothing.  Repeated rows and equal sets are one class.  A null
     id takes part; its component_id is the smallest non-null id of its class, if any.
+
+    detail: also text_hash, the xxhash64 of the row's text, and component, which tells classes apart even where an id stands on several
+    texts (null for empty sets).
     """
     floors = level_floors(num, den)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -306,7 +309,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     folded_ = every.groupBy("node").agg(F.min("id").alias("id"))
     member = folded_.join(final, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     root = member.groupBy("c").agg(F.min("id").alias("component_id"))
-    named = member.join(root, "c").select(F.col("node"), "component_id")
-    linked = every.filter("n > 0").join(named, "node").select("id", "n", "component_id")
-    alone = every.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    named = member.join(root, "c").select("node", "component_id", F.col("c").alias("component"))
+    more = [F.col("t").alias("text_hash"), "component"] if detail else []
+    linked = every.filter("n > 0").join(named, "node").select("id", "n", "component_id", *more)
+    more = [F.col("t").alias("text_hash"), F.lit(None).cast("long").alias("component")] if detail else []
+    alone = every.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), *more)
+    out = linked.union(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), *out.columns[2:])
