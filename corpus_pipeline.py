@@ -25,15 +25,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five words, 0.8); texts without words all stay.
+    """One document of each group of near duplicates (five words, 0.8): the one with the smallest id, then the smallest hash of the text.
 
-    Of rows that repeat an id with words one stays; rows without an id stay.
+    A row is told by id and text, so an id that stands on several texts loses none that has no duplicate.  Of rows that repeat id and
+    text one stays; rows without an id come last in their group; texts without words all stay.
     """
-    groups = stage(setjoin.near_duplicates(docs, k=5, num=80, den=100), "groups").filter("n_shingles > 0 and doc_id is not null")
-    marked = groups.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).select(
-        "doc_id", F.when(F.col("c") < F.col("doc_id"), "gone").when(F.col("n") > 1, "repeated").alias("mark")).filter("mark is not null")
-    joined = docs.select(*COLUMNS).join(marked, "doc_id", "left").filter("mark is null or mark = 'repeated'")
-    return joined.filter("mark is null").select(*COLUMNS).union(joined.filter("mark is not null").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    groups = stage(setjoin.near_duplicates(docs, k=5, num=80, den=100, detail=True), "groups").filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    row = groups.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = groups.groupBy("component").agg(F.min(order).alias("first"))
+    marks = row.join(first, "component").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("t"), F.when(~order.eqNullSafe(F.col("first")), "gone").when(F.col("n") > 1, "repeated").alias("mark"))
+    own = docs.select(*COLUMNS).withColumn("hash", F.xxhash64("text"))
+    joined = own.join(marks.filter("mark is not null"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("t")), "left").filter("mark is null or mark = 'repeated'")
+    return joined.filter("mark is null").select(*COLUMNS).union(joined.filter("mark is not null").dropDuplicates(["doc_id", "hash"]).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
