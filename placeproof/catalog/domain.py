@@ -7,6 +7,7 @@ from placeproof.catalog import query
 from placeproof.catalog.oracle_domain import AS_OF, found_records
 from placeproof.catalog.oracle_views import VIEWS, dist, toks
 from placeproof.functions import text
+from placeproof.operators import intervals
 from placeproof.operators.asof import known_before
 from placeproof.plans import belief, candidates as cand, decision, evidence, ranking, residue
 from placeproof.sources.stages import stage
@@ -290,6 +291,37 @@ def place_membership(v):
         F.max(F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("last_link"))
 
 
+LINKS_SQL = "(SELECT event_id, user_id AS address_id, ts, event_type = 'signup' AS opens FROM events WHERE event_type IN ('signup','error'))"
+
+
+def link_events(v):
+    """Link and split events of the place log: id, address, instant, kind."""
+    return v.raw("events").filter(F.col("event_type").isin("signup", "error")).select(
+        "event_id", F.col("user_id").alias("address_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "signup").alias("opens"))
+
+
+@query("membership_intervals", f"""
+SELECT address_id, event_id AS opened_by, epoch_us(ts) AS begin_us, closed_by, epoch_us(closed_at) AS end_us FROM (
+ SELECT *, lead(event_id) OVER w AS closed_by, lead(ts) OVER w AS closed_at FROM (SELECT *, lag(opens) OVER (PARTITION BY address_id ORDER BY ts, event_id) AS was FROM {LINKS_SQL}) WHERE opens <> coalesce(was, FALSE)
+ WINDOW w AS (PARTITION BY address_id ORDER BY ts, event_id)) WHERE opens""")
+def membership_intervals(v):
+    """Spans of membership from appended link and split events."""
+    s = intervals.spans(link_events(v), ["address_id"], "at", "event_id", F.col("opens"))
+    return s.select("address_id", "opened_by", F.unix_micros("begin").alias("begin_us"), "closed_by", F.unix_micros("end").alias("end_us"))
+
+
+@query("members_at_instants", f"""
+SELECT a.address_id, cut::VARCHAR AS cut, coalesce(arg_max(opens, (ts, event_id)), FALSE) AS is_member, arg_max(event_id, (ts, event_id)) AS since_event
+FROM (SELECT DISTINCT address_id FROM {LINKS_SQL}) a CROSS JOIN (VALUES (TIMESTAMP '2024-01-05 00:00:00'), (TIMESTAMP '2024-01-20 12:00:00')) c(cut) LEFT JOIN {LINKS_SQL} e ON e.address_id = a.address_id AND ts <= cut GROUP BY 1, 2""")
+def members_at_instants(v):
+    """Membership of every address at two instants, by an as-of join on the link log."""
+    e = link_events(v)
+    cuts = F.array(*[F.lit(c).cast("timestamp") for c in ("2024-01-05 00:00:00", "2024-01-20 12:00:00")])
+    points = e.select("address_id").distinct().withColumn("cut", F.explode(cuts))
+    got = intervals.state_at(points, e, ["address_id"], "cut", "at", "event_id", F.col("opens"))
+    return got.select("address_id", F.date_format("cut", "yyyy-MM-dd HH:mm:ss").alias("cut"), F.col("is_open").alias("is_member"), "since_event")
+
+
 @query("verify_first_tasks", "SELECT task_id, address_id, town_id, cause, priority, tier, radius_m, n_neg FROM w_task")
 def verify_first_tasks(v):
     return decision.tasks(belief.belief_at(v, AS_OF)).drop("raised_at")
@@ -299,6 +331,23 @@ KIND = "CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'in_progress'
 OPEN_STATES = ["open", "in_progress", "reopened"]
 
 
+CASES_SQL = f"""(SELECT address_id, event_id, ts, lead(ts) OVER w AS closed_at, opens FROM (SELECT *, lag(opens) OVER (PARTITION BY address_id ORDER BY ts, event_id) AS was FROM (
+ SELECT user_id AS address_id, event_id, ts, {KIND} <> 'resolved' AS opens FROM events)) WHERE opens <> coalesce(was, FALSE) WINDOW w AS (PARTITION BY address_id ORDER BY ts, event_id))"""
+
+
+@query("open_cases_by_town", f"""
+WITH s AS (SELECT town_id, ts, closed_at FROM {CASES_SQL} JOIN w_address USING (address_id) WHERE opens),
+ d AS (SELECT DISTINCT ts::DATE AS day FROM events), g AS (SELECT DISTINCT town_id FROM s)
+SELECT town_id, day::VARCHAR AS day, (SELECT count(*) FROM s WHERE s.town_id = g.town_id AND s.ts::DATE = day) AS opened, (SELECT count(*) FROM s WHERE s.town_id = g.town_id AND s.closed_at::DATE = day) AS closed,
+ (SELECT count(*) FROM s WHERE s.town_id = g.town_id AND s.ts::DATE <= day AND (s.closed_at IS NULL OR s.closed_at::DATE > day)) AS open_at_end FROM g CROSS JOIN d""")
+def open_cases_by_town(v):
+    """Open cases of each town at the end of each day, swept from the events that open and close them."""
+    e = task_events(v)
+    s = intervals.spans(e, ["address_id"], "at", "event_id", F.col("kind") != "resolved").join(v.address().select("address_id", "town_id"), "address_id")
+    out = intervals.open_over_time(s, ["town_id"], e.select(F.to_date("at").alias("day")))
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
 def task_events(v):
     et = F.col("event_type")
     return v.raw("events").select("event_id", F.col("user_id").alias("address_id"), F.col("ts").cast("timestamp").alias("at"),

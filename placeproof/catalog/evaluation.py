@@ -14,6 +14,7 @@ from placeproof.operators.asof import known_before
 from placeproof.operators.profile import union_all
 from placeproof.operators.quantiles import group_quantiles
 from placeproof.plans import belief, candidates as cand, evaluation as ev, evidence, history, ranking
+from placeproof.session import checkpoint
 from placeproof.sources.stages import stage
 
 VIEWS["w_err"] = f"SELECT r.*, lx, ly, {dist('x', 'y', 'lx', 'ly')} AS err FROM w_ranked r JOIN w_label USING (address_id)"
@@ -562,6 +563,77 @@ def extra_generators(v):
                     F.when(twin.isNotNull(), F.lit(1.0)).otherwise(-F.col("b.nj")).alias("j")).filter("other is not null")
 
 
+NEAR_TEXTS = f"""p AS (SELECT address_id, locality_id, {'list_distinct(list_transform(range(1,length(norm)-1), lambda i: substr(norm,i,3)))'} AS g, geocoder_x AS x, geocoder_y AS y FROM w_addr JOIN w_locbest USING (address_id) JOIN w_pin USING (address_id)),
+ c AS (SELECT a.address_id, b.address_id AS other, b.x, b.y, round(len(list_intersect(a.g,b.g))/len(list_distinct(list_concat(a.g,b.g))),6) AS j FROM p a JOIN p b ON a.locality_id=b.locality_id AND a.address_id<>b.address_id
+  WHERE len(list_intersect(a.g,b.g))/len(list_distinct(list_concat(a.g,b.g))) >= 0.5),
+ one AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY j DESC, other) = 1),
+ two AS (SELECT c.* FROM c JOIN one USING (address_id) WHERE {dist('c.x','c.y','one.x','one.y')} > 100 QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY c.j DESC, c.other) = 1),
+ k AS (SELECT address_id, 1 AS pick, other, j, x, y FROM one UNION ALL SELECT address_id, 2, other, j, x, y FROM two)"""
+
+
+def near_text_picks(v):
+    """(address_id, pick, other, j, x, y): pinned records of similar text (J >= 0.5) in the same locality, the first and the next one that is over 100 m from it.
+
+    All members of a set of equal grams have the same list of others but for themselves, so only the first two of the list are needed for
+    the first pick, and for each of these two the first two over 100 m away.  Members at one pin are folded, sets meet sets: n copies
+    against m copies are not paired.
+    """
+    def build():
+        addr = belief.prepared_stage(v)
+        best = cand.best_locality(cand.locality_hits(addr, v.locality(), "2024-02-01")).select("address_id", "locality_id")
+        p = checkpoint(addr.join(best, "address_id").join(v.pin().select("address_id", F.col("geocoder_x").alias("x"), F.col("geocoder_y").alias("y")), "address_id")
+                       .select("address_id", "locality_id", text_grams(F.col("norm")).alias("g"), "x", "y"))
+        pairs, _, members = tokenjoin.jaccard_pairs(p, "address_id", "g", 0.5, ["locality_id"])
+        members = checkpoint(members.join(p.select("address_id", "x", "y"), "address_id"))
+        # the two smallest members at each pin of a set: one of them is never the asking record itself
+        w = Window.partitionBy("rep", "x", "y").orderBy("address_id")
+        few = members.withColumn("k", F.row_number().over(w)).filter("k <= 2").select("rep", F.col("address_id").alias("other"), "x", "y")
+        both = pairs.select(F.col("ra").alias("rep"), F.col("rb").alias("o"), "jaccard").unionByName(pairs.select(F.col("rb").alias("rep"), F.col("ra").alias("o"), "jaccard"))
+        own = members.select("rep").distinct().select("rep", F.col("rep").alias("o"), F.lit(1.0).alias("jaccard"))
+        line = checkpoint(both.unionByName(own).join(few.withColumnRenamed("rep", "o"), "o").select("rep", F.round("jaccard", 6).alias("j"), "other", "x", "y"))
+        order = Window.partitionBy("rep").orderBy(F.desc("j"), "other")
+        first = line.withColumn("k", F.row_number().over(order)).filter("k <= 2").select("rep", F.struct("other", "j", "x", "y").alias("f"), "k")
+        apart = line.join(first, "rep").filter(distance(F.col("x"), F.col("y"), F.col("f.x"), F.col("f.y")) > 100)
+        again = Window.partitionBy("rep", "k").orderBy(F.desc("j"), "other")
+        second = apart.withColumn("r", F.row_number().over(again)).filter("r <= 2").groupBy("rep", "k").agg(F.sort_array(F.collect_list(F.struct("r", F.struct("other", "j", "x", "y").alias("s")))).alias("s"))
+        lists = first.join(second, ["rep", "k"], "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("k", "f", "s"))).alias("l"))
+        mine = members.select("address_id", "rep").join(lists, "rep")
+        used = F.get(F.filter("l", lambda e: e["f"]["other"] != F.col("address_id")), F.lit(0))
+        got = mine.withColumn("u", used).filter("u is not null")
+        next_ = F.get(F.filter("u.s", lambda e: e["s"]["other"] != F.col("address_id")), F.lit(0))["s"]
+        return got.select("address_id", F.posexplode(F.array(F.col("u.f"), next_)).alias("i", "c")).filter("c is not null").select("address_id", (F.col("i") + 1).alias("pick"), "c.*")
+    return stage(v, "near_text_picks", build)
+
+
+@query("extra_generator_picks", f"WITH {NEAR_TEXTS} SELECT address_id, pick::INTEGER AS pick, other, j FROM k")
+def extra_generator_picks(v):
+    return near_text_picks(v).select("address_id", "pick", "other", "j")
+
+
+@query("extra_generator_report", f"""
+WITH {NEAR_TEXTS}, b AS (SELECT address_id, round(min({dist('x','y','lx','ly')}),1) AS base FROM w_cand JOIN w_label USING (address_id) GROUP BY 1),
+ n AS (SELECT address_id, 'near_duplicate' AS generator, round(min({dist('x','y','lx','ly')}),1) AS err FROM k JOIN w_label USING (address_id) GROUP BY 1
+  UNION ALL SELECT address_id, 'pin_consistent_locality', round(min({dist('cx','cy','lx','ly')}),1) FROM w_locbest JOIN w_loc USING (locality_id) JOIN w_label USING (address_id) JOIN w_addr USING (address_id) WHERE pin_text IS NOT NULL GROUP BY 1)
+SELECT generator, count(*) AS n, round(count(*)/(SELECT count(*) FROM b),4) AS coverage, round(quantile_cont(err,0.5),3) AS median_m, round(avg((err<=250)::INTEGER),4) AS hit_250, round(avg((err<=500)::INTEGER),4) AS hit_500,
+ count(*) FILTER (err + 25 < base) AS beats, count(*) FILTER (err > base + 25) AS worse, count(*) FILTER (base > 500 AND err <= 500) AS rescues FROM n JOIN b USING (address_id) GROUP BY 1""")
+def extra_generator_report(v):
+    """What the two further generators would add to the frozen candidates, against the proxy label."""
+    label = evidence.proxy_label(known_before(belief.evidence_stage(v), AS_OF)).select("address_id", "lx", "ly")
+    to_label = lambda x, y: F.round(F.min(distance(F.col(x), F.col(y), F.col("lx"), F.col("ly"))), 1)
+    base = cand.exploded(belief.bare_sets(v, AS_OF)).join(label, "address_id").groupBy("address_id").agg(to_label("x", "y").alias("base"))
+    near = near_text_picks(v).join(label, "address_id").groupBy("address_id").agg(to_label("x", "y").alias("err")).withColumn("generator", F.lit("near_duplicate"))
+    addr, loc = belief.prepared_stage(v), v.locality()
+    named = cand.best_locality(cand.locality_hits(addr, loc, "2024-02-01")).join(addr.filter("pin_text is not null").select("address_id"), "address_id").join(loc.select("locality_id", "cx", "cy"), "locality_id")
+    hier = named.join(label, "address_id").groupBy("address_id").agg(to_label("cx", "cy").alias("err")).withColumn("generator", F.lit("pin_consistent_locality"))
+    n = base.agg(F.count("*").alias("n"))
+    e, b = F.col("err"), F.col("base")
+    share = lambda m: F.round(F.avg((e <= m).cast("int")), 4)
+    out = near.unionByName(hier).join(base, "address_id").groupBy("generator").agg(
+        F.count("*").alias("n"), F.round(F.percentile("err", 0.5), 3).alias("median_m"), share(250).alias("hit_250"), share(500).alias("hit_500"),
+        F.count_if(e + 25 < b).alias("beats"), F.count_if(e > b + 25).alias("worse"), F.count_if((b > 500) & (e <= 500)).alias("rescues"))
+    return out.withColumn("coverage", F.round(F.col("n") / n.scalar(), 4))
+
+
 def text_grams(n):
     return F.when(F.length(n) < 3, F.array().cast("array<string>")).otherwise(F.transform(
         F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.substring(n, i, F.lit(3))))

@@ -15,6 +15,17 @@ def normal_forms(v):
                               text.norm_raw(t).alias("raw_norm"))
 
 
+WIDE = "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19"
+
+
+@query("normal_forms_folded", f"SELECT address_id, {norm('address_text')} AS norm, address_id % 3 = 0 AND regexp_matches(address_text, '[0-9]') AS was_wide FROM w_address")
+def normal_forms_folded(v):
+    """Texts with full-width digits (every third address) come to the same normal form through the compatibility fold."""
+    raw = F.when(F.col("address_id") % 3 == 0, F.translate("address_text", "0123456789", WIDE)).otherwise(F.col("address_text"))
+    a = v.address().select("address_id", raw.alias("raw"))
+    return a.select("address_id", text.norm_text(F.col("raw"), fold=True).alias("norm"), F.col("raw").rlike(f"[{WIDE}]").alias("was_wide"))
+
+
 @query("raw_ring_relation", """
 SELECT address_id, rel, array_to_string(list_slice(regexp_extract_all(substr(low,1,pos-1), '[0-9A-Za-z\\x{0C80}-\\x{0CFF}]+'), -3, -1), ' ') AS before,
   array_to_string(list_slice(regexp_extract_all(substr(low,pos+length(rel)), '[0-9A-Za-z\\x{0C80}-\\x{0CFF}]+'), 1, 3), ' ') AS after

@@ -8,7 +8,7 @@ from placeproof.catalog.oracle_domain import found_records
 from placeproof.catalog.oracle_views import dist
 from placeproof.functions import text
 from placeproof.functions.geo import distance
-from placeproof.operators import asof, spatial, tokenjoin
+from placeproof.operators import asof, pyramid, spatial, tokenjoin
 from placeproof.operators.graph import place_blocks
 from placeproof.plans import belief, candidates as cand
 from placeproof.sources.stages import stage
@@ -57,10 +57,9 @@ CUT_SQL = "(VALUES " + ",".join(f"(TIMESTAMP '{c}')" for c in CUTS) + ") cuts(cu
 SELECT cut::VARCHAR AS cut, count(*) AS n, count(*) FILTER (outcome='met_family') AS met_family, max(epoch_us(observed_at)) AS newest_us
 FROM w_visit JOIN {CUT_SQL} ON observed_at < cut GROUP BY 1""")
 def known_before_cuts(v):
-    log = asof.known_before_each(v.visit(), asof.cut_table(v.spark, CUTS))
-    return log.groupBy(F.date_format("cut", "yyyy-MM-dd HH:mm:ss").alias("cut")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("outcome") == "met_family").alias("met_family"),
-        F.max(F.unix_micros("observed_at")).alias("newest_us"))
+    met = (F.col("outcome") == "met_family").cast("long")
+    got = asof.known_totals(v.visit(), asof.cut_table(v.spark, CUTS), {"n": F.lit(1).cast("long"), "met_family": met}, {"newest_us": F.unix_micros("observed_at")})
+    return got.withColumn("cut", F.date_format("cut", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _asof_sql(op):
@@ -103,14 +102,11 @@ def blocks_stage(v):
 SELECT a.id, count(*) FILTER (b.id <> a.id) AS n_other, count(*) FILTER (b.block_id <> a.block_id) AS n_other_block
 FROM w_block a JOIN w_block b ON a.zone=b.zone AND {dist('a.x','a.y','b.x','b.y')} <= 100 GROUP BY 1""")
 def radius_anchors(v):
-    """Anchors within 100 m: self excluded, and with the own block left out."""
-    p = v.point().join(blocks_stage(v), "id")
-    a = p.select("zone", "id", "x", "y", "block_id")
-    b = p.select("zone", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"),
-                 F.col("block_id").alias("block2"))
-    return spatial.within(a, b, 100.0, ["zone"]).groupBy("id").agg(
-        F.count_if(F.col("id") != F.col("id2")).alias("n_other"),
-        F.count_if(F.col("block_id") != F.col("block2")).alias("n_other_block"))
+    """Anchors within 100 m: self excluded, and with the own block left out; counted, never paired."""
+    p = v.point().join(blocks_stage(v), "id").select("zone", "id", "x", "y", "block_id")
+    every = pyramid.count_within(p, p, 100.0, ["zone"])
+    block = pyramid.count_within(p, p, 100.0, ["zone", "block_id"]).select("id", F.col("n").alias("own"))
+    return every.join(block, "id").select("id", (F.col("n") - 1).alias("n_other"), (F.col("n") - F.col("own")).alias("n_other_block"))
 
 
 @query("nearest_locality", f"""
@@ -129,12 +125,10 @@ SELECT count(*) AS n_test, count(*) FILTER (d <= 30) AS within_30, count(*) FILT
  SELECT t.id, min({dist('t.x','t.y','r.x','r.y')}) AS d FROM w_xy t LEFT JOIN w_xy r ON r.zone=t.zone AND r.id%10 < 7 WHERE t.id%10 >= 8 GROUP BY 1)""")
 def split_proximity_leak(v):
     p = v.point()
-    test = p.filter("id % 10 >= 8")
-    train = p.filter("id % 10 < 7").select("zone", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = spatial.within(test, train, 100.0, ["zone"]).groupBy("id").agg(F.min("d").alias("d"))
-    return test.select("id").join(near, "id", "left").agg(
-        F.count("*").alias("n_test"), F.count_if(F.col("d") <= 30).alias("within_30"),
-        F.count_if(F.col("d") <= 100).alias("within_100"))
+    test, train = p.filter("id % 10 >= 8"), p.filter("id % 10 < 7")
+    hit = [pyramid.any_within(test, train, d, ["zone"]).select("id", F.lit(True).alias(f"w{int(d)}")) for d in (30.0, 100.0)]
+    return test.select("id").join(hit[0], "id", "left").join(hit[1], "id", "left").agg(
+        F.count("*").alias("n_test"), F.count("w30").alias("within_30"), F.count("w100").alias("within_100"))
 
 
 @query("token_overlap", """

@@ -97,6 +97,23 @@ def trace_arrays(v):
         .alias("fixes"))
 
 
+@query("trace_arrays_hardened", """
+WITH r AS (SELECT visit_id, CASE WHEN visit_id % 17 = 3 THEN 'n/a' ELSE seq::VARCHAR END AS seq, CASE WHEN (visit_id + raw_seq) % 13 = 5 THEN '' ELSE dx::VARCHAR END AS x,
+  dy::VARCHAR || CASE WHEN (visit_id + raw_seq) % 19 = 2 THEN 'm' ELSE '' END AS y, CASE WHEN raw_seq % 3 = 2 THEN 'unknown' ELSE accuracy_m::VARCHAR END AS acc, raw_seq FROM w_trace),
+c AS (SELECT visit_id, try_cast(seq AS BIGINT) AS seq, try_cast(x AS DOUBLE) AS x, try_cast(y AS DOUBLE) AS y, try_cast(acc AS DOUBLE) AS acc FROM r)
+SELECT visit_id, count(*) AS n_fixes, count(acc) AS n_accuracy, string_agg(seq||':'||x::BIGINT||':'||y::BIGINT||':'||coalesce((acc::BIGINT)::VARCHAR, '-'), '|' ORDER BY seq, x, y, acc NULLS FIRST) AS fixes
+FROM c WHERE seq IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY 1""")
+def trace_arrays_hardened(v):
+    """Traces from text cells, some of them damaged: bad numbers drop the fix, a bad accuracy only itself."""
+    from placeproof.sources.tables import hardened_fixes
+    t, k, s = v.trace(), F.col("visit_id"), F.col("raw_seq")
+    raw = t.select("visit_id", F.when(k % 17 == 3, "n/a").otherwise(F.col("seq").cast("string")).alias("seq"), F.when((k + s) % 13 == 5, "").otherwise(F.col("dx").cast("string")).alias("x"),
+                   F.concat(F.col("dy").cast("string"), F.when((k + s) % 19 == 2, "m").otherwise("")).alias("y"), F.when(s % 3 == 2, "unknown").otherwise(F.col("accuracy_m").cast("string")).alias("accuracy_m"))
+    p = F.sort_array(F.collect_list(F.struct("seq", "x", "y", "accuracy_m")))
+    show = lambda q: F.concat_ws(":", q["seq"], q["x"].cast("long"), q["y"].cast("long"), F.coalesce(q["accuracy_m"].cast("long").cast("string"), F.lit("-")))
+    return hardened_fixes(raw).groupBy("visit_id").agg(F.count("*").alias("n_fixes"), F.count("accuracy_m").alias("n_accuracy"), F.array_join(F.transform(p, show), "|").alias("fixes"))
+
+
 @query("snapshot_counts", "\nUNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLE_KEYS))
 def snapshot_counts(v):
@@ -321,7 +338,8 @@ def cleaning_log(v):
 
 
 @query("contract_violations", """
-SELECT 'as_of_valid_iff_evidence' AS rule, 0::BIGINT AS violations UNION ALL
+SELECT 'as_of_valid_iff_evidence' AS rule, count(*) FILTER ((arm IN ('field_evidence','memory')) <> (valid IS NOT NULL)) AS violations FROM (SELECT c.arm, coalesce(p.observed_at, k.last_at) AS valid
+ FROM w_cand c LEFT JOIN w_pos p ON p.address_id = c.address_id AND c.source_ref = 'visit:'||p.observation_id LEFT JOIN w_cons k ON k.address_id = c.address_id AND c.source_ref = 'visits:median('||k.n||')') UNION ALL
 SELECT 'arm_vocabulary', count(*) FILTER (arm NOT IN ('frozen_baseline','locality_centroid','town_centroid','official_landmark','address_book','field_evidence','memory')) FROM w_cand UNION ALL
 SELECT 'granularity_vocabulary', count(*) FILTER (granularity NOT IN ('rooftop','street','locality','town')) FROM w_cand UNION ALL
 SELECT 'weight_in_unit_interval', count(*) FILTER (weight < 0 OR weight > 1) FROM w_ev UNION ALL

@@ -50,6 +50,24 @@ def trace_estimators(v):
     return est.join(near, "visit_id")
 
 
+@query("trace_medoid_point", """
+WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY seq DESC, dx, dy) AS rn FROM w_trace) WHERE rn <= 10),
+m AS (SELECT a.visit_id, a.rn, a.dx, a.dy, round(sum(sqrt(((a.dx-b.dx)*(a.dx-b.dx)+(a.dy-b.dy)*(a.dy-b.dy))::DOUBLE)),6) AS total FROM l a JOIN l b USING (visit_id) GROUP BY 1,2,3,4),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY visit_id ORDER BY total, rn DESC) = 1)
+SELECT l.visit_id, max(best.dx)::INTEGER AS best_x, max(best.dy)::INTEGER AS best_y, count(*) AS n_near, quantile_cont(l.dx, 0.5) AS medoid_x, quantile_cont(l.dy, 0.5) AS medoid_y
+FROM l JOIN best USING (visit_id) WHERE (SELECT count(*) FROM l z WHERE z.visit_id = l.visit_id) < 3 OR sqrt(((l.dx-best.dx)*(l.dx-best.dx)+(l.dy-best.dy)*(l.dy-best.dy))::DOUBLE) <= 150 GROUP BY 1""")
+def trace_medoid_point(v):
+    """Medoid of the last ten fixes (the older one of equal cost), then the median of the fixes within 150 m of it; of fewer than three fixes their median."""
+    w = Window.partitionBy("visit_id").orderBy(F.col("seq").desc(), "dx", "dy")
+    last = (v.trace().withColumn("rn", F.row_number().over(w)).filter("rn <= 10").groupBy("visit_id").agg(F.collect_list(F.struct("dx", "dy", "rn")).alias("p")))      # at most ten
+    apart = lambda a, b: F.sqrt(((a["dx"] - b["dx"]) * (a["dx"] - b["dx"]) + (a["dy"] - b["dy"]) * (a["dy"] - b["dy"])).cast("double"))
+    cost = lambda a: F.round(F.aggregate(F.transform("p", lambda b: apart(a, b)), F.lit(0.0), lambda x, y: x + y), 6)
+    best = last.withColumn("best", F.array_min(F.transform("p", lambda a: F.struct(cost(a).alias("cost"), (-a["rn"]).alias("o"), a["dx"].alias("dx"), a["dy"].alias("dy")))))
+    near = best.withColumn("near", F.when(F.size("p") < 3, F.col("p")).otherwise(F.filter("p", lambda b: apart(b, F.col("best")) <= 150)))
+    return near.select("visit_id", "best", F.explode("near").alias("n")).groupBy("visit_id").agg(
+        F.max("best.dx").alias("best_x"), F.max("best.dy").alias("best_y"), F.count("*").alias("n_near"), F.percentile("n.dx", 0.5).alias("medoid_x"), F.percentile("n.dy", 0.5).alias("medoid_y"))
+
+
 @query("sequence_monotone", """
 SELECT NOT bad AS monotone, count(*) AS n FROM (SELECT visit_id, coalesce(bool_or(prev > point_ts), FALSE) AS bad FROM (
  SELECT visit_id, point_ts, lag(point_ts) OVER (PARTITION BY visit_id ORDER BY seq, dx, dy) AS prev FROM w_trace) GROUP BY 1) GROUP BY 1""")

@@ -25,6 +25,31 @@ def draws(keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
     return np.searchsorted(CUMULATIVE, u, side="right").astype(np.float64)
 
 
+VECTORS = "chunk long, cell long, w array<double>"
+
+
+def summed(batches):
+    """Sums of the vectors of each (chunk, cell) of a stream in that order, one vector in memory at a time."""
+    key, total, out = None, None, []
+
+    def rows():
+        return pd.DataFrame({"chunk": [k[0] for k, _ in out], "cell": [k[1] for k, _ in out], "w": [w.tolist() for _, w in out]})
+    for pdf in batches:
+        for chunk, cell, w in zip(pdf["chunk"], pdf["cell"], pdf["w"]):
+            if key == (chunk, cell):
+                total = total + w
+                continue
+            if key is not None:
+                out.append((key, total))
+            key, total = (chunk, cell), np.asarray(w, float)
+            if len(out) == 256:
+                yield rows()
+                out = []
+    if key is not None:
+        out.append((key, total))
+        yield rows()
+
+
 def _bounds(boots: DataFrame, level: float) -> DataFrame:
     tail = (1 - level) / 2
     return boots.agg(F.round(F.percentile("m", tail), 4).alias("lo"), F.round(F.percentile("m", 1 - tail), 4).alias("hi"), F.count("*").alias("resamples"))
@@ -56,8 +81,8 @@ def grouped_median_ci(df: DataFrame, value: str, group: str, reps: int = REPS, c
     """One row: point, n, n_groups, lo, hi, resamples of the median.
 
     A replicate's median is read off weighted counts per quantile cell (a bound is exact to one cell, 1/cells of the
-    rows; with fewer distinct values than cells it is exact).  Replicates are handled in chunks: a group of the last step
-    holds (tasks x cells) rows of one chunk.
+    rows; with fewer distinct values than cells it is exact).  Replicates are handled in chunks.  The vectors of all tasks
+    for one (chunk, cell) are summed as a stream, so a group of the last step holds `cells` rows of one chunk whatever the tasks.
     """
     ps = [(i + 0.5) / cells for i in range(cells)]
     edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in ps]), 100_000).alias("e"))
@@ -83,7 +108,8 @@ def grouped_median_ci(df: DataFrame, value: str, group: str, reps: int = REPS, c
             total[int(i)] += w
         upto = total.cumsum(axis=0)
         return pd.DataFrame({"cell": (upto * 2 < upto[-1]).sum(axis=0).clip(0, cells - 1)})
-    found = cell.mapInPandas(fold, "chunk long, cell long, w array<double>").groupBy("chunk").applyInPandas(medians, "cell long")
+    folded = cell.mapInPandas(fold, VECTORS).repartition("chunk", "cell").sortWithinPartitions("chunk", "cell")
+    found = folded.mapInPandas(summed, VECTORS).groupBy("chunk").applyInPandas(medians, "cell long")
     boots = found.crossJoin(F.broadcast(edges)).select(F.element_at("e", F.col("cell").cast("int") + 1).cast("double").alias("m"))
     pt = df.agg(F.round(F.percentile(value, 0.5), 4).alias("point"), F.count(value).alias("n"), F.count_distinct(group).alias("n_groups"))
     return pt.crossJoin(_bounds(boots, level))                       # two one-row tables

@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeproof.operators.spatial import close_pairs
+from placeproof.operators.pyramid import links_within
 from placeproof.session import checkpoint
 
 
@@ -51,11 +51,11 @@ def place_blocks(points: DataFrame, id_col: str, r: float = 30.0,
 
     Copies of one position are folded to a single representative before the distance join, so a pile
     of coincident points costs one row there.  Coincident points link only through a third position.
+    Cells with many points are linked as cells (see `operators.pyramid`), not pair by pair.
     """
     scope = scope or []
-    spots = points.groupBy(*scope, "x", "y").agg(F.min(id_col).alias("rep"))
-    pairs = close_pairs(spots, "rep", r, scope)
-    comp = connected_components(pairs.select("a", "b"))
+    spots = checkpoint(points.groupBy(*scope, "x", "y").agg(F.min(id_col).alias("rep")))
+    comp = connected_components(links_within(spots.withColumnRenamed("rep", "id"), r, scope))
     member = points.join(spots, [*scope, "x", "y"]).join(
         comp, F.col("rep") == F.col("node"), "left")
     return member.select(id_col, F.coalesce("component", id_col).alias("block_id"))

@@ -1,4 +1,6 @@
 """Distance joins on a grid: an equi-join on cells, never a nested loop."""
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,31 +51,66 @@ def close_pairs(points: DataFrame, id_col: str, r: float, scope: list[str] | Non
     return out if include_coincident else out.filter(F.col("d") > 0)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start_r: float,
-            scope: list[str] | None = None, growth: float = 4.0) -> DataFrame:
-    """Nearest right row per left row (ties by id), by expanding grid rings.
+STEP = 3                                                # bits of a grid step: a cell has 8 x 8 cells below it
+DEPTH = 7
+FEW = 64                                                # points of a cell that are simply compared
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start_r: float | None = None,
+            scope: list[str] | None = None) -> DataFrame:
+    """Nearest right row per left row (ties by id): (left_id, right_id, d).
 
-    Each round joins at radius r only the rows still unmatched; a row is settled when a match at most
-    r away exists, which no farther row can beat.  Rounds go on until every row is settled.  Rows
-    without a position and rows in a scope without right rows stay out.
+    Right rows lie on a pyramid of grids.  A left row starts with the few coarse cells of its scope and goes down: of the cells it
+    holds, the smallest largest distance bounds its answer, and cells that begin beyond it are dropped.  Cells of few points are compared
+    point by point at the end, again only within the bound.  So a far row follows the rim that faces it and never meets its whole
+    scope.  Coincident right rows are folded to the smallest id.  Rows without a position and rows in a scope without right rows stay out;
+    a position that is not finite raises ValueError.  start_r is not used any more.
     """
     scope = scope or []
-    right = right.filter("x2 is not null and y2 is not null")
-    out, rest, r = None, left.filter("x is not null and y is not null"), start_r
-    if scope:
-        rest = rest.join(right.select(*scope).distinct(), scope, "left_semi")
-    elif right.isEmpty():
-        rest = rest.limit(0)
-    while True:
-        hit = within(rest, right, r, scope)
-        got = (hit.groupBy(left_id).agg(
-            F.min(F.struct(F.col("d"), F.col(right_id))).alias("m"))
-            .select(left_id, F.col(f"m.{right_id}").alias(right_id), F.col("m.d").alias("d")))
-        got = checkpoint(got)
-        out = got if out is None else out.unionByName(got)
-        rest = checkpoint(rest.join(got.select(left_id), left_id, "left_anti"))
+    spots = right.filter("x2 is not null and y2 is not null").groupBy(*scope, "x2", "y2").agg(F.min(right_id).alias(right_id))
+    own = left.filter("x is not null and y is not null").select(*scope, left_id, "x", "y")
+    reach = max(r[0] or 0.0 for r in (spots.agg(F.max(F.greatest(F.abs("x2"), F.abs("y2")))).first(), own.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()))
+    if not reach < 1e15:
+        raise ValueError("a position is not finite")
+    size = 2.0 ** math.ceil(math.log2(reach + 1))
+    bits = STEP * DEPTH
+    fine = [F.floor(F.col(f"{c}2") / size * float(1 << bits)).cast("long").alias(f"c{c}") for c in ("x", "y")]
+    placed = checkpoint(spots.select("*", *fine))
+
+    def cells(level: int) -> DataFrame:
+        down = STEP * (DEPTH - level)
+        g = placed.groupBy(*scope, F.shiftright("cx", down).alias("gx"), F.shiftright("cy", down).alias("gy")).agg(F.count("*").alias("n"))
+        return g.withColumn("px", F.shiftright("gx", STEP)).withColumn("py", F.shiftright("gy", STEP))
+
+    def bounds(rows: DataFrame, level: int) -> DataFrame:
+        """Adds the smallest and largest distance of each row to its cell."""
+        side = size / (1 << (STEP * level))
+        slack = size * 1e-12
+        begin = {c: F.col(f"g{c}") * side - slack for c in "xy"}
+        end = {c: (F.col(f"g{c}") + 1) * side + slack for c in "xy"}
+        near = [F.greatest(begin[c] - F.col(c), F.col(c) - end[c], F.lit(0.0)) for c in "xy"]
+        far = [F.greatest(F.abs(F.col(c) - begin[c]), F.abs(F.col(c) - end[c])) for c in "xy"]
+        return rows.withColumn("level", F.lit(level)).withColumn("lo", F.hypot(*near)).withColumn("hi", F.hypot(*far))
+    top = cells(0).drop("px", "py")
+    rest = bounds(own.join(top, scope) if scope else own.join(F.broadcast(top)), 0)   # four cells at most around the origin
+    keep = [*scope, left_id, "x", "y", "level", "gx", "gy", "n", "lo", "hi"]
+    small = None
+    for level in range(DEPTH + 1):
+        told = rest.select(*keep)
+        held = told if small is None else told.unionByName(small)
+        held = held.join(held.groupBy(left_id).agg(F.min("hi").alias("most")), left_id).filter("lo <= most").drop("most")
+        held = checkpoint(held)
+        done = (F.col("n") <= FEW) | (F.col("level") < level) | F.lit(level == DEPTH)
+        small, rest = held.filter(done), held.filter(~done)
         if rest.isEmpty():
-            return out
-        r *= growth
-        if r > 1e12:                        # wider than any plane in use: not a position (infinite or NaN)
-            raise ValueError("a position is not finite")
+            break
+        down = rest.withColumnsRenamed({"gx": "px", "gy": "py"}).drop("n", "level", "lo", "hi")
+        rest = bounds(down.join(cells(level + 1), [*scope, "px", "py"]), level + 1)
+    levels = [r[0] for r in small.select("level").distinct().collect()]                # DEPTH + 1 at most
+    if not levels:
+        return own.select(left_id).limit(0).join(placed.select(right_id), F.lit(False)).withColumn("d", F.lit(0.0))
+    at = [F.struct(F.lit(k).alias("level"), F.shiftright("cx", STEP * (DEPTH - k)).alias("gx"), F.shiftright("cy", STEP * (DEPTH - k)).alias("gy")) for k in levels]
+    points = placed.withColumn("c", F.explode(F.array(*at))).select(*scope, right_id, "x2", "y2", "c.*")
+    d = distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
+    met = small.join(points, [*scope, "level", "gx", "gy"]).select(left_id, d.alias("d"), right_id)
+    return met.groupBy(left_id).agg(F.min(F.struct("d", right_id)).alias("m")).select(left_id, F.col(f"m.{right_id}").alias(right_id), F.col("m.d").alias("d"))

@@ -25,44 +25,44 @@ def jaccard_pairs(docs: DataFrame, id_col: str, toks: str, threshold: float,
     (`rep`) and number of copies; `pairs` relates representatives (ra < rb), so n copies against m
     copies is one row instead of n*m, and nothing is lost: `members` maps every id to its `rep`.
 
-    Prefix filtering: with tokens in one global order (rarest first), two sets that reach the
-    threshold must share one of their first |s| - ceil(t*|s|) + 1 tokens.  Only those prefixes are
-    joined, so frequent tokens hardly ever meet; nothing is capped and no pair is lost.
+    Tokens are carried as 64-bit hashes.  Prefix filtering: with tokens in one global order (rarest
+    first), two sets that reach the threshold must share one of their first |s| - ceil(t*|s|) + 1
+    tokens, and at the first one they share enough tokens must be left on both sides (a condition of
+    the join).  So frequent tokens hardly ever meet; nothing is capped and no pair is lost.  The sets
+    themselves are joined to the surviving pairs only.
     """
     scope = scope or []
-    base = docs.select(*scope, F.col(id_col).alias("_id"), F.array_sort(
-        F.array_distinct(F.col(toks))).alias("_s")).filter(F.size("_s") > 0)
-    folded = checkpoint(base.groupBy(*scope, "_s").agg(F.min("_id").alias("_rep"),
-                                                       F.count("*").alias("copies")))
-    long = folded.select(*scope, "_rep", F.explode("_s").alias("token"))
-    df_tok = long.groupBy(*scope, "token").agg(F.count("*").alias("_df"))
-    ordered = (long.join(df_tok, [*scope, "token"])
-               .groupBy(*scope, "_rep")
-               .agg(F.sort_array(F.collect_list(F.struct("_df", "token"))).alias("_o")))
-    size = F.size("_o")
-    prefix_len = (size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    pre = ordered.select(*scope, "_rep", F.transform("_o", lambda s: s["token"]).alias("_t"),
-                         size.alias("_n"), F.explode(F.slice("_o", 1, prefix_len)).alias("_p"))
-    a = pre.select(*scope, F.col("_p.token").alias("token"), F.col("_rep").alias("ra"),
-                   F.col("_n").alias("na"))
-    b = pre.select(*scope, F.col("_p.token").alias("token"), F.col("_rep").alias("rb"),
-                   F.col("_n").alias("nb"))
+    ids = F.array_sort(F.array_distinct(F.transform(F.col(toks), lambda t: F.xxhash64(t))))
+    base = docs.select(*scope, F.col(id_col).alias("_id"), ids.alias("_s")).filter(F.size("_s") > 0)
+    key = [*scope, "_h1", "_h2"]
+    base = checkpoint(base.withColumn("_h1", F.xxhash64("_s")).withColumn("_h2", F.xxhash64(F.lit(7), "_s")))
+    groups = base.groupBy(*key).agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.max(F.size("_s")).alias("n_tokens"))
+    groups = checkpoint(groups)
+    sets = checkpoint(base.join(groups.select("rep"), F.col("_id") == F.col("rep")).dropDuplicates(["rep"]).select(*scope, "rep", "_s"))
+    long = sets.select(*scope, "rep", F.explode("_s").alias("token"))
+    df_tok = long.groupBy(*scope, "token").agg(F.count("*").alias("_df")).filter("_df > 1")       # a token of one set meets none
+    size = F.size("_s")
+    ordered = (long.join(df_tok, [*scope, "token"], "left").groupBy(*scope, "rep")
+               .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(1)).alias("_df"), "token"))).alias("_s")))
+    prefix = (size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
+    pre = checkpoint(ordered.select(*scope, "rep", size.alias("n"), F.posexplode(F.slice("_s", 1, prefix)).alias("pos", "p")).filter("p._df > 1")
+                     .select(*scope, F.col("p.token").alias("token"), "rep", "n", "pos"))
+    a, b = (pre.select(*scope, "token", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "pos")]) for x in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
+    left = F.least(na - F.col("pos_a"), nb - F.col("pos_b"))
     cand = (a.join(b, [*scope, "token"])
-            .filter((F.col("ra") < F.col("rb")) & (F.col("na") >= F.col("nb") * threshold - 1e-9)
-                    & (F.col("nb") >= F.col("na") * threshold - 1e-9))
-            .select(*scope, "ra", "rb").distinct())
-    sets_a = folded.select(F.col("_rep").alias("ra"), F.col("_s").alias("sa"))
-    sets_b = folded.select(F.col("_rep").alias("rb"), F.col("_s").alias("sb"))
-    scored = (cand.join(sets_a, "ra").join(sets_b, "rb")
+            .filter((F.col("rep_a") < F.col("rep_b")) & (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
+                    & (left * (1 + threshold) >= (na + nb) * threshold - 1e-9))
+            .select(F.col("rep_a").alias("ra"), F.col("rep_b").alias("rb")).distinct())
+    scored = (cand.join(sets.select(F.col("rep").alias("ra"), F.col("_s").alias("sa")), "ra")
+              .join(sets.select(F.col("rep").alias("rb"), F.col("_s").alias("sb")), "rb")
               .withColumn("inter", F.size(F.array_intersect("sa", "sb")))
               .withColumn("union", F.size("sa") + F.size("sb") - F.col("inter"))
               .withColumn("jaccard", F.col("inter") / F.col("union"))
               .filter(F.col("jaccard") >= threshold)
               .select("ra", "rb", "inter", "union", "jaccard"))
-    members = base.join(folded.select(*scope, "_s", "_rep"), [*scope, "_s"]).select(
-        F.col("_id").alias(id_col), F.col("_rep").alias("rep"))
-    return scored, folded.select(*scope, F.col("_rep").alias("rep"), "copies",
-                                 F.size("_s").alias("n_tokens")), members
+    members = base.join(groups.select(*key, "rep"), key).select(F.col("_id").alias(id_col), "rep")
+    return scored, groups.select(*scope, "rep", "copies", "n_tokens"), members
 
 
 def contains_join(texts: DataFrame, names: DataFrame, text_col: str, name_col: str,

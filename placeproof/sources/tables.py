@@ -56,6 +56,14 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
             .option("mode", "PERMISSIVE").csv(path))
 
 
+def hardened_fixes(raw: DataFrame) -> DataFrame:
+    """GPS fixes from text cells (visit_id, seq, x, y, accuracy_m): a row whose seq, x or y is no number leaves, a bad accuracy becomes null."""
+    num = lambda c, kind: F.expr(f"try_cast({c} as {kind})")
+    cast = raw.select("visit_id", num("seq", "bigint").alias("seq"), num("x", "double").alias("x"), num("y", "double").alias("y"), num("accuracy_m", "double").alias("accuracy_m"))
+    real = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return cast.filter(F.col("seq").isNotNull() & real("x") & real("y")).withColumn("accuracy_m", F.when(real("accuracy_m"), F.col("accuracy_m")))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that violate a declared key (empty when the key holds)."""
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
