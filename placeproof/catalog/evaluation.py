@@ -1,11 +1,14 @@
 """Evaluation jobs: errors, recall, nDCG, holdouts, intervals, controls."""
+import re
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placeproof import policy
 from placeproof.catalog import query
 from placeproof.catalog.aggregates import PIN_ERR, pin_errors
-from placeproof.catalog.oracle_domain import AS_OF, EARLY, VIEWS
+from placeproof.catalog.oracle_domain import AS_OF, CUT_VIEWS, EARLY, VIEWS, at_cut
 from placeproof.catalog.oracle_views import dist, norm
 from placeproof.functions import text
 from placeproof.functions.geo import distance
@@ -13,7 +16,7 @@ from placeproof.operators import bootstrap, spatial, tokenjoin
 from placeproof.operators.asof import known_before
 from placeproof.operators.profile import union_all
 from placeproof.operators.quantiles import group_quantiles
-from placeproof.plans import belief, candidates as cand, evaluation as ev, evidence, history, ranking
+from placeproof.plans import belief, candidates as cand, evaluation as ev, evidence, history, ranking, sweep
 from placeproof.session import checkpoint
 from placeproof.sources.stages import stage
 
@@ -345,6 +348,37 @@ def policy_sweep(v):
         F.round(F.avg(F.col("err") - F.col("base_err")), 3).alias("mean_diff"))
 
 
+SWEEP = [policy.BASE, replace(policy.BASE, name="strict", w_promote=0.60), replace(policy.BASE, name="wide", consistency_band_m=60.0), replace(policy.BASE, name="one_single", singles_max=1)]
+
+
+def policy_views(p: policy.Policy) -> str:
+    """Suffix of the belief chain's views with the constants of a policy."""
+    suffix = f"_{p.name}"
+    at_cut(suffix, AS_OF)
+    for name in CUT_VIEWS:
+        t = VIEWS[name + suffix]
+        t = re.sub(r"\bweight ?>= ?0\.35\b", f"weight >= {p.w_min}", re.sub(r"\bweight ?>= ?0\.5\b", f"weight >= {p.w_promote}", t))
+        t = t.replace("w_eff >= 0.35 AND w_eff < 0.5", f"w_eff >= {p.w_min} AND w_eff < {p.w_promote}").replace("pos AND w_eff >= 0.5", f"pos AND w_eff >= {p.w_promote}")
+        t = t.replace("WHERE spread <= 30", f"WHERE spread <= {p.consistency_band_m}").replace("WHERE rn <= 3", f"WHERE rn <= {p.singles_max}")
+        VIEWS[name + suffix] = t
+    return suffix
+
+
+for _p in SWEEP:
+    policy_views(_p)
+
+
+@query("policy_sweep_beliefs", f"""
+WITH e AS (SELECT b.*, {dist('x','y','tx','ty')} AS err FROM ({' UNION ALL BY NAME '.join(f"SELECT '{p.name}' AS policy, * FROM w_belief_{p.name}" for p in SWEEP)}) b LEFT JOIN w_point USING (address_id)),
+ b AS (SELECT address_id, err AS base_err, tier AS base_tier FROM e WHERE policy = 'base')
+SELECT policy, count(*) AS n, count(*) FILTER (tier='CONFIRMED') AS confirmed, count(*) FILTER (tier='PROBABLE') AS probable, count(*) FILTER (tier='APPROXIMATE') AS approximate, count(*) FILTER (tier='UNPLACEABLE') AS unplaceable,
+ count(*) FILTER (status='CONTESTED') AS contested, count(*) FILTER (status='MOVED_SUSPECTED') AS moved_suspected, round(quantile_cont(err,0.5),3) AS median_err, round(avg(err),3) AS mean_err, round(avg((err<=100)::INTEGER),4) AS hit_100,
+ count(*) FILTER (err IS NOT NULL AND base_err IS NOT NULL) AS n_paired, round(avg(err-base_err),3) AS mean_diff, count(*) FILTER (tier <> base_tier) AS tier_changes FROM e LEFT JOIN b USING (address_id) GROUP BY 1""")
+def policy_sweep_beliefs(v):
+    """Tiers, statuses and errors of the whole belief plan under each policy, from one run."""
+    return sweep.compared(sweep.beliefs(v, SWEEP, AS_OF), v.place_point().select("address_id", "tx", "ty"))
+
+
 @query("safety_invariants", """
 SELECT 'negatives_never_relocate' AS rule, count(*) AS violations FROM w_belief a JOIN w_belief_whatif b USING (address_id) WHERE a.candidate_id IS DISTINCT FROM b.candidate_id AND a.arm <> 'memory' AND b.arm <> 'memory'
 UNION ALL SELECT 'negatives_never_upgrade', count(*) FROM w_belief a JOIN w_belief_whatif b USING (address_id) WHERE b.tier = 'CONFIRMED' AND a.tier <> 'CONFIRMED'

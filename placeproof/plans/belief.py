@@ -140,10 +140,11 @@ def decide(ranked: DataFrame, ev: DataFrame, as_of: str, p: Policy = BASE) -> Da
         "positive_weight_sum", "newest_pos", "ranked")
 
 
-def memory_arm(prior: DataFrame, as_of: str) -> DataFrame:
-    """Prior belief as a candidate, only where it rests on accumulated field evidence."""
+def memory_arm(prior: DataFrame, as_of: str, own: Column | None = None) -> DataFrame:
+    """Prior belief as a candidate, only where it rests on accumulated field evidence (own: see `candidate_sets`)."""
+    named = F.col("address_id") if own is None else own
     m = prior.filter(F.col("arm") == "field_evidence")
-    return cand._arm(m, "memory", F.concat(F.lit("memory:"), "address_id", F.lit("@v"),
+    return cand._arm(m, "memory", F.concat(F.lit("memory:"), named, F.lit("@v"),
                                            "belief_version"), F.col("x"), F.col("y"),
                      F.col("granularity"), F.col("stratum"),
                      eligible=F.col("tier").isin("CONFIRMED", "PROBABLE"),
@@ -169,9 +170,9 @@ def stored_memory(points: DataFrame, versions: DataFrame, prior: DataFrame, rule
                      eligible=F.col("tier").isin("CONFIRMED", "PROBABLE"), valid=F.col("valid"))
 
 
-def add_arm(sets: DataFrame, arm: DataFrame, p: Policy = BASE) -> DataFrame:
+def add_arm(sets: DataFrame, arm: DataFrame, p: Policy = BASE, own: Column | None = None) -> DataFrame:
     """Adds one more single-candidate arm to finished sets and renews the agreement counts."""
-    a = (arm.withColumn("candidate_id", candidate_id(F.col("arm"), F.col("address_id"),
+    a = (arm.withColumn("candidate_id", candidate_id(F.col("arm"), F.col("address_id") if own is None else own,
                                                      F.col("source_ref")))
          .withColumn("arm_index", cand.arm_index(F.col("arm")))
          .withColumn("agreement_arms", F.lit(0)).withColumn("f_agreement_count", F.lit(0)))

@@ -267,13 +267,13 @@ def arm_index(arm: Column) -> Column:
     return F.array_position(F.array(*[F.lit(a) for a in policy.ARMS]), arm).cast("int")
 
 
-def candidate_sets(union: DataFrame, p: Policy = BASE) -> DataFrame:
+def candidate_sets(union: DataFrame, p: Policy = BASE, own: Column | None = None) -> DataFrame:
     """(address_id, cands): de-duplicated, plausible candidates in registry order.
 
-    A candidate set is bounded by the arm rules (and by the localities that share one pin), so it is
+    own: the id that candidates are named by, where `address_id` stands for more than the address (see `plans.sweep`).  A candidate set is bounded by the arm rules (and by the localities that share one pin), so it is
     gathered as an array; the later set-level steps need no further shuffle.
     """
-    c = union.withColumn("candidate_id", candidate_id(F.col("arm"), F.col("address_id"),
+    c = union.withColumn("candidate_id", candidate_id(F.col("arm"), F.col("address_id") if own is None else own,
                                                       F.col("source_ref"))) \
         .withColumn("arm_index", arm_index(F.col("arm")))
     fields = ["arm_index", "arm_rank", "candidate_id", "arm", "source_ref", "x", "y",
