@@ -137,7 +137,7 @@ def rule_scores(v):
     return ranking.exploded(belief.ranked_at(v, AS_OF)).select("candidate_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("score_explanations", """
+VIEWS["w_terms"] = """
 SELECT candidate_id, t.name AS name, round(t.value,6) AS value FROM (SELECT candidate_id, unnest([
  {'name': 'arm_prior:'||arm, 'value': f_arm_prior}, {'name': 'granularity:'||granularity, 'value': 0.12::DOUBLE*f_granularity_rank},
  {'name': 'coarse_precision_penalty', 'value': CASE WHEN arm='frozen_baseline' AND baseline_precision IN ('locality','pincode') THEN -0.06::DOUBLE END},
@@ -147,13 +147,27 @@ SELECT candidate_id, t.name AS name, round(t.value,6) AS value FROM (SELECT cand
  {'name': 'pin_unknown_penalty', 'value': CASE WHEN f_pin_unknown=1 THEN -0.05::DOUBLE END}, {'name': 'no_house_number', 'value': CASE WHEN f_no_digit=1 THEN -0.03::DOUBLE END},
  {'name': 'outside_town_penalty', 'value': CASE WHEN f_outside_town=1 THEN -0.20::DOUBLE END}, {'name': 'text_locality_similarity', 'value': round(0.05::DOUBLE*f_sim_jaccard,6)},
  {'name': 'text_char_similarity', 'value': round(0.03::DOUBLE*f_sim_char3,6)},
- {'name': 'arm_agreement_x'||f_agreement_count, 'value': CASE WHEN f_agreement_count>0 THEN round(0.04::DOUBLE*least(f_agreement_count,3),6) END}]) AS t FROM w_ranked) WHERE t.value IS NOT NULL AND abs(t.value) > 1e-9""")
+ {'name': 'arm_agreement_x'||f_agreement_count, 'value': CASE WHEN f_agreement_count>0 THEN round(0.04::DOUBLE*least(f_agreement_count,3),6) END}]) AS t FROM w_ranked) WHERE t.value IS NOT NULL AND abs(t.value) > 1e-9"""
+
+
+@query("score_explanations", "SELECT * FROM w_terms")
 def score_explanations(v):
     """Named score terms of every ranked candidate, one row each."""
     return ranking.exploded(belief.ranked_at(v, AS_OF)).select("candidate_id", F.explode("terms").alias("t")).select(
         "candidate_id", "t.name", F.round("t.value", 6).alias("value"))
 
 
+@query("score_term_codes", """
+SELECT name, nullif(subject, '') AS subject, CASE WHEN effect >= 0 THEN 'positive' ELSE 'negative' END AS direction, label, count(*) AS n, round(sum(effect), 3) AS effect_sum FROM (
+ SELECT name, split_part(name, ':', 2) AS subject, round(value, 4) AS effect, upper(substr(replace(replace(name, '_', ' '), ':', ' '), 1, 1)) || lower(substr(replace(replace(name, '_', ' '), ':', ' '), 2)) AS label FROM w_terms) GROUP BY ALL""")
+def score_term_codes(v):
+    """Score terms written as `name:subject=+value` codes and read back as typed rows."""
+    t = ranking.exploded(belief.ranked_at(v, AS_OF)).select(F.explode("terms").alias("t"))
+    code = decision.term_code(F.col("t.name"), F.col("t.value"))
+    p = t.select(decision.parse_term(code).alias("p")).select("p.*")
+    return p.groupBy("name", "subject", "direction", "label").agg(F.count("*").alias("n"), F.round(F.sum("effect"), 3).alias("effect_sum"))
+
+
 @query("score_term_totals", """
 SELECT 'locality_match' AS term, count(*) AS n FROM w_ranked WHERE f_locality_name_matched=1 UNION ALL SELECT 'pin_unknown_penalty', count(*) FROM w_ranked WHERE f_pin_unknown=1
 UNION ALL SELECT 'landmark_ambiguous_penalty', count(*) FROM w_ranked WHERE ambiguous UNION ALL SELECT 'outside_town_penalty', count(*) FROM w_ranked WHERE f_outside_town=1

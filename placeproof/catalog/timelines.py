@@ -121,6 +121,54 @@ def decision_geometry(v):
                     show(F.round(F.greatest(F.array_max(xs), "ox1") + pad, 1)).alias("x_max"))
 
 
+SHOWN = "(action='REFUSE' OR d.candidate_id IS NULL)"
+
+
+@query("decision_frames", f"""
+SELECT d.address_id, {SHOWN} AS withheld, CASE WHEN action='REFUSE' THEN 'gate_refuse' WHEN d.candidate_id IS NULL THEN 'no_candidate' END AS withheld_reason,
+ CASE WHEN NOT {SHOWN} THEN d.x END AS center_x, CASE WHEN NOT {SHOWN} THEN d.y END AS center_y, CASE WHEN NOT {SHOWN} THEN radius_m END AS ring_m,
+ CASE WHEN NOT {SHOWN} THEN round(least(cx0, coalesce(ox0,cx0))-greatest(radius_m,150),1) END AS x_min, CASE WHEN NOT {SHOWN} THEN round(greatest(cx1, coalesce(ox1,cx1))+greatest(radius_m,150),1) END AS x_max,
+ CASE WHEN NOT {SHOWN} THEN round(least(cy0, coalesce(oy0,cy0))-greatest(radius_m,150),1) END AS y_min, CASE WHEN NOT {SHOWN} THEN round(greatest(cy1, coalesce(oy1,cy1))+greatest(radius_m,150),1) END AS y_max,
+ CASE WHEN {SHOWN} THEN coalesce(n_cand,0) ELSE 0 END AS suppressed_candidates, CASE WHEN {SHOWN} THEN coalesce(n_all,0) ELSE 0 END AS suppressed_observations
+FROM w_decision d LEFT JOIN (SELECT address_id, count(*) AS n_cand, min(x) AS cx0, max(x) AS cx1, min(y) AS cy0, max(y) AS cy1 FROM w_ranked GROUP BY 1) c USING (address_id)
+LEFT JOIN (SELECT address_id, count(*) AS n_all, min(x) FILTER (polarity<>'negative') AS ox0, max(x) FILTER (polarity<>'negative') AS ox1, min(y) FILTER (polarity<>'negative') AS oy0, max(y) FILTER (polarity<>'negative') AS oy1 FROM w_evcut GROUP BY 1) o USING (address_id)""")
+def decision_frames(v):
+    """Ring and padded box of each decision; a refused or unplaceable one publishes counts of what is held back, and no position."""
+    def seen(c):
+        return F.when(F.col("polarity") != "negative", F.col(c))
+    o = known_before(belief.evidence_stage(v), AS_OF).groupBy("address_id").agg(
+        F.count("*").alias("n_all"), *[f(seen(c)).alias(f"o{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))])
+    at = lambda c: F.transform("ranked", lambda r: r["c"][c])
+    withheld = (F.col("action") == "REFUSE") | F.col("candidate_id").isNull()
+    pad = F.greatest("radius_m", F.lit(150.0))
+    show = lambda c: F.when(~withheld, c)
+    held = lambda c: F.when(withheld, F.coalesce(c, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    box = [col for c in "xy" for col in (show(F.round(F.least(F.array_min(at(c)), F.col(f"o{c}0")) - pad, 1)).alias(f"{c}_min"), show(F.round(F.greatest(F.array_max(at(c)), F.col(f"o{c}1")) + pad, 1)).alias(f"{c}_max"))]
+    return decided(v).join(o, "address_id", "left").select(
+        "address_id", withheld.alias("withheld"), F.when(F.col("action") == "REFUSE", "gate_refuse").when(F.col("candidate_id").isNull(), "no_candidate").alias("withheld_reason"),
+        show(F.col("x")).alias("center_x"), show(F.col("y")).alias("center_y"), show(F.col("radius_m")).alias("ring_m"), *box,
+        held(F.size("ranked").cast("long")).alias("suppressed_candidates"), held(F.col("n_all")).alias("suppressed_observations"))
+
+
+@query("geometry_points", """
+SELECT d.address_id, 'candidate' AS kind, r.candidate_id AS id, r.x, r.y, r.arm AS source, r.granularity, CASE WHEN r.candidate_id = d.candidate_id THEN d.tier END AS status, r.candidate_id = d.candidate_id AS selected, r.score
+FROM w_decision d JOIN w_ranked r USING (address_id) WHERE action <> 'REFUSE' AND d.candidate_id IS NOT NULL
+UNION ALL SELECT d.address_id, 'observation', e.observation_id::VARCHAR, CASE WHEN polarity <> 'negative' THEN e.x END, CASE WHEN polarity <> 'negative' THEN e.y END, evidence_class, NULL, polarity, FALSE, weight
+FROM w_decision d JOIN w_evcut e USING (address_id) WHERE action <> 'REFUSE' AND d.candidate_id IS NOT NULL""")
+def geometry_points(v):
+    """Markers of every published decision: its candidates, and its observations (a negative has no position)."""
+    d = decided(v).filter("action <> 'REFUSE' and candidate_id is not null")
+    c = d.select("address_id", "candidate_id", "tier", F.explode("ranked").alias("r"))
+    won = F.col("r.candidate_id") == F.col("candidate_id")
+    marks = c.select("address_id", F.lit("candidate").alias("kind"), F.col("r.candidate_id").alias("id"), "r.c.x", "r.c.y", F.col("r.c.arm").alias("source"), "r.c.granularity",
+                     F.when(won, F.col("tier")).alias("status"), won.alias("selected"), "r.score")
+    e = known_before(belief.evidence_stage(v), AS_OF).join(d.select("address_id"), "address_id", "left_semi")
+    place = lambda x: F.when(F.col("polarity") != "negative", F.col(x)).alias(x)
+    seen = e.select("address_id", F.lit("observation").alias("kind"), F.col("observation_id").cast("string").alias("id"), place("x"), place("y"), F.col("evidence_class").alias("source"),
+                    F.lit(None).cast("string").alias("granularity"), F.col("polarity").alias("status"), F.lit(False).alias("selected"), F.col("weight").alias("score"))
+    return marks.unionByName(seen)
+
+
 @query("town_plane", """
 SELECT town_id, count(*) AS n_points, count(*) FILTER (kind='landmark') AS n_landmarks, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM (
  SELECT town_id, 'locality' AS kind, cx AS x, cy AS y FROM w_locality UNION ALL SELECT town_id, 'landmark', px, py FROM w_landmark

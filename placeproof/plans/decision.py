@@ -96,6 +96,24 @@ def gate(purpose: Column, tier: Column, status: Column, n_neg: Column, radius: C
     return action, reason
 
 
+# Fixed value: how a score term is written as a reason code.
+TERM_CODE = r"^([A-Za-z_][A-Za-z0-9_]*)(?::([A-Za-z0-9_\-]+))?=([+-]?[0-9.]+)$"
+
+
+def term_code(name: Column, value: Column) -> Column:
+    return F.concat(name, F.lit("="), F.format_string("%+.4f", value))
+
+
+def parse_term(code: Column) -> Column:
+    """struct(name, subject, effect, direction, label) of a reason code; one that is no score term has only its name, is neutral and keeps its label."""
+    part = lambda i: F.nullif(F.regexp_extract(code, TERM_CODE, i), F.lit(""))
+    effect = part(3).cast("double")
+    words = F.regexp_replace(F.split_part(code, F.lit("="), F.lit(1)), "[_:]", " ")
+    label = F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1 << 20)))
+    return F.struct(F.when(part(1).isNull(), code).otherwise(F.concat_ws(":", part(1), part(2))).alias("name"), part(2).alias("subject"), effect.alias("effect"),
+                    F.when(effect.isNull(), "neutral").when(effect >= 0, "positive").otherwise("negative").alias("direction"), F.trim(label).alias("label"))
+
+
 def decisions(belief: DataFrame, purposes: DataFrame, request: str) -> DataFrame:
     a, r = gate(F.col("purpose"), F.col("tier"), F.col("status"), F.col("n_neg"), F.col("radius_m"), F.lit(request))
     return belief.join(purposes.select("address_id", "purpose"), "address_id").withColumn(
