@@ -1,4 +1,6 @@
 """Shared pieces: table reads, materialised stages, word patterns and the hold-out rule."""
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,15 @@ def blocks_of(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker that waits for its next task should not keep what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, text: str, chars: int = 1 << 21, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with few rows and not much text (a longer single text is a slice of its own)."""
     column = batch.column(batch.schema.get_field_index(text))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeproof.llm.base import CHUNK, pieces
+from placeproof.llm.base import CHUNK, give_back, pieces
 
 CLASSES = 16
 GRAMS = CLASSES + CLASSES**2 + CLASSES**3
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
     text_at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = cast.value
+        m, batch, part = cast.value, None, None
         for batch in batches:
             for part in pieces(batch, text):
                 if m["vectors"] is None:
@@ -139,4 +139,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
                     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                     s = vote(z, m["vectors"], m["labels"], k)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, out])
+        del batch, part
+        give_back()
     return docs.select(*names).mapInArrow(run, schema)
