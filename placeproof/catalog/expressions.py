@@ -64,6 +64,7 @@ def address_flags(v):
         (F.col("town_id") == "OUT").alias("outside_town"), "dup_text"))
 
 
+# Span markers.
 MARKERS = {"lane": r"\b(gali|galli|lane|ln)\b", "block": r"\b(block|blk|sector|sec|ward)\b",
            "cross": r"\b(cross|main|marg)\b", "house": r"\b(house|h|plot|door|d\.?no|flat)\b",
            "relation": r"\b(near|opposite|behind|beside|adjacent|next to)\b"}
@@ -143,6 +144,7 @@ def text_shape(v):
         text.script_class(t).alias("script"))
 
 
+# Fixed value: what stands before a house number.
 HOUSE_MARK = r"(?i)(?:\bh\.?\s*no\.?|\bhouse(?:\s*no\.?)?|\bplot|\bdoor|\bd\.?\s*no\.?|\bno\.?|\bflat|#)\s*[:\-]?\s*\d"
 
 

@@ -16,9 +16,12 @@ ABBREVIATIONS = [
     (r"\bsoc\b", "society"), (r"\bapt\b", "apartment"), (r"\bxtn\b", "extension"),
     (r"\bext\b", "extension"),
 ]
+# Kept characters, token classes, numeric slots of streets and houses.
 KEEP = r"[^0-9a-z\x{0900}-\x{097F}\x{0C80}-\x{0CFF}]+"
 TOKEN = r"[0-9A-Za-z\x{0C80}-\x{0CFF}]+"
 TOKEN_WITH_DEVANAGARI = r"[0-9A-Za-z\x{0900}-\x{097F}\x{0C80}-\x{0CFF}]+"
+STREET_SLOT = r"(?i)\b(\d{1,4})\s*(?:st|nd|rd|th)?\s*(cross|main|block|gali|lane|ward|sector)\b"
+HOUSE_SLOT = r"(?i)\b(?:no\.?|number|h\.?\s?no\.?|house|plot|door|d\.?no|flat)\s*\.?\s*(\d{1,4})"
 
 
 @F.pandas_udf(T.StringType())
@@ -121,14 +124,12 @@ def padded_ngrams(s: Column, n: int = 4) -> Column:
 
 def numeric_slots(text: Column) -> Column:
     """Slots such as `cross12` and `house7`."""
-    street = r"(?i)\b(\d{1,4})\s*(?:st|nd|rd|th)?\s*(cross|main|block|gali|lane|ward|sector)\b"
-    house = r"(?i)\b(?:no\.?|number|h\.?\s?no\.?|house|plot|door|d\.?no|flat)\s*\.?\s*(\d{1,4})"
     return F.concat(
         F.transform(
-            F.arrays_zip(F.regexp_extract_all(text, F.lit(street), F.lit(2)).alias("w"),
-                         F.regexp_extract_all(text, F.lit(street), F.lit(1)).alias("n")),
+            F.arrays_zip(F.regexp_extract_all(text, F.lit(STREET_SLOT), F.lit(2)).alias("w"),
+                         F.regexp_extract_all(text, F.lit(STREET_SLOT), F.lit(1)).alias("n")),
             lambda s: F.concat(F.lower(s["w"]), s["n"])),
-        F.transform(F.regexp_extract_all(text, F.lit(house), F.lit(1)),
+        F.transform(F.regexp_extract_all(text, F.lit(HOUSE_SLOT), F.lit(1)),
                     lambda n: F.concat(F.lit("house"), n)))
 
 

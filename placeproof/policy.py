@@ -37,7 +37,6 @@ PRECISION_TO_GRANULARITY = {"rooftop": "rooftop", "street": "street", "locality"
 # Radius table (metres), its calibration size and measured coverage.
 # Only a stratum with n >= 15 is published under its own name; the rest fall back to `locality`.
 FALLBACK_STRATUM = "locality"
-FALLBACK_STRATUM = "locality"
 RADIUS_MIN_N = 15
 RADIUS_TABLE = [
     ("locality", 539.9, 24, 0.792, True),
