@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict[str, Query]:
     from placeproof.catalog import (aggregates, domain, evaluation, expressions,  # noqa: F401
-                                    joins, quality, sets, sinks, streams, timelines, windows)
+                                    joins, quality, sets, sinks, streams, studies, timelines, windows)
     return REGISTRY

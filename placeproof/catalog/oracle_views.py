@@ -131,6 +131,13 @@ SELECT visit_id AS observation_id, address_id, account_id, agent_id, 'device-'||
   round({dist('checkin_x','checkin_y','(tx+med_dx)','(ty+med_dy)')},3) AS trail_agreement_m,
   gps_accuracy_m, dwell_s, observed_at, photo_hash AS media, remark, checkin_x, checkin_y
 FROM w_checkin LEFT JOIN w_tail USING (visit_id) LEFT JOIN w_tracemed USING (visit_id)""",
+    "w_account": """
+SELECT c_custkey//2 AS account_id, min_by(c_nationkey, c_custkey) AS lender_id, min_by('T'||(c_nationkey + 25*(c_custkey//50000)), c_custkey) AS account_town
+FROM customer GROUP BY 1""",
+    "w_lender": "SELECT n_nationkey AS lender_id, lower(r_name) AS address_format FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "w_agent": """
+SELECT 'A'||s_suppkey AS agent_id, CASE WHEN s_suppkey%3<>0 THEN 'field' ELSE 'tele' END AS channel, CASE WHEN s_suppkey%3<>0 THEN 'T'||s_nationkey END AS home_town
+FROM supplier WHERE s_suppkey BETWEEN 1 AND 8""",
     "w_xy": """
 SELECT vec_id AS id, 'G'||label AS zone, round(embedding[1]::DOUBLE*1000 + (vec_id//4096)*10000, 3) AS x,
   round(embedding[2]::DOUBLE*1000 + (vec_id//4096)*10000, 3) AS y FROM embeddings""",

@@ -79,6 +79,13 @@ TASK_TRANSITIONS = [
 DECISION_OUTCOME = {"confirm": "met_family", "deny": "no_such_person",
                     "inconclusive": "locked_premises"}
 
+# The words a reviewer may use, and the decision each stands for.
+DECISION_ALIASES = {
+    "confirm": "confirm", "confirmed": "confirm", "location_confirmed": "confirm",
+    "deny": "deny", "denied": "deny", "not_true": "deny", "moved_confirmed": "deny",
+    "inconclusive": "inconclusive", "unresolved": "inconclusive",
+}
+
 # Column availability tiers for the late-column check.
 COLUMN_TIERS = {
     "address_text": "T0", "town_id": "T0", "address_type": "T0", "source": "T0", "added_date": "T0",

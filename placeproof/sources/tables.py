@@ -219,6 +219,27 @@ class Views:
                             .when(F.col("account_id") * 7 % 20 < 17, "validation")
                             .otherwise("test")))
 
+    def account(self) -> DataFrame:
+        """Accounts with their lender and home town (those of the account's first record)."""
+        first = self.raw("customer").groupBy(F.floor(F.col("c_custkey") / 2).alias("account_id")).agg(
+            F.min_by(F.struct("c_nationkey", "c_custkey"), "c_custkey").alias("m"))
+        return first.select("account_id", F.col("m.c_nationkey").alias("lender_id"),
+                            F.concat(F.lit("T"), F.col("m.c_nationkey") + 25 * F.floor(F.col("m.c_custkey") / 50000)).alias("account_town"))
+
+    def lender(self) -> DataFrame:
+        """Lenders and the address format each asks for."""
+        r = self.raw("region").select("r_regionkey", F.lower("r_name").alias("address_format"))
+        n = self.raw("nation").select(F.col("n_nationkey").alias("lender_id"), "n_regionkey")
+        return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("lender_id", "address_format")
+
+    def agent(self) -> DataFrame:
+        """Collectors: channel, and a home town for those in the field."""
+        k = F.col("s_suppkey")
+        field = k % 3 != 0
+        return self.raw("supplier").filter(k.between(1, 8)).select(
+            F.concat(F.lit("A"), k).alias("agent_id"), F.when(field, "field").otherwise("tele").alias("channel"),
+            F.when(field, F.concat(F.lit("T"), "s_nationkey")).alias("home_town"))
+
     def point(self) -> DataFrame:
         """Zoned points; the plane grows with the ids, so density does not."""
         tile = F.floor(F.col("vec_id") / 4096) * 10000

@@ -10,7 +10,8 @@ SAMPLE = ["source_address", "table_profile", "foreign_key_orphans", "tokens_pin_
           "place_blocks", "near_duplicate_texts", "record_lookup", "pin_error_by_precision", "attempt_history", "agent_trailing_rate",
           "spatial_folds", "block_neighbours_median", "block_summary", "table_attestation", "evidence_weight", "belief_table",
           "eligibility_navigation", "what_if_two_denials", "temporal_holdout", "stream_idempotent_ingest", "stream_duplicate_claims",
-          "edit_similarity_feature", "arm_locality_centroid", "residue_parser", "stream_scores", "stream_backlog_order", "stored_memory_arm"]
+          "edit_similarity_feature", "arm_locality_centroid", "residue_parser", "stream_scores", "stream_backlog_order", "stored_memory_arm",
+          "holdout_lanes", "belief_after_reviews", "sibling_pins_by_key", "resolver_cross_town"]
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
