@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeproof.llm import huffman
@@ -125,6 +125,15 @@ def tokenise(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.
         at = end
 
 
+def _cuts_below(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are below the value (null: none), by binary search in one literal: the expression does not grow with the cuts."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")          # folded to one literal by the optimizer
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(held, at + step - 1) < value), at + step).otherwise(at))
+
+
 def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1, ids_per_file: int = 8_000_000) -> str:
     """Write the files and give their folder.
 
@@ -165,9 +174,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     files = max(1, -(-int(counts.sum()) // ids_per_file))
     cuts = coded.filter("id is not null").agg(F.percentile_approx("id", [i / files for i in range(1, files)] or [0.5], 100 * files)).first()[0] or [] if files > 1 else []
-    part = F.lit(0)
-    for i, c in enumerate(sorted(set(cuts))):
-        part = F.when(F.col("id") > c, F.lit(i + 1)).otherwise(part)
+    part = _cuts_below(F.col("id"), sorted(set(cuts)))
     placed = coded.withColumn("part", part)
     totals = placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     base, at = {}, 0

@@ -242,6 +242,13 @@ def test_set_join_of_many_copies_makes_few_pairs(spark, corpus):
     assert {r.component_id for r in got} == {0} and len(got) == 401
 
 
+@pytest.mark.parametrize("cuts", [[], [5], [-3, 5], [-3, 5, 9], list(range(0, 400, 3))])
+def test_cuts_below_a_value(spark, cuts):
+    values = [None, -(1 << 62), -3, -2, 0, 5, 6, 9, 10, 397, 398, 399, 1 << 62]
+    got = [r.n for r in spark.createDataFrame([(v,) for v in values], "v long").select(tokenids._cuts_below(F.col("v"), cuts).alias("n")).collect()]
+    assert got == [0 if v is None else sum(c < v for c in cuts) for v in values]
+
+
 # ---- token files ----------------------------------------------------------------------------------
 def test_token_files_round_trip(spark, corpus):
     import public_tokenizers
