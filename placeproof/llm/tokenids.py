@@ -28,6 +28,7 @@ MAGIC, BLOCK, STOP = b"HUFIDS1\n", b"BLCK", b"DONE"
 WORDS_PER_CALL = 1000
 CLOSING = ",.;:!?"
 IDS_AT_ONCE = 500_000
+KEPT = 500_000                                          # words whose ids a worker process keeps, under 100 MB
 
 
 class Words:
@@ -45,6 +46,7 @@ class Words:
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for n, i in names.items() if n.endswith("</w>")]] = True
         self.closing = {c: int(ids[0]) for c in CLOSING if len(ids := self._ids(c)) == 1}
+        self._keep({}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -99,6 +101,29 @@ class Words:
             whole = np.concatenate([whole, np.insert(body, np.cumsum(n), marks).astype(np.uint32)])
         return whole, first[:len(words)], size[:len(words)]
 
+    def _keep(self, rows: dict[str, int], flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        self.rows, self.flat, self.first, self.size = rows, flat, first, size
+
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`encode` for distinct words, only of those that no batch before has shown; past KEPT words, those of the last batch stay."""
+        row = np.fromiter((self.rows.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(row < 0)
+        names = [words[i] for i in new.tolist()]
+        flat, first, size = self.encode(names)
+        row[new] = len(self.first) + np.arange(len(new))
+        first = np.concatenate([self.first, len(self.flat) + first])
+        size = np.concatenate([self.size, size])
+        flat = np.concatenate([self.flat, flat])
+        if len(first) <= KEPT:
+            self.rows.update(zip(names, row[new].tolist()))
+            self._keep(self.rows, flat, first, size)
+        else:
+            own = words[:KEPT]
+            f, n = first[row[:KEPT]], size[row[:KEPT]]
+            at = np.cumsum(n) - n
+            self._keep({w: i for i, w in enumerate(own)}, flat[np.repeat(f - at, n) + np.arange(int(n.sum()))], at, n)
+        return flat, first[row], size[row]
+
 
 _WORDS: dict[str, Words] = {}                           # per worker process
 
@@ -112,7 +137,7 @@ def tokenise(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.
     upto -= upto[0]
     coded = split.flatten().dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
-    flat, first, size = _WORDS[path].encode(coded.dictionary.to_pylist())
+    flat, first, size = _WORDS[path].known(coded.dictionary.to_pylist())
     done = np.concatenate([[0], np.cumsum(size[index])]) if len(index) else np.zeros(1, np.int64)
     n_text = np.diff(done[upto])
     at = 0
