@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from placeproof.functions import text
 from placeproof.operators import nearest_name
+from placeproof.operators.asof import known_before
 from placeproof.operators.windows import trace_medians, trace_tail
+from placeproof.plans import belief
 from placeproof.plans import candidates as cand
 from placeproof.plans import ranking
 from placeproof.sources.tables import Views
@@ -79,3 +81,17 @@ def test_char_grams_equal_the_plain_rule(spark):
         best = max(((len(toks & set(n.split())) / len(toks | set(n.split())), n) for n in names.get(own.town_id, ())), default=None)
         a, b = (grams(own.norm.replace(" ", "")), grams(best[1].replace(" ", ""))) if best else (set(), set())
         assert r.f_sim_char3 == round(len(a & b) / len(a | b), 4) if a | b else r.f_sim_char3 == 0
+
+
+def test_second_pass_ranks_only_what_memory_changes(spark):
+    """The pass with memory takes the addresses that get a memory candidate, and the belief is that of ranking and deciding all of them again."""
+    v, at = Views(spark, "/root/testdata/sf0.001"), "2024-01-08 00:00:00"
+    prior = belief.prior_at(v, at)
+    moved = {r.address_id for r in prior.filter("arm = 'field_evidence'").collect()}
+    assert 0 < len(moved) < prior.count()
+    assert sorted(r.address_id for r in belief.ranked_again(v, at).collect()) == sorted(moved)
+    every = ranking.ranked_sets(belief.full_sets(v, at), belief.features_stage(v))
+    whole = belief.decide(every, known_before(belief.evidence_stage(v), at), at)
+    rows = lambda d: {r.address_id: r for r in d.collect()}
+    assert rows(belief.ranked_at(v, at)) == rows(every)
+    assert rows(belief.belief_at(v, at)) == rows(whole)
