@@ -95,8 +95,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """Pairs (a, b) of line keys whose shingle sets are similar enough; the sets are made once per pair."""
     side = lambda x: texts.select(F.col("k1").alias(x), F.col("line").alias(f"{x}_line"))
     near = stage(pairs, "line-pairs").join(side("a"), "a").join(side("b"), "b")
-    sets = F.array(F.struct(_shingle_hashes(F.col("a_line")).alias("x"), _shingle_hashes(F.col("b_line")).alias("y")))
-    return near.filter(F.exists(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) >= threshold * F.size(F.array_union(s["x"], s["y"])))).select("a", "b")
+    # rows of the generator: the sets are columns there, so the set functions run as generated code on longs
+    sets = near.select("a", "b", F.inline(F.array(F.struct(_shingle_hashes(F.col("a_line")).alias("x"), _shingle_hashes(F.col("b_line")).alias("y")))))
+    return sets.filter(F.size(F.array_intersect("x", "y")) >= threshold * F.size(F.array_union("x", "y"))).select("a", "b")
 
 
 def _digests(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -159,8 +160,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thr
     seen = stage(lines.select("id", "t", "pos", "k1", "k2"), "lines")
     component = line_components(lines, seen, threshold)
     folded = seen.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "t", "pos")).alias("first"), F.count("*").alias("n"))
-    # A line without a similar one is its own class, told apart by the whole hash.
-    joined = folded.join(component, F.col("k1") == F.col("node"), "left").select(
+    # A line without a similar one is its own class, told apart by the whole hash; one that stands once besides leaves here.
+    joined = folded.join(component, F.col("k1") == F.col("node"), "left").filter("n > 1 or node is not null").select(
         "k1", "k2", "first", "n", F.coalesce("component", "k1").alias("c"), F.when(F.col("node").isNull(), F.col("k2")).otherwise(0).alias("d"))
     keeper = joined.groupBy("c", "d").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1")
     repeated = joined.join(keeper, ["c", "d"]).select("k1", "k2", "keep")
