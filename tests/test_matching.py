@@ -64,6 +64,26 @@ def test_best_names_match_brute_force(spark):
         assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_pairs_are_measured_in_blocks(spark):
+    """One word per pair: every script, empty and full words; a side over one word goes through the engine's own function."""
+    rng = random.Random(8)
+    draw = lambda k: "".join(rng.choice(al) for _ in range(k))
+    a, b = [], []
+    for al in ("ab", "abcdefgh ", "ಮನೆಮುಚ್ಚಿದೆ\U0001F600x"):
+        a += [draw(k) for k in (0, 1, 5, 20, 63, 64, 65, 130) for _ in range(6)]
+        b += [draw(k) for _ in range(8) for k in (0, 1, 7, 33, 63, 64)]
+    assert nearest_name.distances(a, b).tolist() == [edits(x, y) for x, y in zip(a, b)]
+    al = "abc "
+    names = ["abc", *[draw(k) for k in (40, 64, 65, 80)]]
+    texts = sorted({draw(k) for k in (3, 50, 64, 66, 90) for _ in range(4)})
+    rows = lambda xs, c: spark.createDataFrame([("T1", x) for x in xs], f"town_id string, {c} string")
+    found = nearest_name.best_by_edits(rows(texts, "text").withColumn("guess", F.lit("abc")), rows(names, "name"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "word_distance" in plan
+    want = {x: max(1 - edits(x, n) / max(len(x), len(n)) for n in names) for x in texts}
+    assert all(abs(r.ratio - want[r.text]) < 1e-12 for r in found.collect())
+
+
 def test_proposals_equal_full_scoring(spark):
     rng = random.Random(6)
     part = lambda: "".join(rng.choice("abcdeop") for _ in range(rng.randint(4, 8)))
