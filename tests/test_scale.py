@@ -41,6 +41,15 @@ def test_trace_medians_match_brute_force(spark):
     assert "ObjectHashAggregate" not in plan and plan.count("Exchange hashpartitioning(visit_id") == 1
 
 
+def test_landmark_scores_are_dealt_out_by_number(spark):
+    """Sets of window tokens are few bytes with much work each: they are numbered and dealt to as many tasks as asked for."""
+    addr = spark.createDataFrame([(1, "T1", ["near", "promo", "brand", "14"]), (2, "T1", ["near", "promo", "brand", "15"])], "address_id long, town_id string, toks array<string>")
+    lm = spark.createDataFrame([("P1", "T1", "PROMO Brand#14"), ("P2", "T1", "PROMO Brand#15")], "poi_id string, town_id string, poi_name string")
+    hits = cand.landmark_hits(addr, lm, most=2)
+    assert {(r.address_id, r.poi_id, r.n_hits) for r in hits.collect()} == {(1, "P1", 1), (2, "P2", 1)}
+    assert "REPARTITION_BY_NUM" in hits._jdf.queryExecution().executedPlan().toString()
+
+
 def test_landmark_hits_match_brute_force(spark):
     v = Views(spark, "/root/testdata/sf0.001")
     addr, lm = cand.prepared_addresses(v.address()), v.landmark()
