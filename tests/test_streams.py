@@ -44,6 +44,25 @@ def test_claims_link_across_restarts_and_leave_the_state(spark, tmp_path):
     assert {r.visit_id: r.duplicate_claim_of for r in got}[9] is None
 
 
+def test_claims_of_many_addresses_share_few_keys(spark, tmp_path):
+    """Every key costs a call to Python and several messages, so their number does not grow with the addresses."""
+    src, sink, state = (str(tmp_path / n) for n in ("src", "sink", "state"))
+    rnd = random.Random(11)
+    row = lambda i: (i, rnd.choice([None, *range(300)]), f"h{rnd.randint(0, 9)}", T0 + dt.timedelta(minutes=rnd.randint(0, 9999)))
+    arrivals = [[row(i) for i in range(1500)], [row(i) for i in range(1500, 2000)]]
+    schema = "visit_id long, address_id long, photo_hash string, observed_at timestamp"
+    for rows in arrivals:
+        got = run(spark, src, sink, state, rows, schema, lambda s: pipeline.link_claims(s, buckets=6))
+    firsts, want = {}, set()
+    for rows in arrivals:
+        for visit, address, photo, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+            first = firsts.setdefault((address, photo), visit)
+            want.add((visit, address, photo, first if first != visit else None))
+    assert len(got) == 2000 and {tuple(r) for r in got} == want
+    keys = spark.read.format("statestore").option("path", state).option("stateVarName", "firsts").load().select("key").distinct().count()
+    assert keys <= 6 and state_rows(spark, state) == len(firsts)
+
+
 def by_hand(arrivals, horizon):
     """The same rules one number at a time."""
     nxt, floor, gaps, held, out = 0, 0, {}, {}, []
