@@ -22,6 +22,16 @@ def test_names_are_worked_out_once_per_name(spark):
         assert "parquet" not in plan and "Aggregate" not in plan
 
 
+def test_parts_are_not_sent_through_the_driver(spark):
+    """However small the part file is beside its rows, addresses, pins and surveyed points meet it without a broadcast."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    views = [v.surveyed().select("address_id"), v.address().select("address_id", "town_id"), v.pin().select("address_id", "precision")]
+    for df in views:
+        plan = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+        met = [line for line in plan if "Join" in line and "p_partkey" in line]
+        assert len(met) == 1 and "SortMergeJoin" in met[0]
+
+
 def test_trace_medians_match_brute_force(spark):
     rng = random.Random(3)
     value = lambda: None if rng.random() < 0.1 else rng.randint(-15, 15)
